@@ -17,7 +17,7 @@ from workload.base import (
 FETCH = fu.TOP_K * fu.FETCH_TIMES
 
 
-@query("tokenize", f"SELECT doc_id, CAST(p - 1 AS INTEGER) AS pos, words[p] AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '{tx.TOKEN}') AS words, unnest(range(1, len(words) + 1)) AS p FROM documents)")
+@query("tokenize", f"SELECT doc_id, CAST(generate_subscripts(words, 1) - 1 AS INTEGER) AS pos, unnest(words) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '{tx.TOKEN}') AS words FROM documents)")
 def tokenize(spark, sf):
     return lx.tokenize(table(spark, sf, "documents"), "doc_id", "text")
 
