@@ -1,5 +1,12 @@
 """Corpus preparation, retrieval, conversation and evaluation operators on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from loomstone.session import build_session
 
+# Functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["build_session"]

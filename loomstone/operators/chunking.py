@@ -123,22 +123,25 @@ def _piece_udf(overlap: int, window_overlap: int):
     return pieces
 
 
-@F.pandas_udf("array<struct<first:int,n:int,closed:boolean>>")
-def _fill_groups(sizes: pd.Series, targets: pd.Series) -> pd.Series:
+def _groups(values: Sequence[int], target: int) -> list[dict]:
     """Groups of consecutive sizes; a group closes once its sum reaches the target."""
+    out, first, total = [], 0, 0
+    for i, n in enumerate(values):
+        total += n
+        if total >= target:
+            out.append({"first": first, "n": i - first + 1, "closed": True})
+            first, total = i + 1, 0
+    if first < len(values):
+        out.append({"first": first, "n": len(values) - first, "closed": False})
+    return out
+
 
-    def groups(values, target) -> list[dict]:
-        out, first, total = [], 0, 0
-        for i, n in enumerate(values):
-            total += n
-            if total >= target:
-                out.append({"first": first, "n": i - first + 1, "closed": True})
-                first, total = i + 1, 0
-        if first < len(values):
-            out.append({"first": first, "n": len(values) - first, "closed": False})
-        return out
+def _group_udf():
+    @F.pandas_udf("array<struct<first:int,n:int,closed:boolean>>")
+    def groups(sizes: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([_groups(v.tolist(), t) for v, t in zip(sizes, targets)])
 
-    return pd.Series([groups(v.tolist(), t) for v, t in zip(sizes, targets)])
+    return groups
 
 
 # ---------------------------------------------------------------- text splitting
@@ -292,7 +295,7 @@ def adaptive_chunk(units: DataFrame) -> DataFrame:
     )
     runs = runs.withColumn("short", F.filter("u", lambda x: x["role"] == "short"))
     runs = runs.withColumn("whole", F.get(F.filter("u", lambda x: x["role"] != "short"), F.lit(0)))
-    runs = runs.withColumn("g", _fill_groups(F.transform("short", lambda x: F.length(x["text"])), F.col("merge_below")))
+    runs = runs.withColumn("g", _group_udf()(F.transform("short", lambda x: F.length(x["text"])), F.col("merge_below")))
 
     def joined(members: Column) -> Column:
         return F.array_join(F.filter(F.transform(members, lambda x: x["text"]), lambda t: t != ""), "\n\n")

@@ -364,7 +364,7 @@ def packed_sql(src, key, limit, overlap=0, window=None, name="pk"):
   FROM {name}_r r JOIN {name}_p p ON p.k = r.k AND p.i = r.i + 1),
 {name}_o AS (
   SELECT k, i, 0 AS s, 0 AS w, out AS text FROM {name}_r WHERE out IS NOT NULL
-  UNION ALL SELECT k, i, 1, at, substr(big, at + 1, lim) FROM (SELECT k, i, big, lim, unnest(range(0, length(big), {step.replace(str(limit), 'lim')})) AS at FROM {name}_r JOIN (SELECT DISTINCT k, lim FROM {name}_p) USING (k) WHERE big IS NOT NULL)
+  UNION ALL SELECT k, i, 1, w0, substr(big, w0 + 1, lim) FROM (SELECT k, i, big, lim, unnest(range(0, length(big), {step.replace(str(limit), 'lim')})) AS w0 FROM {name}_r JOIN (SELECT DISTINCT k, lim FROM {name}_p) USING (k) WHERE big IS NOT NULL)
   UNION ALL SELECT k, i + 1, 2, 0, cur FROM {name}_r r WHERE cur IS NOT NULL AND i = (SELECT max(i) FROM {name}_p p WHERE p.k = r.k)),
 {name} AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i, s, w) AS part, text FROM {name}_o
            UNION ALL SELECT {key}, 1, left(text, {limit}) FROM {src} WHERE len({paragraphs_sql('text')}) = 0)"""
@@ -383,8 +383,8 @@ def paragraph_chunks(spark, sf):
     return _parts(ck.paragraph_chunks(spaced(spark, sf), "text"))
 
 
-@query("sliding_windows", """SELECT doc_id, CAST(at // 450 AS INTEGER) AS window_no, CAST(length(substr(text, at + 1, 500)) AS INTEGER) AS chars, sha256(substr(text, at + 1, 500)) AS digest
-FROM (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS at FROM documents WHERE length(text) > 0)""")
+@query("sliding_windows", """SELECT doc_id, CAST(w0 // 450 AS INTEGER) AS window_no, CAST(length(substr(text, w0 + 1, 500)) AS INTEGER) AS chars, sha256(substr(text, w0 + 1, 500)) AS digest
+FROM (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS w0 FROM documents WHERE length(text) > 0)""")
 def sliding_windows(spark, sf):
     out = ck.sliding_windows(table(spark, sf, "documents").select("doc_id", "text"), "text", 500, 50)
     return out.select("doc_id", "window_no", F.length("window").alias("chars"), F.sha2("window", 256).alias("digest"))
