@@ -180,13 +180,13 @@ def grade_hits(hits: DataFrame, mode: str = "off", relevant: float = RELEVANT, p
     graded = hits.withColumn("grade", F.when(s >= relevant, "relevant").when(s >= partial, "partial")).filter("grade is not null")
     graded = graded.withColumn("score", s)
     if mode == "replace":
-        return _rerank(graded, [F.col("score").desc(), F.col("rank")])
+        return _rerank(graded, [F.round("score", 9).desc(), F.col("rank")])
     return rerank_fuse(graded)
 
 
 def rerank_fuse(hits: DataFrame, k: int = RERANK_K) -> DataFrame:
     """Order kept hits by the sum of reciprocal ranks of the old order and of the rerank order, both from 0."""
-    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank")
+    by_score = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "rank")
     fused = hits.withColumn("rerank_rank", F.row_number().over(by_score) - 1)
     total = F.lit(1.0) / (F.lit(k) + F.col("rank") - 1) + F.lit(1.0) / (F.lit(k) + F.col("rerank_rank"))
     fused = fused.withColumn("fused", total)

@@ -97,6 +97,75 @@ def _scan(q: dict, batches: Iterator[tuple], k: int, metric: str, skip_same: boo
         yield _rows(q["id"], best_ids, best)
 
 
+def _unpack_queries(table: pa.Table, group: bool) -> dict:
+    return {
+        "id": table["query_id"].to_numpy(),
+        "vec": _matrix(table["vector"]),
+        "group": table["group"].to_numpy() if group else None,
+    }
+
+
+def _unpack_corpus(part, group: bool) -> tuple:
+    group_of = part.column("group").to_numpy(zero_copy_only=False) if group and isinstance(part, pa.RecordBatch) else None
+    if group and group_of is None:
+        group_of = part["group"].to_numpy()
+    ids = part.column("item_id")
+    ids = ids.to_numpy(zero_copy_only=False) if isinstance(part, pa.RecordBatch) else ids.to_numpy()
+    return ids, _matrix(part.column("vector")), group_of
+
+
+def _meet(
+    queries: DataFrame,
+    corpus: DataFrame,
+    kernel: Callable[[dict, Iterator[tuple]], Iterator[pd.DataFrame]],
+    schema: str,
+    query_group: bool,
+    corpus_group: bool,
+    broadcast_rows: int,
+    corpus_part: int,
+    query_block: int,
+) -> DataFrame:
+    """Run ``kernel`` on every pair of a query block and a corpus part, each part in one task."""
+    spark = queries.sparkSession
+    sent_table = small_table(queries, broadcast_rows)
+    if sent_table is not None:
+        if sent_table.num_rows == 0:
+            return spark.createDataFrame([], schema)
+        sent = spark.sparkContext.broadcast(_unpack_queries(sent_table, query_group))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpacked = (_unpack_corpus(b, corpus_group) for b in batches if b.num_rows)
+            for frame in kernel(sent.value, unpacked):
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+        return corpus.mapInArrow(score, schema)
+
+    # Both sides in pieces: query blocks x corpus parts meet through an equi-join that Spark shuffles.
+    parts = max(1, -(-corpus.count() // corpus_part))
+    blocks = max(1, -(-queries.count() // query_block))
+    keys = ["_block", "_part"]
+    c = corpus.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
+    c = c.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    empty = spark.createDataFrame([], schema)
+    arrow_schema = pa.schema([(f.name, pa.float64() if f.dataType == T.DoubleType() else pa.int64()) for f in empty.schema])
+
+    def score_pair(q_table: pa.Table, c_table: pa.Table) -> pa.Table:
+        if not q_table.num_rows or not c_table.num_rows:
+            return arrow_schema.empty_table()
+        frames = list(kernel(_unpack_queries(q_table, query_group), iter([_unpack_corpus(c_table, corpus_group)])))
+        return pa.Table.from_pandas(pd.concat(frames), arrow_schema, preserve_index=False)
+
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(score_pair, schema)
+
+
+def _vectors(df: DataFrame, id_col: str, *more: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias(id_col), "vector", *[F.col(m).cast("long").alias(m) for m in more]).filter(
+        F.size("vector") > 0
+    )
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
@@ -111,68 +180,65 @@ def nearest(
     """Exact ``k`` nearest corpus rows per query: (query_id, item_id, distance, rank).
 
     ``queries`` is (query_id, vector[, group]) and ``corpus`` (item_id,
-    vector[, group]); ids are longs. Null vectors take no part. With ``group``
-    only rows of the query's own group are candidates. Order is by distance
-    rounded to nine digits, then by id.
+    vector[, group]); ids and groups are longs. Null vectors take no part.
+    With ``group`` only rows of the query's own group are candidates. Order is
+    by distance rounded to nine digits, then by id.
     """
-    names = ["vector", "group"] if group else ["vector"]
-    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), *names).filter("vector is not null")
-    corpus = corpus.select(F.col("item_id").cast("long").alias("item_id"), *names).filter("vector is not null")
-
-    sent = small_table(queries, broadcast_rows)
-    if sent is not None:
-        hits = _nearest_sent(queries.sparkSession, sent, corpus, k, metric, skip_same, group)
-    else:
-        hits = _nearest_grid(queries, corpus, k, metric, skip_same, group, corpus_part, query_block)
+    more = ["group"] if group else []
+    hits = _meet(
+        _vectors(queries, "query_id", *more),
+        _vectors(corpus, "item_id", *more),
+        lambda q, batches: _scan(q, batches, k, metric, skip_same),
+        _HIT,
+        group,
+        group,
+        broadcast_rows,
+        corpus_part,
+        query_block,
+    )
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "item_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _unpack_queries(table: pa.Table, group: bool) -> dict:
-    return {
-        "id": table["query_id"].to_numpy(),
-        "vec": _matrix(table["vector"]),
-        "group": table["group"].to_numpy() if group else None,
-    }
-
-
-def _nearest_sent(spark, table: pa.Table, corpus: DataFrame, k, metric, skip_same, group) -> DataFrame:
-    if table.num_rows == 0:
-        return spark.createDataFrame([], _HIT)
-    sent = spark.sparkContext.broadcast(_unpack_queries(table, group))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacked = (
-            (
-                b.column("item_id").to_numpy(zero_copy_only=False),
-                _matrix(b.column("vector")),
-                b.column("group").to_numpy(zero_copy_only=False) if group else None,
-            )
-            for b in batches
-            if b.num_rows
-        )
-        for frame in _scan(sent.value, unpacked, k, metric, skip_same):
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    return corpus.mapInArrow(score, _HIT)
-
-
-def _nearest_grid(queries, corpus, k, metric, skip_same, group, corpus_part, query_block) -> DataFrame:
-    """Query blocks x corpus parts as an equi-join of two packed tables, both shuffled by Spark."""
-    parts = max(1, -(-corpus.count() // corpus_part))
-    blocks = max(1, -(-queries.count() // query_block))
-    keys = ["_block", "_part"]
-    c = corpus.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
-    c = c.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("long"))
-    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_part", F.col("_part").cast("long"))
+def best_per_class(
+    queries: DataFrame,
+    references: DataFrame,
+    skip_same: bool = False,
+    broadcast_rows: int = BROADCAST_ROWS,
+    corpus_part: int = CORPUS_PART,
+    query_block: int = QUERY_BLOCK,
+) -> DataFrame:
+    """Highest cosine of each query to the references of each class: (query_id, class, score).
 
-    def score(q_table: pa.Table, c_table: pa.Table) -> pa.Table:
-        frames = []
-        if q_table.num_rows and c_table.num_rows:
-            unpacked = [(c_table["item_id"].to_numpy(), _matrix(c_table["vector"]), c_table["group"].to_numpy() if group else None)]
-            frames = list(_scan(_unpack_queries(q_table, group), iter(unpacked), k, metric, skip_same))
-        schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.float64())])
-        return pa.Table.from_pandas(frames[0], schema, preserve_index=False) if frames else schema.empty_table()
+    ``references`` is (item_id, vector, class) with long classes. Tasks pass on
+    one row per query and class.
+    """
 
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(score, _HIT)
+    def kernel(q: dict, batches: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        best: dict[int, np.ndarray] = {}
+        step = max(1, CELLS // max(len(q["id"]), 1))
+        for c_ids, c_vec, c_class in batches:
+            for at in range(0, len(c_ids), step):
+                part = slice(at, at + step)
+                dist = block_distance(q["vec"], c_vec[part], "cosine")
+                if skip_same:
+                    dist[q["id"][:, None] == c_ids[part][None, :]] = np.inf
+                for c in np.unique(c_class[part]):
+                    low = dist[:, c_class[part] == c].min(1)
+                    best[c] = np.minimum(best[c], low) if c in best else low
+        for c, low in best.items():
+            keep = np.isfinite(low)
+            yield pd.DataFrame({"query_id": q["id"][keep], "class": np.full(keep.sum(), c, np.int64), "score": -low[keep]})
+
+    scored = _meet(
+        _vectors(queries, "query_id"),
+        _vectors(references.withColumn("group", F.col("class")), "item_id", "group"),
+        kernel,
+        "query_id long, class long, score double",
+        False,
+        True,
+        broadcast_rows,
+        corpus_part,
+        query_block,
+    )
+    return scored.groupBy("query_id", "class").agg(F.max("score").alias("score"))

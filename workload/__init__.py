@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workload.base import ORACLES, QUERIES
 
-_MODULES = ["retrieval", "corpus"]
+_MODULES = ["retrieval", "corpus", "questions"]
 
 
 def all_queries():
