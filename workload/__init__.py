@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workload.base import ORACLES, QUERIES
 
-_MODULES = ["retrieval", "corpus", "questions"]
+_MODULES = ["retrieval", "corpus", "questions", "records"]
 
 
 def all_queries():
