@@ -110,3 +110,8 @@ def unfence(col: Column) -> Column:
     inner = F.when(F.startswith(inner, F.lit("json")), F.substring(inner, 5, 2**31 - 1)).otherwise(inner)
     inner = strip(F.rtrim(strip(inner), F.lit("`")))
     return F.when(F.startswith(col, F.lit("```")), inner).otherwise(col)
+
+
+def two_digits(col: Column) -> Column:
+    """A small number with two digits, rounded by its exact binary value as printf does."""
+    return F.format_number(col, 2)

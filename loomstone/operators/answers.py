@@ -249,10 +249,12 @@ def verdict(df: DataFrame) -> DataFrame:
     g = F.coalesce("groundedness", F.lit(1.0))
     out = df.withColumn("passed", passed).withColumn("n_issues", n_numbers + n_lists)
     replan = ~F.col("passed") & (F.col("replan_iterations") < 1) & (g < REPLAN_BELOW)
-    good = F.format_string(
-        "reflect:pass(g=%.2f,r=%.2f,h=%.2f)", g, F.coalesce("relevance", F.lit(1.0)), F.coalesce("hallucination_risk", F.lit(0.0))
+    two = tx.two_digits
+    good = F.concat(
+        F.lit("reflect:pass(g="), two(g), F.lit(",r="), two(F.coalesce("relevance", F.lit(1.0))),
+        F.lit(",h="), two(F.coalesce("hallucination_risk", F.lit(0.0))), F.lit(")"),
     )
-    bad = F.format_string("reflect:fail(facts=%d,miscalim=%s,g=%.2f)", "n_issues", F.initcap(F.col("misclaim").cast("string")), g)
+    bad = F.concat(F.format_string("reflect:fail(facts=%d,miscalim=%s,g=", "n_issues", F.initcap(F.col("misclaim").cast("string"))), two(g), F.lit(")"))
     return out.withColumn("label", F.when(F.col("passed"), good).otherwise(bad)).withColumn("route", F.when(replan, "replan").otherwise("end"))
 
 

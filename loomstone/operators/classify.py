@@ -133,7 +133,7 @@ def qa_cache_apply(questions: DataFrame, matches: DataFrame, cache: DataFrame) -
     label = (
         F.when(asked == "", "qa_lookup:empty_query")
         .when(band == "miss", "qa_lookup:miss")
-        .otherwise(F.concat(F.lit("qa_lookup:"), band, F.lit("("), F.format_string("%.2f", "score"), F.lit(")")))
+        .otherwise(F.concat(F.lit("qa_lookup:"), band, F.lit("("), tx.two_digits(F.col("score")), F.lit(")")))
     )
     hit = (asked != "") & (band != "miss")
     return out.select(

@@ -214,19 +214,13 @@ def coverage(queries: DataFrame, hits: DataFrame, relevant: float = RELEVANT, pa
 def grade_route(covered: DataFrame, iterations: Column, limit: int = MAX_REWRITES) -> DataFrame:
     """Next step and trace label per query: rewrite while nothing was kept and the limit allows, else generate."""
     spent = iterations >= F.lit(limit)
+    tail = F.concat(F.lit("total,max="), tx.two_digits(F.col("max_score")), F.lit(",cov="), F.col("coverage"), F.lit(")"))
+    passed = F.format_string("grade:pass(%drel/%dkept/%d", "relevant", "kept", "total")
     label = (
         F.when(F.col("total") == 0, F.lit("grade:no_docs"))
-        .when(
-            F.col("kept") > 0,
-            F.format_string(
-                "grade:pass(%drel/%dkept/%dtotal,max=%.2f,cov=%s)", "relevant", "kept", "total", "max_score", "coverage"
-            ),
-        )
-        .when(
-            spent,
-            F.format_string(f"grade:exhausted_after_{limit}rewrites(0rel/%dtotal,max=%.2f,cov=%s)", "total", "max_score", "coverage"),
-        )
-        .otherwise(F.format_string("grade:all_irrelevant(0rel/%dtotal,max=%.2f,cov=%s)", "total", "max_score", "coverage"))
+        .when(F.col("kept") > 0, F.concat(passed, tail))
+        .when(spent, F.concat(F.format_string(f"grade:exhausted_after_{limit}rewrites(0rel/%d", "total"), tail))
+        .otherwise(F.concat(F.format_string("grade:all_irrelevant(0rel/%d", "total"), tail))
     )
     route = F.when((F.col("kept") == 0) & ~spent, "rewrite").otherwise("generate")
     return covered.withColumn("label", label).withColumn("route", route)

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Rate limit, state life. The watermark is ours.
 RATE_LIMIT, RATE_WINDOW = 10, "1 minute"
@@ -41,6 +42,23 @@ def append_to(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> S
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def run_available(writer: DataStreamWriter, spark: SparkSession) -> None:
+    """Run a stateful job over what has arrived and end.
+
+    State that expires by the clock asks for one more batch after every batch,
+    so batches without data are off for this run; they stay on for a job that
+    goes on.
+    """
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
+    query.awaitTermination()
+
+
 # ---------------------------------------------------------------- ingest
 
 
@@ -91,37 +109,29 @@ def current_chunks(spark: SparkSession, log: str) -> DataFrame:
 # ---------------------------------------------------------------- thread state
 
 _STATE_OUT = "thread string, messages long, kept long, last_turn long, last_text string"
+_STATE = "messages long, turns array<long>, texts array<string>"
 
 
-class _LastMessages(StatefulProcessor):
-    """Keeps the last messages of a thread until they expire and reports what is kept after each batch."""
-
-    def __init__(self, n: int, ttl_ms: int) -> None:
-        self.n, self.ttl_ms = n, ttl_ms
+def stream_thread_state(messages: DataFrame, n: int = MAX_MESSAGES, ttl_ms: int = TTL_MS) -> DataFrame:
+    """State per thread of a stream of (thread, turn, text): its last ``n`` messages, dropped ``ttl_ms`` after the last one.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = self.ttl_ms or None
-        self.messages = handle.getListState("messages", "turn long, text string", ttl)
-        self.seen = handle.getValueState("seen", "n long", ttl)
+    Reports what is kept after each batch. Rows of a thread reach the function
+    in bounded Arrow batches and only the last ``n`` of them are held.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [(int(t), s) for t, s in self.messages.get()] if self.messages.exists() else []
-        count = int(self.seen.get()[0]) if self.seen.exists() else 0
-        for frame in rows:
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, turns, texts = state.get if state.exists else (0, [], [])
+        kept = list(zip((int(t) for t in turns), texts))
+        for frame in frames:
             count += len(frame)
-            kept = sorted([*kept, *zip((int(t) for t in frame["turn"]), frame["text"])])[-self.n :]
-        self.messages.put(kept)
-        self.seen.update((count,))
+            kept = sorted([*kept, *zip((int(t) for t in frame["turn"]), frame["text"])])[-n:]
+        state.update((count, [t for t, _ in kept], [s for _, s in kept]))
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(
             {"thread": [str(key[0])], "messages": [count], "kept": [len(kept)], "last_turn": [kept[-1][0]], "last_text": [kept[-1][1]]}
         )
 
-    def close(self) -> None:
-        pass
-
-
-def stream_thread_state(messages: DataFrame, n: int = MAX_MESSAGES, ttl_ms: int = TTL_MS) -> DataFrame:
-    """Latest state per thread of a stream of (thread, turn, text); needs the RocksDB state store."""
-    return messages.groupBy("thread").transformWithStateInPandas(
-        statefulProcessor=_LastMessages(n, ttl_ms), outputStructType=_STATE_OUT, outputMode="Update", timeMode="ProcessingTime"
-    )
+    return messages.groupBy("thread").applyInPandasWithState(keep, _STATE_OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -425,7 +425,9 @@ def recent_by_user(spark, sf):
 
 def stream(spark, sf, name):
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    local = [f.name for f in schema if f.dataType.simpleString() == "timestamp_ntz"]
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c in local})
 
 
 @query("routing_counts", "SELECT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS minute, event_type AS route, count(*) AS n FROM events GROUP BY 1, 2")
@@ -466,20 +468,13 @@ def stream_ingest(spark, sf):
 def stream_thread_state(spark, sf):
     """Newest state per thread, as the stream reports it batch by batch."""
     path = fresh_path(spark, "thread-state")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = stream(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("thread"), "turn", "text")
-        states = jobs.stream_thread_state(rows, 4)
-
-        def write(batch, batch_id):
-            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-        q = states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
+    rows = stream(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("thread"), "turn", "text")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    states = jobs.stream_thread_state(rows, 4).writeStream.foreachBatch(write).outputMode("update")
+    jobs.run_available(states.option("checkpointLocation", path + "-checkpoint"), spark)
     return tu.latest_per_thread(spark.read.option("basePath", path).parquet(path), "thread", ["batch"]).drop("batch")
 
 
@@ -599,7 +594,7 @@ def traces(spark, sf):
     s = F.col("value") / 500
     n = F.col("event_id")
     cov = F.when(s < 0.3, "none").when(n % 3 == 0, "full").otherwise("partial")
-    m = F.format_string("%.2f", s)
+    m = tx.two_digits(s)
     good = F.concat(F.lit("grade:pass("), (n % 9).cast("string"), F.lit("rel/"), (n % 9).cast("string"), F.lit("kept/20total,max="), m, F.lit(",cov="), cov, F.lit(")"))
     bad = F.concat(F.lit("grade:all_irrelevant(0rel/20total,max="), m, F.lit(",cov=none)"))
     spent = F.concat(F.lit("grade:exhausted_after_1rewrites(0rel/20total,max="), m, F.lit(",cov=none)"))
