@@ -88,8 +88,9 @@ def expand_same_page(hits: DataFrame, chunks: DataFrame, mode: str = "append") -
     """Add the chunks of the hits' pages, and chunks whose parent is such a page.
 
     ``hits`` is (query_id, rank, score, chunk_id, doc_id, page, parent_page,
-    text_key) and ``chunks`` the same columns without query, rank and score,
-    plus ``pos``, its order in the store. ``append`` puts siblings at the end
+    text_key) and ``chunks`` is (doc_id, chunk_id, page, parent_page, content,
+    pos), ``pos`` being the order in the store. Only texts on the hits' pages
+    are digested. ``append`` puts siblings at the end
     with a fixed score; ``inline`` puts them behind their hit with a share of
     its score; ``off`` returns the hits. A text already among the hits is not
     added, and each text is added once, at its first place.
@@ -110,14 +111,14 @@ def expand_same_page(hits: DataFrame, chunks: DataFrame, mode: str = "append") -
     on_page = chunks.select(
         "doc_id",
         F.col("chunk_id").alias("sib_id"),
-        F.col("text_key").alias("sib_key"),
+        "content",
         "pos",
         F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("page").alias("at")), F.struct(F.lit(1).alias("kind"), F.col("parent_page").alias("at")))).alias("p"),
-    ).select("doc_id", "sib_id", "sib_key", "pos", "p.kind", F.col("p.at").alias("at")).filter("at is not null")
+    ).select("doc_id", "sib_id", "content", "pos", "p.kind", F.col("p.at").alias("at")).filter("at is not null")
     place = F.struct(F.col("f.rank").alias("rank"), F.col("f.via").alias("via"), F.col("kind"), F.col("pos"))
     found = (
         wanted.join(on_page, ["doc_id", "at"])
-        .groupBy("query_id", F.col("sib_key").alias("text_key"))
+        .groupBy("query_id", text_key(F.col("content")).alias("text_key"))
         .agg(F.min_by(F.struct(place.alias("place"), F.col("sib_id").alias("chunk_id"), F.col("f.score").alias("parent")), place).alias("s"))
         .join(hits.select("query_id", "text_key").distinct(), ["query_id", "text_key"], "left_anti")
     )

@@ -65,11 +65,12 @@ def run_available(writer: DataStreamWriter, spark: SparkSession) -> None:
 def stream_ingest(
     files: DataFrame, log: str, checkpoint: str, chunker: Callable[[DataFrame], DataFrame], once: bool = True
 ) -> StreamingQuery:
-    """Ingest (path, content) rows as they arrive into an append-only log of versions.
+    """Ingest (path, content, modified) rows as they arrive into an append-only log of versions.
 
-    A micro-batch keeps the paths whose hash differs from their newest version
-    and writes their chunks to a folder of its own, so a repeated batch
-    overwrites itself and no older data is rewritten. ``chunker`` maps (path,
+    A micro-batch keeps the paths whose hash differs from their newest version.
+    Their chunks and their hashes go to folders of the batch's own, so a
+    repeated batch overwrites itself and no older data is rewritten. Only
+    paths and hashes of earlier batches are read again. ``chunker`` maps (path,
     hash, content) to (path, hash, chunk_no, text).
     """
 
@@ -78,22 +79,23 @@ def stream_ingest(
         hashed = batch.withColumn("hash", F.sha2("content", 256))
         newest = hashed.groupBy("path").agg(F.max_by(F.struct("hash", "content"), F.struct("modified", "hash")).alias("f"))
         fresh = newest.select("path", "f.hash", "f.content")
-        known = log_versions(spark, log, before=batch_id)
+        known = _log(spark, f"{log}/state", before=batch_id)
         if known is not None:
             current = known.groupBy("path").agg(F.max_by("hash", "batch").alias("hash"))
             fresh = fresh.join(current, ["path", "hash"], "left_anti")
-        chunker(fresh).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        chunker(fresh).write.mode("overwrite").parquet(f"{log}/chunks/batch={batch_id}")
+        fresh.select("path", "hash").write.mode("overwrite").parquet(f"{log}/state/batch={batch_id}")
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def log_versions(spark: SparkSession, log: str, before: int | None = None) -> DataFrame | None:
-    """All versions in an ingest log, one row per chunk with its batch; None while there is none."""
+def _log(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """All batches of a log folder, or those before one; None while there is none."""
     from pyspark.errors import AnalysisException
 
     try:
-        rows = spark.read.option("basePath", log).parquet(log)
+        rows = spark.read.option("basePath", path).parquet(path)
     except AnalysisException:
         return None
     return rows if before is None else rows.filter(F.col("batch") < before)
@@ -101,9 +103,8 @@ def log_versions(spark: SparkSession, log: str, before: int | None = None) -> Da
 
 def current_chunks(spark: SparkSession, log: str) -> DataFrame:
     """Chunks of the newest version of every path."""
-    rows = log_versions(spark, log)
-    newest = rows.groupBy("path").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["path", "batch"], "left_semi")
+    newest = _log(spark, f"{log}/state").groupBy("path").agg(F.max("batch").alias("batch"))
+    return _log(spark, f"{log}/chunks").join(newest, ["path", "batch"], "left_semi")
 
 
 # ---------------------------------------------------------------- thread state

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
 from loomstone.operators import lexical as lx
+from loomstone.plans.spread import spread
 from loomstone.session import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,8 +30,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Tables whose rows carry texts that operators work on for long.
+HEAVY = ["documents", "pages", "conversations"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def quoted(text: str) -> str:

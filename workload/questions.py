@@ -56,14 +56,16 @@ def line_chunks(spark, sf):
     page = F.floor(F.col("n") / 4).cast("long")
     parent = F.when((F.length("line") < 40) & (page > 0), page - 1)
     pos = (F.col("doc_id") * 1000000 + F.col("n")).alias("pos")
-    return rows.select("doc_id", pos, F.col("doc_id").alias("d"), page.alias("page"), parent.alias("parent_page"), fu.text_key(F.col("line")).alias("text_key"), "n", F.length("line").alias("chars")).withColumn("chunk_id", F.col("pos"))
+    return rows.select("doc_id", pos, page.alias("page"), parent.alias("parent_page"), F.col("line").alias("content"), "n").withColumn("chunk_id", F.col("pos"))
 
 
 def line_hits(spark, sf):
     """The longest line of each hit document stands for the hit."""
     lines = line_chunks(spark, sf)
-    best = lines.groupBy("doc_id").agg(F.max_by(F.struct("chunk_id", "page", "parent_page", "text_key"), F.struct("chars", -F.col("n"))).alias("b")).select("doc_id", "b.*")
-    return hits(spark, sf).select("query_id", "rank", "score", F.col("item_id").alias("doc_id")).join(best, "doc_id"), lines
+    found = hits(spark, sf).select("query_id", "rank", "score", F.col("item_id").alias("doc_id"))
+    mine = lines.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text_key", fu.text_key(F.col("content")))
+    best = mine.groupBy("doc_id").agg(F.max_by(F.struct("chunk_id", "page", "parent_page", "text_key"), F.struct(F.length("content"), -F.col("n"))).alias("b"))
+    return found.join(best.select("doc_id", "b.*"), "doc_id"), lines
 
 
 LINE_SQL = f"""{HITS_SQL},

@@ -59,7 +59,7 @@ def scan_corpus(spark, sf):
     return fi.scan_corpus(spark, sf, [".parquet"]).select("path", "suffix", "size")
 
 
-@query("classify_format", f"WITH {LISTING} SELECT page_id, CASE suffix WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.txt' THEN 'txt' ELSE 'unknown' END AS format, suffix IN ('.pdf', '.docx', '.txt') AS supported FROM lst")
+@query("classify_format", f"WITH {FILES} SELECT page_id, CASE ext WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.txt' THEN 'txt' ELSE 'unknown' END AS format, ext IN ('.pdf', '.docx', '.txt') AS supported FROM fl")
 def classify_format(spark, sf):
     fmt = fi.classify_format(fi.suffix(F.col("path")))
     return listing(spark, sf).select("page_id", fmt.alias("format"), fi.is_supported(fmt).alias("supported"))
@@ -653,11 +653,17 @@ def ablation_matrix(spark, sf):
     return ev.ablation_matrix(runs, [n for n, _, _ in ev.SETTINGS], "outcome")
 
 
-# Gold: the documents that hold the question word for word. A question's first token joins it to the documents with that token.
+# Gold: the documents that hold the question word for word. The longest token inside a question (neither its first
+# nor its last, which a document may continue) picks the documents to compare; every question has such a token.
 def gold(spark, sf):
-    q = questions(spark, sf).withColumn("key", F.sort_array(F.array_distinct(tx.tokens(F.col("text"))))).withColumn("key", F.array_max(F.transform("key", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"])
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("doc"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("key"))
-    return d.join(q, "key").filter(F.contains("doc", F.col("text"))).select("query_id", "item_id", F.sha2("doc", 256).alias("text_key"))
+    words = F.array_distinct(tx.tokens(F.col("text")))
+    inner = F.slice(tx.tokens(F.col("text")), 2, F.greatest(F.size(tx.tokens(F.col("text"))) - 2, F.lit(0)))
+    key = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    q = questions(spark, sf).withColumn("key", key)
+    docs = table(spark, sf, "documents")
+    near = docs.select(F.col("doc_id").alias("item_id"), F.explode(words).alias("key")).join(q, "key")
+    found = docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("doc")).join(near, "item_id").filter(F.contains("doc", F.col("text")))
+    return found.select("query_id", "item_id", F.sha2("doc", 256).alias("text_key"))
 
 
 GOLD = "gd AS (SELECT b.item_id AS query_id, d.doc_id AS item_id, sha256(d.text) AS text_key FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
