@@ -7,14 +7,14 @@ function; texts are cut and joined by Spark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.plans.ordered import neighbours, position_bucket, running
+from loomstone.plans.ordered import Edge, position_bucket, scan
 
 # Merge and split limits per format, the older packer, table shape.
 SIZE_THRESHOLDS = [
@@ -283,11 +283,13 @@ def adaptive_chunk(units: DataFrame) -> DataFrame:
         .otherwise("fit")
     )
     units = units.withColumn("role", role)
-    units = neighbours(units, ["doc_id"], ["pos"], position_bucket("pos"), prevs={"prev_role": "role", "prev_path": "section_path"})
-    follows = F.coalesce(F.col("prev_role") == "short", F.lit(False)) & (
-        (F.col("role") == "fit") | ((F.col("role") == "short") & F.col("prev_path").eqNullSafe(F.col("section_path")))
-    )
-    units = running(units, ["doc_id"], ["pos"], position_bucket("pos"), sums={"run": (~follows).cast("long")})
+
+    def starts_run(now: Callable[[str], Column], before: Callable[[str], Column]) -> Column:
+        same_path = before("section_path").eqNullSafe(now("section_path"))
+        follows = (before("role") == "short") & ((now("role") == "fit") | ((now("role") == "short") & same_path))
+        return ~F.coalesce(follows, F.lit(False))
+
+    units = scan(units, ["doc_id"], ["pos"], position_bucket("pos"), edges={"run": Edge(["role", "section_path"], starts_run)})
     kept = ["pos", "unit_index", "unit_type", "title", "section_path", "text", "is_table", "table_index", "parent_page_index", "role"]
     runs = units.groupBy("doc_id", "run").agg(
         F.first("doc_format").alias("doc_format"), F.first("merge_below").alias("merge_below"), F.first("split_above").alias("split_above"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.plans.ordered import position_bucket, running
+from loomstone.plans.ordered import position_bucket, scan
 
 # Heading marks, page furniture, section heads, damage signs and limits.
 MD_HEADING = f"(?s)^(#{{1,3}}){tx.WS}+(.+)$"
@@ -160,14 +160,14 @@ def _nonempty(col: Column) -> Column:
 def carry_section(pages: DataFrame, head_chars: int = 300) -> DataFrame:
     """Section of each page of (doc_id, page, text): a head near its start, else that of the page before."""
     head = _nonempty(tx.strip(F.regexp_extract(F.left("text", F.lit(head_chars)), f"(?md)({SECTION_HEAD})", 1)))
-    out = running(pages, ["doc_id"], ["page"], position_bucket("page"), lasts={"section": head})
+    out = scan(pages, ["doc_id"], ["page"], position_bucket("page"), lasts={"section": head})
     return out.withColumn("section", F.coalesce("section", F.lit("")))
 
 
 def carry_part(slides: DataFrame) -> DataFrame:
     """Part of each slide of (doc_id, slide, title, body): a part head in it, else that of the slide before."""
     head = _nonempty(F.regexp_extract(F.concat_ws("\n", "title", "body"), f"(?mdU){PART_HEAD}", 1))
-    out = running(slides, ["doc_id"], ["slide"], position_bucket("slide"), lasts={"part": head})
+    out = scan(slides, ["doc_id"], ["slide"], position_bucket("slide"), lasts={"part": head})
     return out.withColumn("part", F.coalesce("part", F.lit("")))
 
 
@@ -293,7 +293,7 @@ def flat_document_text(shapes: DataFrame, chars: int = FILE_CONTEXT_CHARS) -> Da
     )
     slides = slides.select("doc_id", "slide", F.array_join(pieces, "\n\n").alias("block"))
     # Only slides that start inside the kept length are joined; lengths tell the rest.
-    total = running(slides, ["doc_id"], ["slide"], position_bucket("slide"), sums={"upto": (F.length("block") + 2).cast("long")})
+    total = scan(slides, ["doc_id"], ["slide"], position_bucket("slide"), sums={"upto": (F.length("block") + 2).cast("long")})
     inside = F.when(F.col("upto") - F.length("block") - 2 < chars, F.struct("slide", "block"))
     out = total.groupBy("doc_id").agg((F.max("upto") - 2).alias("full_chars"), F.array_sort(F.collect_list(inside)).alias("b"))
     return out.select("doc_id", "full_chars", F.left(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit(chars)).alias("context"))
@@ -313,7 +313,7 @@ def heading_sections(items: DataFrame) -> DataFrame:
     items = items.select("doc_id", "pos", "level", text.alias("text"), kept_rows.alias("rows"))
     items = items.filter((is_table & (F.size("rows") > 0)) | (~is_table & (F.col("text") != "")))
     head = ~is_table & F.col("level").isin(1, 2)
-    carried = running(
+    carried = scan(
         items, ["doc_id"], ["pos"], position_bucket("pos"),
         sums={"brk": head.cast("long"), "table_no": is_table.cast("long")},
         lasts={
@@ -329,7 +329,7 @@ def heading_sections(items: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(is_table, F.struct("pos", "table_no", "rows")))).alias("tables"),
     )
     filled = (F.size("b") > 0).cast("long")
-    sections = running(sections, ["doc_id"], ["brk"], position_bucket("brk"), sums={"index": filled})
+    sections = scan(sections, ["doc_id"], ["brk"], position_bucket("brk"), sums={"index": filled})
     path = F.concat_ws(" / ", _nonempty(F.col("h1")), _nonempty(F.col("h2")))
     title = F.coalesce(_nonempty(F.col("h2")), _nonempty(F.col("h1")))
     own_title = F.coalesce(title, F.concat(F.lit("섹션 "), F.col("index").cast("string")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.plans.ordered import position_bucket, running
+from loomstone.plans.ordered import position_bucket, scan
 
 # Entity patterns (case counts only where noted), counter words, default dictionary and limits.
 COUNTERS = "명|억|만원|만\\s*원|억\\s*원|시간|분|일|차|곳|개|단계|자|회|건|개월|년|％|%|원|건수|명\\+|건\\+"
@@ -91,7 +91,7 @@ def doc_snippet(units: DataFrame, chars: int = SNIPPET_CHARS) -> DataFrame:
     any size costs at most that many characters.
     """
     filled = units.filter(F.length("text") > 0).select("doc_id", "pos", "text")
-    ends = running(filled, ["doc_id"], ["pos"], position_bucket("pos"), sums={"upto": (F.length("text") + 2).cast("long")})
+    ends = scan(filled, ["doc_id"], ["pos"], position_bucket("pos"), sums={"upto": (F.length("text") + 2).cast("long")})
     inside = ends.filter(F.col("upto") - F.length("text") - 2 < chars)
     inside = inside.select("doc_id", "pos", F.left("text", F.lit(chars)).alias("text"))
     packed = inside.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))

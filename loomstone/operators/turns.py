@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.plans.ordered import neighbours, position_bucket, running, top_rows
+from loomstone.plans.ordered import Mark, history, position_bucket, scan, top_rows
 
 # Window and history sizes, role names, life of a state row.
 WINDOW_TURNS, HISTORY_TURNS, HISTORY_CHARS = 3, 4, 300
@@ -26,10 +26,12 @@ def turn_pairs(messages: DataFrame) -> DataFrame:
     A pair uses up both messages, so in a row of user messages every second
     one starts a pair.
     """
-    bucket = position_bucket("turn")
-    m = running(messages, ["conv_id"], ["turn"], bucket, sums={"_n": F.lit(1).cast("long")})
-    m = running(m, ["conv_id"], ["turn"], bucket, lasts={"_other": F.when(F.col("role") != "user", F.col("_n"))})
-    m = neighbours(m, ["conv_id"], ["turn"], bucket, nexts={"reply_turn": "turn", "reply_role": "role", "reply_text": "text"})
+    m = scan(
+        messages, ["conv_id"], ["turn"], position_bucket("turn"),
+        sums={"_n": F.lit(1).cast("long")},
+        marks={"_other": Mark("_n", F.col("role") != "user")},
+        nexts={"reply_turn": "turn", "reply_role": "role", "reply_text": "text"},
+    )
     in_run = F.col("_n") - F.coalesce("_other", F.lit(0)) - 1
     starts = (F.col("role") == "user") & (in_run % 2 == 0) & F.col("reply_turn").isNotNull()
     return m.filter(starts).select("conv_id", "turn", "text", "reply_turn", "reply_role", "reply_text")
@@ -46,13 +48,8 @@ def last_exchange(messages: DataFrame) -> DataFrame:
 def window_text(messages: DataFrame, turns: int = WINDOW_TURNS) -> DataFrame:
     """Each user message with up to ``turns`` user messages before it: (conv_id, turn, text, recent, window)."""
     m = messages.filter("role = 'user'").select("conv_id", "turn", "text")
-    last, names = "text", []
-    for i in range(1, turns + 1):
-        name = f"_p{i}"
-        m = neighbours(m, ["conv_id"], ["turn"], position_bucket("turn"), prevs={name: last})
-        last, names = name, [name, *names]
-    recent = F.size(F.filter(F.array(*names), lambda x: x.isNotNull()))
-    return m.select("conv_id", "turn", "text", recent.alias("recent"), F.concat_ws(" ", *names, "text").alias("window"))
+    m = history(m, ["conv_id"], ["turn"], position_bucket("turn"), "text", turns, "_before")
+    return m.select("conv_id", "turn", "text", F.size("_before").alias("recent"), F.concat_ws(" ", "_before", "text").alias("window"))
 
 
 def recent_history(messages: DataFrame, turns: int = HISTORY_TURNS, chars: int = HISTORY_CHARS) -> DataFrame:
@@ -92,18 +89,20 @@ def reset_or_append(steps: DataFrame, key: str, order: str, bucket: Column) -> D
     Gives the trace in long form, one row per item with its place, so that a
     trace may have any length: (key, place, item).
     """
-    marked = running(steps, [key], [order], bucket, sums={"_reset": F.col("items").isNull().cast("long")})
-    last = marked.groupBy(key).agg(F.max("_reset").alias("_last"))
-    live = marked.join(last, key).filter((F.col("_reset") == F.col("_last")) & F.col("items").isNotNull())
-    live = running(live, [key], [order], bucket, sums={"_end": F.size("items").cast("long")})
-    rows = live.select(key, (F.col("_end") - F.size("items")).alias("_start"), F.posexplode("items").alias("_i", "item"))
+    is_reset = F.col("items").isNull()
+    size = F.when(is_reset, F.lit(0)).otherwise(F.size("items")).cast("long")
+    last = steps.groupBy(key).agg(F.max(F.when(is_reset, F.col(order))).alias("_last"))
+    live = scan(steps, [key], [order], bucket, sums={"_end": size}, marks={"_base": Mark("_end", is_reset)}).join(last, key)
+    live = live.filter(~is_reset & (F.col("_last").isNull() | (F.col(order) > F.col("_last"))))
+    start = F.col("_end") - F.size("items") - F.coalesce("_base", F.lit(0))
+    rows = live.select(key, start.alias("_start"), F.posexplode("items").alias("_i", "item"))
     return rows.select(key, (F.col("_start") + F.col("_i")).alias("place"), "item")
 
 
 def changed_fields(states: DataFrame, key: str, order: str, bucket: Column, fields: Sequence[str], trace: str) -> DataFrame:
     """Per state the fields that differ from the state before, and the new end of its trace array."""
     prevs = {f"_was_{c}": c for c in [*fields, trace]}
-    s = neighbours(states.withColumn("_one", F.lit(1)), [key], [order], bucket, prevs={**prevs, "_had": "_one"})
+    s = scan(states.withColumn("_one", F.lit(1)), [key], [order], bucket, prevs={**prevs, "_had": "_one"})
     first = F.col("_had").isNull()
     names = F.filter(
         F.array(*[F.when(first | ~F.col(c).eqNullSafe(F.col(f"_was_{c}")), F.lit(c)) for c in fields]), lambda x: x.isNotNull()

@@ -4,13 +4,13 @@ A window over a whole group runs in one task, which fails once a single
 conversation, user or document holds a large share of the rows. Here a group
 is cut into segments by a bucket of its order column. Windows run inside a
 segment, one summary row per segment is carried over the group, and the two
-are joined back on the segment key, which is already the partitioning of the
-data.
+are joined on the segment key, by which the rows are partitioned already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,96 +22,147 @@ def position_bucket(position: str, size: int = SEGMENT) -> Column:
     return F.floor(F.col(position) / F.lit(size)).cast("long")
 
 
-def running(
+@dataclass(frozen=True)
+class Mark:
+    """Value of a running total at the last (or first) row so far where ``when`` holds."""
+
+    total: str
+    when: Column
+    first: bool = False
+
+
+@dataclass(frozen=True)
+class Edge:
+    """Running count of rows for which ``test(current, previous)`` holds.
+
+    Both arguments map a name out of ``columns`` to that column of the row; a
+    group's first row has nulls as its previous row.
+    """
+
+    columns: Sequence[str]
+    test: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
+
+def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Column,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    marks: Mapping[str, Mark] | None = None,
+    edges: Mapping[str, Edge] | None = None,
+    nexts: Mapping[str, str] | None = None,
+    prevs: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add running totals and last non-null values up to and including each row.
+    """Add running and neighbouring values along ``order`` inside each group.
 
-    ``bucket`` must not decrease along ``order`` inside a group.
+    sums   running totals up to and including the row
+    lasts  last non-null values up to and including the row
+    marks  running totals at a marked row
+    edges  running counts of changes against the row before
+    nexts, prevs  values of the next and of the previous row, null at the ends
+
+    ``bucket`` must not decrease along ``order`` inside a group; ``order`` is
+    unique in it and keys are not null. All values asked for in one call share
+    one shuffle of the rows and one of the segment summaries.
     """
-    sums, lasts = dict(sums or {}), dict(lasts or {})
+    sums, lasts, marks, edges = dict(sums or {}), dict(lasts or {}), dict(marks or {}), dict(edges or {})
+    nexts, prevs = dict(nexts or {}), dict(prevs or {})
     seg = [*keys, "_seg"]
-    df = df.withColumn("_seg", bucket)
-    for name, value in {**sums, **lasts}.items():
-        df = df.withColumn(f"_v_{name}", value)
-
-    inside = Window.partitionBy(*seg).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df
-    for name in sums:
-        local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(inside))
-    for name in lasts:
-        local = local.withColumn(f"_l_{name}", F.last(f"_v_{name}", ignorenulls=True).over(inside))
-
     at = F.struct(*order)
+    inside = Window.partitionBy(*seg).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    looked = sorted({c for e in edges.values() for c in e.columns})
+
+    local = df.withColumns({"_seg": bucket, **{f"_v_{n}": v for n, v in {**sums, **lasts}.items()}})
+    first_pass = {f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in sums}
+    first_pass |= {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(upto) for n in lasts}
+    first_pass |= {f"_l_{n}": F.lead(c).over(inside) for n, c in nexts.items()}
+    first_pass |= {f"_l_{n}": F.lag(c).over(inside) for n, c in prevs.items()}
+    first_pass |= {f"_g_{c}": F.lag(c).over(inside) for c in looked}
+    if nexts:
+        first_pass["_tail"] = F.lead(F.lit(1)).over(inside).isNull()
+    if prevs or edges:
+        first_pass["_head"] = F.lag(F.lit(1)).over(inside).isNull()
+    local = local.withColumns(first_pass)
+    flags = {
+        f"_f_{n}": F.when(F.col("_head"), F.lit(0)).otherwise(e.test(F.col, lambda c: F.col(f"_g_{c}")).cast("long")) for n, e in edges.items()
+    }
+    local = local.withColumns(flags) if flags else local
+    second_pass = {f"_l_{n}": F.sum(f"_f_{n}").over(upto) for n in edges}
+    for n, m in marks.items():
+        pick = F.first if m.first else F.last
+        second_pass[f"_l_{n}"] = pick(F.when(m.when, F.col(f"_l_{m.total}")), ignorenulls=True).over(upto)
+    local = local.withColumns(second_pass) if second_pass else local
+
     totals = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
-    totals += [
-        F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in lasts
-    ]
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    heads = df.groupBy(*seg).agg(*totals)
-    heads = heads.select(
-        *seg,
-        *[F.sum(f"_t_{n}").over(before).alias(f"_p_{n}") for n in sums],
-        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in lasts],
-    )
+    totals += [F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in lasts]
+    totals += [F.max_by(F.col(f"_l_{n}"), at).alias(f"_t_{n}") for n in marks]
+    totals += [F.sum(f"_f_{n}").alias(f"_t_{n}") for n in edges]
+    totals += [F.min_by(F.struct(F.col(c).alias("v")), at).alias(f"_t_{n}") for n, c in nexts.items()]
+    totals += [F.max_by(F.struct(F.col(c).alias("v")), at).alias(f"_t_{n}") for n, c in prevs.items()]
+    if edges:
+        row = F.struct(*looked)
+        totals += [F.min_by(row, at).alias("_start"), F.max_by(row, at).alias("_stop")]
+    heads = local.groupBy(*seg).agg(*totals)
+
+    along = Window.partitionBy(*keys).orderBy("_seg")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    carried = {f"_p_{n}": F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)) for n in sums}
+    carried |= {f"_p_{n}": F.last(f"_t_{n}", ignorenulls=True).over(before) for n in lasts}
+    carried |= {f"_p_{n}": F.lead(F.col(f"_t_{n}")).over(along)["v"] for n in nexts}
+    carried |= {f"_p_{n}": F.lag(F.col(f"_t_{n}")).over(along)["v"] for n in prevs}
+    if edges:
+        carried["_before"] = F.lag("_stop").over(along)
+    heads = heads.withColumns(carried)
+    later = {f"_e_{n}": e.test(lambda c: F.col("_start")[c], lambda c: F.col("_before")[c]).cast("long") for n, e in edges.items()}
+    later |= {f"_a_{n}": F.col(f"_p_{m.total}") + F.col(f"_t_{n}") for n, m in marks.items()}
+    heads = heads.withColumns(later) if later else heads
+    last = {
+        f"_p_{n}": F.coalesce(F.sum(F.col(f"_t_{n}") + F.col(f"_e_{n}")).over(before), F.lit(0)) + F.col(f"_e_{n}") for n in edges
+    }
+    last |= {f"_p_{n}": (F.first if m.first else F.last)(f"_a_{n}", ignorenulls=True).over(before) for n, m in marks.items()}
+    heads = heads.withColumns(last) if last else heads
+    heads = heads.select(*seg, *[f"_p_{n}" for n in [*sums, *lasts, *marks, *edges, *nexts, *prevs]])
+
     out = _rejoin(local, heads, seg)
-    for name in sums:
-        out = out.withColumn(name, F.coalesce(F.col(f"_p_{name}"), F.lit(0)) + F.coalesce(F.col(f"_l_{name}"), F.lit(0)))
-    for name in lasts:
-        out = out.withColumn(name, F.coalesce(F.col(f"_l_{name}"), F.col(f"_p_{name}")))
-    helpers = [f"_{p}_{n}" for n in [*sums, *lasts] for p in "vlp"]
-    return out.drop("_seg", *helpers)
+    values = {n: F.col(f"_p_{n}") + F.coalesce(F.col(f"_l_{n}"), F.lit(0)) for n in [*sums, *edges]}
+    values |= {n: F.coalesce(f"_l_{n}", f"_p_{n}") for n in lasts}
+    for n, m in marks.items():
+        here = F.col(f"_p_{m.total}") + F.col(f"_l_{n}")
+        values[n] = F.coalesce(F.col(f"_p_{n}"), here) if m.first else F.coalesce(here, F.col(f"_p_{n}"))
+    values |= {n: F.when(F.col("_tail"), F.col(f"_p_{n}")).otherwise(F.col(f"_l_{n}")) for n in nexts}
+    values |= {n: F.when(F.col("_head"), F.col(f"_p_{n}")).otherwise(F.col(f"_l_{n}")) for n in prevs}
+    return out.select(*df.columns, *[v.alias(n) for n, v in values.items()])
 
 
-def neighbours(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    nexts: Mapping[str, str] | None = None,
-    prevs: Mapping[str, str] | None = None,
-) -> DataFrame:
-    """Add the value of the next or previous row of the group (null at its ends)."""
-    nexts, prevs = dict(nexts or {}), dict(prevs or {})
+def history(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, k: int, name: str) -> DataFrame:
+    """Add ``name``, the array of the ``k`` values before each row of its group, oldest first.
+
+    A segment hands on its last ``k`` values; as every segment has a row, the
+    last ``k`` segments hold all that a row can look back on.
+    """
     seg = [*keys, "_seg"]
-    df = df.withColumn("_seg", bucket)
     inside = Window.partitionBy(*seg).orderBy(*order)
-    at = F.struct(*order)
-    local = df.withColumn("_first", F.row_number().over(inside) == 1)
-    local = local.withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
-    for name, source in nexts.items():
-        local = local.withColumn(f"_l_{name}", F.lead(source).over(inside))
-    for name, source in prevs.items():
-        local = local.withColumn(f"_l_{name}", F.lag(source).over(inside))
-
-    edges = [F.min_by(F.struct(F.col(c).alias("v")), at).alias(f"_t_{n}") for n, c in nexts.items()]
-    edges += [F.max_by(F.struct(F.col(c).alias("v")), at).alias(f"_t_{n}") for n, c in prevs.items()]
-    along = Window.partitionBy(*keys).orderBy("_seg")
-    heads = df.groupBy(*seg).agg(*edges)
-    heads = heads.select(
-        *seg,
-        *[F.lead(F.col(f"_t_{n}")).over(along)["v"].alias(f"_p_{n}") for n in nexts],
-        *[F.lag(F.col(f"_t_{n}")).over(along)["v"].alias(f"_p_{n}") for n in prevs],
-    )
+    one = F.struct(F.col(value).alias("v"))
+    local = df.withColumn("_seg", bucket).withColumn("_l", F.collect_list(one).over(inside.rowsBetween(-k, -1)))
+    ends = df.withColumn("_seg", bucket)
+    ends = ends.withColumn("_r", F.row_number().over(Window.partitionBy(*seg).orderBy(*[F.col(o).desc() for o in order]))).filter(F.col("_r") <= k)
+    tails = ends.groupBy(*seg).agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), one.alias("x")))).alias("_t"))
+    along = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(-k, -1)
+    heads = tails.select(*seg, F.transform(F.flatten(F.collect_list("_t").over(along)), lambda x: x["x"]).alias("_p"))
     out = _rejoin(local, heads, seg)
-    for name in nexts:
-        out = out.withColumn(name, F.when(F.col("_last"), F.col(f"_p_{name}")).otherwise(F.col(f"_l_{name}")))
-    for name in prevs:
-        out = out.withColumn(name, F.when(F.col("_first"), F.col(f"_p_{name}")).otherwise(F.col(f"_l_{name}")))
-    helpers = [f"_{p}_{n}" for n in [*nexts, *prevs] for p in "lp"]
-    return out.drop("_seg", "_first", "_last", *helpers)
+    both = F.concat(F.coalesce("_p", F.array().cast(heads.schema["_p"].dataType)), "_l")
+    kept = F.slice(both, F.greatest(F.size(both) - k + 1, F.lit(1)), k)
+    return out.select(*df.columns, F.transform(kept, lambda x: x["v"]).alias(name))
 
 
 def _rejoin(local: DataFrame, heads: DataFrame, seg: Sequence[str]) -> DataFrame:
     renamed = heads
     for c in seg:
         renamed = renamed.withColumnRenamed(c, f"_j{c}")
-    match = [F.col(c).eqNullSafe(F.col(f"_j{c}")) for c in seg]
+    match = [F.col(c) == F.col(f"_j{c}") for c in seg]
     on = match[0]
     for m in match[1:]:
         on = on & m

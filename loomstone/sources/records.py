@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.plans.ordered import running
+from loomstone.plans.ordered import Mark, scan
 
 SCHEMAS = {
     "questions": "id int, category string, category_name string, category_range array<int>, question string",
@@ -62,8 +62,13 @@ def parse_question_list(lines: DataFrame, bucket: Column) -> DataFrame:
     is_head = F.rlike("line", F.lit(QUESTION_HEADER))
     head = F.struct(part(1).alias("letter"), part(2).alias("name"), part(3).cast("int").alias("first"), part(4).cast("int").alias("last"))
     rows = rows.withColumn("_is_head", is_head)
-    rows = running(rows, ["list_id"], ["pos"], bucket, lasts={"head": F.when(is_head, head)})
-    rows = running(rows, ["list_id"], ["pos"], bucket, sums={"id": (~F.col("_is_head") & F.col("head").isNotNull()).cast("long")})
+    rows = scan(
+        rows, ["list_id"], ["pos"], bucket,
+        lasts={"head": F.when(F.col("_is_head"), head)},
+        sums={"_line": (~F.col("_is_head")).cast("long")},
+        marks={"_above": Mark("_line", F.col("_is_head"), first=True)},
+    )
+    rows = rows.withColumn("id", F.col("_line") - F.col("_above"))
     return rows.filter(~F.col("_is_head") & F.col("head").isNotNull()).select(
         "list_id", "id", F.col("head.letter").alias("category"), F.col("head.name").alias("category_name"),
         F.col("head.first").alias("range_first"), F.col("head.last").alias("range_last"), F.col("line").alias("question"),

@@ -392,9 +392,9 @@ def unknown_fallback(spark, sf):
 a AS (SELECT *, CASE WHEN task IN ('unknown', 'knowledge_search') AND prev IN ('knowledge_search', 'detail_search') AND {any_sql('text', cl.DETAIL_HINTS)} THEN 'detail_search' ELSE task END AS s FROM l),
 b AS (SELECT *, CASE WHEN s = 'unknown' AND has_file THEN 'file_chat' ELSE s END AS s2 FROM a) SELECT conv_id, turn, CASE WHEN s2 = 'file_chat' AND NOT has_file THEN 'clarification' ELSE s2 END AS route FROM b""")
 def route_postchecks_v1(spark, sf):
-    from loomstone.plans.ordered import neighbours, position_bucket
+    from loomstone.plans.ordered import position_bucket, scan
 
-    r = neighbours(routed(spark, sf), ["conv_id"], ["turn"], position_bucket("turn"), prevs={"prev": "task"})
+    r = scan(routed(spark, sf), ["conv_id"], ["turn"], position_bucket("turn"), prevs={"prev": "task"})
     route = cl.route_postchecks_v1(F.col("task"), F.col("text"), F.col("prev"), F.col("prev").isNotNull(), F.col("has_file"))
     return r.select("conv_id", "turn", route.alias("route"))
 
