@@ -175,7 +175,7 @@ def _score_joined(weights: DataFrame, index: DataFrame, avgdl: float, salts: int
     """The way for query sets beyond the bound: a term join, salted so that common terms spread."""
     flat = index.select("item_id", "dl", F.explode("counts").alias("c")).select("item_id", "dl", "c.term", "c.tf")
     flat = flat.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(salts)))
-    spread = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    spread = weights.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("weight") * tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / F.lit(avgdl)))
     return flat.join(spread, ["term", "salt"]).groupBy("query_id", "item_id").agg(F.sum(part).alias("score"))

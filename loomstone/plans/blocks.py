@@ -145,9 +145,9 @@ def _meet(
     blocks = max(1, -(-queries.count() // query_block))
     keys = ["_block", "_part"]
     c = corpus.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
-    c = c.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    c = c.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     empty = spark.createDataFrame([], schema)
     arrow_schema = pa.schema([(f.name, pa.float64() if f.dataType == T.DoubleType() else pa.int64()) for f in empty.schema])
 
