@@ -271,6 +271,9 @@ def adaptive_chunk(units: DataFrame) -> DataFrame:
     units is taken in by the next unit if both fit. A run holds consecutive
     short units of one section and the unit that may take them in; nothing
     carries over from run to run, so runs, not documents, are grouped.
+
+    Arrays here are never empty; the outer explode spares a filter that would
+    work out the array once more.
     """
     merge_below, split_above = size_thresholds(F.col("doc_format"))
     size = F.length("text")
@@ -341,11 +344,11 @@ def adaptive_chunk(units: DataFrame) -> DataFrame:
     own_title = F.when(whole["title"] != "", whole["title"]).otherwise(first_title)
     grown = chunk(whole, F.col("rest")[0]["unit_index"], own_title, F.col("taken"), no_ids, ids(F.col("rest")))
     last = F.when(whole.isNull(), F.array()).when(F.col("takes"), F.array(grown)).otherwise(F.array(plain))
-    flat = runs.select("doc_id", "doc_format", "split_above", F.explode(F.concat(groups, last)).alias("c")).select("doc_id", "doc_format", "split_above", "c.*")
+    flat = runs.select("doc_id", "doc_format", "split_above", F.explode_outer(F.concat(groups, last)).alias("c")).select("doc_id", "doc_format", "split_above", "c.*")
 
     flat = split_text(flat, "text", F.when(F.col("_split"), F.col("split_above")).otherwise(F.lit(2**31 - 1)))
     pieces = F.when(F.col("_split"), F.col("parts")).otherwise(F.array("text"))
-    flat = flat.withColumn("n_parts", F.size(pieces)).select("*", F.posexplode(pieces).alias("_i", "_part"))
+    flat = flat.withColumn("n_parts", F.size(pieces)).select("*", F.posexplode_outer(pieces).alias("_i", "_part"))
     header = context_header(F.col("section_path"), F.col("title"))
     several = F.col("_split") & (F.col("n_parts") > 1)
     marked = F.concat("title", F.lit(" (part "), (F.col("_i") + 1).cast("string"), F.lit("/"), F.col("n_parts").cast("string"), F.lit(")"))

@@ -232,8 +232,11 @@ def extraneous_terms(hits: DataFrame, queries: DataFrame, k: int = AVOID_TERMS)
 
     ``hits`` is (query_id, entities) and ``queries`` (query_id, entities), both arrays.
     """
-    of_hits = hits.select("query_id", F.explode("entities").alias("e")).select("query_id", F.lower("e").alias("e")).distinct()
-    of_query = queries.select("query_id", F.explode("entities").alias("e")).select("query_id", F.lower("e").alias("e"))
+    of_hits, of_query = (
+        df.select("query_id", F.explode_outer("entities").alias("e")).filter("e is not null").select("query_id", F.lower("e").alias("e"))
+        for df in (hits, queries)
+    )
+    of_hits = of_hits.distinct()
     extra = of_hits.join(of_query, ["query_id", "e"], "left_anti")
     counted = extra.groupBy("query_id").agg(F.count("*").alias("extraneous"))
     first = top_rows(extra, ["query_id"], [F.col("e")], k).groupBy("query_id")

@@ -23,8 +23,11 @@ _HIT = "query_id long, item_id long, score double"
 
 
 def tokenize(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per token: (id, pos, term)."""
-    return df.select(id_col, F.posexplode(tx.tokens(F.col(text_col))).alias("pos", "term"))
+    """One row per token: (id, pos, term).
+
+    An inner explode would make Spark cut the text twice, once to filter.
+    """
+    return df.select(id_col, F.posexplode_outer(tx.tokens(F.col(text_col))).alias("pos", "term")).filter("term is not null")
 
 
 def forward_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:

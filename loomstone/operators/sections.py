@@ -106,7 +106,7 @@ def text_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     whole = F.array(F.struct(F.col("_title").alias("title"), tx.strip(text).alias("text")))
     units = F.when(F.size("_sections") > 0, titled).when(~tx.blank(text), whole)
-    out = cut.select(id_col, F.col("_title").alias("section_path"), F.posexplode(units).alias("_at", "u"))
+    out = cut.select(id_col, F.col("_title").alias("section_path"), F.posexplode_outer(units).alias("_at", "u")).filter("u is not null")
     return out.select(
         id_col, (F.col("_at") + 1).alias("unit_index"), F.lit("section").alias("unit_type"), "u.title", "section_path", "u.text"
     )

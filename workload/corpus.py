@@ -8,6 +8,7 @@ from loomstone.functions import text as tx
 from loomstone.operators import chunking as ck
 from loomstone.operators import sections as se
 from loomstone.operators import tagging as tg
+from loomstone.session import staged
 from workload.base import BREAK_SQL, WS_SQL, paragraphs_sql, query, quoted, squeeze_sql, strip_sql, table
 
 NL = "chr(10)"
@@ -371,7 +372,7 @@ def packed_sql(src, key, limit, overlap=0, window=None, name="pk"):
 
 
 def _parts(df, key="doc_id"):
-    out = df.select(key, F.posexplode("parts").alias("part", "chunk"))
+    out = df.select(key, F.posexplode_outer("parts").alias("part", "chunk"))
     return out.select(key, (F.col("part") + 1).alias("part"), F.length("chunk").alias("chars"), F.sha2("chunk", 256).alias("digest"))
 
 
@@ -462,13 +463,21 @@ def size_thresholds(spark, sf):
 
 
 def units(spark, sf):
-    """Sections of the spaced documents; the table of the order with the document's id follows them."""
+    """Sections of the spaced documents; the table of the order with the document's id follows them.
+
+    Written once, as an ingest would keep them: two branches of the scan read them.
+    """
+    return staged(spark, "units", sf, lambda: _units(spark, sf))
+
+
+def _units(spark, sf):
     fmt = table(spark, sf, "documents").select("doc_id", format_of(F.col("lang")).alias("doc_format"))
     none = F.lit(None).cast("int")
     secs = se.text_sections(spaced(spark, sf), "doc_id", "text")
     secs = secs.select("doc_id", F.col("unit_index").cast("long").alias("pos"), "unit_index", "unit_type", "title", "section_path", "text",
                        F.lit(False).alias("is_table"), none.alias("table_index"), none.alias("parent_page_index"))
-    tabs = order_tables(spark, sf).select(
+    rows = order_rows(spark, sf).join(fmt.select("doc_id"), "doc_id", "left_semi")
+    tabs = se.markdown_table(rows, ["doc_id"]).withColumnRenamed("table", "text").select(
         "doc_id", F.lit(1000000).cast("long").alias("pos"), F.lit(10001).alias("unit_index"), F.lit("table").alias("unit_type"), F.lit("items").alias("title"),
         F.lit("").alias("section_path"), "text", F.lit(True).alias("is_table"), F.lit(1).alias("table_index"), F.lit(1).alias("parent_page_index"))
     return secs.unionByName(tabs).join(fmt, "doc_id")
