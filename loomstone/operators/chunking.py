@@ -346,7 +346,7 @@ def adaptive_chunk(units: DataFrame) -> DataFrame:
     last = F.when(whole.isNull(), F.array()).when(F.col("takes"), F.array(grown)).otherwise(F.array(plain))
     flat = runs.select("doc_id", "doc_format", "split_above", F.explode_outer(F.concat(groups, last)).alias("c")).select("doc_id", "doc_format", "split_above", "c.*")
 
-    flat = split_text(flat, "text", F.when(F.col("_split"), F.col("split_above")).otherwise(F.lit(2**31 - 1)))
+    flat = split_text(flat.withColumn("_long", F.when(F.col("_split"), F.col("text")).otherwise("")), "_long", F.col("split_above"))
     pieces = F.when(F.col("_split"), F.col("parts")).otherwise(F.array("text"))
     flat = flat.withColumn("n_parts", F.size(pieces)).select("*", F.posexplode_outer(pieces).alias("_i", "_part"))
     header = context_header(F.col("section_path"), F.col("title"))
