@@ -41,7 +41,7 @@ def forward_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "
 
 
 def term_table(index: DataFrame, n_docs: int) -> DataFrame:
-    """(term, df, cf, idf, weight_idf); negative idfs are set to a share of the mean idf of all terms."""
+    """(term, df, cf, idf) of all terms."""
     df = (
         index.select(F.explode("counts").alias("c"))
         .groupBy(F.col("c.term").alias("term"))
@@ -53,8 +53,13 @@ def term_table(index: DataFrame, n_docs: int) -> DataFrame:
     return df
 
 
-def with_floor(terms: DataFrame, mean_idf: float) -> DataFrame:
-    floor = F.lit(EPSILON * mean_idf)
+def mean_idf(terms: DataFrame) -> float:
+    return float(terms.agg(F.avg("idf")).first()[0] or 0.0)
+
+
+def with_floor(terms: DataFrame, mean: float) -> DataFrame:
+    """Add ``weight_idf``: the idf, or a share of the mean idf of all terms where it is negative."""
+    floor = F.lit(EPSILON * mean)
     return terms.withColumn("weight_idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
 
 
@@ -67,8 +72,7 @@ def bm25_index(index: DataFrame) -> tuple[DataFrame, int, float]:
     """Term table with floored idf, number of chunks and mean chunk length of a forward index."""
     n_docs, avgdl = corpus_numbers(index)
     terms = term_table(index, n_docs)
-    mean_idf = float(terms.agg(F.avg("idf")).first()[0] or 0.0)
-    return with_floor(terms, mean_idf), n_docs, avgdl
+    return with_floor(terms, mean_idf(terms)), n_docs, avgdl
 
 
 def postings(index: DataFrame) -> DataFrame:

@@ -77,8 +77,8 @@ def lexical_index(spark, sf_dir):
     """Forward index, term table and mean length of the documents, written once per application."""
     index = staged(spark, "forward_index", sf_dir, lambda: lx.forward_index(chunks(spark, sf_dir)))
     n_docs, avgdl = lx.corpus_numbers(index)
-    terms = staged(spark, "term_table", sf_dir, lambda: lx.bm25_index(index)[0])
-    return index, terms, n_docs, avgdl
+    terms = staged(spark, "term_table", sf_dir, lambda: lx.term_table(index, n_docs))
+    return index, lx.with_floor(terms, lx.mean_idf(terms)), n_docs, avgdl
 
 
 def lexical_hits(spark, sf_dir, queries: DataFrame, k: int) -> DataFrame:
