@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import chat, lines, mixing
+from loomstone.llm import chat, divergence, lines, mixing, pivots
 from loomstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,14 @@ SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 SQL_STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
+# ---------------------------------------------------------------- 2: quality rules
+
+
+@query("op2_quality_rules")
+def _(spark, sf_dir):
+    return divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 # ---------------------------------------------------------------- 4: line dedup
 
 LINES_SQL = f"""
@@ -50,6 +58,22 @@ def _(spark, sf_dir):
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+# ---------------------------------------------------------------- 6: exact top-k search
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query("op6_exact_top_k", TOPK_SQL)
+def _(spark, sf_dir):
+    return pivots.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 # ---------------------------------------------------------------- 7: chat formatting
 
 SQL_ESCAPED = r"regexp_replace(body, '<(\\*)\|', '<\1\\|', 'g')"
