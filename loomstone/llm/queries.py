@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import chat, divergence, lines, mixing, pivots
+from loomstone.llm import chat, divergence, lines, mixing, pivots, toxicity
 from loomstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,22 @@ SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 SQL_STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
+def fold(doc_id, parts: int):
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+
+
+# ---------------------------------------------------------------- 1: toxicity
+
+
+@query("op1_toxicity")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # ---------------------------------------------------------------- 2: quality rules
 
 
