@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -126,16 +127,19 @@ def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(stem, pa.string()), pa.array(context, pa.int64()), pa.array(label, pa.int32())], ["stem", "context", "toxic"])
 
 
-def labelled_sample(labels: DataFrame, label: str, learn: Column, per_class: dict[int, int]) -> DataFrame:
-    """(doc_id, label) of at most ``per_class`` rows of each class, by hash of the id.
+def labelled_sample(labels: DataFrame, label: str, learn: Column, size: int | dict[int, int]) -> DataFrame:
+    """(doc_id, label) of at most ``size`` rows, or so many of each class, by hash of the id.
 
     Ids labelled twice count once, with the larger label; null ids and labels
     other than 0 and 1 teach nothing.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(f"doc_id IS NOT NULL AND {label} IN (0, 1)")
     known = known.where(learn).groupBy("doc_id").agg(F.max(label).alias(label))
-    parts = [known.where(F.col(label) == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in per_class.items()]
-    return stored(parts[0].unionByName(parts[1]), "sample")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    if isinstance(size, int):
+        return stored(known.orderBy(*order).limit(size), "sample")
+    parts = [known.where(F.col(label) == c).orderBy(*order).limit(n) for c, n in size.items()]
+    return stored(reduce(DataFrame.unionByName, parts), "sample")
 
 
 def learn_lexicon(texts: DataFrame, least_documents: int = 3, least_contexts: int = 5, least_ratio: float = 50.0, most: int = 2000) -> dict[str, float]:
