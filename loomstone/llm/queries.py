@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import chat, divergence, kernel, lines, mixing, pivots, toxicity
+from loomstone.llm import byte_bpe, chat, divergence, kernel, lines, mixing, pivots, toxicity
 from loomstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,24 @@ FROM rated"""
 @query("op8_source_mix", MIX_SQL)
 def _(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+# ---------------------------------------------------------------- 9: byte-level BPE
+
+
+def vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the pattern that cuts texts."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op9_byte_bpe")
+def _(spark, sf_dir):
+    done = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
