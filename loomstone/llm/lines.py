@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import SPACE, possible, stored, text_key, without
+from loomstone.llm.common import SPACE, stored, text_key, without
 
 BLANK = SPACE.encode()
 
@@ -172,16 +172,13 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     Every row stays. Null text is one empty line and comes back as an empty
     text; a null doc_id is an id like another; rows repeated whole count as one
     document and lose the same lines; other columns come through, n_lines and
-    n_dropped of the input are replaced. Texts of documents that surely lose
-    nothing stay out of the shuffle.
+    n_dropped of the input are replaced.
     """
     docs = without(docs, ["n_lines", "n_dropped"])
     columns = docs.columns
     bitmaps = stored(keep_bitmaps(docs, min_docs, min_chars, keep_first), "bitmaps")
     keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", text_key(F.col("text")))
-    keyed = possible(keyed, bitmaps.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), ["_id", "_th"])
     maps = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_text"), "keep")
-    met = keyed.where("_possible").join(maps, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_text")), "left").drop("_doc", "_text")
-    rest = keyed.where("NOT _possible").withColumn("keep", F.lit(None).cast("binary"))
-    done = met.unionByName(rest).withColumn("_new", kept_lines("text", "keep"))
+    met = keyed.join(maps, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_text")), "left")
+    done = met.withColumn("_new", kept_lines("text", "keep"))
     return done.select(*[F.col("_new.text").alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in columns], "_new.n_lines", "_new.n_dropped")

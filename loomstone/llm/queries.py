@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import byte_bpe, chat, divergence, kernel, lines, mixing, pivots, toxicity
+from loomstone.llm import byte_bpe, chat, chunks, divergence, kernel, lines, mixing, pivots, toxicity
 from loomstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,11 @@ def _(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+# ---------------------------------------------------------------- 10: substring dedup
+
+
+@query("op10_substring_dedup")
+def _(spark, sf_dir):
+    return chunks.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
