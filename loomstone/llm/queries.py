@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import byte_bpe, chat, chunks, divergence, kernel, lines, mixing, pivots, toxicity
+from loomstone.llm import byte_bpe, chat, chunks, divergence, kernel, lines, mixing, pivots, signature_tree, toxicity
 from loomstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,26 @@ def _(spark, sf_dir):
     return divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
+# ---------------------------------------------------------------- 3: n-gram Jaccard join
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM worded),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM shingled),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+          AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+FROM shingled s JOIN reach ON s.doc_id = reach.a GROUP BY s.doc_id, s.s"""
+
+
+@query("op3_ngram_jaccard_join", JACCARD_SQL)
+def _(spark, sf_dir):
+    return signature_tree.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
+
+
 # ---------------------------------------------------------------- 4: line dedup
 
 LINES_SQL = f"""
