@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import stored, text_key, without
+from loomstone.llm.common import packed, stored, text_key, unpacked, without
 
 WINDOW = 16  # bytes that decide whether a cut follows
 
@@ -225,16 +225,16 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     """
     docs = without(docs, ["n_spans", "dropped_bytes", "spans", "holders"])
     found = stored(repeated_spans(docs, **options), "spans")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", text_key(F.col("text")))
-    known = found.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_text"), "spans", "holders")
+    keyed = packed(docs).withColumn("_id", F.col("_row.doc_id").cast("long")).withColumn("_th", text_key(F.col("_row.text")))
+    known = found.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_text"), F.col("spans").alias("_spans"), F.col("holders").alias("_holders"))
     met = keyed.join(known, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_text")), "left")
     cut = F.udf(cut_spans, T.StringType(), useArrow=True)
-    done = met.withColumn("_new", cut("text", "spans"))
-    spans = F.coalesce("spans", F.array().cast(known.schema["spans"].dataType))
+    done = met.withColumn("_new", cut("_row.text", "_spans"))
+    spans = F.coalesce("_spans", F.array().cast(known.schema["_spans"].dataType))
     return done.select(
-        *[F.col("_new").alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *unpacked(docs.columns, text=F.col("_new")),
         F.size(spans).alias("n_spans"),
         F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("dropped_bytes"),
         spans.alias("spans"),
-        F.coalesce("holders", F.array().cast("array<long>")).alias("holders"),
+        F.coalesce("_holders", F.array().cast("array<long>")).alias("holders"),
     )

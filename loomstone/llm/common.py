@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: word rule, shared tables, name clashes, a bounded row filter, components."""
+"""What the operators of this subpackage share: word rule, shared tables, name clashes, components."""
 
 from __future__ import annotations
 
@@ -29,6 +29,16 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns in one struct ``_row``, so that names an operator works with cannot clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unpacked(columns: Iterable[str], **new: Column) -> list[Column]:
+    """The columns of ``_row`` again; those named in ``new`` (any case) with their new values."""
+    return [new[c.lower()].alias(c) if c.lower() in new else F.col(f"_row.`{c}`") for c in columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,22 +48,6 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def bucket(keys: list[Column], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets))
-
-
-def possible(df: DataFrame, wanted: DataFrame, keys: list[str], buckets: int = 1 << 18) -> DataFrame:
-    """Add ``_possible``: false only for rows whose keys are surely not in ``wanted``.
-
-    A one-hash filter: the key buckets that occur are broadcast, at most
-    ``buckets`` numbers whatever the size of either side. What it lets through
-    still needs the exact join; it only keeps texts out of that join's shuffle.
-    """
-    there = wanted.select(bucket([F.col(k) for k in keys], buckets).alias("_bucket")).distinct().withColumn("_possible", F.lit(True))
-    marked = df.withColumn("_bucket", bucket([F.col(k) for k in keys], buckets)).join(F.broadcast(there), "_bucket", "left")
-    return marked.drop("_bucket").withColumn("_possible", F.coalesce("_possible", F.lit(False)))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node reachable, for an undirected edge table (a, b) of longs.
 

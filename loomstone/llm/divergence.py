@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import SPACE, stored, without
+from loomstone.llm.common import SPACE, packed, stored, unpacked
 
 BLANK = SPACE.encode()
 SYMBOLS = b"#*$%&|<>"  # fixed value of the base rule
@@ -220,7 +220,6 @@ def judge(docs: DataFrame, refs: dict | None = None, char_limit: float = 0.25, w
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``judge`` keeps, by (doc_id, text), with the columns they came with."""
-    verdicts = judge(docs, **options)
-    good = stored(verdicts.where("kept").select(F.col("doc_id").alias("_doc")).distinct(), "kept")
-    return without(docs, ["_doc"]).join(good, docs["doc_id"].eqNullSafe(good["_doc"]), "left_semi")
+    """The documents of which a row of their id is kept by ``judge``, with the columns they came with."""
+    good = stored(judge(docs, **options).where("kept").select(F.col("doc_id").alias("_good")).distinct(), "kept")
+    return packed(docs).join(good, F.col("_row.doc_id").eqNullSafe(F.col("_good")), "left_semi").select(*unpacked(docs.columns))

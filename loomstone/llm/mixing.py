@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import WORD, stored, without
+from loomstone.llm.common import WORD, packed, stored, unpacked
 
 
 def word_count(text: Column) -> Column:
@@ -60,42 +60,40 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def with_copies(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix", keep_size: bool = False) -> DataFrame:
-    """Add source_size, target and ``copies`` (and ``size`` on request) to documents (doc_id, text, source, ...).
+def copies(rate: Column, doc_id: Column, seed: str) -> Column:
+    """Whole copies, and one more if the document's draw is below the rest of the rate."""
+    return (F.floor(rate) + (draw(doc_id, seed) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def source_rate() -> Column:
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+
+
+def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """The mix of documents (doc_id, text, source, ...): every row as often as its source's rate and its draw say.
 
     A source's rate is target / size; a document gets floor(rate) copies and
     one more if its draw is below the rest. Rows of one id draw alike, so
-    reruns and repeated rows agree; a source without words takes no copies.
-    Null texts count no words. Columns of these names in the input are replaced.
-    Targets are one small row per source; Spark broadcasts them only below its
-    own size limit.
+    reruns and repeated rows agree; a source without words takes no copies;
+    null texts count no words; a null source is a source. All columns come
+    through, whatever their names. Targets are one small row per source; Spark
+    broadcasts them only below its own size limit.
     """
-    docs = without(docs, ["size", "source_size", "target", "copies"])
-    sized = docs.select("source", word_count(F.col("text")).alias("size")) if not keep_size else docs.withColumn("size", word_count(F.col("text")))
-    targets = stored(source_targets(sized.select("source", "size"), weights, share, cap), "targets")
-    targets = targets.withColumnRenamed("source", "_source")
-    rows = sized if keep_size else docs
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return joined.withColumn("copies", (F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("long"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as ``with_copies`` says, with the columns it came with."""
-    columns = [f"`{c}`" for c in docs.columns]
-    many = with_copies(docs, **options).where("copies > 0")
-    return many.withColumn("_copy", F.explode(F.expr("array_repeat(0, CAST(copies AS INT))"))).select(*columns)
+    sizes = docs.select(F.col("source"), word_count(F.col("text")).alias("size"))
+    targets = stored(source_targets(sizes, **options), "targets")
+    joined = packed(docs).join(targets, F.col("_row.source").eqNullSafe(F.col("source")))
+    many = joined.withColumn("_copies", copies(source_rate(), F.col("_row.doc_id"), seed)).where("_copies > 0")
+    return many.withColumn("_copy", F.explode(F.expr("array_repeat(0, CAST(_copies AS INT))"))).select(*unpacked(docs.columns))
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
+def mixture(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words the mix takes of it, repeats counted).
 
-    Sizes are counted once and kept in the shared folder; only ids, sources and sizes move.
+    The figures of ``mix``, with the same cases. Sizes are counted once and kept
+    in the shared folder; only ids, sources and sizes move.
     """
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    targets = source_targets(sized.select("source", "size"), **{k: v for k, v in options.items() if k != "seed"})
-    targets = stored(targets, "targets").withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw(F.col("doc_id"), options.get("seed", "mix")) < rate - F.floor(rate)).cast("long")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
+    sized = stored(docs.select("doc_id", F.col("source").alias("_source"), word_count(F.col("text")).alias("size")), "sizes")
+    targets = stored(source_targets(sized.select(F.col("_source").alias("source"), "size"), **options), "targets")
+    joined = sized.join(targets, F.col("_source").eqNullSafe(F.col("source")))
+    taken = (copies(source_rate(), F.col("doc_id"), seed) * F.col("size")).cast("long")
+    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

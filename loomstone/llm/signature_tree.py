@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import components, stored
+from loomstone.llm.common import components, packed, stored, unpacked
 
 BITS = 2048  # width of the token bitmaps
 LEAF = 8  # sets under the lowest nodes
@@ -439,4 +439,4 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLO
     """
     found = near_duplicates(docs, size, percent, block)
     gone = stored(found.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return packed(docs).join(gone, F.col("_row.doc_id").cast("long") == F.col("_gone"), "left_anti").select(*unpacked(docs.columns))
