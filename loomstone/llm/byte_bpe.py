@@ -4,36 +4,40 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 ROUNDS = 64  # merges of a word in one recursive query; what is still open then starts the next query
 KNOWN = 400_000  # distinct words a task remembers before it starts afresh
 CHUNK = 4_000_000  # code points of texts taken together
-BATCH = 500_000  # bytes of new words in one recursive query
+BATCH = 1_000_000  # bytes of new words in one recursive query
 
-# Each round pairs a token with the one to its right, finds the pairs that merge, and contracts in every word the
-# leftmost pair of the smallest rank. A word without such a pair is closed and leaves the recursion.
+# A round unnests the tokens of every open word into rows of neighbours, joins them with the merge table, and contracts
+# the leftmost pair of the smallest rank. A word without such a pair is closed and leaves the recursion.
 MERGE = f"""
 WITH RECURSIVE step AS (
-  SELECT word, pos, tok, 0 AS round, open FROM start
+  SELECT word, toks, 0 AS round, true AS open FROM start
   UNION ALL (
-    WITH paired AS (
-      SELECT word, pos, tok, round, lead(tok) OVER own AS right_tok, lag(pos) OVER own AS left_pos
-      FROM step WHERE open AND round < {ROUNDS} WINDOW own AS (PARTITION BY word ORDER BY pos)),
-    ranked AS (SELECT p.*, m.merged FROM paired p LEFT JOIN merges m ON m.left_tok = p.tok AND m.right_tok = p.right_tok),
-    first AS (SELECT word, min(CAST(merged AS BIGINT) * 4294967296 + pos) AS best FROM ranked WHERE merged IS NOT NULL GROUP BY word)
-    SELECT r.word, r.pos, CASE WHEN r.pos = best % 4294967296 THEN r.merged ELSE r.tok END, r.round + 1, best IS NOT NULL
-    FROM ranked r LEFT JOIN first USING (word)
-    WHERE best IS NULL OR r.left_pos IS NULL OR r.left_pos <> best % 4294967296))
-SELECT word, pos, tok, open FROM step WHERE NOT open OR round = {ROUNDS}"""
+    WITH live AS (SELECT word, toks, round FROM step WHERE open AND round < {ROUNDS}),
+    neighbours AS (
+      SELECT word, unnest(toks[:-2]) AS left_tok, unnest(toks[2:]) AS right_tok, generate_subscripts(toks[2:], 1) AS pos FROM live),
+    first AS (
+      SELECT n.word, min(CAST(m.merged AS BIGINT) * 4294967296 + n.pos) AS best
+      FROM neighbours n JOIN merges m ON m.pair = CAST(n.left_tok AS BIGINT) * 4294967296 + n.right_tok GROUP BY n.word)
+    SELECT l.word, CASE WHEN best IS NULL THEN toks
+      ELSE list_concat(toks[:best % 4294967296 - 1], [CAST(best // 4294967296 AS INTEGER)], toks[best % 4294967296 + 2:]) END,
+      round + 1, best IS NOT NULL
+    FROM live l LEFT JOIN first f ON f.word = l.word))
+SELECT word, toks, open FROM step WHERE NOT open OR round = {ROUNDS}"""
 
 SPELL = """
-SELECT d.word, list(d.tok ORDER BY d.pos) AS ids, string_agg(v.spelling, '' ORDER BY d.pos) AS spelling
-FROM done d JOIN vocabulary v USING (tok) GROUP BY d.word"""
+WITH token AS (SELECT word, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM done)
+SELECT t.word, string_agg(v.spelling, '' ORDER BY t.pos) AS spelling
+FROM token t JOIN vocabulary v ON v.tok = t.tok GROUP BY t.word ORDER BY t.word"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,17 +56,15 @@ class Merger:
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute(f"SET memory_limit = '{memory_mb}MB'")
-        left, right, merged = [], [], []
+        pair, merged = [], []
         for token, rank in ranks.items():  # any two tokens that spell a third merge into it, with its rank
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    left.append(a)
-                    right.append(b)
+                    pair.append(a << 32 | b)
                     merged.append(rank)
-        ints = pa.int32()
-        self._table("merges", {"left_tok": pa.array(left, ints), "right_tok": pa.array(right, ints), "merged": pa.array(merged, ints)})
-        self._table("vocabulary", {"tok": pa.array(ranks.values(), ints), "spelling": pa.array([t.hex() for t in ranks], pa.string())})
+        self._table("merges", {"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())})
+        self._table("vocabulary", {"tok": pa.array(ranks.values(), pa.int32()), "spelling": pa.array([t.hex() for t in ranks], pa.string())})
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         if self.of_byte.min() < 0:
             raise ValueError("a byte-level vocabulary holds all 256 bytes")
@@ -72,62 +74,71 @@ class Merger:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
-        """Ids of every word and the bytes that the ids spell. A word of the vocabulary is its own token."""
-        tokens = [np.array([self.ranks[w]], np.int32) if w in self.ranks else self.of_byte[np.frombuffer(w, np.uint8)] for w in words]
-        sizes = [len(t) for t in tokens]
-        start = {
-            "word": pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)),
-            "pos": pa.array(np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])),
-            "tok": pa.array(np.concatenate(tokens)),
-            "open": pa.array(np.repeat(np.array(sizes) > 1, sizes)),
-        }
-        self._table("start", start)
-        self.db.execute("CREATE OR REPLACE TABLE done AS SELECT word, pos, tok FROM start WHERE false")
-        while True:
+    def encode(self, words: list[bytes]) -> tuple["Pieces", "Pieces"]:
+        """Ids of every word, and the bytes that the ids spell. A word of the vocabulary is its own token."""
+        whole = [(i, self.ranks[w]) for i, w in enumerate(words) if w in self.ranks]
+        skip = {i for i, _ in whole}
+        cut = [i for i in range(len(words)) if i not in skip]
+        tokens = self.of_byte[np.frombuffer(b"".join(words[i] for i in cut), np.uint8)]
+        ends = np.cumsum([0, *(len(words[i]) for i in cut)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))
+        self._table("start", {"word": pa.array(cut, pa.int32()), "toks": lists})
+        self._table("done", {"word": pa.array([i for i, _ in whole], pa.int32()), "toks": pa.array([[r] for _, r in whole], pa.list_(pa.int32()))})
+        while self.db.execute("SELECT count(*) FROM start").fetchall()[0][0]:
             self.db.execute(f"CREATE OR REPLACE TABLE reached AS {MERGE}")
-            self.db.execute("INSERT INTO done SELECT word, pos, tok FROM reached WHERE NOT open")
-            self.db.execute("CREATE OR REPLACE TABLE start AS SELECT * FROM reached WHERE open")
-            if not self.db.execute("SELECT count(*) FROM start").fetchall()[0][0]:
-                break
-        out: list = [None] * len(words)
-        spelled = self.db.sql(SPELL).to_arrow_table()
-        ids = spelled.column("ids").to_pylist()
-        for word, own, spelling in zip(spelled.column("word").to_pylist(), ids, spelled.column("spelling").to_pylist()):
-            out[word] = (own, bytes.fromhex(spelling))
-        return out
+            self.db.execute("INSERT INTO done SELECT word, toks FROM reached WHERE NOT open")
+            self.db.execute("CREATE OR REPLACE TABLE start AS SELECT word, toks FROM reached WHERE open")
+        found = self.db.sql("SELECT toks FROM done ORDER BY word").to_arrow_table().column("toks").combine_chunks()
+        return Pieces(found.flatten().to_numpy(), found.value_lengths().to_numpy()), self._spelled()
 
     def decode(self, rows: list[list[int]]) -> list[bytes]:
         """Bytes of every list of ids, by one ordered aggregation."""
-        sizes = [len(r) for r in rows]
-        self._table("done", {
-            "word": pa.array(np.repeat(np.arange(len(rows), dtype=np.int32), sizes)),
-            "pos": pa.array(np.concatenate([np.arange(n, dtype=np.int64) for n in sizes]) if rows else np.zeros(0, np.int64)),
-            "tok": pa.array(list(chain.from_iterable(rows)), pa.int32()),
-        })
-        out = [b""] * len(rows)
-        for word, _, spelling in self.db.execute(SPELL).fetchall():
-            out[word] = bytes.fromhex(spelling)
+        full = [i for i, r in enumerate(rows) if r]
+        self._table("done", {"word": pa.array(full, pa.int32()), "toks": pa.array([rows[i] for i in full], pa.list_(pa.int32()))})
+        spelled, out = self._spelled(), [b""] * len(rows)
+        for at, i in enumerate(full):
+            out[i] = spelled.take(np.array([at])).tobytes()
         return out
 
+    def _spelled(self) -> "Pieces":
+        text = self.db.sql(SPELL).to_arrow_table().column("spelling").cast(pa.large_string()).combine_chunks()
+        sizes = pc.binary_length(text).to_numpy() // 2
+        return Pieces(np.frombuffer(bytes.fromhex("".join(text.to_pylist())), np.uint8), sizes)
+
+
+class Pieces:
+    """Runs of values, one after the other in one array; words are numbers of runs."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        self.values, self.sizes = values, np.asarray(sizes, dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def take(self, words: np.ndarray) -> np.ndarray:
+        """The values of these runs in this order."""
+        sizes = self.sizes[words]
+        ends = np.cumsum(sizes)
+        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        return self.values[np.repeat(self.starts[words], sizes) + inside]
+
 
 def _encoded(ranks_of, pattern: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        cut, merger, known = regex.compile(pattern), Merger(ranks_of.value), {}
+        cut, merger = regex.compile(pattern), Merger(ranks_of.value)
+        nothing = Pieces(np.empty(0, np.int32), []), Pieces(np.empty(0, np.uint8), [])
+        known: dict[str, int] = {}
+        ids, spelled = nothing
 
         def learn(words: list[str]) -> None:
-            pile: list[str] = []
-            size = 0
-            for word in words:
-                pile.append(word)
-                size += 4 * len(word)
-                if size >= BATCH:
-                    known.update(zip(pile, merger.encode([w.encode("utf-8", "replace") for w in pile])))
-                    pile, size = [], 0
-            if pile:
-                known.update(zip(pile, merger.encode([w.encode("utf-8", "replace") for w in pile])))
+            nonlocal ids, spelled
+            found = [(ids, spelled)]
+            raw = [w.encode("utf-8", "replace") for w in words]
+            ends = np.cumsum([len(w) for w in raw]) // BATCH
+            for part in np.split(np.arange(len(raw)), np.nonzero(np.diff(ends))[0] + 1):
+                found.append(merger.encode([raw[i] for i in part]))
+            known.update(zip(words, range(len(known), len(known) + len(words))))
+            ids, spelled = (Pieces(np.concatenate([f[k].values for f in found]), np.concatenate([f[k].sizes for f in found])) for k in (0, 1))
 
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -138,17 +149,25 @@ def _encoded(ranks_of, pattern: str, keep: list[str]):
                     size += len(texts[end])
                     end += 1
                 words = [cut.findall(t) for t in texts[at:end]]
-                new = set().union(*words).difference(known)
-                if len(known) + len(new) > KNOWN and known:
-                    known.clear()
-                    new = set().union(*words)
-                learn(sorted(new))
-                found = [[known[w] for w in own] for own in words]
-                ids = [np.fromiter(chain.from_iterable(f[0] for f in own), np.int32) for own in found]
-                offsets = pa.array([0, *accumulate(len(i) for i in ids)], pa.int32())
-                rows = batch.slice(at, end - at)
-                decoded = pa.array([b"".join(f[1] for f in own) for own in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))), decoded], [*keep, "ids", "decoded"])
+                every = set().union(*words)
+                new = every.difference(known)
+                if known and len(known) + len(new) > KNOWN:
+                    known, new, (ids, spelled) = {}, every, nothing
+                if new:
+                    learn(sorted(new))
+                counts = np.array([len(w) for w in words])
+                flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+                row = np.repeat(np.arange(len(words)), counts)
+                columns = [batch.slice(at, end - at).column(c) for c in keep]
+                for pieces in (ids, spelled):
+                    sizes = np.bincount(row, weights=pieces.sizes[flat], minlength=len(words)).astype(np.int32)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    values = pieces.take(flat)
+                    if pieces is ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+                    else:
+                        columns.append(pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
                 at = end
 
     return run

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from loomstone.llm import byte_bpe
@@ -49,5 +50,8 @@ def test_empty_table_and_small_memory(spark, reference, monkeypatch):
     assert byte_bpe.encode(spark.createDataFrame([], "doc_id long, text string"), *vocabulary()).count() == 0
     merger = byte_bpe.Merger(byte_bpe.read_ranks(vocabulary()[0]))
     words = [b"z" * 300, b"hello", b" the", bytes(range(256))]
-    assert [ids for ids, _ in merger.encode(words)][:3] == [reference.encode_ordinary(w.decode()) for w in words[:3]]
-    assert [spelled for _, spelled in merger.encode(words)] == words == merger.decode([ids for ids, _ in merger.encode(words)])
+    ids, spelled = merger.encode(words)
+    one = lambda pieces, i: pieces.take(np.array([i]))
+    assert [one(ids, i).tolist() for i in range(3)] == [reference.encode_ordinary(w.decode()) for w in words[:3]]
+    assert [one(spelled, i).tobytes() for i in range(4)] == words == merger.decode([one(ids, i).tolist() for i in range(4)])
+    assert merger.decode([[], ids.take(np.array([1])).tolist()]) == [b"", b"hello"]
