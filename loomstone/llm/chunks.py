@@ -174,34 +174,47 @@ def repeated_spans(docs: DataFrame, bits: int = 4, least: int = 16, most: int =
     leads = (F.col("kind") == 1) & (F.coalesce("first_part", F.col("part")) == F.col("part")) & same[0] & same[1] & same[2]
     again = again.where(~F.coalesce(leads, F.lit(False)))
     again = again.withColumn("first_doc", F.when((F.col("kind") == 1) & (F.col("first_part") < F.col("part")), F.col("edge_doc")).otherwise(F.col("first_doc")))
-    # The chunks of one document meet here: bounded by its text. A row repeated whole gives the same chunks again.
-    own = again.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("chunks"))
-    return own.select("doc_id", "th", _runs(run_bytes)("chunks").alias("found")).where("found IS NOT NULL").select("doc_id", "th", "found.*")
+    place = ["doc_id", "th", "start"]
+    dealt = again.select(*place, "end", "first_doc").repartition("doc_id", "th").sortWithinPartitions(*place)
+    runs = dealt.mapInArrow(_runs(run_bytes), "doc_id long, th long, start int, end int, holders array<long>")
+    spans = F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")
+    holders = F.array_sort(F.array_distinct(F.flatten(F.collect_list("holders")))).alias("holders")
+    return runs.groupBy("doc_id", "th").agg(spans, holders)
 
 
-_SPAN = T.StructType().add("start", "integer").add("end", "integer")
-_FOUND = T.StructType().add("spans", T.ArrayType(_SPAN)).add("holders", T.ArrayType(T.LongType()))
+def _runs(run_bytes: int):
+    """Repeated chunks sorted by document and start -> the runs of neighbours that are long enough."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # rows of the run that the next batch may go on with: at most a document's
+
+        def runs_of(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            docs = table.column("doc_id").combine_chunks()
+            named, doc = docs.is_valid().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
+            th, start, end = (table.column(c).to_numpy() for c in ("th", "start", "end"))
+            fresh = np.ones(len(doc), bool)
+            same = (named[1:] == named[:-1]) & (doc[1:] == doc[:-1]) & (th[1:] == th[:-1])
+            fresh[1:] = ~(same & (start[1:] <= end[:-1]))  # a row repeated whole gives a chunk again
+            begins = np.nonzero(fresh)[0]
+            ends = np.append(begins[1:], len(doc))
+            left = table.slice(0, 0) if last else table.slice(begins[-1])
+            whole = len(begins) if last else len(begins) - 1
+            long = [i for i in range(whole) if end[ends[i] - 1] - start[begins[i]] >= run_bytes]
+            first = table.column("first_doc").combine_chunks()
+            holders = [sorted({d for d in first.slice(begins[i], ends[i] - begins[i]).to_pylist() if d is not None}) for i in long]
+            at = pa.array(begins[long] if long else [], pa.int64())
+            ending = pa.array(end[ends[long] - 1] if long else [], pa.int32())
+            return pa.RecordBatch.from_arrays([docs.take(at), pa.array(th).take(at), pa.array(start).take(at), ending, pa.array(holders, pa.list_(pa.int64()))], ["doc_id", "th", "start", "end", "holders"]), left
 
-def _runs(run_bytes: int):
-    @F.udf(_FOUND, useArrow=True)
-    def runs(chunks):
-        """Runs of neighbouring chunks that are long enough."""
-        spans, holders, start, end, docs = [], set(), None, None, set()
-        for c in [*chunks, None]:
-            if c is not None and start is not None and c["start"] <= end:
-                end = max(end, c["end"])
-            else:
-                if start is not None and end - start >= run_bytes:
-                    spans.append((start, end))
-                    holders |= docs
-                if c is None:
-                    break
-                start, end, docs = c["start"], c["end"], set()
-            docs.add(c["first_doc"])
-        return (spans, sorted(d for d in holders if d is not None)) if spans else None
-
-    return runs
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                found, rest = runs_of(pa.concat_tables([rest, table]) if rest is not None else table, False)
+                yield found
+        if rest is not None and rest.num_rows:
+            yield runs_of(rest, True)[0]
+
+    return run
 
 
 def cut_spans(text: str | None, spans) -> str | None:
