@@ -47,7 +47,7 @@ NUMBER = rf"(\d{{1,2}}:\d{{2}}|\d{{1,3}}(?:,\d{{3}})*(?:\.\d+)?(?:\s*(?:{UNITS})
 NO_INFO_PHRASES = ["찾을 수 없습니다", "확인할 수 없습니다", "확인되지 않", "포함되어 있지 않", "정보가 없", "찾을 수 없다"]
 COUNTED = "가지|개|단계|곳|명|항목|요소|축|영역"
 NUMERALS = ["한", "두", "세", "네", "다섯", "여섯", "일곱", "여덟", "아홉", "열"]
-BULLET = f"^(?:{tx.WS}|[•·\\-*0-9.)\\]\\[])+"
+BULLET = f"^(?:{tx.WS}|[•·\\-*\\p{{Nd}}.)\\]\\[])+"
 CITATION = r"\[([0-9]{1,3})\]"
 PERCENT_RUN = "@?(?:%[0-9A-Fa-f]{2}){3,}"
 MAX_ISSUES, MAX_NUMBER_ISSUES, STRONG_SCORE, STRONG_HITS, SHORT_ANSWER = 5, 2, 0.7, 3, 200
@@ -110,11 +110,11 @@ def text_blocks(content: Column) -> Column:
     return tx.let(F.try_parse_json(content), of)
 
 
-_VERDICT = "correct boolean, score_value double, reasoning string"
+_VERDICT = "correct boolean, score_value double, reasoning string, missing array<string>, extra array<string>"
 
 
 def tolerant_json(raw: Column) -> Column:
-    """(correct, score_value, reasoning, stage) of a verdict text.
+    """(correct, score_value, reasoning, stage, missing, extra) of a verdict text.
 
     Tried in turn: the text without its fence; what stands between its outer
     braces, line ends inside escaped; single fields by pattern; an error.
@@ -123,15 +123,18 @@ def tolerant_json(raw: Column) -> Column:
     def is_object(j: Column) -> Column:
         return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(j)), F.lit("OBJECT")), F.lit(False))
 
-    def result(correct: Column, score: Column, reason: Column, stage: str) -> Column:
+    none = F.array().cast("array<string>")
+
+    def result(correct: Column, score: Column, reason: Column, stage: str, missing: Column = none, extra: Column = none) -> Column:
         return F.struct(
             F.coalesce(correct, F.lit(False)).alias("correct"), F.coalesce(score, F.lit(0.0)).alias("score_value"),
             F.coalesce(reason, F.lit("")).alias("reasoning"), F.lit(stage).alias("stage"),
+            F.coalesce(missing, none).alias("missing"), F.coalesce(extra, none).alias("extra"),
         )
 
     def parsed(j: Column, stage: str) -> Column:
         v = F.from_json(j, _VERDICT)
-        return result(v["correct"], v["score_value"], v["reasoning"], stage)
+        return result(v["correct"], v["score_value"], v["reasoning"], stage, v["missing"], v["extra"])
 
     def of(s: Column) -> Column:
         inner = F.regexp_replace(F.regexp_extract(s, r"(?s)(\{.*\})", 1), r"(?<!\\)\n", r"\\n")
@@ -183,10 +186,15 @@ def hit_text(hits: DataFrame) -> DataFrame:
     return packed.select("query_id", text.alias("hit_text"), F.size("h").alias("n_hits"))
 
 
-def unsupported_numbers(answer: Column, packed: Column) -> Column:
-    """Issues for numbers of the answer that the hits do not hold, at most five."""
+def first_of(items: Column, n: int | None) -> Column:
+    """The first ``n`` elements; None leaves them all."""
+    return items if n is None else F.slice(items, 1, n)
+
+
+def unsupported_numbers(answer: Column, packed: Column, most: int | None = MAX_ISSUES) -> Column:
+    """Issues for numbers of the answer that the hits do not hold, the first ``most`` of them."""
     missing = F.filter(answer_numbers(answer), lambda n: ~F.contains(packed, n))
-    issues = F.transform(F.slice(missing, 1, MAX_ISSUES), lambda n: F.concat(F.lit("수치 '"), n, F.lit("' 검색 결과에 없음")))
+    issues = F.transform(first_of(missing, most), lambda n: F.concat(F.lit("수치 '"), n, F.lit("' 검색 결과에 없음")))
     usable = (F.coalesce(answer, F.lit("")) != "") & packed.isNotNull()
     return F.when(usable, issues).otherwise(F.array().cast("array<string>"))
 
@@ -218,8 +226,15 @@ def list_items(answer: Column) -> Column:
     return F.filter(rows, lambda x: F.length(x).between(2, 200))
 
 
-def list_consistency(question: Column, answer: Column, packed: Column) -> Column:
-    """Issues of a list answer: a wrong count, and items that the hits do not hold; at most five."""
+def list_consistency(
+    question: Column, answer: Column, packed: Column, checked: int | None = CHECKED_ITEMS, core_chars: int | None = CORE_CHARS, most: int | None = MAX_ISSUES
+) -> Column:
+    """Issues of a list answer: a wrong count, and items that the hits do not hold.
+
+    Reported are the first ``most`` issues among the first ``checked`` items; an
+    item counts as held if its first ``core_chars`` letters and digits are.
+    """
+    head = lambda text: text if core_chars is None else F.left(text, F.lit(core_chars))
     low = F.lower(packed)
 
     def issues(items: Column) -> Column:
@@ -230,14 +245,14 @@ def list_consistency(question: Column, answer: Column, packed: Column) -> Column
 
         def absent(item: Column) -> Column:
             bare = F.lower(tx.squeeze(item))
-            core = F.lower(F.left(F.regexp_replace(item, "[^가-힣a-zA-Z0-9]", ""), F.lit(CORE_CHARS)))
+            core = F.lower(head(F.regexp_replace(item, "[^가-힣a-zA-Z0-9]", "")))
             return (F.length(bare) >= 3) & ~F.contains(low, bare) & (F.length(core) >= 4) & ~F.contains(low, core)
 
         lost = F.transform(
-            F.filter(F.slice(items, 1, CHECKED_ITEMS), absent),
-            lambda x: F.concat(F.lit("list_n 항목 '"), F.left(x, F.lit(30)), F.lit("' 검색 결과에 없음 (환각 의심)")),
+            F.filter(first_of(items, checked), absent),
+            lambda x: F.concat(F.lit("list_n 항목 '"), head(x), F.lit("' 검색 결과에 없음 (환각 의심)")),
         )
-        return F.when(F.size(items) > 0, F.slice(F.concat(count, lost), 1, MAX_ISSUES)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(items) > 0, first_of(F.concat(count, lost), most)).otherwise(F.array().cast("array<string>"))
 
     return F.when(packed.isNotNull(), tx.let(list_items(answer), issues)).otherwise(F.array().cast("array<string>"))
 

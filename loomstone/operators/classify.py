@@ -45,14 +45,14 @@ FILE_WORDS = [
 
 
 def nearest_class_route(
-    queries: DataFrame, references: DataFrame, top1_min: float = TOP1_MIN, margin_min: float = MARGIN_MIN, skip_same: bool = False
+    queries: DataFrame, references: DataFrame, top1_min: float = TOP1_MIN, margin_min: float = MARGIN_MIN, skip_same: bool = False, ranked: int = RANKED
 ) -> DataFrame:
     """Class of the nearest reference per query, ``-1`` for unknown where it is too far or too close to the next class.
 
     Gives (query_id, top1_class, top1_score, top2_score, margin, decision, ranked).
     """
     scored = best_per_class(queries, references, skip_same=skip_same)
-    best = top_rows(scored, ["query_id"], [F.round("score", 9).desc(), F.col("class")], RANKED)
+    best = top_rows(scored, ["query_id"], [F.round("score", 9).desc(), F.col("class")], ranked)
     by_rank = F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "class", "score"))),
         lambda x: F.struct(x["class"].alias("class"), x["score"].alias("score")),
@@ -199,7 +199,7 @@ def _mentions(text: Column, words: Sequence[str]) -> Column:
     return found
 
 
-def route_postchecks_v2(turns: DataFrame) -> DataFrame:
+def route_postchecks_v2(turns: DataFrame, subs_kept: int | None = MAX_SUBS, resolved_chars: int | None = RESOLVED_CHARS) -> DataFrame:
     """Corrections of the second router on (query_id, text, verdict JSON, has_file).
 
     Gives routing_decision, question_type, resolved_query, sub_questions and the trace label.
@@ -212,7 +212,7 @@ def route_postchecks_v2(turns: DataFrame) -> DataFrame:
     given = F.coalesce(F.when(F.col("_v.routing_decision") != "", F.col("_v.routing_decision")), F.lit("single_retrieval"))
     kind = tx.strip(F.coalesce(F.when(F.col("_v.question_type") != "", F.col("_v.question_type")), F.lit("reasoning")))
     subs = F.filter(F.transform("_v.sub_questions", tx.strip), lambda s: s != "")
-    df = df.withColumn("_subs", F.coalesce(F.slice(subs, 1, MAX_SUBS), F.array().cast("array<string>")))
+    df = df.withColumn("_subs", F.coalesce(subs if subs_kept is None else F.slice(subs, 1, subs_kept), F.array().cast("array<string>")))
 
     no_file = ~F.col("has_file") & ~tx.contains_any(F.col("_q"), FILE_WORDS)
     rest = F.regexp_replace(tx.replace_all(F.col("_q"), GUIDE_TRIGGERS, " "), "[^가-힣A-Za-z0-9]", "")
@@ -227,7 +227,7 @@ def route_postchecks_v2(turns: DataFrame) -> DataFrame:
         .otherwise(d)
     )
     resolved = tx.strip(F.coalesce("_v.resolved_query", F.lit("")))
-    resolved = F.when((resolved == F.col("_q")) | (F.length(resolved) > RESOLVED_CHARS), F.lit("")).otherwise(resolved)
+    resolved = F.when((resolved == F.col("_q")) | (F.lit(False) if resolved_chars is None else F.length(resolved) > resolved_chars), F.lit("")).otherwise(resolved)
     kind = F.when(kind.isin(QUESTION_TYPES), kind).otherwise(F.lit("reasoning"))
     empty = F.col("_q") == ""
     label = F.concat(F.lit("router:"), decision, F.lit("/"), kind, F.when(resolved != "", F.lit("+resolved")).otherwise(F.lit("")))

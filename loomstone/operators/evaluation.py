@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ SWEEP = [(0.50, 0.30), (0.55, 0.30), (0.55, 0.35), (0.60, 0.35), (0.60, 0.40), (
 SETTINGS = [("baseline", 0.50, 0.30), ("medium", 0.55, 0.35), ("strict", 0.60, 0.40)]
 COVERAGES = ["full", "partial", "none"]
 WEAK_BELOW, LIST_ROWS, REVIEW_BELOW = 0.6, 20, 0.7
+UNGRADED = "라벨 UNKNOWN — 분모 제외"
 GRADE = (
     r"grade:(pass|all_irrelevant|exhausted_after_[0-9]+rewrites|no_docs)"
     r"(?:\(([0-9]+)rel/(?:([0-9]+)kept/)?([0-9]+)total,max=([0-9.]+),cov=(full|partial|none)\))?"
@@ -41,8 +41,10 @@ def exact_or_alt(answer: Column, gold: Column, alternatives: Column) -> Column:
 def score_answers(results: DataFrame, labels: DataFrame) -> DataFrame:
     """Score (id, answer, error, judge_correct, judge_score) against (id, gold, alternatives, answer_type).
 
-    Adds ``correct``, ``score_value`` and ``method``; the judge's columns count
-    only where no earlier rule decides, and a missing judge is an error.
+    Adds ``correct``, ``score_value``, ``method``, ``reasoning``, ``missing``,
+    ``extra`` and ``ground_truth``; the judge's columns (judge_reasoning,
+    judge_missing and judge_extra may be left out) count only where no earlier
+    rule decides, and a missing judge is an error.
     """
     known = labels.select("id", "gold", "alternatives", "answer_type", F.lit(True).alias("_label"))
     out = results.join(known, "id", "left")
@@ -61,7 +63,20 @@ def score_answers(results: DataFrame, labels: DataFrame) -> DataFrame:
     exact = F.col("method") == "exact"
     out = out.withColumn("correct", exact | (judged & F.coalesce("judge_correct", F.lit(False))))
     score = F.when(exact, 1.0).when(judged, F.coalesce("judge_score", F.lit(0.0))).otherwise(0.0)
-    return out.withColumn("score_value", score).drop("_label")
+    none = F.array().cast("array<string>")
+
+    def given(column: str, absent: Column) -> Column:
+        return F.when(judged, F.coalesce(F.col(column), absent)).otherwise(absent) if column in results.columns else absent
+
+    m = F.col("method")
+    reason = (
+        F.when(m == "system_error", F.concat(F.lit("시스템 오류: "), "error"))
+        .when(m == "skip_no_label", "라벨이 UNKNOWN/ERROR로 채점 불가")
+        .when(m == "exact", "exact match (or alternative)")
+        .otherwise(given("judge_reasoning", F.lit("")))
+    )
+    out = out.withColumn("score_value", score).withColumn("reasoning", reason).withColumn("ground_truth", F.col("gold"))
+    return out.withColumn("missing", given("judge_missing", none)).withColumn("extra", given("judge_extra", none)).drop("_label")
 
 
 def accuracy_summary(scored: DataFrame) -> DataFrame:
@@ -123,6 +138,7 @@ def apply_overrides(scored: DataFrame, fixes: DataFrame, unknown: DataFrame) ->
     out = out.join(unknown.select("id").distinct().withColumn("_unknown", F.lit(True)), "id", "left")
     turned = F.col("_fix").isNotNull() & ~F.col("correct")
     out = out.withColumn("relabeled", turned).withColumn("original_reasoning", F.when(turned, F.col("reasoning")))
+    out = out.withColumn("relabel_reason", F.when(turned, F.col("_fix"))).withColumn("ungraded_reason", F.when(F.col("_unknown"), F.lit(UNGRADED)))
     out = out.withColumn("reasoning", F.when(F.col("relabeled"), F.concat(F.lit("[RELABELED] "), "_fix")).otherwise(F.col("reasoning")))
     out = out.withColumn("score_value", F.when(F.col("relabeled"), F.lit(1.0)).otherwise(F.col("score_value")))
     out = out.withColumn("correct", F.col("correct") | F.col("relabeled"))
@@ -263,14 +279,29 @@ def recall_mrr(hits: DataFrame, gold: DataFrame, kinds: DataFrame, ks: Sequence[
 
 
 def _sign_test(wins: int, losses: int) -> float:
-    """Two-sided exact binomial p of a split into wins and losses, by log gamma so that no factorial overflows."""
+    """Two-sided exact binomial p of a split into wins and losses.
+
+    The lower tail P(X <= k) of n fair draws is the regularized incomplete beta
+    function at one half, I(n - k, k + 1), by its continued fraction: the work
+    does not grow with the counts.
+    """
     from math import exp, lgamma, log
 
     n, k = wins + losses, min(wins, losses)
-    if n == 0:
+    if wins == losses:
         return 1.0
-    terms = [exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * log(2.0)) for i in range(k + 1)]
-    return float(min(1.0, 2.0 * np.sum(terms)))
+    a, b, x = float(n - k), float(k + 1), 0.5
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a + b) * log(x)) / a
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0))
+    value = d
+    for m in range(1, 100_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + term * d)
+            c = 1.0 + term / c
+            value *= c * d
+        if abs(c * d - 1.0) < 1e-14:
+            break
+    return min(1.0, 2.0 * front * value)
 
 
 def paired_test(compared: DataFrame) -> DataFrame:

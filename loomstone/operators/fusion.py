@@ -152,9 +152,14 @@ def final_cut(hits: DataFrame, k: int = FINAL_K) -> DataFrame:
     return top_rows(hits.withColumnRenamed("rank", "old_rank"), ["query_id"], [F.col("old_rank")], k).drop("old_rank")
 
 
+def title_case(text: Column) -> Column:
+    """Every run of letters with its first letter upper and the rest lower, as in ``Slide_Subchunk``."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1), F.initcap), "")
+
+
 def hit_location(unit_type: Column, unit_index: Column, unit_title: Column, page_number: Column, chunk_index: Column) -> Column:
     """Where a hit stands: ``Slide 3 — title``, ``Page n`` or ``Chunk n``."""
-    head = F.concat(F.initcap(F.coalesce(unit_type, F.lit("page"))), F.lit(" "), unit_index.cast("string"))
+    head = F.concat(title_case(F.coalesce(unit_type, F.lit("page"))), F.lit(" "), unit_index.cast("string"))
     titled = F.when(F.coalesce(unit_title, F.lit("")) != "", F.concat(head, F.lit(" — "), unit_title)).otherwise(head)
     return (
         F.when(unit_index.isNotNull(), titled)

@@ -72,7 +72,12 @@ def write_version(df: DataFrame, base: str, version: int) -> str:
 # ---------------------------------------------------------------- keyed tables
 
 
-def valid_entries(entries: DataFrame) -> DataFrame:
+def capped(text: Column, chars: int | None) -> Column:
+    """First ``chars`` of a text; None leaves it whole."""
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
+def valid_entries(entries: DataFrame, snippet_chars: int | None = SNIPPET_CHARS) -> DataFrame:
     """Cache entries with an id, a question and an answer, texts trimmed and defaults set."""
 
     def clean(c: str) -> Column:
@@ -83,30 +88,40 @@ def valid_entries(entries: DataFrame) -> DataFrame:
 
     out = entries.select(
         clean("id").alias("id"), clean("question").alias("question"), clean("answer").alias("answer"), given("doc_id", "").alias("doc_id"),
-        F.left(given("snippet", ""), F.lit(SNIPPET_CHARS)).alias("snippet"), given("location", "").alias("location"), given("answer_type", "reasoning").alias("answer_type"),
+        capped(given("snippet", ""), snippet_chars).alias("snippet"), given("location", "").alias("location"), given("answer_type", "reasoning").alias("answer_type"),
     )
     return out.filter((F.col("id") != "") & (F.col("question") != "") & (F.col("answer") != ""))
 
 
 def upsert_by_id(table: DataFrame, entries: DataFrame) -> DataFrame:
-    """Table with the valid entries in place of rows with their ids; entry ids are unique."""
+    """Table with the valid entries in place of rows with their ids.
+
+    Of entries that share an id the greatest by (question, answer, doc_id,
+    snippet, location, answer_type) stays, so that an id is never held twice.
+    """
     fresh = valid_entries(entries)
+    rest = [c for c in fresh.columns if c != "id"]
+    fresh = fresh.groupBy("id").agg(F.max(F.struct("question", "answer", *[c for c in rest if c not in ("question", "answer")])).alias("f")).select("id", *[F.col(f"f.{c}") for c in rest])
     return table.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
 
-def insert_if_absent(table: DataFrame, rows: DataFrame) -> DataFrame:
+def insert_if_absent(table: DataFrame, rows: DataFrame, chars: int | None = SAMPLE_CHARS) -> DataFrame:
     """Table of (task, text, source, created_at) with the rows whose trimmed (task, text) it lacks, the earliest of equals."""
-    fresh = rows.withColumn("text", F.left(tx.strip(F.col("text")), F.lit(SAMPLE_CHARS))).filter((F.col("task") != "") & (F.col("text") != ""))
+    fresh = rows.withColumn("text", capped(tx.strip(F.col("text")), chars)).filter((F.col("task") != "") & (F.col("text") != ""))
     fresh = fresh.groupBy("task", "text").agg(F.min(F.struct("created_at", "source")).alias("f"))
     fresh = fresh.select("task", "text", "f.source", "f.created_at")
     return table.unionByName(fresh.join(table.select("task", "text"), ["task", "text"], "left_anti"))
 
 
 def reset_by_source(table: DataFrame, seeds: DataFrame, source: str = "seed") -> DataFrame:
-    """Table with all rows of one source replaced by the given ones; rows of other sources stay as they are."""
-    kept = table.filter(F.col("source") != source)
-    fresh = seeds.select("task", "text").distinct().join(kept.select("task", "text"), ["task", "text"], "left_anti")
-    return kept.select("task", "text", "source").unionByName(fresh.withColumn("source", F.lit(source)))
+    """Table of (task, text, source, created_at) with all rows of one source replaced by the seeds (task, text, created_at).
+
+    A (task, text) is held once: a seed takes the place of a row of another
+    source. Other rows of other sources stay; of equal seeds the latest counts.
+    """
+    fresh = seeds.groupBy("task", "text").agg(F.lit(source).alias("source"), F.max("created_at").alias("created_at"))
+    kept = table.filter(~F.col("source").eqNullSafe(source)).join(fresh.select("task", "text"), ["task", "text"], "left_anti")
+    return kept.select("task", "text", "source", "created_at").unionByName(fresh)
 
 
 def resume(done: DataFrame, todo: DataFrame, key: str = "id") -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions import text as tx
 from loomstone.plans.ordered import top_rows
 
 # Format buckets, pruned folders, name hints, version marks, limits.
@@ -110,20 +109,13 @@ def _listed(col: str, name: str) -> Column:
 
 def normalize_name(name: Column) -> Column:
     """File name without extension and without version marks, which are taken off until none is left."""
-    pattern = re.compile(VERSION_MARK, re.I)
-
-    @F.pandas_udf("string")
-    def bare(names: pd.Series) -> pd.Series:
-        def one(stem: str) -> str:
-            before = None
-            while before != stem:
-                before, stem = stem, pattern.sub("", stem).strip()
-            return re.sub(r"\s+", "", stem).lower()
-
-        unique = {n: one(n) for n in names.unique()}
-        return names.map(unique)
-
-    return bare(F.regexp_replace(name, r"(?s)^(\.*[^.].*?)\.[^.]*$", "$1"))
+    stem = F.regexp_replace(name, r"(?s)^(\.*[^.].*?)\.[^.]*$", "$1")
+    less = lambda s: tx.strip(F.regexp_replace(s, f"(?iuU){VERSION_MARK}", ""))
+    # A round that takes marks off shortens the name, so its length bounds the rounds; a name that stayed the same is done.
+    step = lambda s, _: F.when(s["now"] == s["before"], s).otherwise(F.struct(less(s["now"]).alias("now"), s["now"].alias("before")))
+    start = F.struct(less(stem).alias("now"), stem.alias("before"))
+    bare = F.aggregate(F.sequence(F.lit(0), F.length(stem)), start, step, lambda s: s["now"])
+    return F.lower(F.regexp_replace(bare, f"{tx.WS}+", ""))
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:

@@ -5,20 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.plans.blocks import CELLS, _keep_best, small_table
+from loomstone.plans.blocks import CELLS, Nearest, per_block
 
 # Fixed values of Okapi BM25: saturation, length weight, share of the mean idf given to negative idfs.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
-# Bound on the (query, term) weights sent to every task.
-WEIGHT_ROWS = 500_000
+QUERY_BLOCK = 1024  # queries whose term weights are sent to the tasks together
 _HIT = "query_id long, item_id long, score double"
 
 
@@ -91,24 +89,28 @@ def query_weights(queries: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def bm25_search(
-    queries: DataFrame,
-    index: DataFrame,
-    terms: DataFrame,
-    avgdl: float,
-    k: int,
-    weight_rows: int = WEIGHT_ROWS,
-) -> DataFrame:
+def index_numbers(index: DataFrame) -> DataFrame:
+    """One row (n, avgdl, mean_idf), to be kept beside an index so that no search counts it again."""
+    n_docs, avgdl = corpus_numbers(index)
+    mean = mean_idf(term_table(index, n_docs))
+    return index.sparkSession.createDataFrame([(n_docs, avgdl, mean)], "n long, avgdl double, mean_idf double")
+
+
+def bm25_search(queries: DataFrame, index: DataFrame, terms: DataFrame, avgdl: float, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Best ``k`` chunks per query with a positive score: (query_id, item_id, raw_score, score, rank).
 
-    ``score`` is the share of the query's best raw score.
+    ``score`` is the share of the query's best raw score. A block of queries
+    goes to the tasks as its term weights; every task meets the terms of its own
+    chunks with them and keeps ``k`` chunks per query.
     """
-    weights = query_weights(queries, terms)
-    sent = small_table(weights, weight_rows)
-    if sent is not None:
-        hits = _score_sent(queries.sparkSession, sent, index, avgdl, k)
-    else:
-        hits = _score_joined(weights, index, avgdl)
+    spark = queries.sparkSession
+
+    def search(weights: pa.Table) -> DataFrame:
+        if not weights.num_rows:
+            return spark.createDataFrame([], _HIT)
+        return _scored(index, spark.sparkContext.broadcast(_by_term(weights)), avgdl, k)
+
+    hits = per_block(query_weights(queries, terms), "query_id", query_block, search)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item_id")
     hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     best = F.max("score").over(Window.partitionBy("query_id"))
@@ -116,73 +118,59 @@ def bm25_search(
     return hits.select("query_id", "item_id", F.col("score").alias("raw_score"), (F.col("score") / F.col("best")).alias("score"), "rank")
 
 
-def _score_sent(spark, weights: pa.Table, index: DataFrame, avgdl: float, k: int) -> DataFrame:
-    """Every task multiplies its chunks' term weights with the query weights and keeps k per query."""
-    if weights.num_rows == 0:
-        return spark.createDataFrame([], _HIT)
+def _by_term(weights: pa.Table) -> dict:
+    """The weights of a block, term by term: the queries that hold it and what it weighs there."""
     term = weights["term"].combine_chunks().dictionary_encode()
-    q_ids, q_at = np.unique(weights["query_id"].to_numpy(), return_inverse=True)
-    sent = spark.sparkContext.broadcast(
-        {
-            "vocabulary": term.dictionary,
-            "term_at": term.indices.to_numpy(zero_copy_only=False),
-            "query_at": q_at,
-            "weight": weights["weight"].to_numpy(),
-            "query_ids": q_ids,
-        }
-    )
+    ids, at = np.unique(weights["query_id"].to_numpy(), return_inverse=True)
+    of_term = term.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(of_term, kind="stable")
+    held = np.bincount(of_term, minlength=len(term.dictionary))
+    return {"terms": term.dictionary, "ids": ids, "held": held, "starts": np.cumsum(held) - held, "query": at[order], "weight": weights["weight"].to_numpy()[order]}
+
 
+def _scored(index: DataFrame, sent, avgdl: float, k: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
-        n_q, n_v = len(w["query_ids"]), len(w["vocabulary"])
-        per_query = np.zeros((n_v, n_q))
-        np.add.at(per_query, (w["term_at"], w["query_at"]), w["weight"])
-        ids = best = None
+        best = Nearest(len(w["ids"]), k)
+        everyone = np.arange(len(w["ids"]))
         for batch in batches:
-            for c_ids, got in _batch_scores(batch, w["vocabulary"], per_query, avgdl):
-                dist = np.where(got.T == 0.0, np.inf, -got.T)
-                here = np.broadcast_to(c_ids[None, :], dist.shape)
-                if best is not None:
-                    dist, here = np.hstack([best, dist]), np.hstack([ids, here])
-                ids, best = _keep_best(here, dist, k)
-        if best is not None:
-            keep = np.isfinite(best)
-            frame = pd.DataFrame(
-                {
-                    "query_id": np.broadcast_to(w["query_ids"][:, None], ids.shape)[keep],
-                    "item_id": ids[keep],
-                    "score": -best[keep],
-                }
-            )
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+            for ids, got in _batch_scores(batch, w, avgdl):
+                best.add(everyone, ids, np.where(got.T == 0.0, np.inf, -got.T))
+        best.dist = -best.dist
+        yield best.batch(w["ids"], "score")
 
     return index.mapInArrow(score, _HIT)
 
 
-def _batch_scores(batch: pa.RecordBatch, vocabulary: pa.Array, per_query: np.ndarray, avgdl: float):
-    """Yield (chunk ids, chunks x queries scores) for slices of one Arrow batch."""
-    n_v, n_q = per_query.shape
-    step = max(1, CELLS // max(n_v, n_q))
-    for at in range(0, batch.num_rows, step):
-        part = batch.slice(at, step)
-        counts = part.column("counts")
-        flat = counts.flatten()
-        row = np.repeat(np.arange(part.num_rows), pc.list_value_length(counts).to_numpy(zero_copy_only=False).astype(np.int64))
-        col = pc.fill_null(pc.index_in(flat.field("term"), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-        tf = flat.field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
-        known = col >= 0
-        row, col, tf = row[known], col[known], tf[known]
-        dl = part.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)[row]
-        dense = np.zeros((part.num_rows, n_v))
-        dense[row, col] = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / avgdl))
-        yield part.column("item_id").to_numpy(zero_copy_only=False), dense @ per_query
-
-
-def _score_joined(weights: DataFrame, index: DataFrame, avgdl: float, salts: int = 32) -> DataFrame:
-    """The way for query sets beyond the bound: a term join, salted so that common terms spread."""
-    flat = index.select("item_id", "dl", F.explode("counts").alias("c")).select("item_id", "dl", "c.term", "c.tf")
-    flat = flat.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(salts)))
-    spread = weights.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    part = F.col("weight") * tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / F.lit(avgdl)))
-    return flat.join(spread, ["term", "salt"]).groupBy("query_id", "item_id").agg(F.sum(part).alias("score"))
+def _batch_scores(batch: pa.RecordBatch, w: dict, avgdl: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield (chunk ids, chunks x queries scores) for slices of one Arrow batch.
+
+    Only terms that both sides hold are touched: each meets the queries that
+    hold it, and the products are summed into the slice's matrix.
+    """
+    counts = batch.column("counts")
+    sizes = pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = counts.flatten()
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    term = pc.fill_null(pc.index_in(flat.field("term"), value_set=w["terms"]), -1).to_numpy(zero_copy_only=False)
+    tf = flat.field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
+    known = term >= 0
+    row, term, tf = row[known], term[known], tf[known]
+    dl = batch.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)[row]
+    part = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / avgdl))
+    n_q = len(w["ids"])
+    products = np.bincount(row, weights=w["held"][term], minlength=batch.num_rows)
+    before = np.concatenate([[0], np.cumsum(products)])
+    ids = batch.column("item_id").to_numpy(zero_copy_only=False)
+    lo = 0
+    while lo < batch.num_rows:
+        # So many chunks that neither their matrix nor their products pass the bound; one chunk at least.
+        hi = min(batch.num_rows, lo + max(1, CELLS // n_q), max(lo + 1, int(np.searchsorted(before, before[lo] + CELLS, side="right")) - 1))
+        a, b = np.searchsorted(row, [lo, hi])
+        held = w["held"][term[a:b]]
+        inside = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        at = np.repeat(w["starts"][term[a:b]], held) + inside
+        cell = (np.repeat(row[a:b], held) - lo) * n_q + w["query"][at]
+        got = np.bincount(cell, weights=np.repeat(part[a:b], held) * w["weight"][at], minlength=(hi - lo) * n_q)
+        yield ids[lo:hi], got.reshape(hi - lo, n_q)
+        lo = hi

@@ -17,17 +17,17 @@ from loomstone.plans.ordered import position_bucket, scan
 MD_HEADING = f"(?s)^(#{{1,3}}){tx.WS}+(.+)$"
 MARK_HEADING = f"(?s)^[■▶●◆]{tx.WS}*(.+)$"
 BRACKET_HEADING = r"^\[([^\]]+)\]$"
-NUMBER_HEADING = f"(?s)^([0-9]+)\\.{tx.WS}+(.+)$"
-PAGE_MARKER = f"(?is)^(?:[-–—]?{tx.WS}*[0-9]{{1,4}}|page(?:_|{tx.WS})*[0-9]+|p\\.?{tx.WS}*[0-9]+|©.*|slide{tx.WS}*[0-9]+)$"
+NUMBER_HEADING = f"(?s)^(\\p{{Nd}}+)\\.{tx.WS}+(.+)$"
+PAGE_MARKER = f"(?is)^(?:[-–—]?{tx.WS}*\\p{{Nd}}{{1,4}}|page(?:_|{tx.WS})*\\p{{Nd}}+|p\\.?{tx.WS}*\\p{{Nd}}+|©.*|slide{tx.WS}*\\p{{Nd}}+)$"
 SENTENCE_ENDS = ["다.", "요.", "음."]
 SUBTITLE_MARKS = "#-–—•* "
 SECTION_HEAD = (
-    f"^(?:PART{tx.WS}*[0-9]+|[0-9]{{1,2}}\\.{tx.WS}+{tx.NOT_WS}[^\n]{{0,28}}|[0-9]+-[0-9]+{tx.WS}+{tx.NOT_WS}[^\n]{{0,28}})$"
+    f"^(?:PART{tx.WS}*\\p{{Nd}}+|\\p{{Nd}}{{1,2}}\\.{tx.WS}+{tx.NOT_WS}[^\n]{{0,28}}|\\p{{Nd}}+-\\p{{Nd}}+{tx.WS}+{tx.NOT_WS}[^\n]{{0,28}})$"
 )
-PART_HEAD = f"^(PART{tx.WS}*[0-9]+)\\b"
-CID = r"\(cid:[0-9]+\)"
+PART_HEAD = f"^(PART{tx.WS}*\\p{{Nd}}+)\\b"
+CID = r"\(cid:\p{Nd}+\)"
 ODD_GLYPH = "[\ue000-\uf8ff\u3200-\u33ff\u3400-\u4dbf\u2e80-\u2fdf]"
-DIGIT_RUN = "[0-9]{6,}"
+DIGIT_RUN = r"\p{Nd}{6,}"
 GLUED_BULLET = f"[●○◆▪■□▶►]{tx.NOT_WS}"
 GLUED_CELL = "[가-힣][A-Z][a-z]{2,}"
 TITLE_CHARS, NUMBER_TITLE_CHARS, DOC_TITLE_CHARS, SUBTITLE_CHARS = 120, 50, 60, 60

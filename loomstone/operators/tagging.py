@@ -29,8 +29,12 @@ ENTITY_CHARS, ENTITY_COUNT = 50, 30
 SUMMARY_CHARS, KEY_TERMS, SNIPPET_CHARS, TOPIC_CHARS = 300, 10, 5000, 40
 
 
-def extract_entities(text: Column, keywords: Sequence[str] = KEYWORDS) -> Column:
-    """Dictionary words and pattern matches of a text: lower case, distinct, in order, at most thirty."""
+def extract_entities(text: Column, keywords: Sequence[str] = KEYWORDS, chars: int | None = ENTITY_CHARS, most: int | None = ENTITY_COUNT) -> Column:
+    """Dictionary words and pattern matches of a text: lower case, distinct, in order.
+
+    Matches longer than ``chars`` are left out and the first ``most`` are kept;
+    None lifts a limit. The default words name no people; pass your own.
+    """
     text = F.coalesce(text, F.lit(""))
     named = tx.let(
         F.lower(text),
@@ -38,8 +42,9 @@ def extract_entities(text: Column, keywords: Sequence[str] = KEYWORDS) -> Column
     )
     found = [F.regexp_extract_all(text, F.lit(p), 1) for p in ENTITY_PATTERNS.values()]
     clean = F.transform(F.concat(*found), lambda v: tx.strip(F.lower(tx.strip(v))))
-    clean = F.filter(clean, lambda v: (v != "") & (F.length(v) <= ENTITY_CHARS))
-    return F.slice(F.array_sort(F.array_distinct(F.concat(named, clean))), 1, ENTITY_COUNT)
+    clean = F.filter(clean, lambda v: (v != "") & (F.lit(True) if chars is None else F.length(v) <= chars))
+    every = F.array_sort(F.array_distinct(F.concat(named, clean)))
+    return every if most is None else F.slice(every, 1, most)
 
 
 def chunk_id(doc_id: Column, unit_index: Column, is_table: Column, table_index: Column, parent: Column, split_part: Column) -> Column:
@@ -106,15 +111,17 @@ def normalize_topic(raw: Column) -> Column:
     return F.when(F.coalesce(usable, F.lit(False)), name).otherwise(F.lit("general"))
 
 
-def parse_doc_summary(raw: Column) -> Column:
+def parse_doc_summary(raw: Column, chars: int | None = SUMMARY_CHARS, most: int | None = KEY_TERMS) -> Column:
     """(summary, key_terms) of a JSON verdict, fenced or not; empty where it cannot be read."""
     bare = F.regexp_replace(tx.strip(raw), f"^```(?:json)?{tx.WS}*", "")
     bare = F.regexp_replace(bare, f"{tx.WS}*```$", "")
     parsed = F.from_json(bare, "summary string, key_terms array<string>")
     terms = F.filter(F.transform(parsed["key_terms"], tx.strip), lambda t: t.isNotNull())
-    terms = F.slice(F.filter(terms, lambda t: t != ""), 1, KEY_TERMS)
+    terms = F.filter(terms, lambda t: t != "")
+    terms = terms if most is None else F.slice(terms, 1, most)
+    summary = tx.strip(parsed["summary"])
     return F.struct(
-        F.coalesce(F.left(tx.strip(parsed["summary"]), F.lit(SUMMARY_CHARS)), F.lit("")).alias("summary"),
+        F.coalesce(summary if chars is None else F.left(summary, F.lit(chars)), F.lit("")).alias("summary"),
         F.coalesce(terms, F.array().cast("array<string>")).alias("key_terms"),
     )
 

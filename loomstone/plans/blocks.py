@@ -1,48 +1,42 @@
 """Exact scoring of a query table against a corpus table, block by block.
 
-The corpus is never joined row by row with the queries. Each task scores its
-own corpus rows against a block of queries with one matrix product and passes
-on only the best ``k`` rows per query, so the shuffle holds at most
-tasks x queries x k rows. A query side that fits the checked bound is sent to
-the tasks as a broadcast; a larger one is cut into query blocks, and corpus
-and query blocks meet through an equi-join on (query block, corpus part).
+The corpus is never joined row by row with the queries, never copied and never
+shuffled. The queries are cut into blocks of about a fixed number of rows; each
+block is one broadcast of that size and one scan of the corpus, in which every
+task passes on only the best ``k`` rows per query. A small query set is one
+block; more queries are more blocks, with the same plan for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomstone.functions.vectors import block_distance
+from loomstone.session import written
 
-# Bounds of what is sent to every task.
-BROADCAST_ROWS = 4096
-BROADCAST_BYTES = 64 * 1024 * 1024
-QUERY_BLOCK = 4096
-CORPUS_PART = 100_000
-CELLS = 8_000_000
+QUERY_BLOCK = 4096  # queries of a block
+CELLS = 8_000_000  # numbers of a score matrix held at once
 
 
-def small_table(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> pa.Table | None:
-    """The rows on the driver if they keep to both bounds, else None; never reads past the bound."""
-    table = df.limit(rows + 1).toArrow()
-    return None if table.num_rows > rows or table.nbytes > size else table
+def query_blocks(queries: DataFrame, key: str, block: int) -> list[DataFrame]:
+    """The queries in blocks of about ``block`` keys, by hash of the key, each read from the shared folder."""
+    held = written(queries, "queries")
+    blocks = max(1, -(-held.select(key).distinct().count() // block))
+    return [held.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, width or 0))
+def per_block(queries: DataFrame, key: str, block: int, search: Callable[[pa.Table], DataFrame]) -> DataFrame:
+    """All blocks' results; ``search`` gets the rows of one block."""
+    return reduce(DataFrame.unionByName, [search(b.toArrow().combine_chunks()) for b in query_blocks(queries, key, block)])
 
 
-def _keep_best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def keep_best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row the ``k`` smallest distances; rows are queries. Ties go to the smaller id."""
     key = np.round(dist, 9)
     if key.shape[1] > 4 * k:
@@ -58,112 +52,51 @@ def _keep_best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.take_along_axis(ids, pick, 1), np.take_along_axis(dist, pick, 1)
 
 
-def _score_block(q: dict, c_ids, c_vec, c_group, metric: str, skip_same: bool) -> np.ndarray:
-    dist = block_distance(q["vec"], c_vec, metric)
-    if skip_same:
-        dist[q["id"][:, None] == c_ids[None, :]] = np.inf
-    if q["group"] is not None:
-        dist[q["group"][:, None] != c_group[None, :]] = np.inf
-    return dist
+class Nearest:
+    """The ``k`` nearest items so far of every query of a block."""
 
+    def __init__(self, n: int, k: int):
+        self.ids, self.dist, self.k = np.zeros((n, k), np.int64), np.full((n, k), np.inf), k
 
-def _rows(q_ids, ids, dist) -> pd.DataFrame:
-    keep = np.isfinite(dist)
-    return pd.DataFrame(
-        {
-            "query_id": np.broadcast_to(q_ids[:, None], ids.shape)[keep],
-            "item_id": ids[keep],
-            "distance": dist[keep],
-        }
-    )
+    def add(self, rows: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """dist: these queries x these items."""
+        both = np.hstack([self.ids[rows], np.broadcast_to(ids[None, :], dist.shape)])
+        self.ids[rows], self.dist[rows] = keep_best(both, np.hstack([self.dist[rows], dist]), self.k)
+
+    def batch(self, query_ids: np.ndarray, score: str = "distance") -> pa.RecordBatch:
+        keep = np.isfinite(self.dist)
+        columns = [np.broadcast_to(query_ids[:, None], keep.shape)[keep], self.ids[keep], self.dist[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "item_id", score])
 
 
 _HIT = "query_id long, item_id long, distance double"
 
 
-def _scan(q: dict, batches: Iterator[tuple], k: int, metric: str, skip_same: bool) -> Iterator[pd.DataFrame]:
-    """Best ``k`` per query over all batches of a task, in memory bounded by queries x k."""
-    best_ids = best = None
-    for c_ids, c_vec, c_group in batches:
-        step = max(1, CELLS // max(len(q["id"]), 1))
-        for at in range(0, len(c_ids), step):
-            part = slice(at, at + step)
-            dist = _score_block(q, c_ids[part], c_vec[part], None if c_group is None else c_group[part], metric, skip_same)
-            ids = np.broadcast_to(c_ids[part][None, :], dist.shape)
-            if best is not None:
-                dist, ids = np.hstack([best, dist]), np.hstack([best_ids, ids])
-            best_ids, best = _keep_best(ids, dist, k)
-    if best is not None:
-        yield _rows(q["id"], best_ids, best)
-
-
-def _unpack_queries(table: pa.Table, group: bool) -> dict:
-    return {
-        "id": table["query_id"].to_numpy(),
-        "vec": _matrix(table["vector"]),
-        "group": table["group"].to_numpy() if group else None,
-    }
-
-
-def _unpack_corpus(part, group: bool) -> tuple:
-    group_of = part.column("group").to_numpy(zero_copy_only=False) if group and isinstance(part, pa.RecordBatch) else None
-    if group and group_of is None:
-        group_of = part["group"].to_numpy()
-    ids = part.column("item_id")
-    ids = ids.to_numpy(zero_copy_only=False) if isinstance(part, pa.RecordBatch) else ids.to_numpy()
-    return ids, _matrix(part.column("vector")), group_of
-
-
-def _meet(
-    queries: DataFrame,
-    corpus: DataFrame,
-    kernel: Callable[[dict, Iterator[tuple]], Iterator[pd.DataFrame]],
-    schema: str,
-    query_group: bool,
-    corpus_group: bool,
-    broadcast_rows: int,
-    corpus_part: int,
-    query_block: int,
-) -> DataFrame:
-    """Run ``kernel`` on every pair of a query block and a corpus part, each part in one task."""
-    spark = queries.sparkSession
-    sent_table = small_table(queries, broadcast_rows)
-    if sent_table is not None:
-        if sent_table.num_rows == 0:
-            return spark.createDataFrame([], schema)
-        sent = spark.sparkContext.broadcast(_unpack_queries(sent_table, query_group))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unpacked = (_unpack_corpus(b, corpus_group) for b in batches if b.num_rows)
-            for frame in kernel(sent.value, unpacked):
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-        return corpus.mapInArrow(score, schema)
-
-    # Both sides in pieces: query blocks x corpus parts meet through an equi-join that Spark shuffles.
-    parts = max(1, -(-corpus.count() // corpus_part))
-    blocks = max(1, -(-queries.count() // query_block))
-    keys = ["_block", "_part"]
-    c = corpus.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
-    c = c.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    empty = spark.createDataFrame([], schema)
-    arrow_schema = pa.schema([(f.name, pa.float64() if f.dataType == T.DoubleType() else pa.int64()) for f in empty.schema])
-
-    def score_pair(q_table: pa.Table, c_table: pa.Table) -> pa.Table:
-        if not q_table.num_rows or not c_table.num_rows:
-            return arrow_schema.empty_table()
-        frames = list(kernel(_unpack_queries(q_table, query_group), iter([_unpack_corpus(c_table, corpus_group)])))
-        return pa.Table.from_pandas(pd.concat(frames), arrow_schema, preserve_index=False)
-
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(score_pair, schema)
+def _by_length(ids: np.ndarray, vectors: pa.Array, groups: np.ndarray | None) -> Iterator[tuple]:
+    """(row numbers, ids, matrix, groups) for every vector length that occurs."""
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        at = np.nonzero(lengths == n)[0]
+        matrix = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
+        yield at, ids[at], matrix, None if groups is None else groups[at]
+
+
+def _column(batch, name: str) -> np.ndarray:
+    column = batch.column(name)
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).to_numpy(zero_copy_only=False)
+
+
+def _unpacked(table: pa.Table, group: bool) -> dict:
+    """A block of queries by vector length."""
+    ids = _column(table, "query_id")
+    vectors = table.column("vector").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64()))
+    by_length = {m.shape[1]: (at, m, g) for at, _, m, g in _by_length(ids, vectors, _column(table, "group") if group else None)}
+    return {"ids": ids, "by_length": by_length}
 
 
 def _vectors(df: DataFrame, id_col: str, *more: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias(id_col), "vector", *[F.col(m).cast("long").alias(m) for m in more]).filter(
-        F.size("vector") > 0
-    )
+    rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col("vector").cast("array<double>").alias("vector"), *[F.col(m).cast("long").alias(m) for m in more])
+    return rows.filter(F.size("vector") > 0)
 
 
 def nearest(
@@ -173,72 +106,83 @@ def nearest(
     metric: str = "l2sq",
     skip_same: bool = False,
     group: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
-    corpus_part: int = CORPUS_PART,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Exact ``k`` nearest corpus rows per query: (query_id, item_id, distance, rank).
 
     ``queries`` is (query_id, vector[, group]) and ``corpus`` (item_id,
-    vector[, group]); ids and groups are longs. Null vectors take no part.
-    With ``group`` only rows of the query's own group are candidates. Order is
-    by distance rounded to nine digits, then by id.
+    vector[, group]); ids and groups are longs. Null vectors take no part, and
+    only vectors of one length meet. With ``group`` a query is scored against
+    the rows of its own group and no others. Order is by distance rounded to
+    nine digits, then by id.
     """
     more = ["group"] if group else []
-    hits = _meet(
-        _vectors(queries, "query_id", *more),
-        _vectors(corpus, "item_id", *more),
-        lambda q, batches: _scan(q, batches, k, metric, skip_same),
-        _HIT,
-        group,
-        group,
-        broadcast_rows,
-        corpus_part,
-        query_block,
-    )
+    items = _vectors(corpus, "item_id", *more)
+    spark = queries.sparkSession
+
+    def search(table: pa.Table) -> DataFrame:
+        sent = spark.sparkContext.broadcast(_unpacked(table, group))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = sent.value
+            best = Nearest(len(q["ids"]), k)
+            for batch in batches:
+                groups = _column(batch, "group") if group else None
+                for _, ids, matrix, of in _by_length(_column(batch, "item_id"), batch.column("vector"), groups):
+                    if matrix.shape[1] not in q["by_length"]:
+                        continue
+                    rows, wanted, wanted_of = q["by_length"][matrix.shape[1]]
+                    for g in np.intersect1d(wanted_of, of) if group else [None]:
+                        own = np.arange(len(rows)) if g is None else np.nonzero(wanted_of == g)[0]
+                        here = np.arange(len(ids)) if g is None else np.nonzero(of == g)[0]
+                        step = max(1, CELLS // max(1, len(own)))
+                        for at in range(0, len(here), step):
+                            part = here[at : at + step]
+                            dist = block_distance(wanted[own], matrix[part], metric)
+                            if skip_same:
+                                dist[q["ids"][rows[own]][:, None] == ids[part][None, :]] = np.inf
+                            best.add(rows[own], ids[part], dist)
+            yield best.batch(q["ids"])
+
+        return items.mapInArrow(scan, _HIT)
+
+    hits = per_block(_vectors(queries, "query_id", *more), "query_id", query_block, search)
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "item_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def best_per_class(
-    queries: DataFrame,
-    references: DataFrame,
-    skip_same: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
-    corpus_part: int = CORPUS_PART,
-    query_block: int = QUERY_BLOCK,
-) -> DataFrame:
+def best_per_class(queries: DataFrame, references: DataFrame, skip_same: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Highest cosine of each query to the references of each class: (query_id, class, score).
 
-    ``references`` is (item_id, vector, class) with long classes. Tasks pass on
-    one row per query and class.
+    ``references`` is (item_id, vector, class) with long classes. Vectors of
+    unequal length have cosine -1. Tasks pass on one row per query and class.
     """
+    items = _vectors(references, "item_id", "class")
+    spark = queries.sparkSession
 
-    def kernel(q: dict, batches: Iterator[tuple]) -> Iterator[pd.DataFrame]:
-        best: dict[int, np.ndarray] = {}
-        step = max(1, CELLS // max(len(q["id"]), 1))
-        for c_ids, c_vec, c_class in batches:
-            for at in range(0, len(c_ids), step):
-                part = slice(at, at + step)
-                dist = block_distance(q["vec"], c_vec[part], "cosine")
-                if skip_same:
-                    dist[q["id"][:, None] == c_ids[part][None, :]] = np.inf
-                for c in np.unique(c_class[part]):
-                    low = dist[:, c_class[part] == c].min(1)
-                    best[c] = np.minimum(best[c], low) if c in best else low
-        for c, low in best.items():
-            keep = np.isfinite(low)
-            yield pd.DataFrame({"query_id": q["id"][keep], "class": np.full(keep.sum(), c, np.int64), "score": -low[keep]})
-
-    scored = _meet(
-        _vectors(queries, "query_id"),
-        _vectors(references.withColumn("group", F.col("class")), "item_id", "group"),
-        kernel,
-        "query_id long, class long, score double",
-        False,
-        True,
-        broadcast_rows,
-        corpus_part,
-        query_block,
-    )
+    def search(table: pa.Table) -> DataFrame:
+        sent = spark.sparkContext.broadcast(_unpacked(table, False))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = sent.value
+            best: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for _, ids, matrix, of in _by_length(_column(batch, "item_id"), batch.column("vector"), _column(batch, "class")):
+                    for width, (rows, wanted, _) in q["by_length"].items():
+                        step = max(1, CELLS // max(1, len(rows)))
+                        for at in range(0, len(ids), step):
+                            part = slice(at, at + step)
+                            score = -block_distance(wanted, matrix[part], "cosine") if width == matrix.shape[1] else np.full((len(rows), len(ids[part])), -1.0)
+                            if skip_same:
+                                score[q["ids"][rows][:, None] == ids[part][None, :]] = -np.inf
+                            for c in np.unique(of[part]):
+                                high = best.setdefault(c, np.full(len(q["ids"]), -np.inf))
+                                high[rows] = np.maximum(high[rows], score[:, of[part] == c].max(1))
+            for c, high in best.items():
+                keep = np.isfinite(high)
+                yield pa.RecordBatch.from_arrays([pa.array(q["ids"][keep]), pa.array(np.full(keep.sum(), c, np.int64)), pa.array(high[keep])], ["query_id", "class", "score"])
+
+        return items.mapInArrow(scan, "query_id long, class long, score double")
+
+    scored = per_block(_vectors(queries, "query_id"), "query_id", query_block, search)
     return scored.groupBy("query_id", "class").agg(F.max("score").alias("score"))

@@ -1,16 +1,19 @@
-"""Spreading of inputs that arrive in too few pieces."""
+"""Spreading of inputs too small for the reader to split."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from loomstone.session import source_files
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores; an input with enough splits is left as it is.
 
-    One Parquet row group is one split, so a single file would keep heavy
-    per-row work on one core. At scale a table has far more splits than cores
-    and nothing is shuffled here.
+def spread(df: DataFrame, path: str, at_most: int = 128 << 20) -> DataFrame:
+    """Deal the rows of a table of at most ``at_most`` bytes out to all cores.
+
+    One Parquet row group is one split, so heavy per-row work on a small file
+    would keep to one core. What is shuffled for it never passes ``at_most``;
+    larger tables are left to the reader's split size.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if len(df.inputFiles()) * 2 < wanted else df
+    if sum(size for _, size, _ in source_files(df.sparkSession, path)) > at_most:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -54,19 +54,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_STAGED: dict[tuple[str, str, str], str] = {}
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lost executors cost a re-read of files."""
+    path, schema = fresh_path(df.sparkSession, name), df.schema
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def staged(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Write a table once per application and read it back.
+def source_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the files of a table, as its file system lists them."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    found, walk = [], fs.listFiles(top, True)
+    while walk.hasNext():
+        status = walk.next()
+        found.append((status.getPath().toString(), int(status.getLen()), int(status.getModificationTime())))
+    return sorted(found)
 
-    Several consumers then share one scan of the source, and a lost executor
-    costs a re-read of files, not a recomputation of the lineage.
+
+_STAGED: dict[tuple, str] = {}
+
+
+def staged(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """Write a table once per application and state of its sources, and read it back.
+
+    Several consumers then share one scan of the sources. ``sources`` are the
+    paths the table is made from; files that came, went or changed since make it
+    anew.
     """
-    app = spark.sparkContext.applicationId
-    slot = (app, name, key)
+    state = [source_files(spark, p) for p in sources]
+    slot = (spark.sparkContext.applicationId, name, hashlib.sha256(repr((sources, state)).encode()).hexdigest())
     if slot not in _STAGED:
-        path = f"{fresh_path(spark, name)}-{hashlib.sha1(key.encode()).hexdigest()[:8]}"
+        path = fresh_path(spark, name)
         build().write.mode("overwrite").parquet(path)
         _STAGED[slot] = path
     return spark.read.parquet(_STAGED[slot])

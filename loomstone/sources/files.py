@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.session import source_files
+
 # Suffixes taken in, formats, size limit, first bytes per suffix.
 SUFFIXES = [".txt", ".md", ".pdf", ".docx", ".xlsx", ".xlsm", ".pptx"]
 FORMATS = {
@@ -32,7 +34,9 @@ def scan_corpus(spark: SparkSession, root: str, suffixes: Sequence[str] = SUFFIX
     """Files below a folder with a wanted suffix: (path, file, suffix, size, modified[, content]).
 
     ``path`` is relative to the folder. Without content only the listing is
-    read. Hidden files are left out.
+    read. Hidden files (a leading dot) are left out. Spark's file sources also
+    pass over names that begin with an underscore, so such files must be renamed
+    on the way in; ``underscored`` tells which there are.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
@@ -45,6 +49,13 @@ def scan_corpus(spark: SparkSession, root: str, suffixes: Sequence[str] = SUFFIX
     return out.filter(F.col("suffix").isin(list(suffixes)) & ~F.startswith(name, F.lit(".")))
 
 
+def underscored(spark: SparkSession, root: str) -> list[str]:
+    """Files below a folder that ``scan_corpus`` cannot see because a part of their path begins with an underscore."""
+    base = root.rstrip("/").split("://")[-1]
+    inner = [(path, path.split(base + "/", 1)[-1]) for path, *_ in source_files(spark, root)]
+    return [path for path, rest in inner if any(part.startswith("_") for part in rest.split("/"))]
+
+
 def classify_format(ext: Column) -> Column:
     """Format of an extension, ``unknown`` if it has none."""
     out = F.lit("unknown")

@@ -28,7 +28,7 @@ SCHEMAS = {
 }
 
 # The header of a question list and what a full list holds; lengths in a log row.
-QUESTION_HEADER = f"(?s)^([A-P])\\.{tx.WS}+(.+?){tx.WS}*\\(([0-9]+)~([0-9]+)\\)$"
+QUESTION_HEADER = f"(?s)^([A-P])\\.{tx.WS}+(.+?){tx.WS}*\\((\\p{{Nd}}+)~(\\p{{Nd}}+)\\)$"
 QUESTION_COUNT, CATEGORIES = 250, "ABCDEFGHIJKLMNOP"
 LOG_CHARS, SNIPPET_CHARS = 2000, 500
 

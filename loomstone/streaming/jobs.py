@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomstone.session import source_files
+
 # Rate limit, state life. The watermark is ours.
 RATE_LIMIT, RATE_WINDOW = 10, "1 minute"
 WATERMARK = "10 minutes"
@@ -67,44 +69,56 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Ingest (path, content, modified) rows as they arrive into an append-only log of versions.
 
-    A micro-batch keeps the paths whose hash differs from their newest version.
-    Their chunks and their hashes go to folders of the batch's own, so a
-    repeated batch overwrites itself and no older data is rewritten. Only
-    paths and hashes of earlier batches are read again. ``chunker`` maps (path,
-    hash, content) to (path, hash, chunk_no, text).
+    The newest version of a path, by (modified, hash), counts whatever the order
+    of arrival: what arrives late and is older changes nothing. A row without
+    content deletes its path. A newer version with the hash already held keeps
+    its chunks. Chunks and states go to folders of the batch's own, so a
+    repeated batch overwrites itself and no older data is rewritten; of earlier
+    batches only the states (path, hash, modified, chunks_in) are read.
+    ``chunker`` maps (path, hash, content) to (path, hash, chunk_no, text).
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        hashed = batch.withColumn("hash", F.sha2("content", 256))
-        newest = hashed.groupBy("path").agg(F.max_by(F.struct("hash", "content"), F.struct("modified", "hash")).alias("f"))
-        fresh = newest.select("path", "f.hash", "f.content")
+        hashed = batch.withColumn("hash", F.sha2("content", 256)).withColumn("version", F.struct("modified", "hash"))
+        # Hashes decide before any content moves; then only new contents are met again.
+        newest = hashed.groupBy("path").agg(F.max("version").alias("version"))
         known = _log(spark, f"{log}/state", before=batch_id)
-        if known is not None:
-            current = known.groupBy("path").agg(F.max_by("hash", "batch").alias("hash"))
-            fresh = fresh.join(current, ["path", "hash"], "left_anti")
-        chunker(fresh).write.mode("overwrite").parquet(f"{log}/chunks/batch={batch_id}")
-        fresh.select("path", "hash").write.mode("overwrite").parquet(f"{log}/state/batch={batch_id}")
+        if known is None:
+            fresh = newest.withColumn("held", F.lit(None).cast("string")).withColumn("held_in", F.lit(None).cast("long"))
+        else:
+            current = _newest(known).select("path", F.struct("modified", "hash").alias("was"), F.col("hash").alias("held"), F.col("chunks_in").alias("held_in"))
+            fresh = newest.join(current, "path", "left").where(F.col("was").isNull() | (F.col("version") > F.col("was"))).drop("was")
+        same = F.col("version.hash").eqNullSafe(F.col("held")) & F.col("held").isNotNull()
+        state = fresh.select("path", "version.hash", "version.modified", F.when(same, F.col("held_in")).otherwise(F.lit(batch_id).cast("long")).alias("chunks_in"))
+        state.write.mode("overwrite").parquet(f"{log}/state/batch={batch_id}")
+        state = spark.read.schema(state.schema).parquet(f"{log}/state/batch={batch_id}")
+        wanted = state.where(F.col("hash").isNotNull() & (F.col("chunks_in") == batch_id)).select("path", "hash")
+        contents = hashed.where("content IS NOT NULL").join(wanted, ["path", "hash"], "left_semi").dropDuplicates(["path", "hash"])
+        chunker(contents.select("path", "hash", "content")).write.mode("overwrite").parquet(f"{log}/chunks/batch={batch_id}")
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _newest(states: DataFrame) -> DataFrame:
+    """The newest state of every path."""
+    rest = F.struct("hash", "modified", "chunks_in")
+    return states.groupBy("path").agg(F.max_by(rest, F.struct("modified", "hash", "batch")).alias("s")).select("path", "s.*")
+
+
 def _log(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """All batches of a log folder, or those before one; None while there is none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.option("basePath", path).parquet(path)
-    except AnalysisException:
+    if not any(name.endswith(".parquet") for name, *_ in source_files(spark, path)):
         return None
+    rows = spark.read.option("basePath", path).parquet(path)
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
 def current_chunks(spark: SparkSession, log: str) -> DataFrame:
-    """Chunks of the newest version of every path."""
-    newest = _log(spark, f"{log}/state").groupBy("path").agg(F.max("batch").alias("batch"))
-    return _log(spark, f"{log}/chunks").join(newest, ["path", "batch"], "left_semi")
+    """Chunks of the newest version of every path that is not deleted."""
+    held = _newest(_log(spark, f"{log}/state")).where("hash IS NOT NULL").select("path", F.col("chunks_in").alias("batch"))
+    return _log(spark, f"{log}/chunks").join(held, ["path", "batch"], "left_semi")
 
 
 # ---------------------------------------------------------------- thread state

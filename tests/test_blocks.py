@@ -1,4 +1,4 @@
-"""Block scoring: both ways of meeting give the same as brute force."""
+"""Block scoring gives the same as brute force, in one block or many."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -38,24 +38,24 @@ def collected(df):
     return out
 
 
-def test_nearest_both_ways(spark):
+def test_nearest_in_one_block_and_many(spark):
     v = vectors(60)
     q, c = frames(spark, v)
     for metric in ("l2sq", "cosine"):
         for group in (False, True):
             want = brute(v, 6, metric, group)
             assert collected(nearest(q, c, 6, metric, True, group)) == want
-            assert collected(nearest(q, c, 6, metric, True, group, broadcast_rows=4, corpus_part=13, query_block=9)) == want
+            assert collected(nearest(q, c, 6, metric, True, group, query_block=9)) == want
 
 
-def test_best_per_class_both_ways(spark):
+def test_best_per_class_in_one_block_and_many(spark):
     v = vectors(40)
     q, c = frames(spark, v)
     refs = c.withColumnRenamed("group", "class")
     n = v / np.linalg.norm(v, axis=1)[:, None]
     sim = n @ n.T
     want = {(i, k): max(sim[i, j] for j in range(40) if j % 3 == k and j != i) for i in range(40) for k in range(3)}
-    for limits in ({}, {"broadcast_rows": 3, "corpus_part": 11, "query_block": 7}):
+    for limits in ({}, {"query_block": 7}):
         got = {(r["query_id"], r["class"]): r["score"] for r in best_per_class(q, refs, True, **limits).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
@@ -70,6 +70,29 @@ def test_filtered_search_falls_back(spark):
     assert got == {i: (whole[i] if i < 10 else own[i]) for i in range(30)}
 
 
+def test_many_queries_in_blocks(spark):
+    """10,000 queries are five blocks: every one finds what a plain search finds, and the corpus is neither copied nor shuffled."""
+    rng = np.random.default_rng(8)
+    asked, items = rng.integers(-9, 10, (10_000, 4)).astype(float), rng.integers(-9, 10, (300, 4)).astype(float)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, vector array<double>")
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id long, vector array<double>")
+    found = nearest(q, c, 3, query_block=2048)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Cartesian" not in plan and plan.count("MapInArrow") >= 5
+    got = collected(found)
+    dist = ((asked[:, None] - items[None]) ** 2).sum(2)
+    want = np.lexsort((np.broadcast_to(np.arange(300), dist.shape), dist), axis=1)[:, :3]
+    assert len(got) == 10_000 and all(got[i] == want[i].tolist() for i in range(10_000))
+
+
+def test_vectors_of_unequal_length_never_meet(spark):
+    q = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0, 4.0, 5.0]), (3, [9.0] * 4)], "query_id long, vector array<double>")
+    c = spark.createDataFrame([(10, [1.0, 2.0, 3.0], 0), (11, [1.0, 2.0, 3.0, 4.0, 5.0], 1), (12, [4.0, 5.0], 1)], "item_id long, vector array<double>, class long")
+    assert collected(nearest(q, c, 5)) == {1: [10], 2: [11]}
+    got = {(r["query_id"], r["class"]): round(r["score"], 9) for r in best_per_class(q, c).collect()}
+    assert got == {(1, 0): 1.0, (1, 1): -1.0, (2, 0): -1.0, (2, 1): 1.0, (3, 0): -1.0, (3, 1): -1.0}
+
+
 TEXTS = ["the red fox", "the the dog dog dog", "", "a red red dog", "nothing here the", "fox fox the red", "... !!!"]
 
 
@@ -87,14 +110,14 @@ def okapi(texts, query, k1=1.5, b=0.75, eps=0.25):
     }
 
 
-def test_bm25_both_ways(spark):
+def test_bm25_in_one_block_and_many(spark):
     chunks = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "chunk_id long, content string")
     asked = {1: "red fox fox", 2: "the dog", 3: "unknown words"}
     queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
     index = lx.forward_index(chunks).cache()
     terms, n, avgdl = lx.bm25_index(index)
     assert n == 6
-    for limits in ({}, {"weight_rows": 1}):
+    for limits in ({}, {"query_block": 1}):
         got = lx.bm25_search(queries, index, terms, avgdl, 10, **limits).collect()
         for q, text in asked.items():
             want = {i: s for i, s in okapi(TEXTS, text).items() if s > 0}

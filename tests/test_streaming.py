@@ -23,8 +23,14 @@ def test_ingest_keeps_newest_and_skips_known(spark):
     assert run() == [("a", 0, "one"), ("a", 1, "two"), ("b", 0, "x")]
     arrive([("a", "one\ntwo", 2), ("b", "y", 2), ("c", "z", 1), ("c", "zz", 2)])
     assert run() == [("a", 0, "one"), ("a", 1, "two"), ("b", 0, "y"), ("c", 0, "zz")]
-    assert sorted(r["path"] for r in spark.read.parquet(base + "/log/state/batch=1").collect()) == ["b", "c"]
+    assert sorted(r["path"] for r in spark.read.parquet(base + "/log/chunks/batch=1").select("path").distinct().collect()) == ["b", "c"]
     assert run() == [("a", 0, "one"), ("a", 1, "two"), ("b", 0, "y"), ("c", 0, "zz")]
+    arrive([("b", "older", 1), ("a", "between", 1), ("c", None, 3)])  # late versions change nothing, a row without content deletes
+    assert run() == [("a", 0, "one"), ("a", 1, "two"), ("b", 0, "y")]
+    arrive([("c", "older than the delete", 2), ("b", "z", 4)])
+    assert run() == [("a", 0, "one"), ("a", 1, "two"), ("b", 0, "z")]
+    arrive([("c", "back", 5)])
+    assert run() == [("a", 0, "one"), ("a", 1, "two"), ("b", 0, "z"), ("c", 0, "back")]
 
 
 def test_thread_state_over_batches(spark):

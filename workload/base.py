@@ -35,8 +35,13 @@ HEAVY = ["documents", "pages", "conversations"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in HEAVY else df
+    path = source(sf_dir, name)
+    df = spark.read.parquet(path)
+    return spread(df, path) if name in HEAVY else df
+
+
+def source(sf_dir: str, name: str) -> str:
+    return f"{sf_dir}/{name}.parquet"
 
 
 def quoted(text: str) -> str:
@@ -75,10 +80,11 @@ def questions(spark, sf_dir) -> DataFrame:
 
 def lexical_index(spark, sf_dir):
     """Forward index, term table and mean length of the documents, written once per application."""
-    index = staged(spark, "forward_index", sf_dir, lambda: lx.forward_index(chunks(spark, sf_dir)))
-    n_docs, avgdl = lx.corpus_numbers(index)
-    terms = staged(spark, "term_table", sf_dir, lambda: lx.term_table(index, n_docs))
-    return index, lx.with_floor(terms, lx.mean_idf(terms)), n_docs, avgdl
+    of = [source(sf_dir, "documents")]
+    index = staged(spark, "forward_index", of, lambda: lx.forward_index(chunks(spark, sf_dir)))
+    numbers = staged(spark, "index_numbers", of, lambda: lx.index_numbers(index)).first()
+    terms = staged(spark, "term_table", of, lambda: lx.with_floor(lx.term_table(index, numbers["n"]), numbers["mean_idf"]))
+    return index, terms, numbers["n"], numbers["avgdl"]
 
 
 def lexical_hits(spark, sf_dir, queries: DataFrame, k: int) -> DataFrame:
@@ -126,7 +132,7 @@ def hits(spark, sf_dir) -> DataFrame:
         docs = chunks(spark, sf_dir).withColumnRenamed("chunk_id", "item_id")
         return found.join(docs, "item_id").withColumnRenamed("source", "doc_topic")
 
-    return staged(spark, "question_hits", sf_dir, build)
+    return staged(spark, "question_hits", [source(sf_dir, t) for t in ("documents", "benchmark")], build)
 
 
 HITS_SQL = f"""{INDEX_SQL}, {bm25_sql(QUESTIONS_SQL, HITS_K)},

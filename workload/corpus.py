@@ -9,7 +9,7 @@ from loomstone.operators import chunking as ck
 from loomstone.operators import sections as se
 from loomstone.operators import tagging as tg
 from loomstone.session import staged
-from workload.base import BREAK_SQL, WS_SQL, paragraphs_sql, query, quoted, squeeze_sql, strip_sql, table
+from workload.base import BREAK_SQL, WS_SQL, paragraphs_sql, query, quoted, source, squeeze_sql, strip_sql, table
 
 NL = "chr(10)"
 
@@ -97,7 +97,7 @@ def pages(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     rows = rows.withColumn("page", F.floor(F.col("n") / 4).cast("long"))
     head = (
-        F.when((F.col("n") % 12) == 0, F.concat((F.col("n") / 12 + 1).cast("int").cast("string"), F.lit(". "), F.left("line", F.lit(20))))
+        F.when((F.col("n") % 12) == 0, F.concat((F.col("n") / 12 + 1).cast("int").cast("string"), F.lit(". "), F.col("line")))
         .when((F.col("n") % 20) == 8, F.concat(F.lit("PART "), F.col("n").cast("string")))
         .otherwise(F.col("line"))
     )
@@ -107,7 +107,7 @@ def pages(spark, sf):
 
 PAGES = f"""
 pl AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, {NL}) AS a FROM documents)),
-pages_d AS (SELECT doc_id, n // 4 AS page, string_agg(CASE WHEN n % 12 = 0 THEN (n // 12 + 1) || '. ' || left(line, 20)
+pages_d AS (SELECT doc_id, n // 4 AS page, string_agg(CASE WHEN n % 12 = 0 THEN (n // 12 + 1) || '. ' || line
               WHEN n % 20 = 8 THEN 'PART ' || n ELSE line END, {NL} ORDER BY n) AS text FROM pl GROUP BY 1, 2)"""
 
 _pm = quoted(se.PAGE_MARKER)
@@ -136,24 +136,33 @@ def carry_section(spark, sf):
     return se.carry_section(pages(spark, sf)).select("doc_id", "page", "section")
 
 
-@query("carry_part", f"""WITH {PAGES}, h AS (SELECT doc_id, page, nullif(regexp_extract(left(text, 5) || {NL} || text, {quoted('(?m)' + se.PART_HEAD)}, 1), '') AS s FROM pages_d)
+@query("carry_part", f"""WITH {PAGES}, h AS (SELECT doc_id, page, nullif(regexp_extract(string_split(text, {NL})[1] || {NL} || text, {quoted('(?m)' + se.PART_HEAD)}, 1), '') AS s FROM pages_d)
 SELECT doc_id, page AS slide, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page), '') AS part FROM h""")
 def carry_part(spark, sf):
-    slides = pages(spark, sf).select("doc_id", F.col("page").alias("slide"), F.left("text", F.lit(5)).alias("title"), F.col("text").alias("body"))
+    slides = pages(spark, sf).select("doc_id", F.col("page").alias("slide"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
     return se.carry_part(slides).select("doc_id", "slide", "part")
 
 
 # ---------------------------------------------------------------- shapes: six lines a slide, the first its title, the fifth a table of its words
 
 
+def two_rows(line):
+    """All words of a line as a table of two rows."""
+    cells = F.split(line, " ")
+    half = F.floor((F.size(cells) + 1) / 2).cast("int")
+    return F.array(F.slice(cells, F.lit(1), half), F.slice(cells, half + 1, F.size(cells) - half))
+
+
+_two_rows = "[string_split(line, ' ')[1:(len(string_split(line, ' ')) + 1) // 2], string_split(line, ' ')[(len(string_split(line, ' ')) + 1) // 2 + 1:]]"
+
+
 def shapes(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     slide, at = F.floor(F.col("n") / 6) + 1, F.col("n") % 6
     kind = F.when(at == 0, "title").when(at == 4, "table").when(at == 5, "notes").otherwise("text")
-    cells = F.split(F.left("line", F.lit(60)), " ")
-    grid = F.array(F.slice(cells, 1, 2), F.slice(cells, 3, 3))
-    part = F.when(F.col("n") % 18 == 7, F.concat(F.lit("PART "), F.col("n").cast("string"), F.lit("\n"), F.left("line", F.lit(300)))).otherwise(F.left("line", F.lit(300)))
-    text = F.when(kind == "title", F.left("line", F.lit(30))).when(kind == "text", part).when(kind == "notes", F.left("line", F.lit(50)))
+    part = F.when(F.col("n") % 18 == 7, F.concat(F.lit("PART "), F.col("n").cast("string"), F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
+    text = F.when(kind.isin("title", "notes"), F.col("line")).when(kind == "text", part)
+    grid = two_rows(F.col("line"))
     return rows.select("doc_id", slide.cast("int").alias("slide"), F.col("n").alias("pos"), kind.alias("kind"), text.alias("text"), F.when(kind == "table", grid).alias("rows"))
 
 
@@ -176,8 +185,8 @@ SHAPES = f"""
 sl AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, {NL}) AS a FROM documents)),
 shp AS (SELECT doc_id, n // 6 + 1 AS slide, n AS pos,
           CASE n % 6 WHEN 0 THEN 'title' WHEN 4 THEN 'table' WHEN 5 THEN 'notes' ELSE 'text' END AS kind,
-          {strip_sql(f"CASE n % 6 WHEN 0 THEN left(line, 30) WHEN 5 THEN left(line, 50) WHEN 4 THEN '' ELSE CASE WHEN n % 18 = 7 THEN 'PART ' || n || {NL} || left(line, 300) ELSE left(line, 300) END END")} AS text,
-          [string_split(left(line, 60), ' ')[1:2], string_split(left(line, 60), ' ')[3:5]] AS grid FROM sl),
+          {strip_sql(f"CASE n % 6 WHEN 4 THEN '' ELSE CASE WHEN n % 18 = 7 THEN 'PART ' || n || {NL} || line ELSE line END END")} AS text,
+          {_two_rows} AS grid FROM sl),
 slides AS (SELECT doc_id, slide, coalesce(max(text) FILTER (kind = 'title'), '') AS title,
              coalesce(list(text ORDER BY pos) FILTER (kind = 'text' AND text <> ''), []) AS bodies,
              coalesce(max(text) FILTER (kind = 'notes'), '') AS notes,
@@ -226,14 +235,13 @@ def heading_items(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     n = F.col("pos")
     level = F.when(n % 7 == 0, 1).when(n % 5 == 3, 2).when(n % 11 == 4, 3).otherwise(0)
-    cells = F.split("text", " ")
-    grid = F.when(n % 9 == 2, F.array(F.slice(cells, 1, 3), F.slice(cells, 4, 2)))
+    grid = F.when(n % 9 == 2, two_rows(F.col("text")))
     return rows.select("doc_id", n.cast("long").alias("pos"), level.alias("level"), "text", grid.alias("rows"))
 
 
 @query("heading_sections", f"""WITH hl AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, {NL}) AS a FROM documents)),
 it AS (SELECT doc_id, n, n % 9 = 2 AS tab, CASE WHEN n % 7 = 0 THEN 1 WHEN n % 5 = 3 THEN 2 WHEN n % 11 = 4 THEN 3 ELSE 0 END AS level, {strip_sql('line')} AS text,
-         [string_split(line, ' ')[1:3], string_split(line, ' ')[4:5]] AS grid FROM hl),
+         {_two_rows} AS grid FROM hl),
 ik AS (SELECT * FROM (SELECT * REPLACE ({_kept} AS grid) FROM it) WHERE CASE WHEN tab THEN len(grid) > 0 ELSE text <> '' END),
 w AS (SELECT *, sum(CASE WHEN NOT tab AND level IN (1, 2) THEN 1 ELSE 0 END) OVER o AS brk, sum(CASE WHEN tab THEN 1 ELSE 0 END) OVER o AS table_no,
         coalesce(last_value(CASE WHEN NOT tab AND level = 1 THEN text END IGNORE NULLS) OVER o, '') AS h1,
@@ -467,7 +475,7 @@ def units(spark, sf):
 
     Written once, as an ingest would keep them: two branches of the scan read them.
     """
-    return staged(spark, "units", sf, lambda: _units(spark, sf))
+    return staged(spark, "units", [source(sf, t) for t in ("documents", "lineitem", "orders")], lambda: _units(spark, sf))
 
 
 def _units(spark, sf):
@@ -544,13 +552,13 @@ def adaptive_chunk(spark, sf):
 
 @query("inherit_context", f"""WITH {MARKED}, {LINES}, {MARKS}, {DOC_TITLE}, {SECTIONS},
 h AS (SELECT *, CASE WHEN {strip_sql('section_path')} = '' THEN {strip_sql('title')} WHEN {strip_sql('title')} = '' OR {strip_sql('title')} = {strip_sql('section_path')} THEN {strip_sql('section_path')}
-        ELSE {strip_sql('section_path')} || ' / ' || {strip_sql('title')} END AS header, right(text, 200) AS frag FROM sections)
+        ELSE {strip_sql('section_path')} || ' / ' || {strip_sql('title')} END AS header, text AS frag FROM sections)
 SELECT doc_id, unit_index, header, CASE WHEN header = '' OR contains(left(frag, length(header) + 120), header) OR {strip_sql(f"string_split(ltrim(frag, {WS_SQL}), {NL})[1]")} = header
   THEN frag ELSE header || {NL} || {NL} || frag END AS text FROM h""")
 def inherit_context(spark, sf):
     secs = se.text_sections(marked(spark, sf), "doc_id", "text")
     header = ck.context_header(F.col("section_path"), F.col("title"))
-    frag = F.right("text", F.lit(200))
+    frag = F.col("text")
     return secs.select("doc_id", "unit_index", header.alias("header"), ck.with_header(frag, header).alias("text"))
 
 
@@ -594,7 +602,7 @@ def chunk_ids(spark, sf):
     return tg.repeated_ids(tg.with_chunk_ids(line_chunks(spark, sf)))
 
 
-@query("tag_chunks", f"""WITH {MARKED}, {LINES}, {MARKS}, {DOC_TITLE}, {SECTIONS}, topics AS (SELECT doc_id, lang || '-' || source AS doc_topic, left(text, 40) AS doc_summary FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
+@query("tag_chunks", f"""WITH {MARKED}, {LINES}, {MARKS}, {DOC_TITLE}, {SECTIONS}, topics AS (SELECT doc_id, lang || '-' || source AS doc_topic, text AS doc_summary FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
 SELECT s.doc_id, 'file::' || s.doc_id || '::page_' || unit_index AS chunk_id, unit_index, CAST(length(text) AS INTEGER) AS char_count, CASE WHEN title <> '' THEN title ELSE CAST(s.doc_id AS VARCHAR) END AS display_title,
   array_to_string({entities_sql('text')}, ' | ') AS entities, coalesce(doc_topic, 'general') AS doc_topic, coalesce(doc_summary, '') AS doc_summary FROM sections s LEFT JOIN topics t ON t.doc_id = s.doc_id""")
 def tag_chunks(spark, sf):
@@ -602,7 +610,7 @@ def tag_chunks(spark, sf):
     secs = secs.withColumn("is_table", F.lit(False)).withColumn("split_part", F.lit(None).cast("string"))
     secs = secs.withColumn("table_index", F.lit(None).cast("int")).withColumn("parent_page_index", F.lit(None).cast("int"))
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels").filter("quality = 1"), "doc_id")
-    attrs = docs.select("doc_id", F.concat("lang", F.lit("-"), "source").alias("doc_topic"), F.left("text", F.lit(40)).alias("doc_summary"))
+    attrs = docs.select("doc_id", F.concat("lang", F.lit("-"), "source").alias("doc_topic"), F.col("text").alias("doc_summary"))
     out = tg.tag_chunks(secs, attrs)
     return out.select("doc_id", "chunk_id", "unit_index", "char_count", "display_title", F.array_join("entities", " | ").alias("entities"), "doc_topic", "doc_summary")
 
@@ -626,21 +634,21 @@ def doc_snippet(spark, sf):
     return tg.doc_snippet(secs.select(F.col("source").alias("doc_id"), pos.alias("pos"), "text"))
 
 
-@query("normalize_topic", f"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower({strip_sql(f"string_split({strip_sql('left(text, 45)')}, {NL})[1]")}), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), '_-') AS n FROM documents)
+@query("normalize_topic", f"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower({strip_sql(f"string_split({strip_sql('text')}, {NL})[1]")}), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), '_-') AS n FROM documents)
 SELECT doc_id, CASE WHEN n <> '' AND length(n) <= 40 THEN n ELSE 'general' END AS topic FROM t""")
 def normalize_topic(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tg.normalize_topic(F.left("text", F.lit(45))).alias("topic"))
+    return table(spark, sf, "documents").select("doc_id", tg.normalize_topic(F.col("text")).alias("topic"))
 
 
 def verdicts(spark, sf):
     """Summary verdicts as JSON text: fenced, bare or broken, by language."""
-    js = F.to_json(F.struct(F.left(F.col("text"), F.lit(400)).alias("summary"), F.slice(F.split(F.left("text", F.lit(200)), " "), 1, 14).alias("key_terms")))
+    js = F.to_json(F.struct(F.col("text").alias("summary"), F.split("text", " ").alias("key_terms")))
     raw = F.when(F.col("lang") == "en", F.concat(F.lit("```json\n"), js, F.lit("\n```"))).when(F.col("lang") == "de", js).otherwise(F.concat(F.lit("no "), js))
     return table(spark, sf, "documents").select("doc_id", "lang", "source", raw.alias("raw"))
 
 
-@query("parse_doc_summary", f"""WITH p AS (SELECT doc_id, lang IN ('en', 'de') AS good, left({strip_sql('left(text, 400)')}, 300) AS s,
-  list_filter(list_transform(string_split(left(text, 200), ' ')[1:14], lambda t: {strip_sql('t')}), lambda t: t <> '')[1:10] AS k FROM documents)
+@query("parse_doc_summary", f"""WITH p AS (SELECT doc_id, lang IN ('en', 'de') AS good, left({strip_sql('text')}, 300) AS s,
+  list_filter(list_transform(string_split(text, ' '), lambda t: {strip_sql('t')}), lambda t: t <> '')[1:10] AS k FROM documents)
 SELECT doc_id, CASE WHEN good THEN s ELSE '' END AS summary, CASE WHEN good THEN array_to_string(k, '|') ELSE '' END AS key_terms FROM p""")
 def parse_doc_summary(spark, sf):
     parsed = tg.parse_doc_summary(F.col("raw"))
@@ -648,10 +656,10 @@ def parse_doc_summary(spark, sf):
 
 
 @query("doc_catalog", f"""WITH f AS (SELECT source, arg_min(lang, doc_id) AS lang, arg_min(text, doc_id) AS text FROM documents GROUP BY source)
-SELECT source AS doc_id, '- [' || source || ']' || {NL} || '  요약: ' || {strip_sql('left(text, 80)')} || {NL} || '  관련 어휘: ' || lang AS entry FROM f WHERE lang <> 'de' AND {strip_sql('left(text, 80)')} <> ''""")
+SELECT source AS doc_id, '- [' || source || ']' || {NL} || '  요약: ' || {strip_sql('text')} || {NL} || '  관련 어휘: ' || lang AS entry FROM f WHERE lang <> 'de' AND {strip_sql('text')} <> ''""")
 def doc_catalog(spark, sf):
     docs = table(spark, sf, "documents").select(
-        F.col("source").alias("doc_id"), F.col("doc_id").alias("pos"), F.when(F.col("lang") != "de", F.left("text", F.lit(80))).alias("doc_summary"), F.col("lang").alias("key_terms"))
+        F.col("source").alias("doc_id"), F.col("doc_id").alias("pos"), F.when(F.col("lang") != "de", F.col("text")).alias("doc_summary"), F.col("lang").alias("key_terms"))
     return tg.doc_catalog(docs)
 
 

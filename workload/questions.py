@@ -226,13 +226,13 @@ def _kind(col):
 _KINDS_SQL = "[" + ", ".join(quoted(k) for k in KINDS) + "]"
 
 
-@query("plan_queries", f"""WITH q AS (SELECT item_id AS query_id, coalesce(nullif({_KINDS_SQL}[item_id % 7 + 1], ''), 'reasoning') AS question_type, {strip_sql("CASE WHEN item_id % 3 = 0 THEN left(text, 40) ELSE text END")} AS eff,
+@query("plan_queries", f"""WITH q AS (SELECT item_id AS query_id, coalesce(nullif({_KINDS_SQL}[item_id % 7 + 1], ''), 'reasoning') AS question_type, {strip_sql("CASE WHEN item_id % 3 = 0 THEN 'about ' || text ELSE text END")} AS eff,
   list_filter(list_transform(string_split(text, {NL}), lambda v: {strip_sql('v')}), lambda v: v <> '')[1:2] AS vs FROM benchmark),
 p AS (SELECT *, CASE WHEN question_type IN ('reasoning', 'comparison', 'list_n') THEN list_concat([eff], vs) ELSE [eff] END AS a FROM q)
 SELECT query_id, question_type, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS variant, unnest(a) AS query_text FROM p""")
 def plan_queries(spark, sf):
     q = questions(spark, sf).select(
-        "query_id", "text", F.when(F.col("query_id") % 3 == 0, F.left("text", F.lit(40))).otherwise("").alias("resolved_query"), _kind(F.col("query_id")).alias("question_type"),
+        "query_id", "text", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("about "), "text")).otherwise("").alias("resolved_query"), _kind(F.col("query_id")).alias("question_type"),
         F.split("text", "\n").alias("variants"))
     return fu.plan_queries(q)
 
@@ -324,8 +324,8 @@ def qa_cache_match(spark, sf):
 
 # Documents as questions and as cache entries.
 @query("qa_cache_apply", f"""WITH {CACHE_SQL},
-q AS (SELECT doc_id AS query_id, left(text, 60) AS text, CASE WHEN lang = 'en' THEN 'reasoning' ELSE 'list_n' END AS question_type, CASE WHEN lang = 'de' THEN [source] ELSE [] END AS subs FROM documents),
-c AS (SELECT doc_id AS item_id, CASE WHEN lang = 'fr' THEN source ELSE left(text, 60) END AS question, CASE WHEN lang = 'es' THEN '[1] ' || source ELSE source END AS answer, CASE WHEN lang = 'en' THEN '' ELSE source END AS cited, CASE WHEN lang = 'de' THEN 'numerical' ELSE '' END AS at2 FROM documents),
+q AS (SELECT doc_id AS query_id, text, CASE WHEN lang = 'en' THEN 'reasoning' ELSE 'list_n' END AS question_type, CASE WHEN lang = 'de' THEN [source] ELSE [] END AS subs FROM documents),
+c AS (SELECT doc_id AS item_id, CASE WHEN lang = 'fr' THEN source ELSE text END AS question, CASE WHEN lang = 'es' THEN '[1] ' || source ELSE source END AS answer, CASE WHEN lang = 'en' THEN '' ELSE source END AS cited, CASE WHEN lang = 'de' THEN 'numerical' ELSE '' END AS at2 FROM documents),
 j AS (SELECT q.*, coalesce(band, 'miss') AS band, score, question, answer, cited, at2, {strip_sql('text')} AS asked FROM q LEFT JOIN cm USING (query_id) LEFT JOIN c ON c.item_id = cm.item_id)
 SELECT query_id, CASE WHEN asked <> '' AND band = 'bypass' THEN CASE WHEN contains(answer, '[1]') THEN answer ELSE answer || ' [1]' END END AS answer,
   CASE WHEN asked <> '' AND band = 'bypass' THEN coalesce(nullif(cited, ''), 'qa_cache') END AS cited_doc,
@@ -335,7 +335,7 @@ SELECT query_id, CASE WHEN asked <> '' AND band = 'bypass' THEN CASE WHEN contai
   CASE WHEN asked <> '' AND band = 'bypass' THEN 'end' ELSE 'retrieve' END AS route FROM j""")
 def qa_cache_apply(spark, sf):
     d = table(spark, sf, "documents")
-    lang, src, t = F.col("lang"), F.col("source"), F.left("text", F.lit(60))
+    lang, src, t = F.col("lang"), F.col("source"), F.col("text")
     none = F.array().cast("array<string>")
     q = d.select(F.col("doc_id").alias("query_id"), t.alias("text"), F.when(lang == "en", "reasoning").otherwise("list_n").alias("question_type"), F.when(lang == "de", F.array(src)).otherwise(none).alias("sub_questions"))
     c = d.select(
@@ -367,13 +367,13 @@ def routed(spark, sf):
     c = table(spark, sf, "conversations").filter("role = 'user'")
     n = (F.col("conv_id") + F.col("turn")) % 7
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (n + 1).cast("int"))
-    text = F.concat(phrase, F.left("text", F.when(F.col("conv_id") % 2 == 0, 8).otherwise(40).cast("int")))
+    text = F.concat(phrase, F.when(F.col("conv_id") % 2 == 0, "").otherwise(F.col("text")))
     tasks = F.array(*[F.lit(t) for t in ("unknown", "knowledge_search", "file_chat", "chat", "injection", "")])
     task = F.element_at(tasks, ((F.col("conv_id") * 3 + F.col("turn")) % 6 + 1).cast("int"))
     return c.select("conv_id", "turn", text.alias("text"), task.alias("task"), (F.col("conv_id") % 3 == 0).alias("has_file"))
 
 
-ROUTED = f"""rt AS (SELECT conv_id, turn, [{', '.join(quoted(p) for p in PHRASES)}][(conv_id + turn) % 7 + 1] || left(text, CASE WHEN conv_id % 2 = 0 THEN 8 ELSE 40 END) AS text,
+ROUTED = f"""rt AS (SELECT conv_id, turn, [{', '.join(quoted(p) for p in PHRASES)}][(conv_id + turn) % 7 + 1] || CASE WHEN conv_id % 2 = 0 THEN '' ELSE text END AS text,
   ['unknown', 'knowledge_search', 'file_chat', 'chat', 'injection', ''][(conv_id * 3 + turn) % 6 + 1] AS task, conv_id % 3 = 0 AS has_file FROM conversations WHERE role = 'user')"""
 
 
@@ -389,7 +389,8 @@ def unknown_fallback(spark, sf):
 
 
 @query("route_postchecks_v1", f"""WITH {ROUTED}, l AS (SELECT *, lag(task) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM rt),
-a AS (SELECT *, CASE WHEN task IN ('unknown', 'knowledge_search') AND prev IN ('knowledge_search', 'detail_search') AND {any_sql('text', cl.DETAIL_HINTS)} THEN 'detail_search' ELSE task END AS s FROM l),
+t AS (SELECT * REPLACE (CASE WHEN {strip_sql('text')} = '' THEN 'knowledge_search' ELSE task END AS task) FROM l),
+a AS (SELECT *, CASE WHEN task IN ('unknown', 'knowledge_search') AND prev IN ('knowledge_search', 'detail_search') AND {any_sql('text', cl.DETAIL_HINTS)} THEN 'detail_search' ELSE task END AS s FROM t),
 b AS (SELECT *, CASE WHEN s = 'unknown' AND has_file THEN 'file_chat' ELSE s END AS s2 FROM a) SELECT conv_id, turn, CASE WHEN s2 = 'file_chat' AND NOT has_file THEN 'clarification' ELSE s2 END AS route FROM b""")
 def route_postchecks_v1(spark, sf):
     from loomstone.plans.ordered import position_bucket, scan
@@ -403,7 +404,7 @@ _DEC = ["no_retrieval", "single_retrieval", "multi_hop_retrieval", "ai_guide", "
 
 
 @query("route_postchecks_v2", f"""WITH {ROUTED}, v AS (SELECT *, {strip_sql('text')} AS q, [{', '.join(quoted(d) for d in _DEC)}][(conv_id + turn // 2) % 6 + 1] AS d, coalesce(nullif({_KINDS_SQL}[conv_id % 7 + 1], ''), 'reasoning') AS k,
-  CASE WHEN conv_id % 4 = 0 THEN list_filter([{strip_sql('left(text, 5)')}, {strip_sql('right(text, 6)')}], lambda s: s <> '') ELSE [] END AS subs, {strip_sql("CASE WHEN conv_id % 5 = 0 THEN text WHEN conv_id % 5 = 1 THEN 'about ' || text ELSE '' END")} AS res FROM rt),
+  CASE WHEN conv_id % 4 = 0 THEN list_filter(list_transform(string_split(text, ' '), lambda s: {strip_sql('s')}), lambda s: s <> '')[1:5] ELSE [] END AS subs, {strip_sql("CASE WHEN conv_id % 5 = 0 THEN text WHEN conv_id % 5 = 1 THEN 'about ' || text ELSE '' END")} AS res FROM rt),
 w AS (SELECT *, length(regexp_replace({'replace(' * len(cl.GUIDE_TRIGGERS)}q{''.join(f", {quoted(g)}, ' ')" for g in cl.GUIDE_TRIGGERS)}, '[^가-힣A-Za-z0-9]', '', 'g')) AS rest FROM v),
 x AS (SELECT *, CASE WHEN d = 'rejected' THEN 'single_retrieval' WHEN d = 'file_chat' AND NOT has_file AND NOT {any_sql('q', cl.FILE_WORDS)} THEN 'single_retrieval'
    WHEN d = 'ai_guide' AND NOT {any_sql('q', cl.SELF_REFERENCES, False)} AND rest > 6 THEN 'single_retrieval' WHEN d = 'multi_hop_retrieval' AND len(subs) = 0 THEN 'single_retrieval' ELSE d END AS dec,
@@ -414,7 +415,7 @@ def route_postchecks_v2(spark, sf):
     t, c = F.col("text"), F.col("conv_id")
     dec = F.element_at(F.array(*[F.lit(d) for d in _DEC]), ((c + F.floor(F.col("turn") / 2)) % 6 + 1).cast("int"))
     res = F.when(c % 5 == 0, t).when(c % 5 == 1, F.concat(F.lit("about "), t)).otherwise("")
-    subs = F.when(c % 4 == 0, F.array(F.left(t, F.lit(5)), F.right(t, F.lit(6)))).otherwise(F.array().cast("array<string>"))
+    subs = F.when(c % 4 == 0, F.split(t, " ")).otherwise(F.array().cast("array<string>"))
     verdict = F.to_json(F.struct(dec.alias("routing_decision"), _kind(c).alias("question_type"), res.alias("resolved_query"), subs.alias("sub_questions")))
     rows = routed(spark, sf).select((c * 1000 + F.col("turn")).alias("query_id"), "text", verdict.alias("verdict"), "has_file")
     return cl.route_postchecks_v2(rows).withColumn("sub_questions", F.array_join("sub_questions", "|"))
@@ -491,16 +492,17 @@ def text_blocks(spark, sf):
 
 
 @query("tolerant_json", f"""SELECT conv_id, turn, CASE turn % 5 WHEN 4 THEN false ELSE conv_id % 2 = 0 END AS correct, CASE turn % 5 WHEN 4 THEN 0e0 ELSE round(length(text) / 1000e0, 3) END AS score_value,
-  CASE turn % 5 WHEN 4 THEN 'judge JSON parse failed' WHEN 3 THEN 'cut' ELSE 'a' || CASE turn % 5 WHEN 2 THEN {NL} ELSE ' ' END || 'b' END AS reasoning, CASE turn % 5 WHEN 0 THEN 'whole' WHEN 1 THEN 'whole' WHEN 2 THEN 'braces' WHEN 3 THEN 'fields' ELSE 'error' END AS stage FROM conversations""")
+  CASE turn % 5 WHEN 4 THEN 'judge JSON parse failed' WHEN 3 THEN 'cut' ELSE 'a' || CASE turn % 5 WHEN 2 THEN {NL} ELSE ' ' END || 'b' END AS reasoning, CASE turn % 5 WHEN 0 THEN 'whole' WHEN 1 THEN 'whole' WHEN 2 THEN 'braces' WHEN 3 THEN 'fields' ELSE 'error' END AS stage,
+  CASE WHEN turn % 5 < 3 THEN 'x|y' ELSE '' END AS missing, '' AS extra FROM conversations""")
 def tolerant_json(spark, sf):
     n = F.col("turn") % 5
     ok, score = (F.col("conv_id") % 2 == 0).cast("string"), F.format_string("%.3f", F.length("text") / 1000)
-    body = lambda sep: F.concat(F.lit('{"correct": '), ok, F.lit(', "score_value": '), score, F.lit(f', "reasoning": "a{sep}b"}}'))
+    body = lambda sep: F.concat(F.lit('{"correct": '), ok, F.lit(', "score_value": '), score, F.lit(f', "missing": ["x", "y"], "reasoning": "a{sep}b"}}'))
     raw = (
         F.when(n == 0, body(" ")).when(n == 1, F.concat(F.lit("```json\n"), body(" "), F.lit("\n```"))).when(n == 2, F.concat(F.lit("The verdict: "), body("\n"), F.lit(" ok")))
         .when(n == 3, F.concat(F.lit('{"correct": '), ok, F.lit(', "score_value": '), score, F.lit(', "reasoning": "cut'))).otherwise(F.lit("no verdict"))
     )
-    return table(spark, sf, "conversations").select("conv_id", "turn", an.tolerant_json(raw).alias("v")).select("conv_id", "turn", "v.*")
+    return table(spark, sf, "conversations").select("conv_id", "turn", an.tolerant_json(raw).alias("v")).select("conv_id", "turn", "v.*").withColumns({c: F.array_join(c, "|") for c in ("missing", "extra")})
 
 
 @query("decode_percent_runs", """SELECT page_id, 'x 100% ' || CASE WHEN page_id % 2 = 0 THEN url ELSE '%41%' END || ' ' || CASE page_id % 3 WHEN 0 THEN '@가나 end' WHEN 1 THEN '%20%21%22' ELSE 'a' || page_id || '가b' END AS text FROM pages""")
@@ -518,11 +520,11 @@ NUMS = quoted(an.NUMBER)
 
 
 def answers(spark, sf):
-    """An answer per question: pieces of its first hits, figures of its own, a denial for some."""
+    """An answer per question: the whole texts of its first hits, figures of its own, a denial for some."""
     first = hits(spark, sf).filter("rank <= 2").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("content"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("content"))).alias("b"))
     q = questions(spark, sf).join(first, "query_id", "left")
     body = F.concat(
-        F.lit("1. "), F.left("a", F.lit(60)), F.lit(" [1]\n- "), F.left("b", F.lit(40)), F.lit(" [3]\n* made up item "), F.col("query_id").cast("string"), F.lit("\n총 "),
+        F.lit("1. "), F.col("a"), F.lit(" [1]\n- "), F.col("b"), F.lit(" [3]\n* made up item "), F.col("query_id").cast("string"), F.lit("\n총 "),
         (F.col("query_id") * 37).cast("string"), F.lit(" 개, 12:30, 1,250 만원, "), F.length("a").cast("string"), F.lit("명"))
     deny = F.concat(F.lit("정보가 없 "), F.col("query_id").cast("string"))
     ask = F.when(F.col("query_id") % 3 == 0, F.lit("세 가지 ")).when(F.col("query_id") % 3 == 1, F.lit("4개 ")).otherwise(F.lit(""))
@@ -531,7 +533,7 @@ def answers(spark, sf):
 
 ANSWERS = f"""{HITS_SQL}, f2 AS (SELECT query_id, max(content) FILTER (rank = 1) AS a, max(content) FILTER (rank = 2) AS b FROM hits GROUP BY 1),
 ans AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN '세 가지 ' WHEN 1 THEN '4개 ' ELSE '' END || text AS question, CASE WHEN item_id % 5 = 4 THEN '정보가 없 ' || item_id
-  ELSE coalesce('1. ' || left(a, 60) || ' [1]' || {NL} || '- ' || left(b, 40) || ' [3]' || {NL} || '* made up item ' || item_id || {NL} || '총 ' || (item_id * 37) || ' 개, 12:30, 1,250 만원, ' || length(a) || '명', '') END AS answer FROM benchmark LEFT JOIN f2 ON query_id = item_id),
+  ELSE coalesce('1. ' || a || ' [1]' || {NL} || '- ' || b || ' [3]' || {NL} || '* made up item ' || item_id || {NL} || '총 ' || (item_id * 37) || ' 개, 12:30, 1,250 만원, ' || length(a) || '명', '') END AS answer FROM benchmark LEFT JOIN f2 ON query_id = item_id),
 ht AS (SELECT query_id, string_agg({squeeze_sql('content')}, '' ORDER BY rank) AS hit_text FROM hits GROUP BY 1),
 nums AS (SELECT query_id, list_transform(regexp_extract_all(answer, {NUMS}, 1), lambda x: {squeeze_sql('x')}) AS n FROM ans)"""
 

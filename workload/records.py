@@ -232,7 +232,7 @@ def _run(spark, sf):
     return d.select(
         F.col("doc_id").alias("id"), F.col("source").alias("category"), F.when(F.col("lang") != "fr", F.col("lang")).alias("answer_type"),
         F.when(F.col("toxic") == 0, "search").otherwise("").alias("task_type"), right.alias("correct"), F.when(right, 1.0).otherwise(F.round(F.col("n_chars") % 10 / 20.0, 2)).alias("score_value"),
-        F.when(F.col("n_chars") % 50 == 0, "timeout").alias("error"), F.lit("llm_judge").alias("method"), (F.col("n_chars") / 100.0).alias("elapsed_sec"), F.left("text", F.lit(30)).alias("reasoning"))
+        F.when(F.col("n_chars") % 50 == 0, "timeout").alias("error"), F.lit("llm_judge").alias("method"), (F.col("n_chars") / 100.0).alias("elapsed_sec"), F.col("text").alias("reasoning"))
 
 
 def _other_run(spark, sf):
@@ -240,7 +240,7 @@ def _other_run(spark, sf):
 
 
 RUN = """run AS (SELECT doc_id AS id, source AS category, CASE WHEN lang <> 'fr' THEN lang END AS answer_type, CASE WHEN toxic = 0 THEN 'search' ELSE '' END AS task_type, quality = 1 AS correct,
-  CASE WHEN quality = 1 THEN 1e0 ELSE round(n_chars % 10 / 20e0, 2) END AS score_value, CASE WHEN n_chars % 50 = 0 THEN 'timeout' END AS error, 'llm_judge' AS method, n_chars / 100e0 AS elapsed_sec, left(text, 30) AS reasoning FROM documents JOIN labels USING (doc_id)),
+  CASE WHEN quality = 1 THEN 1e0 ELSE round(n_chars % 10 / 20e0, 2) END AS score_value, CASE WHEN n_chars % 50 = 0 THEN 'timeout' END AS error, 'llm_judge' AS method, n_chars / 100e0 AS elapsed_sec, text AS reasoning FROM documents JOIN labels USING (doc_id)),
 orun AS (SELECT * REPLACE (correct <> (id % 7 = 0) AS correct) FROM run)"""
 BREAK = f"""bd AS (SELECT 'category' AS dimension, category AS value, round(avg(score_value), 6) AS mean_score, count(*) AS n FROM run GROUP BY 2 UNION ALL SELECT 'answer_type', coalesce(answer_type, 'reasoning'), round(avg(score_value), 6), count(*) FROM run GROUP BY 2
   UNION ALL SELECT 'task_type', CASE WHEN task_type <> '' THEN task_type ELSE 'unknown' END, round(avg(score_value), 6), count(*) FROM run GROUP BY 2)"""
@@ -255,8 +255,8 @@ def write_report(spark, sf):
 def entries(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     return d.select(
-        F.concat(F.lit(" qa_"), F.col("doc_id").cast("string")).alias("id"), F.left("text", F.lit(50)).alias("question"), F.when(F.col("quality") == 1, F.left("text", F.lit(700))).otherwise("  ").alias("answer"),
-        F.col("source").alias("doc_id"), F.left("text", F.lit(700)).alias("snippet"), F.lit(None).cast("string").alias("location"), F.when(F.col("lang") == "en", "numerical").alias("answer_type"))
+        F.concat(F.lit(" qa_"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("question"), F.when(F.col("quality") == 1, F.col("text")).otherwise("  ").alias("answer"),
+        F.col("source").alias("doc_id"), F.col("text").alias("snippet"), F.lit(None).cast("string").alias("location"), F.when(F.col("lang") == "en", "numerical").alias("answer_type"))
 
 
 def cached(spark, sf):
@@ -265,7 +265,7 @@ def cached(spark, sf):
     return d.select(F.concat(F.lit("qa_"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("question"), F.col("source").alias("answer"), blank.alias("doc_id"), blank.alias("snippet"), blank.alias("location"), F.lit("old").alias("answer_type"))
 
 
-@query("upsert_by_id", f"""WITH n AS (SELECT 'qa_' || doc_id AS id, {strip_sql('left(text, 50)')} AS question, CASE WHEN quality = 1 THEN {strip_sql('left(text, 700)')} ELSE '' END AS answer, source AS doc_id, left(text, 500) AS snippet, '' AS location, CASE WHEN lang = 'en' THEN 'numerical' ELSE 'reasoning' END AS answer_type FROM documents JOIN labels USING (doc_id)),
+@query("upsert_by_id", f"""WITH n AS (SELECT 'qa_' || doc_id AS id, {strip_sql('text')} AS question, CASE WHEN quality = 1 THEN {strip_sql('text')} ELSE '' END AS answer, source AS doc_id, left(text, 500) AS snippet, '' AS location, CASE WHEN lang = 'en' THEN 'numerical' ELSE 'reasoning' END AS answer_type FROM documents JOIN labels USING (doc_id)),
 v AS (SELECT * FROM n WHERE question <> '' AND answer <> '') SELECT * FROM v UNION ALL SELECT 'qa_' || doc_id, lang, source, '', '', '', 'old' FROM documents WHERE 'qa_' || doc_id NOT IN (SELECT id FROM v)""")
 def upsert_by_id(spark, sf):
     return ing.upsert_by_id(cached(spark, sf), entries(spark, sf))
@@ -287,10 +287,10 @@ def insert_if_absent(spark, sf):
     return ing.insert_if_absent(samples(spark, sf), rows)
 
 
-@query("reset_by_source", f"""WITH {SAMPLES}, k AS (SELECT task, text, source FROM smp WHERE source <> 'seed'), sd AS (SELECT DISTINCT lang AS task, left({strip_sql('text')}, 500) AS text FROM documents)
-SELECT * FROM k UNION ALL SELECT task, text, 'seed' FROM sd WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.task = sd.task AND k.text = sd.text)""")
+@query("reset_by_source", f"""WITH {SAMPLES}, k AS (SELECT task, text, source, created_at FROM smp WHERE source <> 'seed'), sd AS (SELECT lang AS task, {strip_sql('text')} AS text, max(doc_id) AS created_at FROM documents GROUP BY 1, 2)
+SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM sd WHERE k.task = sd.task AND k.text = sd.text) UNION ALL SELECT task, text, 'seed', created_at FROM sd""")
 def reset_by_source(spark, sf):
-    seeds = table(spark, sf, "documents").select(F.col("lang").alias("task"), F.left(tx.strip(F.col("text")), F.lit(500)).alias("text"))
+    seeds = table(spark, sf, "documents").select(F.col("lang").alias("task"), tx.strip(F.col("text")).alias("text"), F.col("doc_id").alias("created_at"))
     return ing.reset_by_source(samples(spark, sf), seeds)
 
 
@@ -504,7 +504,8 @@ def results(spark, sf):
     judged = F.when(F.col("n_chars") % 5 > 0, F.col("n_chars") % 2 == 0)
     return d.select(
         F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.when(F.col("n_chars") % 20 == 0, "boom").alias("error"), judged.alias("judge_correct"),
-        F.when(judged.isNotNull(), F.col("n_chars") % 10 / 10.0).alias("judge_score"), (F.col("n_chars") / 100.0).alias("elapsed_sec"))
+        F.when(judged.isNotNull(), F.col("n_chars") % 10 / 10.0).alias("judge_score"), (F.col("n_chars") / 100.0).alias("elapsed_sec"),
+        F.concat(F.lit("judged "), F.col("doc_id").cast("string")).alias("judge_reasoning"), F.array(F.concat(F.lit("m"), F.col("doc_id").cast("string"))).alias("judge_missing"))
 
 
 SCORED = f"""gl AS (SELECT doc_id AS id, CASE WHEN quality = 0 THEN 'UNKNOWN' WHEN lang = 'de' THEN reverse(substr(text, 5, 30)) ELSE upper(substr(text, 5, 30)) END AS gold,
@@ -525,9 +526,12 @@ def scored(spark, sf):
     return ev.score_answers(results(spark, sf), gold_labels(spark, sf))
 
 
-@query("score_answers", f"WITH {SCORED} SELECT id, method, coalesce(correct, false) AS correct, score_value FROM sc")
+@query("score_answers", f"""WITH {SCORED} SELECT id, method, coalesce(correct, false) AS correct, score_value, CASE WHEN known THEN gold END AS ground_truth,
+  CASE method WHEN 'system_error' THEN '시스템 오류: boom' WHEN 'skip_no_label' THEN '라벨이 UNKNOWN/ERROR로 채점 불가' WHEN 'exact' THEN 'exact match (or alternative)' WHEN 'llm_judge' THEN 'judged ' || id ELSE '' END AS reasoning,
+  CASE WHEN method = 'llm_judge' THEN 'm' || id ELSE '' END AS missing, '' AS extra FROM sc""")
 def score_answers(spark, sf):
-    return scored(spark, sf).select("id", "method", "correct", "score_value")
+    shown = [F.array_join(c, "|").alias(c) for c in ("missing", "extra")]
+    return scored(spark, sf).select("id", "method", "correct", "score_value", "ground_truth", "reasoning", *shown)
 
 
 @query("accuracy_summary", f"WITH {SCORED} SELECT count(*) AS total, count(*) FILTER (correct) AS correct, round(avg(CASE WHEN correct THEN 1e0 ELSE 0e0 END), 6) AS accuracy, round(avg(score_value), 6) AS mean_score, count(*) FILTER (error IS NOT NULL OR method = 'system_error') AS errors, round(avg(elapsed_sec), 6) AS mean_elapsed FROM sc")
@@ -568,9 +572,10 @@ OVER = f"""{RUN}, ov AS (SELECT run.* EXCLUDE (correct, score_value, reasoning),
   CASE WHEN toxic = 1 AND NOT correct THEN '[RELABELED] checked by hand' ELSE reasoning END AS reasoning, CASE WHEN toxic = 1 AND NOT correct THEN reasoning END AS original_reasoning FROM run JOIN documents ON doc_id = id JOIN labels USING (doc_id))"""
 
 
-@query("apply_overrides", f"WITH {OVER} SELECT id, correct, score_value, reasoning, original_reasoning, relabeled, ungraded FROM ov")
+@query("apply_overrides", f"""WITH {OVER} SELECT id, correct, score_value, reasoning, original_reasoning, relabeled, ungraded,
+  CASE WHEN relabeled THEN 'checked by hand' END AS relabel_reason, CASE WHEN ungraded THEN '라벨 UNKNOWN — 분모 제외' END AS ungraded_reason FROM ov""")
 def apply_overrides(spark, sf):
-    return overridden(spark, sf).select("id", "correct", "score_value", "reasoning", "original_reasoning", "relabeled", "ungraded")
+    return overridden(spark, sf).select("id", "correct", "score_value", "reasoning", "original_reasoning", "relabeled", "ungraded", "relabel_reason", "ungraded_reason")
 
 
 @query("accuracy_excluding", f"""WITH {OVER}, a AS (SELECT (SELECT count(*) FROM run) AS total, (SELECT count(*) FROM run WHERE correct) AS correct_before, count(*) FILTER (relabeled) AS relabeled, count(*) FILTER (ungraded) AS ungraded, count(*) FILTER (NOT ungraded) AS graded, count(*) FILTER (correct AND NOT ungraded) AS correct_after FROM ov)
@@ -685,7 +690,7 @@ def recall_mrr(spark, sf):
 
 
 @query("paired_test", f"""WITH {COMPARE}, c AS (SELECT count(*) AS pairs, count(*) FILTER (change = 'improved') AS gained, count(*) FILTER (change = 'regressed') AS lost FROM cp)
-SELECT pairs, gained, lost, round(CASE WHEN gained + lost = 0 THEN 1e0 ELSE least(1e0, 2 * (SELECT sum(exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2e0))) FROM range(0, 100000) t(i) WHERE i <= least(gained, lost))) END, 6) AS p_value FROM c""")
+SELECT pairs, gained, lost, round(CASE WHEN gained + lost = 0 THEN 1e0 ELSE least(1e0, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1), lambda i: exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2e0))))) END, 6) AS p_value FROM c""")
 def paired_test(spark, sf):
     return ev.paired_test(ev.compare_runs(_run(spark, sf), _other_run(spark, sf)))
 
