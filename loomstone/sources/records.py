@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
+from loomstone.plans.blocks import per_block
 from loomstone.plans.ordered import Mark, scan
 
 SCHEMAS = {
@@ -122,3 +126,23 @@ def routing_log_rows(decisions: DataFrame) -> DataFrame:
 
 def append_routing_log(decisions: DataFrame, path: str) -> None:
     routing_log_rows(decisions).write.mode("append").parquet(path)
+
+
+def holders(phrases: DataFrame, texts: DataFrame, block: int = 1024) -> DataFrame:
+    """(query_id, item_id) where a text (item_id, text) holds a phrase (query_id, text) word for word; an empty phrase is held by all.
+
+    The phrases go to the tasks in bounded blocks, one scan of the texts each.
+    """
+    kept = texts.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+
+    def search(table: pa.Table) -> DataFrame:
+        wanted = [(q, t) for q, t in zip(table.column("query_id").to_pylist(), table.column("text").to_pylist()) if t is not None]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(q, i) for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text")) for q, t in wanted if t in text.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["query_id", "item_id"])
+
+        return kept.mapInArrow(run, "query_id long, item_id long")
+
+    return per_block(phrases.select(F.col("query_id").cast("long").alias("query_id"), "text"), "query_id", block, search)

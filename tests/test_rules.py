@@ -148,3 +148,27 @@ def test_fixed_values(name, value, want):
 
 def test_size_thresholds_exist_for_every_format():
     assert {name for name, *_ in ck.SIZE_THRESHOLDS} >= {"pdf", "pptx", "docx", "xlsx", "txt", "md"}
+
+
+def test_phrases_of_any_length_find_their_texts(spark):
+    from loomstone.sources.records import holders
+
+    texts = spark.createDataFrame([(1, "say one two now"), (2, "one  two"), (3, None), (4, "xtwo")], "item_id long, text string")
+    phrases = spark.createDataFrame([(10, "one two"), (11, "two"), (12, "absent"), (13, None)], "query_id long, text string")
+    for block in (1024, 1):
+        assert sorted(map(tuple, holders(phrases, texts, block).collect())) == [(10, 1), (11, 1), (11, 2), (11, 4)]
+
+
+def test_hybrid_search_by_hand(spark):
+    from loomstone.operators import hybrid as hy
+
+    chunks = spark.createDataFrame([(1, "red fox"), (2, "blue dog"), (3, "green bird sings"), (4, "red fox")], "chunk_id long, content string")
+    index = lx.forward_index(chunks).cache()
+    terms, _, avgdl = lx.bm25_index(index)
+    vectors = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [9.0, 9.0])], "item_id long, vector array<double>")
+    facts = hy.item_facts(chunks, "chunk_id", "content")
+    asked = spark.createDataFrame([(7, "blue bird", [0.0, 0.1]), (8, "green", None)], "query_id long, text string, vector array<double>")
+    got = sorted((r["query_id"], r["place"], r["item_id"], r["dense_rank"], r["lexical_rank"]) for r in hy.hybrid_search(asked, index, terms, avgdl, vectors, facts, k=2, fetch=2).collect())
+    # question 7: item 2 stands in both lists (dense 2, lexical 1); item 1 is nearest but without a word of it
+    assert {r[2] for r in got if r[0] == 7} == {1, 2} and (8, 1, 3, None, 1) in got
+    assert [r for r in got if r[2] == 2][0][3:] == (2, 1)

@@ -9,13 +9,13 @@ from loomstone.functions.vectors import cosine
 from loomstone.operators import answers as an
 from loomstone.operators import classify as cl
 from loomstone.operators import fusion as fu
+from loomstone.operators import hybrid as hy
 from loomstone.operators import lexical as lx
 from loomstone.operators import tagging as tg
 from loomstone.operators import turns as tu
 from loomstone.plans.ordered import top_rows
-from workload.base import HITS_SQL, INDEX_SQL, bm25_sql, chunks, hits, lexical_hits, query, questions, quoted, squeeze_sql, strip_sql, table
+from workload.base import DENSE_SQL, FETCH, HITS_SQL, INDEX_SQL, VEC_SQL, bm25_sql, chunks, fused_sql, hits, query, question_vectors, questions, quoted, searched, squeeze_sql, strip_sql, table, vectors
 from workload.corpus import entities_sql
-from workload.retrieval import FETCH, VEC_SQL, fused_sql, keyed, vectors
 
 NL = "chr(10)"
 I = lambda x, n: f"CAST({x} AS INTEGER) AS {n}"  # noqa: E731, E741
@@ -34,16 +34,18 @@ VARIANTS = f"""vr0 AS (SELECT item_id, list_concat([text], list_filter(list_tran
 vr AS (SELECT item_id * {_SHIFT} + generate_subscripts(a, 1) - 1 AS query_id, unnest(a) AS text FROM vr0)"""
 
 
-@query("multi_query_pool", f"""WITH {INDEX_SQL}, {VARIANTS}, {bm25_sql('vr', FETCH)},
-sides AS (SELECT lex.query_id, item_id, rank, score, 1 AS side, sha256(d.text) AS text_key FROM lex JOIN documents d ON d.doc_id = lex.item_id),
+@query("multi_query_pool", f"""WITH {INDEX_SQL}, {VARIANTS}, {bm25_sql('vr', FETCH)}, {DENSE_SQL.format(fetch=FETCH)},
+sides AS (SELECT s.*, sha256(d.text) AS text_key FROM (SELECT query_id, item_id, rank, score, 1 AS side FROM lex
+          UNION ALL SELECT query_id * {_SHIFT}, item_id, rank, score, 0 AS side FROM dense) s JOIN documents d ON d.doc_id = s.item_id),
 {fused_sql(fu.RRF_K, True)},
 seen AS (SELECT query_id // {_SHIFT} AS query_id, query_id % {_SHIFT} AS variant, text_key, item_id, rank, score FROM fused),
 pool AS (SELECT query_id, text_key, list(score ORDER BY variant, rank) AS s, arg_max(item_id, variant * 1000 + rank) AS item_id, min(variant) AS v, arg_min(rank, variant) AS r FROM seen GROUP BY 1, 2),
 sc AS (SELECT *, list_reduce(s, lambda a, x: least(1e0, greatest(a, x) + 5e-2)) AS score FROM pool)
 SELECT query_id, item_id, {I('rank', 'rank')}, {I('len(s)', 'times')}, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, v, r) AS rank FROM sc) WHERE rank <= {fu.TOP_K}""")
 def multi_query_pool(spark, sf):
-    found = keyed(spark, sf, lexical_hits(spark, sf, variants(spark, sf), FETCH))
-    fused = fu.rrf_fuse(found.limit(0), found, fu.TOP_K)
+    whole = question_vectors(spark, sf).select((F.col("query_id") * _SHIFT).alias("query_id"), "vector")
+    asked = variants(spark, sf).join(whole, "query_id", "left")  # the whole question has a vector, its lines have none
+    fused = fu.rrf_fuse(*hy.both_sides(asked, *searched(spark, sf), FETCH), fu.TOP_K)
     seen = fused.withColumn("variant", F.col("query_id") % _SHIFT).withColumn("query_id", F.floor(F.col("query_id") / _SHIFT).cast("long"))
     return fu.multi_query_pool(seen).select("query_id", "item_id", "rank", "times", F.round("score", 6).alias("score"))
 
@@ -62,7 +64,7 @@ def line_chunks(spark, sf):
 def line_hits(spark, sf):
     """The longest line of each hit document stands for the hit."""
     lines = line_chunks(spark, sf)
-    found = hits(spark, sf).select("query_id", "rank", "score", F.col("item_id").alias("doc_id"))
+    found = hits(spark, sf, False).select("query_id", "rank", "score", F.col("item_id").alias("doc_id"))
     mine = lines.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("text_key", fu.text_key(F.col("content")))
     best = mine.groupBy("doc_id").agg(F.max_by(F.struct("chunk_id", "page", "parent_page", "text_key"), F.struct(F.length("content"), -F.col("n"))).alias("b"))
     return found.join(best.select("doc_id", "b.*"), "doc_id"), lines
@@ -109,13 +111,13 @@ def expand_same_page_inline(spark, sf):
 @query("topic_boost", f"""WITH {HITS_SQL}, b AS (SELECT *, CASE WHEN doc_topic = 'src' || (query_id % 20) THEN least(1e0, score + 15e-2) ELSE score END AS s FROM hits)
 SELECT query_id, item_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS INTEGER) AS rank FROM b""")
 def topic_boost(spark, sf):
-    h = hits(spark, sf).withColumn("query_topic", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    h = hits(spark, sf, False).withColumn("query_topic", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
     return fu.topic_boost(h).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("final_cut", f"WITH {HITS_SQL} SELECT query_id, item_id, {I('rank', 'rank')} FROM hits WHERE rank <= 7")
 def final_cut(spark, sf):
-    return fu.final_cut(hits(spark, sf), 7).select("query_id", "item_id", "rank")
+    return fu.final_cut(hits(spark, sf, False), 7).select("query_id", "item_id", "rank")
 
 
 @query("hit_location", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -159,7 +161,7 @@ def grade_hits(spark, sf):
 
 @query("grade_hits_off", f"WITH {HITS_SQL} SELECT query_id, item_id, 'relevant' AS grade, round(score, 6) AS score, {I('rank', 'rank')} FROM hits")
 def grade_hits_off(spark, sf):
-    return fu.grade_hits(hits(spark, sf)).select("query_id", "item_id", "grade", F.round("score", 6).alias("score"), "rank")
+    return fu.grade_hits(hits(spark, sf, False)).select("query_id", "item_id", "grade", F.round("score", 6).alias("score"), "rank")
 
 
 @query("rerank_fuse", f"""WITH {_KEPT}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rs, 9) DESC, rank) - 1 AS rr FROM kp),
@@ -202,7 +204,7 @@ def extraneous_terms(spark, sf):
 @query("hit_topics", f"WITH {HITS_SQL} SELECT DISTINCT query_id, doc_topic FROM (SELECT query_id, CASE WHEN doc_topic IN ('src1', 'src2', 'src3') THEN 'general' ELSE doc_topic END AS doc_topic FROM hits) WHERE doc_topic <> 'general'")
 def hit_topics(spark, sf):
     topic = F.when(F.col("doc_topic").isin("src1", "src2", "src3"), F.lit("general")).otherwise(F.col("doc_topic"))
-    return fu.hit_topics(hits(spark, sf).withColumn("doc_topic", topic))
+    return fu.hit_topics(hits(spark, sf, False).withColumn("doc_topic", topic))
 
 
 @query("build_context", f"""WITH {HITS_SQL} SELECT query_id, string_agg('[' || rank || '] ' || doc_topic || ' ' || lang || {NL} || left(content, 1500), {NL} || {NL} ORDER BY rank) AS context FROM hits GROUP BY 1""")
@@ -563,7 +565,7 @@ MISCLAIM = f"""ms AS (SELECT query_id, coalesce((SELECT count(*) FROM hits h WHE
 
 @query("no_info_misclaim", f"WITH {ANSWERS}, {MISCLAIM} SELECT query_id, misclaim FROM ms")
 def no_info_misclaim(spark, sf):
-    return an.no_info_misclaim(answers(spark, sf), hits(spark, sf)).select("query_id", "misclaim")
+    return an.no_info_misclaim(answers(spark, sf), hits(spark, sf, False)).select("query_id", "misclaim")
 
 
 _numerals = "[" + ", ".join(quoted(n) for n in an.NUMERALS) + "]"
@@ -603,7 +605,7 @@ p AS (SELECT *, jp AND NOT misclaim AND nn <= 2 AND nl = 0 AS passed FROM v)
 SELECT query_id, passed, CASE WHEN passed THEN printf('reflect:pass(g=%.2f,r=1.00,h=0.00)', g) ELSE 'reflect:fail(facts=' || (nn + nl) || ',miscalim=' || CASE WHEN misclaim THEN 'True' ELSE 'False' END || printf(',g=%.2f)', g) END AS label,
   CASE WHEN NOT passed AND query_id % 2 < 1 AND g < 5e-1 THEN 'replan' ELSE 'end' END AS route FROM p""")
 def verdict(spark, sf):
-    base = an.no_info_misclaim(checked(spark, sf), hits(spark, sf))
+    base = an.no_info_misclaim(checked(spark, sf), hits(spark, sf, False))
     q = F.col("query_id")
     df = base.select(
         "query_id", "misclaim", an.unsupported_numbers(F.col("answer"), F.col("hit_text")).alias("number_issues"),
@@ -619,7 +621,7 @@ def cited_ids(spark, sf):
 
 @query("citations", f"WITH {ANSWERS} SELECT h.query_id, {I('h.rank', 'rank')}, h.item_id, h.doc_topic, round(h.score, 6) AS score FROM hits h JOIN ans a ON a.query_id = h.query_id WHERE contains(a.answer, '[' || h.rank || ']')")
 def citations(spark, sf):
-    return an.citations(answers(spark, sf), hits(spark, sf)).select("query_id", "rank", "item_id", "doc_topic", F.round("score", 6).alias("score"))
+    return an.citations(answers(spark, sf), hits(spark, sf, False)).select("query_id", "rank", "item_id", "doc_topic", F.round("score", 6).alias("score"))
 
 
 @query("metadata_filter_search", f"""WITH {VEC_SQL}, d AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label + 5 AS want, b.label AS has, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM vecs a, vecs b WHERE a.vec_id <> b.vec_id),

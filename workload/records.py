@@ -14,7 +14,7 @@ from loomstone.session import fresh_path
 from loomstone.sources import files as fi
 from loomstone.sources import records as re_
 from loomstone.streaming import jobs
-from workload.base import HITS_SQL, hits, query, questions, quoted, strip_sql, table
+from workload.base import HITS_SQL, facts, hits, lexical_index, query, questions, quoted, strip_sql, table
 from workload.retrieval import SIDES_SQL, both_sides
 
 NL = "chr(10)"
@@ -658,17 +658,19 @@ def ablation_matrix(spark, sf):
     return ev.ablation_matrix(runs, [n for n, _, _ in ev.SETTINGS], "outcome")
 
 
-# Gold: the documents that hold the question word for word. The longest token inside a question (neither its first
-# nor its last, which a document may continue) picks the documents to compare; every question has such a token.
+# Gold: the documents that hold the question word for word. The longest token inside a question (neither its first nor
+# its last, which a document may continue) picks the documents to compare by the index of their words; questions without
+# such a token go to the documents in blocks.
 def gold(spark, sf):
-    words = F.array_distinct(tx.tokens(F.col("text")))
-    inner = F.slice(tx.tokens(F.col("text")), 2, F.greatest(F.size(tx.tokens(F.col("text"))) - 2, F.lit(0)))
+    words = tx.tokens(F.col("text"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     key = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     q = questions(spark, sf).withColumn("key", key)
-    docs = table(spark, sf, "documents")
-    near = docs.select(F.col("doc_id").alias("item_id"), F.explode(words).alias("key")).join(q, "key")
-    found = docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("doc")).join(near, "item_id").filter(F.contains("doc", F.col("text")))
-    return found.select("query_id", "item_id", F.sha2("doc", 256).alias("text_key"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("doc"))
+    near = lexical_index(spark, sf)[0].select("item_id", F.explode("counts").alias("c")).select("item_id", F.col("c.term").alias("key")).join(q.where("key IS NOT NULL"), "key")
+    found = docs.join(near, "item_id").filter(F.contains("doc", F.col("text"))).select("query_id", "item_id")
+    short = re_.holders(q.where("key IS NULL").select("query_id", "text"), docs.withColumnRenamed("doc", "text"))
+    return found.unionByName(short).join(facts(spark, sf).select("item_id", "text_key"), "item_id").select("query_id", "item_id", "text_key")
 
 
 GOLD = "gd AS (SELECT b.item_id AS query_id, d.doc_id AS item_id, sha256(d.text) AS text_key FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -686,7 +688,7 @@ def gold_chunks(spark, sf):
 @query("recall_mrr", f"""WITH {HITS_SQL}, {GOLD}, g1 AS (SELECT g.query_id, min(h.rank) AS r FROM gd g LEFT JOIN hits h ON h.query_id = g.query_id AND h.item_id = g.item_id GROUP BY 1), k AS (SELECT g1.*, CASE WHEN length(text) > 250 THEN 'long' ELSE 'short' END AS kind FROM g1 JOIN benchmark b ON b.item_id = query_id)
 SELECT kind, count(*) AS questions, round(avg(CASE WHEN r <= 1 THEN 1e0 ELSE 0e0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 5 THEN 1e0 ELSE 0e0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 20 THEN 1e0 ELSE 0e0 END), 6) AS recall_20, round(avg(coalesce(1e0 / r, 0e0)), 6) AS mrr FROM k GROUP BY ROLLUP (kind)""")
 def recall_mrr(spark, sf):
-    return ev.recall_mrr(hits(spark, sf), gold(spark, sf), kinds(spark, sf))
+    return ev.recall_mrr(hits(spark, sf, False), gold(spark, sf), kinds(spark, sf))
 
 
 @query("paired_test", f"""WITH {COMPARE}, c AS (SELECT count(*) AS pairs, count(*) FILTER (change = 'improved') AS gained, count(*) FILTER (change = 'regressed') AS lost FROM cp)
@@ -712,7 +714,7 @@ def rrf_sweep(spark, sf):
 SELECT cause, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM w) AS DOUBLE), 6) AS share FROM w GROUP BY 1""")
 def failure_source(spark, sf):
     run = questions(spark, sf).select(F.col("query_id").alias("id"), (F.col("query_id") % 4 == 0).alias("correct"))
-    return ev.failure_source(run, hits(spark, sf).filter("rank <= 1"), gold(spark, sf))
+    return ev.failure_source(run, hits(spark, sf, False).filter("rank <= 1"), gold(spark, sf))
 
 
 # ---------------------------------------------------------------- inventory

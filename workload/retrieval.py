@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as tx
 from loomstone.functions.vectors import nearness
 from loomstone.operators import fusion as fu
+from loomstone.operators import hybrid as hy
 from loomstone.operators import lexical as lx
 from loomstone.plans.blocks import nearest
-from loomstone.plans.ordered import top_rows
 from workload.base import (
-    HITS_SQL, INDEX_SQL, QUESTIONS_SQL, bm25_sql, chunks, hits, lexical_hits, lexical_index, query, questions, strip_sql, table,
+    FETCH, INDEX_SQL, L2_SQL, QUESTIONS_SQL, VEC_SQL, bm25_sql, facts, fused_sql, lexical_hits, lexical_index, query, question_vectors, questions,
+    searched, sides_sql, table, vectors,
 )
 
-FETCH = fu.TOP_K * fu.FETCH_TIMES
-
-
 @query("tokenize", f"SELECT doc_id, CAST(generate_subscripts(words, 1) - 1 AS INTEGER) AS pos, unnest(words) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '{tx.TOKEN}') AS words FROM documents)")
 def tokenize(spark, sf):
     return lx.tokenize(table(spark, sf, "documents"), "doc_id", "text")
@@ -44,14 +42,6 @@ def bm25_search(spark, sf):
 
 # ---------------------------------------------------------------- dense
 
-VEC_SQL = "vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
-L2_SQL = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
-
-
-def vectors(spark, sf):
-    return table(spark, sf, "embeddings")
-
-
 @query("dense_search", f"""WITH {VEC_SQL},
 d AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {L2_SQL} AS distance FROM vecs a, vecs b WHERE a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), item_id) AS rank FROM d)
@@ -64,52 +54,11 @@ def dense_search(spark, sf):
     return near.select("query_id", "item_id", "rank", F.round(nearness(F.col("distance")), 6).alias("score"))
 
 
-# Both sides over one corpus: the vector with a document's id is the vector of
-# its text, the vector with a question's id is the vector of the question.
-
-
-def dense_hits(spark, sf, k):
-    v = vectors(spark, sf)
-    q = questions(spark, sf).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("vector"))
-    c = (
-        chunks(spark, sf).filter(F.length("content") > 0)
-        .join(v, F.col("chunk_id") == F.col("vec_id"))
-        .select(F.col("chunk_id").alias("item_id"), F.col("embedding").alias("vector"))
-    )
-    return nearest(q, c, k).withColumn("score", nearness(F.col("distance")))
-
-
-def keyed(spark, sf, found):
-    """Text key of each hit; only the hit documents' texts are digested."""
-    keys = chunks(spark, sf).select(F.col("chunk_id").alias("item_id"), "content")
-    return found.join(keys, "item_id").withColumn("text_key", fu.text_key(F.col("content"))).drop("content")
-
-
 def both_sides(spark, sf, k=FETCH):
-    return keyed(spark, sf, dense_hits(spark, sf, k)), keyed(spark, sf, lexical_hits(spark, sf, questions(spark, sf), k))
+    return hy.both_sides(question_vectors(spark, sf), *searched(spark, sf), k)
 
 
-SIDES_SQL = f"""{INDEX_SQL}, {bm25_sql(QUESTIONS_SQL, FETCH)}, {VEC_SQL},
-dense_d AS (SELECT q.item_id AS query_id, c.item_id, (SELECT 1) AS one, {L2_SQL} AS distance
-            FROM benchmark q JOIN vecs a ON a.vec_id = q.item_id, docs c JOIN vecs b ON b.vec_id = c.item_id),
-dense_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), item_id) AS rank FROM dense_d),
-dense AS (SELECT query_id, item_id, 1e0 / (1e0 + distance) AS score, rank FROM dense_r WHERE rank <= {FETCH}),
-sides AS (SELECT s.*, sha256(d.text) AS text_key
-          FROM (SELECT query_id, item_id, rank, score, 0 AS side FROM dense
-                UNION ALL SELECT query_id, item_id, rank, score, 1 AS side FROM lex) s JOIN documents d ON d.doc_id = s.item_id)"""
-
-
-def fused_sql(rrf_k, carry, name="fused", src="sides", by="query_id"):
-    stands = (
-        "coalesce(max_by(item_id, rank) FILTER (side = 0), min_by(item_id, rank) FILTER (side = 1))" if carry
-        else "coalesce(max_by(item_id, rank) FILTER (side = 1), max_by(item_id, rank) FILTER (side = 0))"
-    )
-    return f"""
-{name}_g AS (SELECT {by}, text_key, sum(1e0 / ({rrf_k}e0 + rank)) AS rrf, avg(score) AS score,
-               min(rank) FILTER (side = 0) AS dense_rank, min(rank) FILTER (side = 1) AS lexical_rank, {stands} AS item_id
-             FROM {src} GROUP BY {by}, text_key),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by}
-             ORDER BY round(rrf, 9) DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST) AS rank FROM {name}_g) WHERE rank <= {fu.TOP_K})"""
+SIDES_SQL = sides_sql(FETCH)
 
 
 def _fused_cols(df, *more):
@@ -137,8 +86,5 @@ SELECT f.query_id, f.item_id, CAST(row_number() OVER (PARTITION BY f.query_id OR
 FROM fused f JOIN documents d ON d.doc_id = f.item_id""")
 def hybrid_search(spark, sf):
     """Both searches fetch four times the cut, are fused and cut; the order of what is left is by score."""
-    dense, lex = both_sides(spark, sf)
-    fused = fu.rrf_fuse(dense, lex, fu.TOP_K).withColumnRenamed("rank", "cut_rank")
-    placed = top_rows(fused, ["query_id"], [F.round("score", 9).desc(), F.col("cut_rank")], fu.TOP_K, "place")
-    docs = chunks(spark, sf).select(F.col("chunk_id").alias("item_id"), "lang", "source", F.length("content").alias("chars"))
-    return placed.join(docs, "item_id").select("query_id", "item_id", "place", F.round("score", 6).alias("score"), "lang", "source", "chars")
+    placed = hy.hybrid_search(question_vectors(spark, sf), *searched(spark, sf))
+    return placed.join(facts(spark, sf), "item_id").select("query_id", "item_id", "place", F.round("score", 6).alias("score"), "lang", "source", "chars")
