@@ -43,9 +43,14 @@ def scan_corpus(spark: SparkSession, root: str, suffixes: Sequence[str] = SUFFIX
     rel = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "/")
     at = F.locate(base.split("://")[-1] + "/", rel)
     rel = F.substring(rel, at + len(base.split("://")[-1]) + 1, F.lit(2**31 - 1))
-    cols = [rel.alias("path"), F.col("path").alias("file"), suffix(F.col("path")).alias("suffix"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
-    out = files.select(*cols, *(["content"] if with_content else []))
+    cols = [rel.alias("path"), F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    return wanted_files(files.select(*cols, *(["content"] if with_content else [])), suffixes)
+
+
+def wanted_files(listing: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """Rows of a listing with a ``path`` whose suffix is wanted and whose name is not hidden (a leading dot); adds ``suffix``."""
     name = F.element_at(F.split("path", "/"), -1)
+    out = listing.withColumn("suffix", suffix(F.col("path")))
     return out.filter(F.col("suffix").isin(list(suffixes)) & ~F.startswith(name, F.lit(".")))
 
 
