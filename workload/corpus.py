@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
 from loomstone.operators import chunking as ck
+from loomstone.operators import ingest as ing
 from loomstone.operators import sections as se
 from loomstone.operators import tagging as tg
-from loomstone.session import staged
+from loomstone.session import fresh_path, staged
+from loomstone.sources import files as fi
 from workload.base import BREAK_SQL, WS_SQL, paragraphs_sql, query, quoted, source, squeeze_sql, strip_sql, table
 
 NL = "chr(10)"
@@ -669,3 +671,29 @@ SELECT lang, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS chars, count(*) FILTE
 def corpus_stats(spark, sf):
     secs = se.text_sections(marked(spark, sf), "doc_id", "text").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return tg.corpus_stats(secs, ["lang"]).withColumn("p95", F.round("p95", 6))
+
+
+# ---------------------------------------------------------------- ingest as one job: fingerprints, diff, sections, ids, a new version
+
+
+@query("ingest_documents", f"""WITH {MARKED}, {LINES}, {MARKS}, {DOC_TITLE}, {SECTIONS}
+SELECT CAST(doc_id AS VARCHAR) AS path, 'file::' || doc_id || '::page_' || unit_index AS chunk_id, sha256(text) AS digest FROM sections WHERE doc_id % 3 <> 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'old::' || doc_id, 'kept' FROM documents WHERE doc_id % 3 = 0""")
+def ingest_documents(spark, sf):
+    """A third of the documents is known with its hash, a third with another hash, a third is new; some known paths are gone."""
+    docs = marked(spark, sf).withColumn("path", F.col("doc_id").cast("string"))
+    hashed = docs.select("doc_id", "path", fi.content_fingerprint(F.col("text").cast("binary")).alias("hash"))
+    snapshot = hashed.select("path", "hash")
+    known = hashed.filter(F.col("doc_id") % 3 < 2).select("path", F.when(F.col("doc_id") % 3 == 0, F.col("hash")).otherwise("other").alias("hash"))
+    gone = hashed.filter(F.col("doc_id") % 10 == 0).select(F.concat(F.lit("gone-"), "path").alias("path"), F.lit("x").alias("hash"))
+    state = known.unionByName(gone)
+    before = state.select("path", F.concat(F.lit("old::"), "path").alias("chunk_id"), F.lit("kept").alias("digest"))
+
+    diff = ing.ingest_diff(snapshot, state)
+    touched = diff.filter(F.col("status").isin("new", "updated")).select("path")
+    secs = se.text_sections(docs.join(touched, "path", "left_semi"), "doc_id", "text")
+    secs = secs.withColumn("is_table", F.lit(False)).withColumn("split_part", F.lit(None).cast("string"))
+    secs = secs.withColumn("table_index", F.lit(None).cast("int")).withColumn("parent_page_index", F.lit(None).cast("int"))
+    fresh = tg.tag_chunks(secs).select(F.col("doc_id").cast("string").alias("path"), "chunk_id", F.sha2("text", 256).alias("digest"))
+    path = ing.write_version(ing.ingest_chunks(before, diff, fresh), fresh_path(spark, "corpus"), 2)
+    return spark.read.parquet(path)

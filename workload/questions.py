@@ -14,7 +14,7 @@ from loomstone.operators import lexical as lx
 from loomstone.operators import tagging as tg
 from loomstone.operators import turns as tu
 from loomstone.plans.ordered import top_rows
-from workload.base import DENSE_SQL, FETCH, HITS_SQL, INDEX_SQL, VEC_SQL, bm25_sql, chunks, fused_sql, hits, query, question_vectors, questions, quoted, searched, squeeze_sql, strip_sql, table, vectors
+from workload.base import DENSE_SQL, FETCH, HITS_SQL, INDEX_SQL, L2_SQL, VEC_SQL, bm25_sql, chunks, fused_sql, hits, query, question_vectors, questions, quoted, searched, squeeze_sql, strip_sql, table, vectors
 from workload.corpus import entities_sql
 
 NL = "chr(10)"
@@ -636,3 +636,23 @@ def metadata_filter_search(spark, sf):
     c = v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("label").alias("group"))
     out = filtered_search(q, c, 10, skip_same=True)
     return out.select("query_id", "item_id", "rank", F.round("score", 6).alias("score"), "filtered")
+
+
+# ---------------------------------------------------------------- one batch: cache, both searches, grading, cut, context
+
+
+@query("answer_context", f"""WITH {_KEPT}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rs, 9) DESC, rank) - 1 AS rr FROM kp),
+g AS (SELECT *, 1e0 / (60 + rank - 1) + 1e0 / (60 + rr) AS fused FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, rank) AS place FROM g),
+cn AS (SELECT q.item_id AS query_id, min({L2_SQL}) AS d FROM benchmark q JOIN vecs a ON a.vec_id = q.item_id, vecs b WHERE b.label = 1 AND a.vec_id <> b.vec_id GROUP BY 1),
+open AS (SELECT item_id AS query_id FROM benchmark LEFT JOIN cn ON cn.query_id = item_id WHERE coalesce(1e0 / (1e0 + d), 0e0) < 45e-2)
+SELECT p.query_id, string_agg('[' || place || '] ' || doc_topic || ' ' || lang || {NL} || left(content, 1500), {NL} || {NL} ORDER BY place) AS context
+FROM p JOIN open ON open.query_id = p.query_id WHERE place <= 7 GROUP BY 1""")
+def answer_context(spark, sf):
+    """Questions that no cached question answers get the context of their fused, graded and cut hits."""
+    v = vectors(spark, sf)
+    cached = v.filter("label = 1").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    asked = question_vectors(spark, sf)
+    answered = cl.qa_cache_match(asked, cached, 0.45, 0.42, skip_same=True).filter("band = 'bypass'").select("query_id")
+    kept = fu.final_cut(fu.grade_hits(graded(spark, sf), "fuse"), 7).join(answered, "query_id", "left_anti")
+    return fu.build_context(kept.withColumnsRenamed({"doc_topic": "title", "lang": "location"}))
