@@ -49,21 +49,37 @@ def text_key(text: Column) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) with the smallest node reachable, for an undirected edge table (a, b) of longs.
-
-    Every round takes the smallest label among a node and its neighbours and
-    then follows labels once (pointer jumping), so long chains shrink fast.
-    Minima combine before the shuffle; no neighbour list is ever gathered. Each
-    round is a table in the shared folder.
+    """(node, component) with the smallest node reachable, for an undirected edge table (a, b).
+
+    The graph is contracted round by round: every node joins the first of its
+    neighbours and itself, edges inside a group go, and the rest are edges of a
+    smaller graph. First is the smallest node in even rounds, which ends stars at
+    once, and the smallest hash in odd ones, which halves chains whatever their
+    order. Minima combine before the shuffle and no neighbour list is ever
+    gathered; each round is a table in the shared folder.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges").select("a", "b")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest, labels, turn = stored(pairs, "edges"), None, 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        better = labels.join(near, labels.node == near.a, "left").select("node", "component", F.least("component", F.coalesce("m", "component")).alias("least"))
-        jump = labels.select(F.col("node").alias("least"), F.col("component").alias("beyond"))
-        new = better.join(jump, "least", "left").select("node", F.coalesce(F.least("beyond", "least"), "least").alias("component"), (F.coalesce(F.least("beyond", "least"), "least") != F.col("component")).alias("moved"))
-        new = stored(new, "labels")
-        labels = new.select("node", "component")
-        if new.where("moved").isEmpty():
-            return labels
+        both = rest.select("a", "b").unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = (lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c))) if turn % 2 else (lambda c: F.struct(F.col(c).alias("h"), F.col(c)))  # noqa: B023, E731
+        first = both.groupBy("a").agg(F.min(rank("b")).alias("near"))
+        kind = first.schema["near"].dataType
+        step = stored(first.select(F.col("a").alias("node"), F.least(rank("a").cast(kind), "near")[kind.names[1]].alias("to")), "step")
+        for _ in range(2):  # follow the joins a little, as one may lead to the next
+            on = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            step = step.join(on, "to").select("node", F.col("next").alias("to"))
+        step = stored(step, "step")
+        if labels is None:
+            labels = step
+        else:
+            on = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            labels = stored(labels.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "labels")
+        left, right = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        rest = rest.join(left, "a").join(right, "b").where("x <> y")
+        rest = stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        turn += 1
+        if rest.isEmpty():
+            break
+    least = labels.groupBy("to").agg(F.least(F.min("node"), F.col("to")).alias("component"))
+    return stored(labels.join(least, "to").select("node", "component"), "components")

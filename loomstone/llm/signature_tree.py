@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import components, packed, stored, unpacked
 
-BITS = 2048  # width of the token bitmaps
 LEAF = 8  # sets under the lowest nodes
 BLOCK = 64  # sets of one tree
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -100,25 +99,58 @@ def digest_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def bitmap_of(tokens: np.ndarray) -> bytes:
+    """The token bitmap of a set: at least two bits a token, a power of two wide, so that wide ones fold onto narrow ones."""
+    width = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def _sets_of(batch: pa.RecordBatch, size: int, numbers: dict) -> list[np.ndarray]:
+    sets = [shingle_set(text.as_py(), size, numbers) for text in batch.column("text")]
+    if len(numbers) > 300_000:
+        numbers.clear()
+    return sets
+
+
 def _described(size: int, percent: int):
+    """Texts -> per document its set's size, digest, bitmap and part keys.
+
+    Keys have 48 bits and stand in one binary value, six bytes each: what they
+    bring together is compared later, so a rare chance meeting costs a look.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, levels = WordNumbers(), Levels(percent)
         for batch in batches:
-            n, digest, keys = [], [], []
-            for text in batch.column("text"):
-                if len(numbers) > 300_000:
-                    numbers.clear()
-                tokens = shingle_set(text.as_py(), size, numbers)
-                n.append(len(tokens))
-                digest.append(digest_of(tokens) if len(tokens) else None)
-                keys.append(part_keys(tokens, levels).view(np.int64) if len(tokens) else np.empty(0, np.int64))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "n", "digest", "keys"])
+            sets = _sets_of(batch, size, numbers)
+            digest = [digest_of(s) if len(s) else None for s in sets]
+            bits = [bitmap_of(s) if len(s) else None for s in sets]
+            keys = [np.unique(part_keys(s, levels) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, bits, keys))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "digest", "bits", "keys"])
 
     return run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, keys) -> a row (key, node) per key."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            raw = part.column("keys").to_pylist()
+            six = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+            keys = np.zeros((len(six), 8), np.uint8)
+            keys[:, :6] = six
+            nodes = np.array([int.from_bytes(d[:8], "big", signed=True) for d in part.column("digest").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(nodes, [len(r) // 6 for r in raw]))], ["key", "node"])
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, node) -> an edge from the first node of every key to each node of it.
 
@@ -166,22 +198,30 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((2, key, hub, hub), kinds)], names)
 
 
-def candidate_edges(described: DataFrame) -> DataFrame:
-    """(a, b, weight): stars over the nodes that share a part; a node is the first half of a set's digest.
+def node_of(digest) -> Column:
+    """The first half of a digest as a number; what two sets share it with each other is compared, not assumed."""
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")
+
 
-    weight counts the shared parts; a = b rows carry the hub's own. Every two
-    nodes that share a part are connected through the part's star, with a row
-    per member instead of one per pair.
+def candidate_groups(described: DataFrame) -> DataFrame:
+    """(key, hub, node): the nodes of every part that at least two sets share; the hub is the smallest of them.
+
+    A star per part, one row a member: no pairs. Rows are dealt by range of
+    (key, node), so a part that very many sets share lies across as many tasks as
+    it needs; a task's first key may have begun in the one before, which one row
+    per task settles.
     """
-    node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    rows = described.where("digest IS NOT NULL").select(node.alias("node"), F.explode("keys").alias("key"))
+    rows = described.where("digest IS NOT NULL").select("digest", "keys").mapInArrow(_keyed, "key long, node long")
     dealt = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     marks = stored(dealt.mapInArrow(_stars, "kind int, key long, a long, b long").withColumn("part", F.spark_partition_id()), "stars")
     edges = marks.where("kind = 2").groupBy("key").agg(F.min_by("a", "part").alias("hub"), F.min("part").alias("first_part"))
     first = marks.where("kind = 1").join(F.broadcast(edges), "key", "left")  # a row per part at most
-    first = first.select(F.when(F.col("first_part") < F.col("part"), F.col("hub")).otherwise(F.col("a")).alias("a"), "b")
-    every = marks.where("kind = 0").select("a", "b").unionByName(first)
-    return every.groupBy("a", "b").agg(F.count("*").alias("weight"))
+    first = first.select("key", F.when(F.col("first_part") < F.col("part"), F.col("hub")).otherwise(F.col("a")).alias("hub"), F.col("b").alias("node"))
+    # A last key that goes on elsewhere: its hub's own row may stand in no other.
+    last = marks.where("kind = 2").select("key", F.col("a").alias("hub"), F.col("a").alias("node")).join(edges.select("key", F.col("hub").alias("top")), "key")
+    last = last.select("key", F.col("top").alias("hub"), "node")
+    every = marks.where("kind = 0").select("key", F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(first).unionByName(last)
+    return every.distinct()
 
 
 class Tree:
@@ -192,14 +232,10 @@ class Tree:
     at most the common bits plus the smaller of these losses.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))  # near copies tend to share their least token
-        self.bits = np.zeros((len(sets), BITS // 64), np.uint64)
-        for i, tokens in enumerate(sets):
-            at = tokens % np.uint64(BITS)
-            np.bitwise_or.at(self.bits[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        self.size = np.array([len(s) for s in sets])
+    def __init__(self, bitmaps: list[np.ndarray], sizes: list[int], order: list[int]):
+        words = min(len(b) for b in bitmaps)
+        self.bits = np.stack([folded(b, words) for b in bitmaps])
+        self.size = np.array(sizes)
         self.loss = self.size - np.bitwise_count(self.bits).sum(1)
         nodes = [order[lo : lo + LEAF] for lo in range(0, len(order), LEAF)]
         self.nodes = [self._node(members, None) for members in nodes]
@@ -213,6 +249,10 @@ class Tree:
                 level.append(len(self.nodes) - 1)
         self.root = level[0]
 
+    def leaf(self, i: int) -> dict:
+        n = int(self.size[i])
+        return {"bits": self.bits[i], "low": n, "high": n, "loss": int(self.loss[i])}
+
     def _node(self, members: list[int], children: list[int] | None) -> dict:
         return {
             "members": members, "children": children if children and len(children) > 1 else (self.nodes[children[0]]["children"] if children else None),
@@ -221,18 +261,18 @@ class Tree:
 
 
 class Linker:
-    """Finds links between sets of one or two trees until every two that can be joined by links are.
+    """Finds links between sets of one or two trees until every two that can be joined by links are; without sets, what may link.
 
     A pair of nodes goes if their sizes are too far apart, if the overlap they
     can have at most is below what their smallest sizes need, or if all their
     sets are connected already: what counts is which sets hang together.
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.parent = list(range(len(sets)))
+    def __init__(self, sizes: list[int], percent: int, sets: list[np.ndarray] | None = None):
+        self.sizes, self.percent, self.sets = sizes, percent, sets
+        self.parent = list(range(len(sizes)))
         self.links: list[tuple[int, int]] = []
-        self.verified = 0
+        self.open: set[int] = set()
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -248,7 +288,6 @@ class Linker:
         a, b = self.sets[i], self.sets[j]
         if min(len(a), len(b)) * 100 < self.percent * max(len(a), len(b)):
             return False
-        self.verified += 1
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= self.percent * (len(a) + len(b) - both)
 
@@ -258,7 +297,12 @@ class Linker:
         need = -(-self.percent * (a["low"] + b["low"]) // (100 + self.percent))
         if min(a["high"], b["high"]) < need:
             return False
-        return int(np.bitwise_count(a["bits"] & b["bits"]).sum()) + min(a["loss"], b["loss"]) >= need
+        words = min(len(a["bits"]), len(b["bits"]))
+        x, y, lost = a["bits"], b["bits"], min(a["loss"], b["loss"])
+        if len(x) != len(y):  # the wider one folds; it can lose more tokens then, the narrower one as many as before
+            x, y = folded(x, words), folded(y, words)
+            lost = a["loss"] if len(a["bits"]) == words else b["loss"]
+        return int(np.bitwise_count(x & y).sum()) + lost >= need
 
     def traverse(self, one: Tree, two: Tree, of_one: list[int], of_two: list[int]) -> None:
         """of_one, of_two: the numbers here of the trees' sets. One tree against itself meets every pair once."""
@@ -283,75 +327,137 @@ class Linker:
             else:
                 for at, i in enumerate(a["members"]):
                     for j in b["members"][at + 1 :] if same and p == q else b["members"]:
-                        x, y = of_one[i], of_two[j]
-                        if self.find(x) != self.find(y) and self.linked(x, y):
-                            self.links.append((x, y))
-                            self.join(x, y)
+                        self.meet(of_one[i], of_two[j], one, i, two, j)
 
+    def meet(self, x: int, y: int, one: Tree, i: int, two: Tree, j: int) -> None:
+        """Two sets: with the sets at hand they are linked or not; with bitmaps alone they stay open unless the bound parts them."""
+        if self.find(x) == self.find(y) or (self.sets is None and x in self.open and y in self.open):
+            return
+        if not self.possible(one.leaf(i), two.leaf(j)):
+            return
+        if self.sets is None:
+            self.open |= {x, y}
+        elif self.linked(x, y):
+            self.links.append((x, y))
+            self.join(x, y)
 
-def _join_blocks(percent: int):
-    """Rows sorted by (cluster, left, right): a block's sets with side 0, and side 1 where another block meets it.
 
-    The sets of side 1 that hang together already carry one ``mark``. Emits
-    links (a, b) of digests that connect what the block's links connect.
-    """
-
-    def links_of(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        kept = list({(r[0], r[1]): r for r in rows}.values())
-        sets = [r[2] for r in kept]
-        linker = Linker(sets, percent)
-        marks: dict = {}
-        for i, r in enumerate(kept):
-            if r[3] is not None:
-                linker.join(marks.setdefault(r[3], i), i)
-        sides = [[i for i, r in enumerate(kept) if r[0] == side] for side in (0, 1)]
-        trees = [Tree([sets[i] for i in own]) if own else None for own in sides]
-        if trees[0] and trees[1]:
-            linker.traverse(trees[1], trees[0], sides[1], sides[0])
-        if trees[0] and not any(r[4] for r in kept):
-            linker.traverse(trees[0], trees[0], sides[0], sides[0])
-        return [(kept[i][1], kept[j][1]) for i, j in linker.links]
+def _grouped(names: list[str], work, out_names: list[str], out_types: list):
+    """Run ``work`` on the rows of each (cluster, left, right) of a sorted stream; a group is a few blocks at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
+        at, rows, out = None, [], []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [[]] * len(out_names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out_types)], out_names)
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "left", "right", "side", "digest", "mark", "across")]
-            offsets = batch.column("tokens").offsets.to_numpy()
-            tokens = batch.column("tokens").values.to_numpy().view(np.uint64)
-            out = []
-            for i, (cluster, left, right, side, digest, mark, across) in enumerate(zip(*columns)):
-                if at != (cluster, left, right):
-                    out += links_of(rows) if len(rows) > 1 else []
-                    at, rows = (cluster, left, right), []
-                rows.append((side, digest, tokens[offsets[i] : offsets[i + 1]].copy(), mark, across))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
-        if len(rows) > 1 and (out := links_of(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                columns = [part.column(n).to_pylist() if n != "tokens" else [np.array(t, np.int64).view(np.uint64) for t in _arrays(part.column(n))] for n in names]
+                for row in zip(*columns):
+                    if row[:3] != at:
+                        out += work(at, rows) if len(rows) > 1 else []
+                        at, rows = row[:3], []
+                    rows.append(row[3:])
+            yield batch_of()
+            out.clear()
+        out += work(at, rows) if len(rows) > 1 else []
+        yield batch_of()
 
     return run
 
 
-_ROWS = ["cluster", "left", "right", "side", "digest", "tokens", "mark", "across"]
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1])
 
 
-def _links(rows: DataFrame, percent: int, name: str) -> DataFrame:
-    group = ["cluster", "left", "right"]
-    dealt = rows.select(*_ROWS).repartition(*group).sortWithinPartitions(*group)
-    return stored(dealt.mapInArrow(_join_blocks(percent), "a binary, b binary"), name)
+def _linker(rows: list[tuple], sizes: list[int], bitmaps: list[np.ndarray], percent: int, sets=None) -> Linker:
+    """Traverse the trees of a group: side 1 with side 0 and, unless the group is a pair of blocks, side 0 with itself.
 
+    ``rows`` are (side, digest, mark, across); sets of one mark hang together already.
+    """
+    linker, marks = Linker(sizes, percent, sets), {}
+    for i, (_, _, mark, _) in enumerate(rows):
+        if mark is not None:
+            linker.join(marks.setdefault(mark, i), i)
+    sides, trees = [[i for i, r in enumerate(rows) if r[0] == side] for side in (0, 1)], []
+    for own in sides:
+        key = (lambda i: (int(sets[own[i]][0]), sizes[own[i]])) if sets else (lambda i: sizes[own[i]])  # noqa: B023  near copies tend to share their least token
+        trees.append(Tree([bitmaps[i] for i in own], [sizes[i] for i in own], sorted(range(len(own)), key=key)) if own else None)
+    if trees[0] and trees[1]:
+        linker.traverse(trees[1], trees[0], sides[1], sides[0])
+    if trees[0] and not any(r[3] for r in rows):
+        linker.traverse(trees[0], trees[0], sides[0], sides[0])
+    return linker
 
-def _token_rows(size: int, keep: list[str]):
+
+def _prune(percent: int):
+    """Rows (side, digest, mark, across, n, bits) -> those that may link with another row of their group, by bitmaps alone."""
+
+    def work(at, rows):
+        linker = _linker([r[:4] for r in rows], [r[4] for r in rows], [np.frombuffer(r[5], np.uint64) for r in rows], percent)
+        return [(*at, *rows[i][:4]) for i in sorted(linker.open)]
+
+    return work
+
+
+def _join(percent: int):
+    """Rows (side, digest, mark, across, tokens) -> (a, b): each set that found a link, with the smallest of what it hangs together with."""
+
+    def work(at, rows):
+        sets = [r[4] for r in rows]
+        bitmaps = [np.frombuffer(bitmap_of(s), np.uint64) for s in sets]
+        linker = _linker([r[:4] for r in rows], [len(s) for s in sets], bitmaps, percent, sets)
+        linked = {linker.find(i) for i, _ in linker.links}
+        least: dict[int, bytes] = {}
+        for i, r in enumerate(rows):
+            root = linker.find(i)
+            if root in linked:
+                least[root] = min(r[1], least.get(root, r[1]))
+        return [(least[root], r[1]) for i, r in enumerate(rows) if (root := linker.find(i)) in linked and r[1] != least[root]]
+
+    return work
+
+
+_GROUP = ["cluster", "left", "right"]
+_ROW = [*_GROUP, "side", "digest", "mark", "across"]
+
+
+def _links(rows: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """Links among the rows of each group.
+
+    Bitmaps (a quarter byte a token) go first; sets, made from the texts again,
+    follow only for what the bitmaps leave open.
+    """
+    kinds = "cluster long, left int, right int, side int, digest binary, mark binary, across boolean"
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+    known = rows.select(*_ROW).join(classes.select("digest", "n", "bits"), "digest")
+    # A fixed number of parts: groups are few bytes and much work, so they must not be put together by size.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = known.select(*_ROW, "n", "bits").repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP)
+    left = stored(dealt.mapInArrow(_grouped([*_ROW, "n", "bits"], _prune(percent), _ROW, types), kinds), f"{name}_open")
+    wanted = left.select("digest").distinct().join(classes.select("digest", F.col("doc_id").alias("_doc")), "digest")
+    met = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_doc"])).select("digest", "text")
+    sets = met.mapInArrow(_token_rows(size), "digest binary, found binary, tokens array<long>").where("found = digest").drop("found")
+    sets = stored(sets.groupBy("digest").agg(F.first("tokens").alias("tokens")), f"{name}_sets")  # rows of one id: one is enough
+    dealt = left.join(sets, "digest").select(*_ROW, "tokens").repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP)
+    return stored(dealt.mapInArrow(_grouped([*_ROW, "tokens"], _join(percent), ["a", "b"], [pa.binary(), pa.binary()]), "a binary, b binary"), name)
+
+
+def _token_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = WordNumbers()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size, numbers) for t in batch.column("text")]
-            if len(numbers) > 300_000:
-                numbers.clear()
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
-            values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            digest = pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), digest, pa.ListArray.from_arrays(offsets, pa.array(values))], [*keep, "found", "tokens"])
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                sets = _sets_of(part, size, numbers)
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
+                values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+                digest = pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("digest"), digest, pa.ListArray.from_arrays(offsets, pa.array(values))], ["digest", "found", "tokens"])
 
     return run
 
@@ -362,62 +468,81 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, block: in
     Sets of ``size``-word shingles link when their Jaccard similarity is at
     least ``percent`` %; component_id is the smallest doc_id reachable by links.
 
-    1. Every set is cut into parts such that linked sets share one (``Levels``).
-       Sets that share a part become a cluster of candidates; equal sets are one.
-    2. A cluster is cut into blocks of about ``block`` sets by hash. A block is
-       one signature tree, joined with itself and with the cluster's hub, the set
-       with the most shared parts. Work grows with the cluster, not its square.
-    3. What is not connected with the hub then is joined with the cluster's
-       other blocks, tree against tree. So every two sets of a cluster are
-       compared, bounded away, or connected already.
+    1. Every set is cut into parts such that linked sets share one (``Levels``);
+       the sets that share a part are a group. Equal sets are one from here on.
+    2. Every set meets the hub of the star it shares most parts with, in blocks
+       of about ``block`` sets: signature trees, joined with the hub's and with
+       themselves. Near copies are connected now, at work that is linear in them.
+    3. Groups that are not connected whole are compared: what is not connected
+       with a group's main component meets the group's blocks, tree against tree.
+       So any two sets of a group are compared, bounded away, or connected.
 
     Empty and null texts have no shingles and are their own component; a null
     doc_id takes part and never is a component's name unless nothing else is in
     it; rows repeated whole link like any equal sets.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = stored(given.mapInArrow(_described(size, percent), "doc_id long, n long, digest binary, keys array<long>"), "described")
-    edges = stored(candidate_edges(described), "candidates")
-    clusters = components(edges.where("a <> b").select("a", "b"))
-    node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    weights = edges.groupBy(F.col("b").alias("node")).agg(F.sum("weight").alias("weight"))
-    members = classes.withColumn("node", node).join(clusters.withColumnRenamed("component", "cluster"), "node").join(weights, "node", "left")
-    members = stored(members.select("digest", "doc_id", "cluster", F.coalesce("weight", F.lit(0)).alias("weight")), "members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.max(F.struct("weight", "digest"))["digest"].alias("hub"))
-    sizes = stored(sizes, "clusters")
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    placed = placed.select("digest", F.col("doc_id").alias("_doc"), "cluster", "blocks", "block", (F.col("digest") == F.col("hub")).alias("is_hub"))
-    texts = given.join(placed, given["doc_id"].eqNullSafe(placed["_doc"])).select("text", "digest", "cluster", "blocks", "block", "is_hub")
-    keep = "digest binary, cluster long, blocks int, block int, is_hub boolean"
-    sets = texts.mapInArrow(_token_rows(size, [c.split()[0] for c in keep.split(", ")]), f"{keep}, found binary, tokens array<long>")
-    sets = stored(sets.where("found = digest").drop("found"), "sets")  # rows of one id with other texts fall out
-
-    none = F.lit(None).cast("binary")
-    first = sets.select("cluster", F.col("block").alias("left"), F.lit(-1).alias("right"), F.lit(0).alias("side"), "digest", "tokens", none.alias("mark"), F.lit(False).alias("across"))
-    hubs = sets.where("is_hub AND blocks > 1").withColumn("left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hubs = hubs.select("cluster", "left", F.lit(-1).alias("right"), F.lit(1).alias("side"), "digest", "tokens", none.alias("mark"), F.lit(False).alias("across"))
-    links = _links(first.unionByName(hubs), percent, "links")
-
-    if not sets.where("blocks > 1").isEmpty():
-        links = links.unionByName(_residual(sets.where("blocks > 1"), links, percent, block))
+    described = stored(given.mapInArrow(_described(size, percent), "doc_id long, n long, digest binary, bits binary, keys binary"), "described")
+    groups = stored(candidate_groups(described), "groups")
+    classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = classes.withColumn("node", node_of("digest")).join(groups.select("node").distinct(), "node", "left_semi")
+    classes = stored(classes, "classes")
+    digests = classes.select("node", "digest")
+    links = _links(_stars_rows(groups, digests, block), given, classes, size, percent, "links")
+    marks = components(links)
+    rows = _rest_rows(groups, digests, marks, block)
+    if rows is not None:
+        links = links.unionByName(_links(rows, given, classes, size, percent, "rest"))
     return _named(described, links)
 
 
-def _residual(sets: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between what the hubs did not reach and the other blocks of its cluster."""
-    marks = components(links)
-    known = sets.join(marks.select(F.col("node").alias("digest"), F.col("component")), "digest", "left").withColumn("mark", F.coalesce("component", "digest")).drop("component")
-    known = stored(known, "marked")
-    hub = known.where("is_hub").select("cluster", F.col("mark").alias("hub_mark"))
-    left_out = stored(known.join(hub, "cluster").where("mark <> hub_mark").drop("hub_mark"), "left_out")
-    counts = left_out.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("lefts"))
-    counts = stored(counts, "lefts")
-    place = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("lefts")).cast("int")
-    out = left_out.join(counts, "cluster").withColumn("left", place).withColumn("right", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = known.join(counts, "cluster").withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("right", F.col("block"))
-    rows = [df.withColumn("side", F.lit(side)).withColumn("across", F.lit(True)).select(*_ROWS) for side, df in ((1, out), (0, near))]
-    return _links(rows[0].unionByName(rows[1]), percent, "residual")
+def _stars_rows(groups: DataFrame, digests: DataFrame, block: int) -> DataFrame:
+    """Blocks of the sets that meet one hub, and the hub in each of them."""
+    weights = groups.where("hub <> node").groupBy("hub", "node").agg(F.count("*").alias("weight"))
+    best = weights.groupBy("node").agg(F.max(F.struct("weight", (-F.col("hub")).alias("h"), "hub"))["hub"].alias("cluster"))
+    best = stored(best, "best")
+    sizes = stored(best.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), "stars_of")
+    none, inside = F.lit(None).cast("binary").alias("mark"), F.lit(False).alias("across")
+    place = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("left")
+    members = best.join(sizes, "cluster").join(digests, "node").select("cluster", place, F.lit(-1).alias("right"), F.lit(0).alias("side"), "digest", none, inside)
+    hubs = sizes.join(digests.withColumnRenamed("node", "cluster"), "cluster").withColumn("left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hubs = hubs.select("cluster", "left", F.lit(-1).alias("right"), F.lit(1).alias("side"), "digest", none, inside)
+    return members.unionByName(hubs)
+
+
+def _rest_rows(groups: DataFrame, digests: DataFrame, marks: DataFrame, block: int) -> DataFrame | None:
+    """Of what is not connected whole: the sets outside the main component (side 1) and all blocks (side 0).
+
+    A group of at most ``block`` sets is compared as it is, and groups with the
+    same sets once. Larger groups that share sets are put together first, as
+    near copies share many parts and would be compared once for each.
+    """
+    held = groups.join(digests, "node").select("key", "digest").distinct().join(marks.select(F.col("node").alias("digest"), "component"), "digest", "left")
+    held = stored(held.withColumn("mark", F.coalesce("component", "digest")).select("key", "digest", "mark"), "held")
+    ends = [F.min("mark").alias("m1"), F.max("mark").alias("m2"), F.count("*").alias("n"), F.min("digest").alias("first")]
+    sums = [F.sum(F.xxhash64("digest", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    apart = held.groupBy("key").agg(*ends, *sums).where("m1 <> m2")
+    keys = stored(apart.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.first("first").alias("first")).select("key", "n", "first"), "apart")
+    if keys.isEmpty():
+        return None
+    rows = held.join(keys.where(F.col("n") <= block).select("key"), "key").select(F.col("key").alias("cluster"), "digest", "mark")
+    large = stored(held.join(keys.where(F.col("n") > block).select("key", "first"), "key"), "large")
+    if not large.isEmpty():
+        together = components(large.select(F.col("first").alias("a"), F.col("digest").alias("b")))
+        joined = large.select("digest", "mark").distinct().join(together.withColumnRenamed("node", "digest"), "digest")
+        rows = rows.unionByName(joined.select(F.xxhash64("component").alias("cluster"), "digest", "mark"))
+    rows = stored(rows, "rest_rows")
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    main = rows.groupBy("cluster", "mark").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "mark"))["mark"].alias("main"))
+    rows = stored(rows.join(sizes, "cluster").join(main, "cluster"), "rest_rows")
+    outside = rows.where("mark <> main")
+    lefts = stored(outside.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("lefts")), "lefts")
+    across = F.lit(True).alias("across")
+    one = outside.join(lefts, "cluster").withColumn("left", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("lefts")).cast("int"))
+    one = one.withColumn("right", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "left", "right", F.lit(1).alias("side"), "digest", "mark", across)
+    two = rows.join(lefts, "cluster").withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
+    two = two.select("cluster", "left", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("right"), F.lit(0).alias("side"), "digest", "mark", across)
+    return one.unionByName(two)
 
 
 def _named(described: DataFrame, links: DataFrame) -> DataFrame:

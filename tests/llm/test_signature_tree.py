@@ -91,9 +91,13 @@ def test_bound_never_cuts_a_link():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
     sets = [np.sort(rng.permutation(base)[: rng.integers(2700, 3000)]) for _ in range(40)]
-    linker = st.Linker(sets, 90)
-    tree = st.Tree(sets)
+    bitmaps = [np.frombuffer(st.bitmap_of(x), np.uint64) for x in sets]
+    linker = st.Linker([len(x) for x in sets], 90, sets)
+    tree = st.Tree(bitmaps, [len(x) for x in sets], list(range(40)))
     linker.traverse(tree, tree, list(range(40)), list(range(40)))
+    only_bits = st.Linker([len(x) for x in sets], 90)
+    only_bits.traverse(tree, tree, list(range(40)), list(range(40)))
+    assert {i for link in linker.links for i in link} <= only_bits.open
     brute_parent = list(range(40))
     for i in range(40):
         for j in range(i):
