@@ -155,7 +155,7 @@ def test_tolerant_json(spark):
         '```json\n{"correct": true, "score_value": 1}\n```', 'so {"correct": true, "reasoning": "a\nb"} end', '{"correct": True, "score_value": 0.4, "reasoning": "cut',
         '"correct": false "score_value": 0.5', "nothing",
     ]
-    got = [tuple(r) for r in column(spark, raw, an.tolerant_json)]
+    got = [tuple(r)[:4] for r in column(spark, raw, an.tolerant_json)]  # missing and extra: test_rules
     assert got == [
         (True, 1.0, "", "whole"), (True, 0.0, "a\nb", "braces"), (True, 0.4, "cut", "fields"),
         (False, 0.5, "regex-extracted (parse fallback)", "fields"), (False, 0.0, "judge JSON parse failed", "error"),
