@@ -1,8 +1,11 @@
 """The corpus pipeline: every stage does its operator's work on what the stage before kept, and clean documents come through."""
 
+import os
+
 import corpus_pipeline
-from loomstone.llm import signature_tree
+from loomstone.llm import byte_bpe, signature_tree
 from loomstone.llm.common import stored, table
+from loomstone.llm.queries import vocabulary
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_signature_tree import brute as brute_groups
 
@@ -47,3 +50,37 @@ def test_empty_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_stages_with_first_occurrences(spark):
+    tables = [table(spark, SF, "documents")]
+    for name, stage in corpus_pipeline.STAGES:
+        tables.append(stored(stage(spark, tables[-1], SF), name))
+    _, clean, lines, alone, mixed, encoded = [t.collect() for t in tables]
+    want = brute_lines([(r["doc_id"], r["text"]) for r in clean], 10, 1, True)
+    assert sorted(((r["doc_id"], r["text"]) for r in lines), key=str) == sorted(((d, t) for d, t, *_ in want), key=str)
+    assert all(r["n_chars"] == len(r["text"]) for r in lines)
+
+    groups = brute_groups([(r["doc_id"], r["text"]) for r in lines], 5, 80)
+    assert sorted(r["doc_id"] for r in alone) == sorted(d for d, _, c in groups if c == d)
+    by_id = {r["doc_id"]: tuple(r) for r in alone}
+    assert all(by_id[r["doc_id"]] == tuple(r) for r in mixed)
+    words = lambda rows: sum(len(r["text"].split()) for r in rows)
+    assert 1.1 * words(alone) < words(mixed) <= 2 * words(alone)
+    assert len(encoded) == len(mixed) and all(r["spells_text"] for r in encoded)
+
+
+def test_one_of_twelve_exact_copies_comes_out_whole(spark, tmp_path):
+    sf = str(tmp_path)
+    text = "\n".join(["The harbour office opens at seven and closes at four.", "", "Boats that come later wait at the outer quay until the morning.", "A lamp shows where."])
+    docs = table(spark, SF, "documents")
+    copies = spark.createDataFrame([(10_000_000 + i, text, "en", "harbour", len(text)) for i in range(12)], COLUMNS)
+    copies = copies.select(*[copies[f.name].cast(f.dataType) for f in docs.schema])
+    docs.unionByName(copies).write.parquet(f"{sf}/documents.parquet")
+    os.symlink(f"{SF}/labels.parquet", f"{sf}/labels.parquet")
+
+    out = stored(corpus_pipeline.run(spark, sf).where("doc_id >= 10000000"), "copies")
+    spelled = byte_bpe.decode(out, vocabulary()[0]).collect()
+    assert {r["doc_id"] for r in spelled if bytes(r["decoded"]) == text.encode()} == {10_000_000}
+    assert all(not r["decoded"] for r in spelled if r["doc_id"] != 10_000_000)
+    assert all(r["spells_text"] for r in out.collect())
