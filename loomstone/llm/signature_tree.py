@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import components, packed, stored, unpacked
+from loomstone.llm.common import components, packed, stored, text_key, unpacked
 
 LEAF = 8  # sets under the lowest nodes
 BLOCK = 64  # sets of one tree
@@ -133,7 +133,7 @@ def _described(size: int, percent: int):
             bits = [bitmap_of(s) if len(s) else None for s in sets]
             keys = [np.unique(part_keys(s, levels) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, bits, keys))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "digest", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "n", "digest", "bits", "keys"])
 
     return run
 
@@ -481,8 +481,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, block: in
     doc_id takes part and never is a component's name unless nothing else is in
     it; rows repeated whole link like any equal sets.
     """
+    return _grouped_documents(docs, size, percent, block).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped_documents(docs: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """``near_duplicates`` with th, the key of a row's text, and component_th, that of the document the component is named by."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = stored(given.mapInArrow(_described(size, percent), "doc_id long, n long, digest binary, bits binary, keys binary"), "described")
+    keyed = given.withColumn("th", text_key(F.col("text")))
+    described = stored(keyed.mapInArrow(_described(size, percent), "doc_id long, th long, n long, digest binary, bits binary, keys binary"), "described")
     groups = stored(candidate_groups(described), "groups")
     classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = classes.withColumn("node", node_of("digest")).join(groups.select("node").distinct(), "node", "left_semi")
@@ -546,22 +552,27 @@ def _rest_rows(groups: DataFrame, digests: DataFrame, marks: DataFrame, block: i
 
 
 def _named(described: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of the digests, then the smallest id of each component's documents."""
+    """Components of the digests, then the smallest (id, text key) of each component's documents."""
     groups = components(links).withColumnRenamed("node", "digest")
-    of = described.select("doc_id", "n", "digest")
-    named = stored(of.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least")).join(groups, "digest", "left").select("digest", "least", F.coalesce("component", "digest").alias("component")), "classes")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = stored(named.join(least, "component").select(F.col("digest").alias("_digest"), "component_id"), "ids")
+    of = described.select("doc_id", "th", "n", "digest")
+    document = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))
+    named = stored(of.where("digest IS NOT NULL").groupBy("digest").agg(F.min(document).alias("least")).join(groups, "digest", "left").select("digest", "least", F.coalesce("component", "digest").alias("component")), "classes")
+    least = named.groupBy("component").agg(F.min("least").alias("first"))
+    ids = stored(named.join(least, "component").select(F.col("digest").alias("_digest"), "first"), "ids")
     joined = of.join(ids, of["digest"] == ids["_digest"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = F.col("digest").isNull()
+    return joined.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.when(own, F.col("th")).otherwise(F.col("first.th")).alias("component_th"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """The documents without near duplicates: of each component the row with its component's id stays.
+    """The documents without near duplicates: of each component the smallest document by (doc_id, text key) stays.
 
-    Null ids, empty and null texts stay. Rows that share the component's id stay
-    all if their texts agree with it, as they are rows of one document.
+    A document is a distinct (doc_id, text): an id with several texts loses
+    those that another document stands for, and no others. Null ids, empty and
+    null texts stay, and so do all rows of a document that stays.
     """
-    found = near_duplicates(docs, size, percent, block)
-    gone = stored(found.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return packed(docs).join(gone, F.col("_row.doc_id").cast("long") == F.col("_gone"), "left_anti").select(*unpacked(docs.columns))
+    found = _grouped_documents(docs, size, percent, block)
+    gone = found.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND (doc_id <> component_id OR th <> component_th)")
+    gone = stored(gone.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_text")).distinct(), "gone")
+    agrees = (F.col("_row.doc_id").cast("long") == F.col("_gone")) & (text_key(F.col("_row.text")) == F.col("_text"))
+    return packed(docs).join(gone, agrees, "left_anti").select(*unpacked(docs.columns))

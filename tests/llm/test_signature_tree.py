@@ -113,3 +113,27 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert st.near_duplicates(docs).count() == 0
     assert st.keep_one(docs).count() == 0
+
+
+def test_keep_one_goes_by_id_and_text(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [
+        (1, words("a")),
+        (5, words("a") + " more"),  # near copy of 1: goes
+        (5, words("b")),  # another text of the id, linked with nothing: stays
+        (5, words("c")),  # names its group, though its id is gone through another text
+        (6, words("c") + " more"),
+        (7, words("d")),  # two texts of one id that are near copies: one of them stays
+        (7, words("d") + " more"),
+        (8, words("e")),
+        (8, words("e")),  # a row repeated whole is the same document
+        (None, words("a")),
+        (9, ""),
+        (9, None),
+    ]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, GONE int").repartition(3)
+    kept = st.keep_one(docs).collect()
+    assert docs.columns == ["doc_id", "text", "GONE"] and all(rows[r["GONE"]] == (r["doc_id"], r["text"]) for r in kept)
+    stays = sorted(r["GONE"] for r in kept)
+    assert [i for i in stays if i not in (5, 6)] == [0, 2, 3, 7, 8, 9, 10, 11]
+    assert len([i for i in stays if i in (5, 6)]) == 1
