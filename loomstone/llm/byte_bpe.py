@@ -68,6 +68,10 @@ class Merger:
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         if self.of_byte.min() < 0:
             raise ValueError("a byte-level vocabulary holds all 256 bytes")
+        spelling = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            spelling[rank] = token
+        self.spelling = pa.array(spelling, pa.binary())
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -75,7 +79,11 @@ class Merger:
         self.db.unregister("given")
 
     def encode(self, words: list[bytes]) -> tuple["Pieces", "Pieces"]:
-        """Ids of every word, and the bytes that the ids spell. A word of the vocabulary is its own token."""
+        """Ids of every word, and the bytes that the ids spell."""
+        return self.merge(words), self._spelled()
+
+    def merge(self, words: list[bytes]) -> "Pieces":
+        """Ids of every word. A word of the vocabulary is its own token."""
         whole = [(i, self.ranks[w]) for i, w in enumerate(words) if w in self.ranks]
         skip = {i for i, _ in whole}
         cut = [i for i in range(len(words)) if i not in skip]
@@ -89,7 +97,7 @@ class Merger:
             self.db.execute("INSERT INTO done SELECT word, toks FROM reached WHERE NOT open")
             self.db.execute("CREATE OR REPLACE TABLE start AS SELECT word, toks FROM reached WHERE open")
         found = self.db.sql("SELECT toks FROM done ORDER BY word").to_arrow_table().column("toks").combine_chunks()
-        return Pieces(found.flatten().to_numpy(), found.value_lengths().to_numpy()), self._spelled()
+        return Pieces(found.flatten().to_numpy(), found.value_lengths().to_numpy())
 
     def decode(self, rows: list[list[int]]) -> list[bytes]:
         """Bytes of every list of ids, by one ordered aggregation."""
@@ -126,19 +134,19 @@ def _encoded(ranks_of, pattern: str, keep: list[str]):
         import regex
 
         cut, merger = regex.compile(pattern), Merger(ranks_of.value)
-        nothing = Pieces(np.empty(0, np.int32), []), Pieces(np.empty(0, np.uint8), [])
+        nothing = Pieces(np.empty(0, np.int32), [])
         known: dict[str, int] = {}
-        ids, spelled = nothing
+        ids = nothing
 
         def learn(words: list[str]) -> None:
-            nonlocal ids, spelled
-            found = [(ids, spelled)]
+            nonlocal ids
+            found = [ids]
             raw = [w.encode("utf-8", "replace") for w in words]
             ends = np.cumsum([len(w) for w in raw]) // BATCH
             for part in np.split(np.arange(len(raw)), np.nonzero(np.diff(ends))[0] + 1):
-                found.append(merger.encode([raw[i] for i in part]))
+                found.append(merger.merge([raw[i] for i in part]))
             known.update(zip(words, range(len(known), len(known) + len(words))))
-            ids, spelled = (Pieces(np.concatenate([f[k].values for f in found]), np.concatenate([f[k].sizes for f in found])) for k in (0, 1))
+            ids = Pieces(np.concatenate([f.values for f in found]), np.concatenate([f.sizes for f in found]))
 
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -152,21 +160,21 @@ def _encoded(ranks_of, pattern: str, keep: list[str]):
                 every = set().union(*words)
                 new = every.difference(known)
                 if known and len(known) + len(new) > KNOWN:
-                    known, new, (ids, spelled) = {}, every, nothing
+                    known, new, ids = {}, every, nothing
                 if new:
                     learn(sorted(new))
                 counts = np.array([len(w) for w in words])
                 flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
                 row = np.repeat(np.arange(len(words)), counts)
                 columns = [batch.slice(at, end - at).column(c) for c in keep]
-                for pieces in (ids, spelled):
-                    sizes = np.bincount(row, weights=pieces.sizes[flat], minlength=len(words)).astype(np.int32)
-                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    values = pieces.take(flat)
-                    if pieces is ids:
-                        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
-                    else:
-                        columns.append(pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+                sizes = np.bincount(row, weights=ids.sizes[flat], minlength=len(words)).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                tokens = pa.array(ids.take(flat))
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), tokens))
+                # Decoded from the lists just made: the spellings of their tokens stand one after the other.
+                _, ends, spelled = merger.spelling.take(tokens).buffers()
+                ends = np.frombuffer(ends, np.int32, len(tokens) + 1) if len(tokens) else np.zeros(1, np.int32)
+                columns.append(pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends[offsets]), spelled or pa.py_buffer(b"")]))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
                 at = end
 
@@ -179,7 +187,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     ``vocabulary`` is the path of a rank file, read by the driver and sent to
     the tasks (its size does not depend on the data); ``pattern`` cuts a text
     into words, which are encoded separately and without special tokens.
-    ``decoded`` is spelled from the ids.
+    ``decoded`` is looked up in the vocabulary, id by id of the row's own list.
 
     A task meets a word again and again, so it encodes each distinct word once;
     what it remembers is bounded, and so are the words of one query. A word

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomstone.llm import byte_bpe
@@ -55,3 +57,16 @@ def test_empty_table_and_small_memory(spark, reference, monkeypatch):
     assert [one(ids, i).tolist() for i in range(3)] == [reference.encode_ordinary(w.decode()) for w in words[:3]]
     assert [one(spelled, i).tobytes() for i in range(4)] == words == merger.decode([one(ids, i).tolist() for i in range(4)])
     assert merger.decode([[], ids.take(np.array([1])).tolist()]) == [b"", b"hello"]
+
+
+def test_decoded_comes_from_the_emitted_ids(reference, monkeypatch):
+    """Lists put together wrongly must show: decoded follows the ids, not the words."""
+    path, pattern = vocabulary()
+    text = "Hello world, it's 2024 zzzzqqq"
+    take = byte_bpe.Pieces.take
+    monkeypatch.setattr(byte_bpe.Pieces, "take", lambda self, words: take(self, words)[::-1] if self.values.dtype == np.int32 else take(self, words))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([text, ""])], ["doc_id", "text"])
+    (out,) = byte_bpe._encoded(SimpleNamespace(value=byte_bpe.read_ranks(path)), pattern, ["doc_id"])(iter([batch]))
+    ids, decoded = out.column("ids").to_pylist(), out.column("decoded").to_pylist()
+    assert ids == [reference.encode_ordinary(text)[::-1], []]
+    assert decoded == [reference.decode_bytes(ids[0]), b""] and decoded[0] != text.encode()
