@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import byte_bpe, chat, chunks, divergence, kernel, lines, mixing, pivots, signature_tree, toxicity
+from loomstone.llm import byte_bpe, chat, chunks, divergence, kernel, lines, mixing, packing, pivots, signature_tree, toxicity
 from loomstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +210,19 @@ def _(spark, sf_dir):
 @query("op10_substring_dedup")
 def _(spark, sf_dir):
     return chunks.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ---------------------------------------------------------------- 13: best-fit packing
+
+
+def tokenizer() -> tuple[str, str]:
+    """Path of the tokenizer file and the pattern that cuts texts."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+@query("op13_best_fit_packing")
+def _(spark, sf_dir):
+    cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizer(), end=2, capacity=1024)
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=1024)
