@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import byte_bpe, chat, chunks, divergence, kernel, lines, mixing, packing, pivots, signature_tree, toxicity
+from loomstone.llm import byte_bpe, chat, chunks, divergence, kernel, lines, mixing, packing, pivots, prefix_trie, signature_tree, toxicity
 from loomstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +212,44 @@ def _(spark, sf_dir):
     return chunks.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---------------------------------------------------------------- 12: conversation prefix trie
+
+TRIE_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS body,
+          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+          xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM turns), crc),
+rebuilt AS (SELECT c.conv_id, 0 AS part, t.pos, t.role, t.body FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.body FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+paths AS (SELECT c.conv_id, coalesce(list(sha256(role) || sha256(body) ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS path,
+          coalesce(list(len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS words
+          FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+steps AS (SELECT conv_id, d, array_to_string(path[:d], '/') AS key, CASE WHEN d > 0 THEN array_to_string(path[:d - 1], '/') END AS above,
+          len(path) = d AS ends, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words
+          FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM paths)),
+nodes AS (SELECT key, d, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved,
+          sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+          FROM steps GROUP BY key, d),
+kids AS (SELECT above AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY above),
+under AS (SELECT DISTINCT a.key AS top, b.key AS key FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (SELECT u.top, sum(n.saved) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+         FROM under u JOIN nodes n ON n.key = u.key LEFT JOIN kids k ON k.key = u.key GROUP BY u.top)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.key = n.above LEFT JOIN kids k ON k.key = n.key JOIN sums s ON s.top = n.key"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def _(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 # ---------------------------------------------------------------- 13: best-fit packing
 
 
