@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import byte_bpe, chat, chunks, divergence, kernel, lines, mixing, packing, pivots, prefix_trie, signature_tree, toxicity
+from loomstone.llm import bag_search, byte_bpe, chat, chunks, divergence, kernel, lines, mixing, packing, pivots, prefix_trie, signature_tree, toxicity
 from loomstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +212,26 @@ def _(spark, sf_dir):
     return chunks.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---------------------------------------------------------------- 11: ranked lexical search
+
+SEARCH_SQL = rf"""
+WITH terms AS (SELECT doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+stats AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS total FROM terms),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+held AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM terms)
+         WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term),
+weighted AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, stats GROUP BY term, n_docs),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+           FROM held JOIN weighted USING (term) JOIN asked USING (term), stats GROUP BY item_id, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query("op11_bag_search", SEARCH_SQL)
+def _(spark, sf_dir):
+    return bag_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
 # ---------------------------------------------------------------- 12: conversation prefix trie
 
 TRIE_SQL = r"""
