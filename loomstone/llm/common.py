@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +15,37 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and lost executors re-read files."""
+_SCOPES: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends here and lost executors re-read files.
+
+    Inside ``scratch`` the table goes when the block ends, or, with ``keep``,
+    when the block around it ends.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored in this block are removed at its end. What leaves it must have been stored with ``keep``, as its own files are all it needs."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            top = spark._jvm.org.apache.hadoop.fs.Path(path)
+            top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(top, True)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop columns whose names an operator is about to write, whatever their case."""
     taken = {n.lower() for n in names}
@@ -58,6 +81,11 @@ def components(edges: DataFrame) -> DataFrame:
     order. Minima combine before the shuffle and no neighbour list is ever
     gathered; each round is a table in the shared folder.
     """
+    with scratch(edges.sparkSession):
+        return _contracted(edges)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest, labels, turn = stored(pairs, "edges"), None, 0
     while True:
@@ -82,4 +110,4 @@ def components(edges: DataFrame) -> DataFrame:
         if rest.isEmpty():
             break
     least = labels.groupBy("to").agg(F.least(F.min("node"), F.col("to")).alias("component"))
-    return stored(labels.join(least, "to").select("node", "component"), "components")
+    return stored(labels.join(least, "to").select("node", "component"), "components", keep=True)

@@ -10,11 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import components, packed, stored, text_key, unpacked
+from loomstone.llm.common import components, packed, scratch, stored, text_key, unpacked
 
 LEAF = 8  # sets under the lowest nodes
 BLOCK = 64  # sets of one tree
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_ODD = np.uint64(1 << 16)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,9 +52,10 @@ class Levels:
     Linked sets of a and b elements differ in at most (a + b) (1 - j) / (1 + j)
     elements. A class ends where the next may begin to hold partners, so partners
     lie in one class or in neighbours; level l serves classes l and l + 1. With
-    k differences at most and k + 1 + spare parts dealt by hash, one part is the
-    same in both. ``spare`` parts may be empty; a set with more empty parts also
-    shows those, so the guarantee holds without exception.
+    k differences at most and k + 1 + spare parts dealt by hash, 1 + spare parts
+    are the same in both. ``spare`` parts may be empty; a set with more empty
+    parts also shows those, so the guarantee holds without exception. The spare
+    parts let a set leave out some of the parts it shares with very many others.
     """
 
     def __init__(self, percent: int):
@@ -66,15 +68,26 @@ class Levels:
 
     def parts(self, level: int) -> tuple[int, int]:
         a = self.ends[level]
-        b = max(a, a * 100 // self.percent)
-        k = (a + b) * (100 - self.percent) // (100 + self.percent)
-        spare = 1 + k // 16
+        k = self.differences(a, max(a, a * 100 // self.percent))
+        spare = 1 + k // 2
         return (k + 1 + spare, spare) if k else (0, 0)
 
+    def differences(self, a: int, b: int) -> int:
+        """In how many elements linked sets of a and b elements differ at most."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-def part_keys(tokens: np.ndarray, levels: Levels) -> np.ndarray:
-    """A key for every part of a set at the two levels it belongs to. No keys where only equal sets can link."""
-    out = []
+    def shared(self, n: int, own: int, level: int) -> int:
+        """How many parts a set of n elements and class ``own`` shares at least with any that links to it at this level."""
+        partner = n * 100 // self.percent if level == own else self.ends[level]
+        return self.parts(level)[0] - self.differences(n, partner)
+
+
+def part_keys(tokens: np.ndarray, levels: Levels) -> tuple[np.ndarray, list[int]]:
+    """A key for every part of a set at the two levels it belongs to, and how many of them a linked set shares at least, for even and odd levels.
+
+    Bit 16 of a key tells whether its level is odd. No keys where only equal sets can link.
+    """
+    out, shared = [], [0, 0]
     own = levels.class_of(len(tokens))
     for level in (own, own - 1):
         if level < 0:
@@ -88,11 +101,15 @@ def part_keys(tokens: np.ndarray, levels: Levels) -> np.ndarray:
         starts = np.nonzero(np.diff(part, prepend=-1))[0]
         sums = np.add.reduceat(mixed, starts)
         tag = np.uint64((level * 2 + 1) * int(_MIX[2]) & 0xFFFFFFFFFFFFFFFF)
-        out.append(mix(sums + mix(part[starts].astype(np.uint64) + tag)))
-        if m - len(starts) > spare:
+        keys = [mix(sums + mix(part[starts].astype(np.uint64) + tag))]
+        hidden = m - len(starts)
+        if hidden > spare:
             empty = np.setdiff1d(np.arange(m), part[starts]).astype(np.uint64)
-            out.append(mix(_MIX[4] + mix(empty + tag)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            keys.append(mix(_MIX[4] + mix(empty + tag)))
+            hidden = 0
+        shared[level % 2] = levels.shared(len(tokens), own, level) - hidden
+        out += [k & ~_ODD | _ODD * np.uint64(level % 2) for k in keys]
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), shared
 
 
 def digest_of(tokens: np.ndarray) -> bytes:
@@ -119,7 +136,7 @@ def _sets_of(batch: pa.RecordBatch, size: int, numbers: dict) -> list[np.ndarray
 
 
 def _described(size: int, percent: int):
-    """Texts -> per document its set's size, digest, bitmap and part keys.
+    """Texts -> per document its set's size, digest, bitmap, part keys, and how many of those a linked set shares at even and odd levels.
 
     Keys have 48 bits and stand in one binary value, six bytes each: what they
     bring together is compared later, so a rare chance meeting costs a look.
@@ -131,9 +148,11 @@ def _described(size: int, percent: int):
             sets = _sets_of(batch, size, numbers)
             digest = [digest_of(s) if len(s) else None for s in sets]
             bits = [bitmap_of(s) if len(s) else None for s in sets]
-            keys = [np.unique(part_keys(s, levels) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+            parts = [part_keys(s, levels) for s in sets]
+            keys = [np.unique(k >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for k, _ in parts]
             columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, bits, keys))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "n", "digest", "bits", "keys"])
+            columns += [pa.array([shared[odd] for _, shared in parts], pa.int32()) for odd in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "n", "digest", "bits", "keys", "even", "odd"])
 
     return run
 
@@ -444,7 +463,7 @@ def _links(rows: DataFrame, texts: DataFrame, classes: DataFrame, size: int, per
     sets = met.mapInArrow(_token_rows(size), "digest binary, found binary, tokens array<long>").where("found = digest").drop("found")
     sets = stored(sets.groupBy("digest").agg(F.first("tokens").alias("tokens")), f"{name}_sets")  # rows of one id: one is enough
     dealt = left.join(sets, "digest").select(*_ROW, "tokens").repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP)
-    return stored(dealt.mapInArrow(_grouped([*_ROW, "tokens"], _join(percent), ["a", "b"], [pa.binary(), pa.binary()]), "a binary, b binary"), name)
+    return stored(dealt.mapInArrow(_grouped([*_ROW, "tokens"], _join(percent), ["a", "b"], [pa.binary(), pa.binary()]), "a binary, b binary"), name, keep=True)
 
 
 def _token_rows(size: int):
@@ -473,9 +492,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, block: in
     2. Every set meets the hub of the star it shares most parts with, in blocks
        of about ``block`` sets: signature trees, joined with the hub's and with
        themselves. Near copies are connected now, at work that is linear in them.
-    3. Groups that are not connected whole are compared: what is not connected
-       with a group's main component meets the group's blocks, tree against tree.
-       So any two sets of a group are compared, bounded away, or connected.
+    3. Groups that are not connected whole are compared, tree against tree. A
+       set leaves those of more than ``block`` sets if it shares more parts with
+       any partner than it has in such groups (``_rest_rows``). So any two sets
+       that could link are compared, bounded away, or connected.
+
+    Sets are numbers of 64 bits a shingle, and equal where their 128-bit digests
+    are.
 
     Empty and null texts have no shingles and are their own component; a null
     doc_id takes part and never is a component's name unless nothing else is in
@@ -488,18 +511,24 @@ def _grouped_documents(docs: DataFrame, size: int, percent: int, block: int) ->
     """``near_duplicates`` with th, the key of a row's text, and component_th, that of the document the component is named by."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = given.withColumn("th", text_key(F.col("text")))
-    described = stored(keyed.mapInArrow(_described(size, percent), "doc_id long, th long, n long, digest binary, bits binary, keys binary"), "described")
-    groups = stored(candidate_groups(described), "groups")
-    classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = classes.withColumn("node", node_of("digest")).join(groups.select("node").distinct(), "node", "left_semi")
-    classes = stored(classes, "classes")
-    digests = classes.select("node", "digest")
-    links = _links(_stars_rows(groups, digests, block), given, classes, size, percent, "links")
-    marks = components(links)
-    rows = _rest_rows(groups, digests, marks, block)
-    if rows is not None:
-        links = links.unionByName(_links(rows, given, classes, size, percent, "rest"))
-    return _named(described, links)
+    spark = docs.sparkSession
+    with scratch(spark):
+        with scratch(spark):
+            kinds = "doc_id long, th long, n long, digest binary, bits binary, keys binary, even int, odd int"
+            described = stored(keyed.mapInArrow(_described(size, percent), kinds), "described")
+            groups = stored(candidate_groups(described), "groups", keep=True)
+            own = stored(described.select("doc_id", "th", "n", "digest"), "documents", keep=True)
+            classes = described.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "bits", "even", "odd")])
+            classes = classes.withColumn("node", node_of("digest")).join(groups.select("node").distinct(), "node", "left_semi")
+            classes = stored(classes, "classes", keep=True)
+        digests = classes.select("node", "digest")
+        with scratch(spark):
+            links = _links(_stars_rows(groups, digests, block), given, classes, size, percent, "links")
+        with scratch(spark):
+            rows = _rest_rows(groups, classes, components(links), block)
+            if rows is not None:
+                links = links.unionByName(_links(rows, given, classes, size, percent, "rest"))
+        return stored(_named(own, links), "named", keep=True)
 
 
 def _stars_rows(groups: DataFrame, digests: DataFrame, block: int) -> DataFrame:
@@ -516,38 +545,51 @@ def _stars_rows(groups: DataFrame, digests: DataFrame, block: int) -> DataFrame:
     return members.unionByName(hubs)
 
 
-def _rest_rows(groups: DataFrame, digests: DataFrame, marks: DataFrame, block: int) -> DataFrame | None:
+def _rest_rows(groups: DataFrame, classes: DataFrame, marks: DataFrame, block: int) -> DataFrame | None:
     """Of what is not connected whole: the sets outside the main component (side 1) and all blocks (side 0).
 
     A group of at most ``block`` sets is compared as it is, and groups with the
-    same sets once. Larger groups that share sets are put together first, as
-    near copies share many parts and would be compared once for each.
+    same sets once. A larger one, such as the many documents that hold one
+    passage, matters only to sets that have too many such parts: linked sets
+    share a known number of parts, so a set with fewer parts in large groups
+    shares one with its partner in a small group too, and leaves the large ones.
+    What stays is put together where groups have the same main component.
     """
-    held = groups.join(digests, "node").select("key", "digest").distinct().join(marks.select(F.col("node").alias("digest"), "component"), "digest", "left")
+    held = groups.join(classes.select("node", "digest"), "node").select("key", "digest").distinct().join(marks.select(F.col("node").alias("digest"), "component"), "digest", "left")
     held = stored(held.withColumn("mark", F.coalesce("component", "digest")).select("key", "digest", "mark"), "held")
-    ends = [F.min("mark").alias("m1"), F.max("mark").alias("m2"), F.count("*").alias("n"), F.min("digest").alias("first")]
+    ends = [F.min("mark").alias("m1"), F.max("mark").alias("m2"), F.count("*").alias("n")]
     sums = [F.sum(F.xxhash64("digest", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
-    apart = held.groupBy("key").agg(*ends, *sums).where("m1 <> m2")
-    keys = stored(apart.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.first("first").alias("first")).select("key", "n", "first"), "apart")
-    if keys.isEmpty():
+    apart = stored(held.groupBy("key").agg(*ends, *sums).where("m1 <> m2").select("key", "n", "s1", "s2"), "apart")
+    if apart.isEmpty():
         return None
-    rows = held.join(keys.where(F.col("n") <= block).select("key"), "key").select(F.col("key").alias("cluster"), "digest", "mark")
-    large = stored(held.join(keys.where(F.col("n") > block).select("key", "first"), "key"), "large")
-    if not large.isEmpty():
-        together = components(large.select(F.col("first").alias("a"), F.col("digest").alias("b")))
-        joined = large.select("digest", "mark").distinct().join(together.withColumnRenamed("node", "digest"), "digest")
-        rows = rows.unionByName(joined.select(F.xxhash64("component").alias("cluster"), "digest", "mark"))
-    rows = stored(rows, "rest_rows")
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    main = rows.groupBy("cluster", "mark").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "mark"))["mark"].alias("main"))
-    rows = stored(rows.join(sizes, "cluster").join(main, "cluster"), "rest_rows")
-    outside = rows.where("mark <> main")
-    lefts = stored(outside.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("lefts")), "lefts")
-    across = F.lit(True).alias("across")
-    one = outside.join(lefts, "cluster").withColumn("left", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("lefts")).cast("int"))
-    one = one.withColumn("right", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "left", "right", F.lit(1).alias("side"), "digest", "mark", across)
-    two = rows.join(lefts, "cluster").withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
-    two = two.select("cluster", "left", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("right"), F.lit(0).alias("side"), "digest", "mark", across)
+    once = lambda groups: groups.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
+    none, inside = F.lit(-1).alias("right"), F.lit(False).alias("across")
+    small = held.join(once(apart.where(F.col("n") <= block)).select("key"), "key")
+    rows = small.select(F.col("key").alias("cluster"), F.lit(0).alias("left"), none, F.lit(0).alias("side"), "digest", "mark", inside)
+    large = stored(held.join(apart.where(F.col("n") > block).select("key"), "key"), "large")
+    crowded = None if large.isEmpty() else _crowded(large, classes)
+    return rows if crowded is None or crowded.isEmpty() else rows.unionByName(_block_pairs(crowded, block))
+
+
+def _crowded(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cluster, main, digest, mark): of the large groups (key, digest, mark) the sets that cannot leave them."""
+    level = F.pmod("key", F.lit(2)).alias("level")
+    often = large.groupBy("digest", level).agg(F.count("*").alias("often")).join(classes.select("digest", "even", "odd"), "digest")
+    full = often.where(F.col("often") >= F.when(F.col("level") == 0, F.col("even")).otherwise(F.col("odd"))).select("digest", "level")
+    left = stored(large.withColumn("level", level).join(full, ["digest", "level"]).drop("level"), "left")
+    first = F.min(F.struct("n", "mark"))["mark"].alias("main")  # the component with most sets, the smallest of equals
+    main = left.groupBy("key", "mark").agg((-F.count("*")).alias("n")).groupBy("key").agg(first, F.count("*").alias("marks")).where("marks > 1")
+    return stored(left.join(main, "key").select(F.xxhash64("main").alias("cluster"), "main", "digest", "mark").distinct(), "crowded")
+
+
+def _block_pairs(crowded: DataFrame, block: int) -> DataFrame:
+    """The blocks of what is outside a cluster's main component against all of the cluster's blocks."""
+    sizes = stored(crowded.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("mark") != F.col("main")) / F.lit(block)).cast("int").alias("lefts")), "clusters")
+    rows, across = crowded.join(sizes, "cluster"), F.lit(True).alias("across")
+    place = lambda salt, n: F.pmod(F.xxhash64("digest", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows.where("mark <> main").withColumn("left", place(1, "lefts")).withColumn("right", every("blocks")).select("cluster", "left", "right", F.lit(1).alias("side"), "digest", "mark", across)
+    two = rows.withColumn("right", place(0, "blocks")).withColumn("left", every("lefts")).select("cluster", "left", "right", F.lit(0).alias("side"), "digest", "mark", across)
     return one.unionByName(two)
 
 
@@ -571,8 +613,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLO
     those that another document stands for, and no others. Null ids, empty and
     null texts stay, and so do all rows of a document that stays.
     """
-    found = _grouped_documents(docs, size, percent, block)
-    gone = found.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND (doc_id <> component_id OR th <> component_th)")
-    gone = stored(gone.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_text")).distinct(), "gone")
+    with scratch(docs.sparkSession):
+        found = _grouped_documents(docs, size, percent, block)
+        gone = found.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND (doc_id <> component_id OR th <> component_th)")
+        gone = stored(gone.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_text")).distinct(), "gone", keep=True)
     agrees = (F.col("_row.doc_id").cast("long") == F.col("_gone")) & (text_key(F.col("_row.text")) == F.col("_text"))
     return packed(docs).join(gone, agrees, "left_anti").select(*unpacked(docs.columns))

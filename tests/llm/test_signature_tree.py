@@ -84,7 +84,10 @@ def test_linked_sets_share_a_part():
                 b = np.sort(rng.permutation(a)[: len(a) - worst])
                 assert 100 * len(b) >= percent * len(a)
                 if worst:
-                    assert np.intersect1d(st.part_keys(a, levels), st.part_keys(b, levels)).size
+                    (ka, least_a), (kb, least_b) = st.part_keys(a, levels), st.part_keys(b, levels)
+                    both = np.intersect1d(ka, kb) >> np.uint64(16) & np.uint64(1)
+                    shared = [int((both == odd).sum()) for odd in (0, 1)]
+                    assert any(shared[odd] >= max(1, least_a[odd], least_b[odd]) for odd in (0, 1) if least_a[odd] and least_b[odd])
 
 
 def test_bound_never_cuts_a_link():
@@ -137,3 +140,45 @@ def test_keep_one_goes_by_id_and_text(spark):
     stays = sorted(r["GONE"] for r in kept)
     assert [i for i in stays if i not in (5, 6)] == [0, 2, 3, 7, 8, 9, 10, 11]
     assert len([i for i in stays if i in (5, 6)]) == 1
+
+
+def passage_rows(n, own, shared):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(shared)]
+    return [(i, " ".join([*(word() for _ in range(own // 2)), *passage, *(word() for _ in range(own // 2))])) for i in range(n)]
+
+
+def test_rows_of_a_shared_passage_grow_with_the_documents(spark):
+    """Many documents that hold one passage meet in parts of it, but leave these for the parts of their own."""
+    made = []
+    for n in (200, 400, 800):
+        docs = spark.createDataFrame(passage_rows(n, 80, 80), "doc_id long, text string").repartition(4)
+        described = st.stored(docs.withColumn("th", st.text_key(docs["text"])).mapInArrow(st._described(5, 80), "doc_id long, th long, n long, digest binary, bits binary, keys binary, even int, odd int"), "described")
+        groups = st.stored(st.candidate_groups(described), "groups")
+        assert groups.groupBy("key").count().where(f"count > {n // 2}").count() > 5
+        classes = described.select("doc_id", "n", "digest", "bits", "even", "odd", st.node_of("digest").alias("node"))
+        rows = st._rest_rows(groups, classes, spark.createDataFrame([], "node binary, component binary"), 64)
+        made.append(rows.count() if rows is not None else 0)
+    assert made[2] <= 2.6 * max(made[1], 100) and made[1] <= 2.6 * max(made[0], 100) and made[2] < 800
+
+
+def test_passages_of_all_lengths_against_all_pairs(spark):
+    rows = [(len(t) * 1000 + i, t) for own, shared in ((80, 80), (30, 90), (10, 100), (4, 60), (0, 50)) for i, t in passage_rows(90, own, shared)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = st.near_duplicates(docs, 5, 80, block=16).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 5, 80)
+
+
+def test_scratch_tables_go(spark):
+    import pathlib
+
+    from loomstone.session import shared_folder
+
+    top = pathlib.Path(shared_folder(spark).removeprefix("file:")) / spark.sparkContext.applicationId
+    there = lambda: {p.name for p in top.glob("*")} if top.exists() else set()
+    before = there()
+    docs = spark.createDataFrame(made_rows(), "doc_id long, text string")
+    kept = st.keep_one(docs, block=16)
+    assert {n.rsplit("-", 1)[0] for n in there() - before} == {"gone"} and kept.count()
