@@ -8,12 +8,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 ROUNDS = 64  # merges of a word in one recursive query; what is still open then starts the next query
 KNOWN = 400_000  # distinct words a task remembers before it starts afresh
-CHUNK = 4_000_000  # code points of texts taken together
+CHUNK = 3_000_000  # code points of texts taken together
+ROWS = 400_000  # token rows of one ordered aggregation; a longer text is one alone
 BATCH = 1_000_000  # bytes of new words in one recursive query
 
 # A round unnests the tokens of every open word into rows of neighbours, joins them with the merge table, and contracts
@@ -34,10 +34,11 @@ WITH RECURSIVE step AS (
     FROM live l LEFT JOIN first f ON f.word = l.word))
 SELECT word, toks, open FROM step WHERE NOT open OR round = {ROUNDS}"""
 
+# Ordered aggregation: token rows sorted by row and position meet the vocabulary, and their spellings stand one after the other.
+# The one thread of a task's database hands the sorted rows to the aggregate as they come.
 SPELL = """
-WITH token AS (SELECT word, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM done)
-SELECT t.word, string_agg(v.spelling, '' ORDER BY t.pos) AS spelling
-FROM token t JOIN vocabulary v ON v.tok = t.tok GROUP BY t.word ORDER BY t.word"""
+SELECT row, unhex(string_agg(spelling, '')) AS spelled
+FROM (SELECT t.row, v.spelling FROM tokens t JOIN vocabulary v ON v.tok = t.tok ORDER BY t.row, t.pos) GROUP BY row"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,20 +69,12 @@ class Merger:
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         if self.of_byte.min() < 0:
             raise ValueError("a byte-level vocabulary holds all 256 bytes")
-        spelling = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            spelling[rank] = token
-        self.spelling = pa.array(spelling, pa.binary())
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode(self, words: list[bytes]) -> tuple["Pieces", "Pieces"]:
-        """Ids of every word, and the bytes that the ids spell."""
-        return self.merge(words), self._spelled()
-
     def merge(self, words: list[bytes]) -> "Pieces":
         """Ids of every word. A word of the vocabulary is its own token."""
         whole = [(i, self.ranks[w]) for i, w in enumerate(words) if w in self.ranks]
@@ -99,20 +92,21 @@ class Merger:
         found = self.db.sql("SELECT toks FROM done ORDER BY word").to_arrow_table().column("toks").combine_chunks()
         return Pieces(found.flatten().to_numpy(), found.value_lengths().to_numpy())
 
-    def decode(self, rows: list[list[int]]) -> list[bytes]:
-        """Bytes of every list of ids, by one ordered aggregation."""
-        full = [i for i, r in enumerate(rows) if r]
-        self._table("done", {"word": pa.array(full, pa.int32()), "toks": pa.array([rows[i] for i in full], pa.list_(pa.int32()))})
-        spelled, out = self._spelled(), [b""] * len(rows)
-        for at, i in enumerate(full):
-            out[i] = spelled.take(np.array([at])).tobytes()
+    def spell(self, tokens: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of every list of ids: ``tokens`` holds them one after the other, ``sizes`` their lengths."""
+        out, ends = [b""] * len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+        at = 0
+        while at < len(sizes):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + ROWS, "right")) - 1)
+            own = tokens[ends[at] : ends[end]]
+            row = np.repeat(np.arange(at, end, dtype=np.int32), sizes[at:end])
+            self.db.register("tokens", pa.table({"row": pa.array(row), "pos": pa.array(np.arange(len(own), dtype=np.int32)), "tok": pa.array(own)}))
+            for i, spelled in self.db.execute(SPELL).fetchall() if len(own) else ():
+                out[i] = spelled
+            self.db.unregister("tokens")
+            at = end
         return out
 
-    def _spelled(self) -> "Pieces":
-        text = self.db.sql(SPELL).to_arrow_table().column("spelling").cast(pa.large_string()).combine_chunks()
-        sizes = pc.binary_length(text).to_numpy() // 2
-        return Pieces(np.frombuffer(bytes.fromhex("".join(text.to_pylist())), np.uint8), sizes)
-
 
 class Pieces:
     """Runs of values, one after the other in one array; words are numbers of runs."""
@@ -169,12 +163,9 @@ def _encoded(ranks_of, pattern: str, keep: list[str]):
                 columns = [batch.slice(at, end - at).column(c) for c in keep]
                 sizes = np.bincount(row, weights=ids.sizes[flat], minlength=len(words)).astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                tokens = pa.array(ids.take(flat))
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), tokens))
-                # Decoded from the lists just made: the spellings of their tokens stand one after the other.
-                _, ends, spelled = merger.spelling.take(tokens).buffers()
-                ends = np.frombuffer(ends, np.int32, len(tokens) + 1) if len(tokens) else np.zeros(1, np.int32)
-                columns.append(pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends[offsets]), spelled or pa.py_buffer(b"")]))
+                tokens = ids.take(flat)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)))
+                columns.append(pa.array(merger.spell(tokens, sizes), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
                 at = end
 
@@ -187,7 +178,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     ``vocabulary`` is the path of a rank file, read by the driver and sent to
     the tasks (its size does not depend on the data); ``pattern`` cuts a text
     into words, which are encoded separately and without special tokens.
-    ``decoded`` is looked up in the vocabulary, id by id of the row's own list.
+    ``decoded`` comes from each row's own list: rows (row, position, id) join the
+    vocabulary and are aggregated in order, a bounded number at a time.
 
     A task meets a word again and again, so it encodes each distinct word once;
     what it remembers is bounded, and so are the words of one query. A word
@@ -212,6 +204,8 @@ def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(merger.decode([i or [] for i in part.column("ids").to_pylist()]), pa.binary())], ["doc_id", "decoded"])
+                ids = part.column("ids")
+                sizes = np.asarray(ids.value_lengths().fill_null(0))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(merger.spell(ids.flatten().to_numpy(zero_copy_only=False), sizes), pa.binary())], ["doc_id", "decoded"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")

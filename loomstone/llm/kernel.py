@@ -143,10 +143,11 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = 160
 
     Four fifths of the sample (by hash of the id) give the ridge weights; the
     last fifth gives a histogram of raw scores in ``bins`` quantile bins, on
-    which the calibration is fitted (on all where that fifth is empty).
+    which the calibration is fitted (on all where that fifth is empty). An id
+    that stands for several rows teaches once, with its smallest text.
     """
     sample = labelled_sample(labels, "quality", may_learn, rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     known = stored(texts.mapInArrow(_statistics_rows(["doc_id", "quality"]), "doc_id long, quality int, x array<double>"), "statistics")
     spread = known.select(*[F.struct(F.avg(F.col("x")[i]), F.stddev_pop(F.col("x")[i])) for i in range(len(STATS))]).first()
     if spread is None or spread[0][0] is None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import SPACE, packed, stored, text_key, unpacked, without
+from loomstone.llm.common import SPACE, packed, scratch, stored, text_key, unpacked, without
 
 BLANK = SPACE.encode()
 
@@ -175,7 +175,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     n_dropped of the input are replaced.
     """
     docs = without(docs, ["n_lines", "n_dropped"])
-    bitmaps = stored(keep_bitmaps(docs, min_docs, min_chars, keep_first), "bitmaps")
+    with scratch(docs.sparkSession):
+        bitmaps = stored(keep_bitmaps(docs, min_docs, min_chars, keep_first), "bitmaps", keep=True)
     keyed = packed(docs).withColumn("_id", F.col("_row.doc_id").cast("long")).withColumn("_th", text_key(F.col("_row.text")))
     maps = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_text"), F.col("keep").alias("_keep"))
     met = keyed.join(maps, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_text")), "left")

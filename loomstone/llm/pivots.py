@@ -49,13 +49,16 @@ def _table(pivots: dict[int, np.ndarray]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            norms, dists = [], []
-            for v in batch.column("v").to_pylist():
-                x = np.array([v], dtype=float)
-                n = (x**2).sum(1)
-                norms.append(float(n[0]))
-                dists.append(distances(x, n, pivots[len(v)])[0] if len(v) in pivots else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norms, pa.float64()), pa.array(dists, pa.list_(pa.float64()))], ["vec_id", "v", "norm", "dists"])
+            lengths = np.asarray(batch.column("v").value_lengths())
+            norms, dists = np.zeros(len(lengths)), [None] * len(lengths)
+            for n in np.unique(lengths):  # vectors of one length are one matrix
+                at = np.nonzero(lengths == n)[0]
+                x = batch.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n).astype(float)
+                norms[at] = (x**2).sum(1)
+                far = distances(x, norms[at], pivots[n]) if n in pivots else np.zeros((len(at), 0))
+                for i, row in zip(at, far):
+                    dists[i] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norms), pa.array(dists, pa.list_(pa.float64()))], ["vec_id", "v", "norm", "dists"])
 
     return run
 
@@ -148,8 +151,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
     ``vectors``: (vec_id, embedding). Queries are the rows that satisfy
     ``is_query``; candidates every row but the query's own; ties go to the
     smaller id. Rows with a null id take no part, nor do vectors that
-    ``quantised`` rejects. An id that occurs again counts once, with its
-    smallest vector. Only vectors of one length are compared.
+    ``quantised`` rejects. Every row is a candidate, also of an id that occurs
+    again; rows of one id are one query, which gets the highest scores of any of
+    them and no row of its own id. Only vectors of one length are compared.
 
     Pivots come from a sample of at most ``sample`` vectors, which also gives
     every query a first score to beat. The queries are taken in waves of about
@@ -159,9 +163,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"))
-    v = v.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
-    v = stored(v, "vectors")
-    some = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    v = stored(v.where("vec_id IS NOT NULL AND v IS NOT NULL"), "vectors")
+    some = v.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).collect()
     chosen = choose_pivots([r["v"] for r in some], pivots)
     index = stored(v.mapInArrow(_table(chosen), "vec_id long, v array<long>, norm double, dists array<double>"), "pivot_table")
     asked = index.where(is_query)

@@ -20,10 +20,12 @@ INSULTS = frozenset("idiot idiots moron morons stupid imbecile loser losers scum
 THREATS = frozenset("kill hurt destroy beat smash murder burn crush töten tuer matar".split())
 INTENTS = frozenset("will shall gonna going must should werde werden vais voy".split())
 TARGETS = frozenset("you your yours yourself they them their he she him her du dich dein ihr euch tu toi vous tú usted ustedes".split())
-NEGATIONS = frozenset("not never no nobody none neither isn aren wasn weren don doesn didn nicht kein keine nie pas jamais aucun nunca ningún ninguna".split())
+NEGATIONS = frozenset("not never no nobody none neither nicht kein keine nie pas jamais aucun nunca ningún ninguna".split())
+CONTRACTED = frozenset("isn aren wasn weren don doesn didn".split())
 REPORTS = frozenset("said says say wrote writes called calls quoted quote claimed claims alleged reportedly accused sagte schrieb nannte dit écrit dijo escribió llamó".split())
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”«»]")
+# Words, clause ends and quotation marks; a straight mark opens after a blank and before a word, and closes elsewhere (``symbols``).
+TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n“”„«»\"]")
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)  # lengths of the beginnings that a learned entry may stand for
 STATS = ["any_match", "log_mass", "strongest"]
@@ -53,51 +55,130 @@ class Lexicon:
         return bool(self.begin) and any(w[:n] in self.begin for w in words for n in STEMS if len(w) > n)
 
 
+# ---------------------------------------------------------------- the grammar
+
+# Symbol classes. A word is of the first list that holds it; ``end`` closes a clause, ``line`` a clause and all that is open.
+CLASSES = ["word", "intent", "threat", "target", "negation", "contracted", "report", "open", "close", "comma", "colon", "end", "line"]
+SYMBOL = {w: c for c, words in (("report", REPORTS), ("contracted", CONTRACTED), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS), ("intent", INTENTS)) for w in words}
+SYMBOL |= {"“": "open", "„": "open", "«": "open", "”": "close", "»": "close", ",": "comma", ":": "colon", "\n": "line", **dict.fromkeys(".!?;", "end")}
+
+
+class Transducer:
+    """Arcs (state, symbol class, next state, weight) and a final weight per state; state 0 is the first.
+
+    A class without an arc takes the state's arc for "*", and without that one
+    stays. An arc's weight goes to the match it reads, a final weight to the
+    clause that ends there.
+    """
+
+    def __init__(self, arcs: list[tuple[int, str, int, float]], final: dict[int, float] | None = None):
+        self.arcs = {(state, symbol): (then, weight) for state, symbol, then, weight in arcs}
+        self.states = 1 + max(max(a, b) for a, _, b, _ in arcs)
+        self.final = final or {}
+
+    def step(self, state: int, symbol: str) -> tuple[int, float]:
+        return self.arcs.get((state, symbol)) or self.arcs.get((state, "*")) or (state, 1.0)
+
+    def last(self, state: int) -> float:
+        return self.final.get(state, 1.0)
+
+
+def countdown(first: int, words: int, weight: float, silent: set[str]) -> list[tuple[int, str, int, float]]:
+    """Arcs of states that last ``words`` words: from ``first`` + words - 1 down to ``first``, then 0. What is silent passes without counting."""
+    arcs = [(first + i, "*", first + i - 1 if i else 0, weight) for i in range(words)]
+    return arcs + [(first + i, s, first + i, weight) for i in range(words) for s in silent]
+
+
+CLOSERS = ("colon", "end", "line")
+MARKS = {"open", "close", "comma"}
+GRAMMAR = {
+    # An insult is one state: the lexicon has its weight.
+    "insult": Transducer([(0, "word", 0, 1.0)]),
+    # Harm within three words of an intent weighs 4, harm alone 1.
+    "threat": Transducer(
+        [(0, "intent", 3, 1.0), *countdown(1, 3, 1.0, MARKS)]
+        + [(s, "intent", 3, 1.0) for s in (1, 2, 3)] + [(s, "threat", s - 1, 4.0) for s in (1, 2, 3)] + [(s, c, 0, 1.0) for s in (1, 2, 3) for c in CLOSERS]
+    ),
+    # A clause that addresses or names somebody weighs half as much again.
+    "target": Transducer([(0, "target", 1, 1.0), *((1, c, 0, 1.0) for c in CLOSERS)], {1: 1.5}),
+    # Within three words of a denial a match weighs a third. State 0 is fresh, at the start of a clause or after a comma, where
+    # a contracted form asks and does not deny; state 4 is any place further on.
+    "negation": Transducer(
+        [(0, "*", 4, 1.0), (0, "negation", 3, 1.0), (0, "contracted", 4, 1.0), *((0, m, 0, 1.0) for m in MARKS), *((0, c, 0, 1.0) for c in CLOSERS)]
+        + [(4, "negation", 3, 1.0), (4, "contracted", 3, 1.0), (4, "comma", 0, 1.0), *((4, c, 0, 1.0) for c in CLOSERS)]
+        + [(s, "*", s - 1 or 4, 1 / 3) for s in (1, 2, 3)] + [(s, m, s, 1.0) for s in (1, 2, 3) for m in MARKS]
+        + [(s, c, 3, 1 / 3) for s in (1, 2, 3) for c in ("negation", "contracted")] + [(s, c, 0, 1.0) for s in (1, 2, 3) for c in CLOSERS]
+    ),
+    # After a verb of saying (1) the clause counts half; so does a quotation that follows (2), over several clauses, and the
+    # clause behind a colon (4). Any other quotation (3) counts in full. The end of a line closes what is open.
+    "report": Transducer(
+        [(0, "report", 1, 1.0), (0, "open", 3, 1.0), (1, "open", 2, 1.0), (1, "colon", 4, 1.0), (1, "end", 0, 1.0), (2, "close", 1, 1.0), (3, "close", 0, 1.0), (4, "open", 2, 1.0), (4, "end", 0, 1.0), (4, "colon", 0, 1.0)]
+        + [(s, "line", 0, 1.0) for s in (1, 2, 3, 4)], {1: 0.5, 2: 0.5, 4: 0.5}
+    ),
+}
+
+
+class Composed:
+    """The transducers as one: a state is one of each, an arc's weights are theirs. States are numbered as they are reached.
+
+    ``arc[state][class]`` is (next state, weight of a threat here, weight on any
+    match here); ``last[state]`` the product of the final weights.
+    """
+
+    def __init__(self, grammar: dict[str, Transducer]):
+        names = list(grammar)
+        number = {(0,) * len(names): 0}
+        self.arc: list[dict[str, tuple[int, float, float]]] = []
+        self.last: list[float] = []
+        todo = list(number)
+        for states in todo:  # grows while it is read
+            self.last.append(math.prod(grammar[n].last(s) for n, s in zip(names, states)))
+            out = {}
+            for symbol in CLASSES:
+                steps = {n: grammar[n].step(s, symbol) for n, s in zip(names, states)}
+                then = tuple(steps[n][0] for n in names)
+                if then not in number:
+                    number[then] = len(number)
+                    todo.append(then)
+                harm = steps["threat"][1] if symbol == "threat" else 0.0
+                out[symbol] = (number[then], harm, math.prod(w for n, (_, w) in steps.items() if n != "threat"))
+            self.arc.append(out)
+
+
+COMPOSED = Composed(GRAMMAR)
+
+
+def symbols(text: str) -> Iterator[tuple[str, str]]:
+    """(token, class) of a lower-cased text."""
+    for m in TOKEN.finditer(text):
+        token = m[0]
+        if token == '"':
+            at = m.start()
+            opens = (at == 0 or text[at - 1].isspace() or text[at - 1] in "([:,") and text[at + 1 : at + 2].isalnum()
+            yield token, "open" if opens else "close"
+        else:
+            yield token, SYMBOL.get(token, "word")
+
+
 def clause_scores(text: str, lexicon: Lexicon) -> list[float]:
     """Weights of the matched clauses of a lower-cased text.
 
-    Five transducers read the same tokens and their outputs are composed clause
-    by clause. Insult: a word of the lexicon emits its weight. Threat: an intent
-    followed by a verb of harm within three words emits 4, the verb alone 1.
-    Target: an address or person in the clause raises the clause by half.
-    Negation: what follows within three words counts a third. Reported speech:
-    after a verb of saying the clause and an open quotation count half.
+    One pass of the composed transducer: a word of the lexicon emits its weight,
+    a verb of harm that of its arc, the larger where it is both; other arcs
+    scale the match, final weights the clause.
     """
-    scores, quoted, pending_report = [], False, False
-    mass = target = negated = intent = 0.0
-    reported = False
-
-    def close() -> None:
-        if mass:
-            scores.append(mass * (1.5 if target else 1.0) * (0.5 if reported or (quoted and pending_report) else 1.0))
-
-    for token in TOKEN.findall(text):
-        if not token[0].isalpha():
-            if token in "\"“”«»":
-                quoted = not quoted
-                if not quoted:
-                    pending_report = False
-                continue
-            close()
-            pending_report = pending_report and quoted or (token == ":" and reported)
-            mass = target = negated = intent = 0.0
-            reported = False
-            continue
-        weight = lexicon.weight(token)
-        if token in THREATS:
-            weight = max(weight, 4.0 if intent else 1.0)
-        if weight:
-            mass += weight / 3 if negated else weight
-        negated, intent = max(0, negated - 1), max(0, intent - 1)
-        if token in NEGATIONS:
-            negated = 3
-        elif token in INTENTS:
-            intent = 3
-        elif token in TARGETS:
-            target = 1
-        elif token in REPORTS:
-            reported = pending_report = True
-    close()
+    scores, state, mass = [], 0, 0.0
+    for token, symbol in symbols(text):
+        then, harm, factor = COMPOSED.arc[state][symbol]
+        if symbol in CLOSERS:
+            if mass:
+                scores.append(mass * COMPOSED.last[state])
+            mass = 0.0
+        elif symbol not in MARKS and (weight := max(lexicon.weight(token), harm)):
+            mass += weight * factor
+        state = then
+    if mass:
+        scores.append(mass * COMPOSED.last[state])
     return scores
 
 
@@ -203,9 +284,13 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, toxic: int = 2000, clean: int = 6000) -> tuple[dict[str, float], np.ndarray]:
-    """Lexicon and weights from at most ``toxic`` + ``clean`` labelled rows; the bound keeps the join a broadcast."""
+    """Lexicon and weights from at most ``toxic`` + ``clean`` labelled rows; the bound keeps the join a broadcast.
+
+    An id that stands for several rows teaches once, with its smallest text.
+    """
     sample = labelled_sample(labels, "toxic", may_learn, {1: toxic, 0: clean})
-    texts = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text"), "texts")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = stored(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "texts")
     lexicon = learn_lexicon(texts)
     kinds = "toxic int, " + ", ".join(f"{c} double" for c in STATS)
     rows = texts.mapInArrow(_with_statistics(lexicon, ["toxic"]), kinds).toArrow()

@@ -57,3 +57,20 @@ def test_broken_text_has_no_parse(spark):
 def test_no_python_on_the_main_path(spark):
     plan = chat.format_conversations(spark.createDataFrame([(1, 1, "user", "x")], ROWS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_and_twin_agree_on_what_is_escaped(spark, tmp_path):
+    import duckdb
+
+    from loomstone.llm.queries import CHAT_SQL, QUERIES
+
+    texts = ["a <| b", "<|im_end|>", "x <\\| y", "<\\\\|", "<|im_start", "plain", "", None, "<||>", "<|im_end|", "line\n<|im_start|>"]
+    rows = [(i, t, "user" if t else "assistant", x) for i, x in enumerate(texts) for t in (0, 1)] + [(50, 0, "user", "a <| b"), (50, 1, "assistant", "<|im_end|>"), (51, 0, "%0A\n<", "<|")]
+    spark.createDataFrame(rows, ROWS).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cursor = con.execute(CHAT_SQL)
+    names = [d[0] for d in cursor.description]
+    want = sorted(tuple(r) for r in cursor.fetchall())
+    got = sorted(tuple(r[n] for n in names) for r in QUERIES["op7_chat_format"](spark, str(tmp_path)).collect())
+    assert got == want

@@ -32,6 +32,45 @@ def test_clauses_are_scored_not_words():
     assert mass("a clean sentence about trees, kindly meant") == 0
 
 
+def test_quotes_and_tag_questions():
+    assert mass('he said 5" pipes. you idiot') == mass("you idiot")  # an inch mark opens nothing
+    assert mass('he said "never mind\nyou idiot') == mass("you idiot")  # a line end closes
+    assert mass("she wrote: «the idiot. the moron»") == mass("the idiot. the moron") / 2
+    assert mass("„you idiot” he shouted") == mass("you idiot")  # a quotation without a verb of saying counts in full
+    assert mass("isn't he an idiot?") == mass("he an idiot") and mass("he isn't an idiot") < mass("he an idiot")
+
+
+def by_each_transducer(tokens):
+    """Clause weights from every transducer by itself: all positions of a match, each with the weights along its path."""
+    out, states, hits = [], dict.fromkeys(toxicity.GRAMMAR, 0), []
+    for token, symbol in [*tokens, (".", "end")]:
+        if symbol in toxicity.CLOSERS:
+            final = np.prod([t.last(states[n]) for n, t in toxicity.GRAMMAR.items()])
+            if hits:
+                out.append(sum(hits) * final)
+            hits = []
+        steps = {n: t.step(states[n], symbol) for n, t in toxicity.GRAMMAR.items()}
+        harm = steps["threat"][1] if symbol == "threat" else 0.0
+        found = max(LEXICON.weight(token), harm) if symbol not in toxicity.CLOSERS and symbol not in toxicity.MARKS else 0.0
+        if found:
+            hits.append(found * np.prod([w for n, (_, w) in steps.items() if n != "threat"]))
+        states = {n: then for n, (then, _) in steps.items()}
+    return out
+
+
+def test_composition_equals_the_paths_of_its_parts():
+    words = {"word": "idiot", "intent": "will", "threat": "kill", "target": "you", "negation": "not", "contracted": "isn", "report": "said", "open": "“", "close": "”", "comma": ",", "colon": ":", "end": ".", "line": "\n"}
+    assert list(words) == toxicity.CLASSES
+    rng = np.random.default_rng(3)
+    paths = [[a, b, c] for a in words for b in words for c in words] + [list(rng.choice(list(words), 9)) for _ in range(3000)]
+    for path in paths:
+        text = " ".join(words[c] for c in [*path, "word"])
+        tokens = list(toxicity.symbols(text))
+        assert [c for _, c in tokens] == [*path, "word"]
+        assert np.allclose(toxicity.clause_scores(text, LEXICON), by_each_transducer(tokens)), text
+    assert len(toxicity.COMPOSED.arc) <= 1 * 4 * 2 * 5 * 5
+
+
 def held_out(spark, name, label):
     rows = QUERIES[name](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", label), "doc_id")
     return [(r["score"], r["predicted"], r[label]) for r in rows.where("held_out").collect()]
@@ -109,3 +148,30 @@ def test_statistics_of_odd_texts():
     assert not kernel.document_statistics(None).any() and not kernel.document_statistics("").any()
     for text in (" \n", "x", "é" * 100_000, "a\n" * 5000):
         assert np.isfinite(kernel.document_statistics(text)).all()
+
+
+def test_score_equals_plain_algebra(spark):
+    """Weights and scores are those of features, normal equations and calibration written out in numpy."""
+    docs, labels, texts = made(spark)
+    model = kernel.learn(docs, labels, F.lit(True), features=16, bins=20, width=3.0, penalty=0.1, seed=7)
+    fold = {r["doc_id"]: r["f"] for r in spark.range(230).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)).alias("f")).collect()}
+    stats = np.array([kernel.document_statistics(t) for t in texts])
+    y = np.array([1.0 if i < 150 else -1.0 for i in range(230)])
+    scale = np.where(stats.std(0) > 1e-9, stats.std(0), 1.0)
+    z = np.clip((stats - stats.mean(0)) / scale, -8, 8)
+    rng = np.random.default_rng(7)
+    omega = rng.normal(0, 1 / (3.0 * np.sqrt(len(kernel.STATS) / 8)), (len(kernel.STATS), 16))
+    features = np.hstack([np.sqrt(2 / 16) * np.cos(z @ omega + rng.uniform(0, 2 * np.pi, 16)), z / 8, np.ones((230, 1))])
+    fit = np.array([fold[i] != 0 for i in range(230)])
+    weights = np.linalg.solve(features[fit].T @ features[fit] + 0.1 * np.eye(features.shape[1]), features[fit].T @ y[fit])
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    raw = features @ weights
+    want = np.interp(raw, model.edges, model.rates) * 0.999 + 0.001 / (1 + np.exp(-raw))
+    got = {r["doc_id"]: r["score"] for r in kernel.score(docs.where("doc_id < 230"), model).collect()}
+    assert np.allclose([got[i] for i in range(230)], want, atol=1e-6)
+
+
+def test_repeated_ids_teach_once(spark):
+    docs, labels, _ = made(spark)
+    many = docs.unionByName(docs.where("doc_id < 5").crossJoin(spark.range(40)).drop("id"))
+    assert toxicity.learn(many, labels, F.lit(True))[0] == toxicity.learn(docs, labels, F.lit(True))[0]

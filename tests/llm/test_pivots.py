@@ -11,17 +11,15 @@ SCHEMA = "vec_id long, embedding array<float>, rank int, score long"
 
 
 def brute(rows, k, scale=64):
-    own = {}
+    own = []
     for vec_id, vector in rows:
         if vec_id is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
             continue
-        v = [math.floor(scale * x) for x in vector]
-        own[vec_id] = min(own.get(vec_id, v), v)
+        own.append((vec_id, [math.floor(scale * x) for x in vector]))
     out = []
-    for q in own:
-        if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(own[q], own[c])), c) for c in own if c != q and len(own[c]) == len(own[q]))
-            out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scored[:k])]
+    for q in {i for i, _ in own if i % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for i, v in own if i == q for c, w in own if c != q and len(w) == len(v))
+        out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -37,7 +35,7 @@ def test_equals_all_products(spark):
     rows += [(1000 + i, [0.5] * 8) for i in range(300)]  # a hot group of equal vectors: ties by id
     rows += [(2000 + i, [unit() for _ in range(5)]) for i in range(60)]  # another length
     rows += [(3000, None), (3020, [1.0, None] + [0.0] * 6), (3040, [float("nan")] + [0.0] * 7), (3060, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (3080, [])]
-    rows += [rows[0], rows[0], (20, [0.0] * 8)]
+    rows += [rows[0], rows[0], (20, [0.0] * 8), (20, [9.0] * 8), rows[7], rows[7], (9, [8.0] * 8)]
     want = brute(rows, 20)
     assert run(spark, rows, k=20) == want
     assert run(spark, rows, k=20, pivots=3, sample=40, wave=16) == want  # several waves, few pivots
