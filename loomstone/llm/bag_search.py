@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import stored
+from loomstone.llm.common import small_batches, stored
 
 VOCABULARY = 200_000  # terms of a block of items
 POSTINGS = 2_000_000  # (term, item) pairs of a block
@@ -229,6 +229,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, vocabulary: int = VOC
     have no term and count nowhere. An item is a distinct (item_id, text); one
     without terms has no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     docs, found = docs.select("doc_id", "text"), None
     for block in blocks(items, vocabulary):
         part = _search(docs, block, k)

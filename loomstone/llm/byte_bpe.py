@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomstone.llm.common import small_batches
+
 ROUNDS = 64  # merges of a word in one recursive query; what is still open then starts the next query
 KNOWN = 400_000  # distinct words a task remembers before it starts afresh
 CHUNK = 3_000_000  # code points of texts taken together
@@ -189,6 +191,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(_encoded(ranks, pattern, ["doc_id"]), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")

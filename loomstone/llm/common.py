@@ -46,6 +46,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(top, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts have no size bound, so tasks get them in batches of ``rows`` at most, whatever the session's own number is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop columns whose names an operator is about to write, whatever their case."""
     taken = {n.lower() for n in names}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import SPACE, packed, scratch, stored, text_key, unpacked, without
+from loomstone.llm.common import SPACE, packed, scratch, small_batches, stored, text_key, unpacked, without
 
 BLANK = SPACE.encode()
 
@@ -174,6 +174,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     document and lose the same lines; other columns come through, n_lines and
     n_dropped of the input are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = without(docs, ["n_lines", "n_dropped"])
     with scratch(docs.sparkSession):
         bitmaps = stored(keep_bitmaps(docs, min_docs, min_chars, keep_first), "bitmaps", keep=True)

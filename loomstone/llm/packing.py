@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import packed, stored, unpacked, without
+from loomstone.llm.common import packed, small_batches, stored, unpacked, without
 
 SHARD = 32_768  # pieces that one task packs together
 ROUNDS = 12  # times that the pieces of sequences which are not full are dealt anew
@@ -113,6 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, end: int = 2, capacity
     written are replaced. ``tokenizer`` is read by the driver and sent to the
     tasks: its size does not depend on the data.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as file:
         given = docs.sparkSession.sparkContext.broadcast(file.read())
     rest = without(docs, ["text", "piece", "start", "length", "ids"])

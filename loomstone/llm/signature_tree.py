@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import components, packed, scratch, stored, text_key, unpacked
+from loomstone.llm.common import components, packed, scratch, small_batches, stored, text_key, unpacked
 
 LEAF = 8  # sets under the lowest nodes
 BLOCK = 64  # sets of one tree
@@ -512,6 +512,7 @@ def _grouped_documents(docs: DataFrame, size: int, percent: int, block: int) ->
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = given.withColumn("th", text_key(F.col("text")))
     spark = docs.sparkSession
+    small_batches(spark)
     with scratch(spark):
         with scratch(spark):
             kinds = "doc_id long, th long, n long, digest binary, bits binary, keys binary, even int, odd int"

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import stored
+from loomstone.llm.common import small_batches, stored
 
 # Seed lexicon; the labels add to the insults.
 INSULTS = frozenset("idiot idiots moron morons stupid imbecile loser losers scum trash garbage worthless pathetic disgusting clown clowns dumb fool filth dumm idiotisch idiota estúpido imbécil".split())
@@ -288,6 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, toxic: int = 20
 
     An id that stands for several rows teaches once, with its smallest text.
     """
+    small_batches(docs.sparkSession)
     sample = labelled_sample(labels, "toxic", may_learn, {1: toxic, 0: clean})
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     texts = stored(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "texts")
@@ -306,6 +307,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFr
     ids are scored like others. Nothing but the text enters the score.
     """
     lexicon, weights = model
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(_with_statistics(lexicon, ["doc_id"], weights), f"doc_id {kind}, score double, mass double")
@@ -314,6 +316,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFr
 def drop_toxic(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], limit: float = 0.5) -> DataFrame:
     """The rows whose own text scores below ``limit``, with the columns they came with; nothing is shuffled."""
     lexicon, weights = model
+    small_batches(docs.sparkSession)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
