@@ -10,12 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomstone.llm.common import small_batches
+from loomstone.llm.common import give_back, small_batches
 
 ROUNDS = 64  # merges of a word in one recursive query; what is still open then starts the next query
 KNOWN = 400_000  # distinct words a task remembers before it starts afresh
-CHUNK = 3_000_000  # code points of texts taken together
-ROWS = 400_000  # token rows of one ordered aggregation; a longer text is one alone
+CHUNK = 2_000_000  # code points of texts taken together
+ROWS = 200_000  # token rows of one ordered aggregation; a longer text is one alone
 BATCH = 1_000_000  # bytes of new words in one recursive query
 
 # A round unnests the tokens of every open word into rows of neighbours, joins them with the merge table, and contracts
@@ -59,6 +59,7 @@ class Merger:
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute(f"SET memory_limit = '{memory_mb}MB'")
+        self.db.execute("SET allocator_flush_threshold = '16MB'")
         pair, merged = [], []
         for token, rank in ranks.items():  # any two tokens that spell a third merge into it, with its rank
             for cut in range(1, len(token)):
@@ -170,6 +171,10 @@ def _encoded(ranks_of, pattern: str, keep: list[str]):
                 columns.append(pa.array(merger.spell(tokens, sizes), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
                 at = end
+        merger.db.close()
+        known.clear()
+        ids = nothing
+        give_back()
 
     return run
 

@@ -54,6 +54,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def give_back() -> None:
+    """Hand freed memory of this worker back to the system, as the next task in it may be of another stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop columns whose names an operator is about to write, whatever their case."""
     taken = {n.lower() for n in names}

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import components, packed, scratch, small_batches, stored, text_key, unpacked
+from loomstone.llm.common import components, give_back, packed, scratch, small_batches, stored, text_key, unpacked
 
 LEAF = 8  # sets under the lowest nodes
 BLOCK = 64  # sets of one tree
@@ -130,7 +130,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 def _sets_of(batch: pa.RecordBatch, size: int, numbers: dict) -> list[np.ndarray]:
     sets = [shingle_set(text.as_py(), size, numbers) for text in batch.column("text")]
-    if len(numbers) > 300_000:
+    if len(numbers) > 100_000:
         numbers.clear()
     return sets
 
@@ -153,6 +153,8 @@ def _described(size: int, percent: int):
             columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, bits, keys))]
             columns += [pa.array([shared[odd] for _, shared in parts], pa.int32()) for odd in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "n", "digest", "bits", "keys", "even", "odd"])
+        numbers.clear()
+        give_back()
 
     return run
 
@@ -477,6 +479,8 @@ def _token_rows(size: int):
                 values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
                 digest = pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("digest"), digest, pa.ListArray.from_arrays(offsets, pa.array(values))], ["digest", "found", "tokens"])
+        numbers.clear()
+        give_back()
 
     return run
 

@@ -153,10 +153,10 @@ def test_rows_of_a_shared_passage_grow_with_the_documents(spark):
     """Many documents that hold one passage meet in parts of it, but leave these for the parts of their own."""
     made = []
     for n in (200, 400, 800):
-        docs = spark.createDataFrame(passage_rows(n, 80, 80), "doc_id long, text string").repartition(4)
+        docs = spark.createDataFrame(passage_rows(n, 80, 60), "doc_id long, text string").repartition(4)
         described = st.stored(docs.withColumn("th", st.text_key(docs["text"])).mapInArrow(st._described(5, 80), "doc_id long, th long, n long, digest binary, bits binary, keys binary, even int, odd int"), "described")
         groups = st.stored(st.candidate_groups(described), "groups")
-        assert groups.groupBy("key").count().where(f"count > {n // 2}").count() > 5
+        assert groups.groupBy("key").count().where(f"count > {n // 8}").count() > 5
         classes = described.select("doc_id", "n", "digest", "bits", "even", "odd", st.node_of("digest").alias("node"))
         rows = st._rest_rows(groups, classes, spark.createDataFrame([], "node binary, component binary"), 64)
         made.append(rows.count() if rows is not None else 0)
