@@ -115,3 +115,17 @@ def unfence(col: Column) -> Column:
 def two_digits(col: Column) -> Column:
     """A small number with two digits, rounded by its exact binary value as printf does."""
     return F.format_number(col, 2)
+
+
+def _digit_table() -> tuple[str, str]:
+    """All decimal digits beyond 0-9, and for each the ASCII digit of its value."""
+    import sys
+    import unicodedata
+
+    others = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd" and c < 0x10000]
+    return "".join(others), "".join(str(unicodedata.digit(c)) for c in others)
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of any script as 0-9; other characters stay."""
+    return F.translate(text, *_digit_table())

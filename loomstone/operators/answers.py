@@ -48,7 +48,7 @@ NO_INFO_PHRASES = ["찾을 수 없습니다", "확인할 수 없습니다", "확
 COUNTED = "가지|개|단계|곳|명|항목|요소|축|영역"
 NUMERALS = ["한", "두", "세", "네", "다섯", "여섯", "일곱", "여덟", "아홉", "열"]
 BULLET = f"^(?:{tx.WS}|[•·\\-*\\p{{Nd}}.)\\]\\[])+"
-CITATION = r"\[([0-9]{1,3})\]"
+CITATION = r"(?U)\[(\d{1,3})\]"
 PERCENT_RUN = "@?(?:%[0-9A-Fa-f]{2}){3,}"
 MAX_ISSUES, MAX_NUMBER_ISSUES, STRONG_SCORE, STRONG_HITS, SHORT_ANSWER = 5, 2, 0.7, 3, 200
 CHECKED_ITEMS, CORE_CHARS, REPLAN_BELOW = 15, 30, 0.5
@@ -212,7 +212,7 @@ def expected_count(question: Column) -> Column:
     digits = F.regexp_extract(question, rf"(?U)(\d{{1,2}})\s*(?:{COUNTED})", 1)
     word = F.regexp_extract(question, rf"(?U)({'|'.join(NUMERALS)})\s*(?:{COUNTED})", 1)
     at = F.array_position(F.array(*[F.lit(n) for n in NUMERALS]), word)
-    return F.when(digits != "", digits.try_cast("int")).when(word != "", at.cast("int"))
+    return F.when(digits != "", tx.ascii_digits(digits).try_cast("int")).when(word != "", at.cast("int"))
 
 
 def list_items(answer: Column) -> Column:
@@ -276,7 +276,7 @@ def verdict(df: DataFrame) -> DataFrame:
 def cited_ids(answer: Column) -> Column:
     """Distinct numbers in ``[n]`` marks of an answer."""
     found = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(CITATION), 1)
-    return F.array_distinct(F.transform(found, lambda x: x.cast("int")))
+    return F.array_distinct(F.transform(found, lambda x: tx.ascii_digits(x).cast("int")))
 
 
 def citations(answers: DataFrame, hits: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Packing, splitting and merging of units into chunks.
 
 Where a chunk ends depends on the sizes summed since the last end, which no
-window can say. Only these sizes, as integer arrays, go through a small Arrow
-function; texts are cut and joined by Spark.
+window can say. Only these sizes, as integer arrays, go through small Arrow
+functions; texts are cut and joined by Spark.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
+from loomstone.plans.folds import size_groups
 from loomstone.plans.ordered import Edge, position_bucket, scan
 
 # Merge and split limits per format, the older packer, table shape.
@@ -123,27 +124,6 @@ def _piece_udf(overlap: int, window_overlap: int):
     return pieces
 
 
-def _groups(values: Sequence[int], target: int) -> list[dict]:
-    """Groups of consecutive sizes; a group closes once its sum reaches the target."""
-    out, first, total = [], 0, 0
-    for i, n in enumerate(values):
-        total += n
-        if total >= target:
-            out.append({"first": first, "n": i - first + 1, "closed": True})
-            first, total = i + 1, 0
-    if first < len(values):
-        out.append({"first": first, "n": len(values) - first, "closed": False})
-    return out
-
-
-def _group_udf():
-    @F.pandas_udf("array<struct<first:int,n:int,closed:boolean>>")
-    def groups(sizes: pd.Series, targets: pd.Series) -> pd.Series:
-        return pd.Series([_groups(v.tolist(), t) for v, t in zip(sizes, targets)])
-
-    return groups
-
-
 # ---------------------------------------------------------------- text splitting
 
 
@@ -262,18 +242,40 @@ def with_header(fragment: Column, header: Column) -> Column:
 # ---------------------------------------------------------------- units to chunks
 
 
+def _chunk_of(sizes: DataFrame) -> DataFrame:
+    """(doc_id, pos, chunk): which units make one chunk, named by its first position, from sizes alone.
+
+    A run is consecutive short units of one section and the unit that may take
+    in what is left of them; nothing carries over from run to run.
+    """
+
+    def starts_run(now: Callable[[str], Column], before: Callable[[str], Column]) -> Column:
+        same_path = before("section_path").eqNullSafe(now("section_path"))
+        follows = (before("role") == "short") & ((now("role") == "fit") | ((now("role") == "short") & same_path))
+        return ~F.coalesce(follows, F.lit(False))
+
+    sizes = scan(sizes, ["doc_id"], ["pos"], position_bucket("pos"), edges={"run": Edge(["role", "section_path"], starts_run)})
+    short = size_groups(sizes.where("role = 'short'"), ["doc_id", "run"], "pos", "n", "merge_below")
+    whole = sizes.where("role <> 'short'").select("doc_id", "run", "pos", "role", "n", "split_above", "merge_below")
+    # What is left of a run is the one group that stayed below the limit. Its texts are joined by two characters.
+    groups = short.groupBy("doc_id", "run", "first").agg(F.sum("n").alias("size"), F.count_if(F.col("n") > 0).alias("filled"))
+    next_to = whole.where("role = 'fit'").join(groups, ["doc_id", "run"])
+    taken = next_to.where((F.col("size") < F.col("merge_below")) & (F.col("size") + 2 * F.col("filled") + F.col("n") <= F.col("split_above")))
+    taken = taken.select("doc_id", "pos", F.col("first").alias("taken"))
+    wholes = whole.select("doc_id", "pos").join(taken, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("taken", F.col("pos").cast("long")).alias("chunk"))
+    return short.select("doc_id", F.col("pos"), F.col("first").alias("chunk")).unionByName(wholes)
+
+
 def adaptive_chunk(units: DataFrame) -> DataFrame:
     """Chunks of the units of (doc_id, pos, doc_format, unit_index, unit_type, title, section_path, text,
     is_table, table_index, parent_page_index).
 
     Long units are split, short ones merged with their neighbours of the same
     section until they are long enough, and what is left of a row of short
-    units is taken in by the next unit if both fit. A run holds consecutive
-    short units of one section and the unit that may take them in; nothing
-    carries over from run to run, so runs, not documents, are grouped.
-
-    Arrays here are never empty; the outer explode spares a filter that would
-    work out the array once more.
+    units is taken in by the next unit if both fit. Which units make a chunk is
+    found from their sizes alone (``_chunk_of``); texts then meet by chunk, so a
+    document may have any number of units. The units are read twice: keep them
+    in a table if they are costly to make.
     """
     merge_below, split_above = size_thresholds(F.col("doc_format"))
     size = F.length("text")
@@ -286,65 +288,34 @@ def adaptive_chunk(units: DataFrame) -> DataFrame:
         .otherwise("fit")
     )
     units = units.withColumn("role", role)
-
-    def starts_run(now: Callable[[str], Column], before: Callable[[str], Column]) -> Column:
-        same_path = before("section_path").eqNullSafe(now("section_path"))
-        follows = (before("role") == "short") & ((now("role") == "fit") | ((now("role") == "short") & same_path))
-        return ~F.coalesce(follows, F.lit(False))
-
-    units = scan(units, ["doc_id"], ["pos"], position_bucket("pos"), edges={"run": Edge(["role", "section_path"], starts_run)})
+    chunks = _chunk_of(units.select("doc_id", "pos", "role", "section_path", size.cast("long").alias("n"), "merge_below", "split_above"))
     kept = ["pos", "unit_index", "unit_type", "title", "section_path", "text", "is_table", "table_index", "parent_page_index", "role"]
-    runs = units.groupBy("doc_id", "run").agg(
-        F.first("doc_format").alias("doc_format"), F.first("merge_below").alias("merge_below"), F.first("split_above").alias("split_above"),
-        F.array_sort(F.collect_list(F.struct(*kept))).alias("u"),
+    met = units.join(chunks, ["doc_id", "pos"]).groupBy("doc_id", "chunk").agg(
+        F.first("doc_format").alias("doc_format"), F.first("split_above").alias("split_above"), F.array_sort(F.collect_list(F.struct(*kept))).alias("u")
     )
-    runs = runs.withColumn("short", F.filter("u", lambda x: x["role"] == "short"))
-    runs = runs.withColumn("whole", F.get(F.filter("u", lambda x: x["role"] != "short"), F.lit(0)))
-    runs = runs.withColumn("g", _group_udf()(F.transform("short", lambda x: F.length(x["text"])), F.col("merge_below")))
+    short = F.filter("u", lambda x: x["role"] == "short")
+    met = met.withColumn("short", short).withColumn("whole", F.get(F.filter("u", lambda x: x["role"] != "short"), F.lit(0)))
 
     def joined(members: Column) -> Column:
         return F.array_join(F.filter(F.transform(members, lambda x: x["text"]), lambda t: t != ""), "\n\n")
 
-    left_over = F.get(F.filter("g", lambda g: ~g["closed"]), F.lit(0))
-    runs = runs.withColumn("rest", F.when(left_over.isNotNull(), F.slice("short", left_over["first"] + 1, left_over["n"])))
-    taken = F.concat(joined(F.col("rest")), F.when(joined(F.col("rest")) != "", F.lit("\n\n")).otherwise(F.lit("")), F.col("whole.text"))
-    takes = (F.col("whole.role") == "fit") & F.col("rest").isNotNull() & (F.length(taken) <= F.col("split_above"))
-    runs = runs.withColumn("takes", F.coalesce(takes, F.lit(False))).withColumn("taken", taken)
-
-    no_ids = F.array().cast("array<int>")
-
-    def chunk(like: Column, index: Column, title: Column, text: Column, merged: Column, absorbed: Column) -> Column:
-        return F.struct(
-            like["pos"].alias("pos"), index.cast("int").alias("unit_index"), like["unit_type"].alias("unit_type"), title.alias("title"),
-            like["section_path"].alias("section_path"), text.alias("text"), like["is_table"].alias("is_table"),
-            like["table_index"].alias("table_index"), like["parent_page_index"].alias("parent_page_index"),
-            merged.alias("merged_units"), absorbed.alias("absorbed_units"), (like["role"] == "split").alias("_split"),
-        )
-
-    def ids(members: Column) -> Column:
-        return F.transform(members, lambda x: x["unit_index"].cast("int"))
-
     def titles(members: Column) -> Column:
         return F.filter(F.transform(members, lambda x: x["title"]), lambda t: t != "")
 
-    def merged(g: Column) -> Column:
-        def build(members: Column) -> Column:
-            many = F.size(members) > 1
-            first = members[0]
-            name = F.when(many, F.array_join(titles(members), " + ")).otherwise(first["title"])
-            text = F.when(many, joined(members)).otherwise(first["text"])
-            return chunk(first, first["unit_index"], name, text, F.when(many, ids(members)).otherwise(no_ids), no_ids)
-
-        return tx.let(F.slice("short", g["first"] + 1, g["n"]), build)
-
-    groups = F.transform(F.filter("g", lambda g: g["closed"] | ~F.col("takes")), merged)
-    whole = F.col("whole")
-    plain = chunk(whole, whole["unit_index"], whole["title"], whole["text"], no_ids, no_ids)
-    first_title = F.coalesce(F.get(titles(F.col("rest")), F.lit(0)), F.lit(""))
-    own_title = F.when(whole["title"] != "", whole["title"]).otherwise(first_title)
-    grown = chunk(whole, F.col("rest")[0]["unit_index"], own_title, F.col("taken"), no_ids, ids(F.col("rest")))
-    last = F.when(whole.isNull(), F.array()).when(F.col("takes"), F.array(grown)).otherwise(F.array(plain))
-    flat = runs.select("doc_id", "doc_format", "split_above", F.explode_outer(F.concat(groups, last)).alias("c")).select("doc_id", "doc_format", "split_above", "c.*")
+    whole, first = F.col("whole"), F.col("u")[0]
+    ids, no_ids = F.transform("short", lambda x: x["unit_index"].cast("int")), F.array().cast("array<int>")
+    like = F.coalesce(whole, first)
+    many, alone, takes = F.size("short") > 1, whole.isNull(), whole.isNotNull() & (F.size("short") > 0)
+    before = joined(F.col("short"))
+    title = F.when(alone & many, F.array_join(titles(F.col("short")), " + ")).when(takes & (whole["title"] == ""), F.coalesce(F.get(titles(F.col("short")), F.lit(0)), F.lit("")))
+    text = F.when(alone & many, before).when(takes & (before != ""), F.concat(before, F.lit("\n\n"), whole["text"]))
+    flat = met.select(
+        "doc_id", "doc_format", "split_above", like["pos"].alias("pos"), first["unit_index"].cast("int").alias("unit_index"), like["unit_type"].alias("unit_type"),
+        F.coalesce(title, like["title"]).alias("title"), like["section_path"].alias("section_path"), F.coalesce(text, like["text"]).alias("text"),
+        like["is_table"].alias("is_table"), like["table_index"].alias("table_index"), like["parent_page_index"].alias("parent_page_index"),
+        F.when(alone & many, ids).otherwise(no_ids).alias("merged_units"), F.when(takes, ids).otherwise(no_ids).alias("absorbed_units"),
+        (like["role"] == "split").alias("_split"),
+    )
 
     flat = split_text(flat.withColumn("_long", F.when(F.col("_split"), F.col("text")).otherwise("")), "_long", F.col("split_above"))
     pieces = F.when(F.col("_split"), F.col("parts")).otherwise(F.array("text"))

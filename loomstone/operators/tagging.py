@@ -96,7 +96,7 @@ def doc_snippet(units: DataFrame, chars: int = SNIPPET_CHARS) -> DataFrame:
     any size costs at most that many characters.
     """
     filled = units.filter(F.length("text") > 0).select("doc_id", "pos", "text")
-    ends = scan(filled, ["doc_id"], ["pos"], position_bucket("pos"), sums={"upto": (F.length("text") + 2).cast("long")})
+    ends = scan(filled, ["doc_id"], ["pos"], position_bucket("pos"), sums={"upto": (F.length("text") + 2).cast("long")}, levels=2)
     inside = ends.filter(F.col("upto") - F.length("text") - 2 < chars)
     inside = inside.select("doc_id", "pos", F.left("text", F.lit(chars)).alias("text"))
     packed = inside.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))

@@ -5,6 +5,14 @@ conversation, user or document holds a large share of the rows. Here a group
 is cut into segments by a bucket of its order column. Windows run inside a
 segment, one summary row per segment is carried over the group, and the two
 are joined on the segment key, by which the rows are partitioned already.
+
+Where positions are dense, a window over a group's summaries holds one row in
+SEGMENT. Where they are sparse, segments are as many as rows; then the
+summaries are carried up a tree: FAN neighbouring segment numbers make one of
+the next level, whatever the rows they hold, and what a level carries comes
+down again to the segments under it. No window holds more than SEGMENT
+positions of rows or FAN summaries, but for the top one, which holds one number
+in FAN^levels: 2 levels take positions up to 2^59 with at most FAN rows there.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 4096
+FAN = 65_536
 
 
 def position_bucket(position: str, size: int = SEGMENT) -> Column:
@@ -54,6 +63,8 @@ def scan(
     edges: Mapping[str, Edge] | None = None,
     nexts: Mapping[str, str] | None = None,
     prevs: Mapping[str, str] | None = None,
+    levels: int = 0,
+    fan: int = FAN,
 ) -> DataFrame:
     """Add running and neighbouring values along ``order`` inside each group.
 
@@ -65,7 +76,9 @@ def scan(
 
     ``bucket`` must not decrease along ``order`` inside a group; ``order`` is
     unique in it and keys are not null. All values asked for in one call share
-    one shuffle of the rows and one of the segment summaries.
+    one shuffle of the rows; the segment summaries, a row each, pass ``levels``
+    levels of ``fan`` segments and one window over what the last level leaves.
+    Ask for levels where a group's positions are wide and sparse.
     """
     sums, lasts, marks, edges = dict(sums or {}), dict(lasts or {}), dict(marks or {}), dict(edges or {})
     nexts, prevs = dict(nexts or {}), dict(prevs or {})
@@ -107,23 +120,20 @@ def scan(
         totals += [F.min_by(row, at).alias("_start"), F.max_by(row, at).alias("_stop")]
     heads = local.groupBy(*seg).agg(*totals)
 
-    along = Window.partitionBy(*keys).orderBy("_seg")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    carried = {f"_p_{n}": F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)) for n in sums}
-    carried |= {f"_p_{n}": F.last(f"_t_{n}", ignorenulls=True).over(before) for n in lasts}
-    carried |= {f"_p_{n}": F.lead(F.col(f"_t_{n}")).over(along)["v"] for n in nexts}
-    carried |= {f"_p_{n}": F.lag(F.col(f"_t_{n}")).over(along)["v"] for n in prevs}
+    up = lambda how, names: {n: (how, f"_t_{n}") for n in names}
+    wanted = {**up("sum", sums), **up("last", lasts), **up("next", nexts), **up("prev", prevs)}
     if edges:
-        carried["_before"] = F.lag("_stop").over(along)
-    heads = heads.withColumns(carried)
-    later = {f"_e_{n}": e.test(lambda c: F.col("_start")[c], lambda c: F.col("_before")[c]).cast("long") for n, e in edges.items()}
+        wanted["_before"] = ("prev", "_stop")
+    heads = _carried(heads, list(keys), "_seg", wanted, levels, fan)
+    heads = heads.withColumns({f"_p_{n}": F.col(f"_p_{n}")["v"] for n in [*nexts, *prevs]}) if nexts or prevs else heads
+    later = {f"_e_{n}": e.test(lambda c: F.col("_start")[c], lambda c: F.col("_p__before")[c]).cast("long") for n, e in edges.items()}
     later |= {f"_a_{n}": F.col(f"_p_{m.total}") + F.col(f"_t_{n}") for n, m in marks.items()}
-    heads = heads.withColumns(later) if later else heads
-    last = {
-        f"_p_{n}": F.coalesce(F.sum(F.col(f"_t_{n}") + F.col(f"_e_{n}")).over(before), F.lit(0)) + F.col(f"_e_{n}") for n in edges
-    }
-    last |= {f"_p_{n}": (F.first if m.first else F.last)(f"_a_{n}", ignorenulls=True).over(before) for n, m in marks.items()}
-    heads = heads.withColumns(last) if last else heads
+    if later:  # changes and marks need what the first pass carried
+        heads = heads.withColumns(later).withColumns({f"_s_{n}": F.col(f"_t_{n}") + F.coalesce(F.col(f"_e_{n}"), F.lit(0)) for n in edges})
+        wanted = {n: ("sum", f"_s_{n}") for n in edges} | {n: ("first" if m.first else "last", f"_a_{n}") for n, m in marks.items()}
+        heads = _carried(heads, list(keys), "_seg", wanted, levels, fan)
+        # The count before a segment's rows takes in the change at its own first row.
+        heads = heads.withColumns({f"_p_{n}": F.col(f"_p_{n}") + F.coalesce(F.col(f"_e_{n}"), F.lit(0)) for n in edges})
     heads = heads.select(*seg, *[f"_p_{n}" for n in [*sums, *lasts, *marks, *edges, *nexts, *prevs]])
 
     out = _rejoin(local, heads, seg)
@@ -137,6 +147,53 @@ def scan(
     return out.select(*df.columns, *[v.alias(n) for n, v in values.items()])
 
 
+def _carried(heads: DataFrame, keys: list[str], at: str, wanted: Mapping[str, tuple[str, str]], levels: int, fan: int) -> DataFrame:
+    """Add ``_p_<name>`` for every wanted (kind, column): what the rows before (for ``next`` the row behind) in the group give.
+
+    sum: their total, 0 for none. last, first: their last or first non-null
+    value. prev, next: the neighbouring row's value, a struct that is never null.
+
+    With levels left, rows meet inside buckets of ``fan`` numbers; each bucket
+    becomes one row, these are carried in the same way, and what comes from
+    before the bucket is put to what the bucket itself gives.
+    """
+    bucket = f"{at}_up"
+    group = [*keys, bucket] if levels else keys
+    along = Window.partitionBy(*group).orderBy(at)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    local = {
+        "sum": lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)),
+        "last": lambda c: F.last(c, ignorenulls=True).over(before),
+        "first": lambda c: F.first(c, ignorenulls=True).over(before),
+        "prev": lambda c: F.lag(c).over(along),
+        "next": lambda c: F.lead(c).over(along),
+    }
+    if not levels:
+        return heads.withColumns({f"_p_{n}": local[kind](c) for n, (kind, c) in wanted.items()})
+    heads = heads.withColumn(bucket, F.floor(F.col(at) / F.lit(fan)).cast("long"))
+    heads = heads.withColumns({f"_p_{n}": local[kind](c) for n, (kind, c) in wanted.items()})
+    when = lambda c: F.when(F.col(c).isNotNull(), F.col(at))
+    whole = {
+        "sum": lambda c: F.sum(c),
+        "last": lambda c: F.max_by(F.col(c), when(c)),
+        "first": lambda c: F.min_by(F.col(c), when(c)),
+        "prev": lambda c: F.max_by(F.col(c), F.col(at)),
+        "next": lambda c: F.min_by(F.col(c), F.col(at)),
+    }
+    tops = heads.groupBy(*group).agg(*[whole[kind](c).alias(f"_w_{n}") for n, (kind, c) in wanted.items()])
+    tops = _carried(tops, keys, bucket, {n: (kind, f"_w_{n}") for n, (kind, _) in wanted.items()}, levels - 1, fan)
+    tops = tops.select(*group, *[F.col(f"_p_{n}").alias(f"_o_{n}") for n in wanted])
+    both = _rejoin(heads, tops, group)
+    put = {
+        "sum": lambda n: F.col(f"_p_{n}") + F.col(f"_o_{n}"),
+        "last": lambda n: F.coalesce(F.col(f"_p_{n}"), F.col(f"_o_{n}")),
+        "first": lambda n: F.coalesce(F.col(f"_o_{n}"), F.col(f"_p_{n}")),
+        "prev": lambda n: F.coalesce(F.col(f"_p_{n}"), F.col(f"_o_{n}")),
+        "next": lambda n: F.coalesce(F.col(f"_p_{n}"), F.col(f"_o_{n}")),
+    }
+    return both.withColumns({f"_p_{n}": put[kind](n) for n, (kind, _) in wanted.items()}).drop(bucket, *[f"_o_{n}" for n in wanted])
+
+
 def history(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, k: int, name: str) -> DataFrame:
     """Add ``name``, the array of the ``k`` values before each row of its group, oldest first.
 

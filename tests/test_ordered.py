@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomstone.plans.ordered import Edge, Mark, history, position_bucket, scan
@@ -19,7 +20,8 @@ def rows():
     return out
 
 
-def test_scan(spark):
+@pytest.mark.parametrize(("levels", "fan"), [(0, 65_536), (1, 3), (2, 3), (3, 2)])
+def test_scan(spark, levels, fan):
     data = rows()
     df = spark.createDataFrame(data, "k string, pos long, n int, s string")
     got = scan(
@@ -28,7 +30,7 @@ def test_scan(spark):
         lasts={"last": F.col("s")},
         marks={"at_x": Mark("total", F.col("s") == "x"), "first_x": Mark("total", F.col("s") == "x", first=True)},
         edges={"changes": Edge(["n"], lambda now, before: ~before("n").eqNullSafe(now("n")))},
-        nexts={"next": "s"}, prevs={"prev": "n"},
+        nexts={"next": "s"}, prevs={"prev": "n"}, levels=levels, fan=fan,
     )
     got = {(r["k"], r["pos"]): r for r in got.collect()}
     assert len(got) == len(data)
@@ -68,3 +70,17 @@ def test_scan_shuffles_rows_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_sparse_positions_leave_no_window_over_a_whole_group(spark):
+    """A group whose every row is a segment: the windows over summaries go by group and bucket, and the top one is short."""
+    fan = 64
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 100_003).alias("pos"), F.lit(1).alias("n"))
+    out = scan(df, ["k"], ["pos"], position_bucket("pos", 4096), sums={"total": F.col("n").cast("long")}, prevs={"prev": "pos"}, levels=2, fan=fan)
+    assert out.where("total <> (pos DIV 100003) + 1 OR NOT prev <=> nullif(pos, 0) - 100003").count() == 0
+    seg = df.select(F.floor(F.col("pos") / 4096).alias("s"))
+    sizes = [seg.select(F.floor(F.col("s") / fan**i).alias("s"), F.floor(F.col("s") / fan ** (i + 1)).alias("b")).distinct().groupBy("b").count().agg(F.max("count")).first()[0] for i in (0, 1)]
+    top = seg.select(F.floor(F.col("s") / fan**2).alias("s")).distinct().count()
+    assert max(*sizes, top) <= max(fan, 20_000 * 100_003 // 4096 // fan**2 + 1) < 200
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_seg_up") > 2 and plan.count("_seg_up_up") > 2

@@ -172,3 +172,11 @@ def test_hybrid_search_by_hand(spark):
     # question 7: item 2 stands in both lists (dense 2, lexical 1); item 1 is nearest but without a word of it
     assert {r[2] for r in got if r[0] == 7} == {1, 2} and (8, 1, 3, None, 1) in got
     assert [r for r in got if r[2] == 2][0][3:] == (2, 1)
+
+
+def test_digits_of_any_script(spark):
+    from loomstone.operators import answers as an
+
+    df = spark.createDataFrame([("３가지 알려줘", "[１] and [2], [１２]"), ("4개", "[1]"), ("세 가지", ""), ("١٢ 개", "[٣]")], "q string, a string")
+    got = [(r[0], list(r[1])) for r in df.select(an.expected_count(df["q"]), an.cited_ids(df["a"])).collect()]
+    assert got == [(3, [1, 2, 12]), (4, [1]), (3, []), (12, [3])]

@@ -132,6 +132,52 @@ def test_adaptive_chunk_over_segments(spark):
     assert mine == sorted(fold(units, 200, 1200))
 
 
+def test_chunks_of_one_long_run(spark):
+    """A million short units of one section: no row of the plan holds more than a chunk or a segment of sizes."""
+    n = 1_000_000
+    cols = {"doc_format": "'txt'", "unit_index": "CAST(pos AS INT)", "unit_type": "'section'", "title": "''", "section_path": "'p'", "is_table": "false", "table_index": "CAST(null AS INT)", "parent_page_index": "CAST(null AS INT)"}
+    size = F.pmod(F.xxhash64("pos"), F.lit(60)).cast("int")
+    df = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("pos")).withColumn("text", F.repeat(F.lit("x"), size)).selectExpr("*", *[f"{v} AS {k}" for k, v in cols.items()])
+    got = ck.adaptive_chunk(df).select(F.col("pos").alias("first"), F.size("merged_units").alias("members")).orderBy("pos").collect()
+    sizes = [r[0] for r in df.orderBy("pos").select(F.length("text")).collect()]
+    want, at, total = [], 0, 0
+    for i, s in enumerate(sizes):
+        total += s
+        if total >= 200:
+            want.append((at, i + 1 - at))
+            at, total = i + 1, 0
+    if at < n:
+        want.append((at, n - at))
+    assert [(r["first"], max(1, r["members"])) for r in got] == want
+
+
+def test_size_groups_cut_anywhere(spark):
+    import random
+
+    from loomstone.plans.folds import CLOSED, grouped, moves, size_groups
+
+    rng = random.Random(6)
+    for target in (1, 7, 40):
+        for _ in range(60):
+            sizes = [rng.choice([0, 0, 1, 2, 5, 9, 39, 80]) for _ in range(rng.randint(1, 25))]
+            move = moves(range(len(sizes)), sizes, target)
+            assert len(move["need"]) <= min(len(sizes), target)
+            for amount in range(target):
+                ahead = grouped(range(len(sizes)), sizes, target, amount, -5 if amount else CLOSED)
+                step = next((i for i, n in enumerate(move["need"]) if n <= amount), None)
+                more = grouped([99], [0], target, 0, move["since"][step] if step is not None else ahead[0])[0]
+                tail = grouped([*range(len(sizes)), 99], [*sizes, 0], target, amount, -5 if amount else CLOSED)[-1]
+                assert more == tail
+                if step is not None and move["since"][step] != CLOSED:
+                    assert move["left"][step] == sum(n for n, g in zip(sizes, ahead) if g == move["since"][step])
+    rows = [(k, p, rng.choice([0, 1, 3, 8, 30])) for k, count in (("hot", 3000), ("b", 5), ("c", 1)) for p in sorted(rng.sample(range(-500, 9000), count))]
+    df = spark.createDataFrame(rows, "k string, p int, n int").withColumn("t", F.lit(25)).repartition(6)
+    got = {(r["k"], r["p"]): r["first"] for r in size_groups(df, ["k"], "p", "n", "t", segment=7).collect()}
+    for k in ("hot", "b", "c"):
+        own = sorted((p, n) for key, p, n in rows if key == k)
+        assert [got[(k, p)] for p, _ in own] == grouped([p for p, _ in own], [n for _, n in own], 25, 0, CLOSED)
+
+
 def test_with_header(spark):
     df = spark.createDataFrame([("A", "A", "body"), ("A", "B", "x A / B y"), ("", "", "body"), ("A", "B", "tail")], "p string, t string, f string")
     out = df.select(ck.with_header(F.col("f"), ck.context_header(F.col("p"), F.col("t"))).alias("o"))

@@ -369,13 +369,13 @@ def routed(spark, sf):
     c = table(spark, sf, "conversations").filter("role = 'user'")
     n = (F.col("conv_id") + F.col("turn")) % 7
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (n + 1).cast("int"))
-    text = F.concat(phrase, F.when(F.col("conv_id") % 2 == 0, "").otherwise(F.col("text")))
+    text = F.concat(phrase, "text")
     tasks = F.array(*[F.lit(t) for t in ("unknown", "knowledge_search", "file_chat", "chat", "injection", "")])
     task = F.element_at(tasks, ((F.col("conv_id") * 3 + F.col("turn")) % 6 + 1).cast("int"))
     return c.select("conv_id", "turn", text.alias("text"), task.alias("task"), (F.col("conv_id") % 3 == 0).alias("has_file"))
 
 
-ROUTED = f"""rt AS (SELECT conv_id, turn, [{', '.join(quoted(p) for p in PHRASES)}][(conv_id + turn) % 7 + 1] || CASE WHEN conv_id % 2 = 0 THEN '' ELSE text END AS text,
+ROUTED = f"""rt AS (SELECT conv_id, turn, [{', '.join(quoted(p) for p in PHRASES)}][(conv_id + turn) % 7 + 1] || text AS text,
   ['unknown', 'knowledge_search', 'file_chat', 'chat', 'injection', ''][(conv_id * 3 + turn) % 6 + 1] AS task, conv_id % 3 = 0 AS has_file FROM conversations WHERE role = 'user')"""
 
 
@@ -507,12 +507,12 @@ def tolerant_json(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", an.tolerant_json(raw).alias("v")).select("conv_id", "turn", "v.*").withColumns({c: F.array_join(c, "|") for c in ("missing", "extra")})
 
 
-@query("decode_percent_runs", """SELECT page_id, 'x 100% ' || CASE WHEN page_id % 2 = 0 THEN url ELSE '%41%' END || ' ' || CASE page_id % 3 WHEN 0 THEN '@가나 end' WHEN 1 THEN '%20%21%22' ELSE 'a' || page_id || '가b' END AS text FROM pages""")
+@query("decode_percent_runs", """SELECT page_id, 'x 100% ' || url || ' %41% ' || CASE page_id % 3 WHEN 0 THEN '@가나 end' WHEN 1 THEN '%20%21%22' ELSE 'a' || page_id || '가b' END AS text FROM pages""")
 def decode_percent_runs(spark, sf):
     n = F.col("page_id") % 3
     tail = F.when(n == 0, F.concat(F.lit("@"), F.url_encode(F.lit("가나")), F.lit(" end"))).when(n == 1, F.lit("%20%21%22")).otherwise(
         F.concat(F.lit("a"), F.col("page_id").cast("string"), F.url_encode(F.lit("가")), F.lit("b")))
-    raw = F.concat(F.lit("x 100% "), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.lit("%41%")), F.lit(" "), tail)
+    raw = F.concat(F.lit("x 100% "), F.col("url"), F.lit(" %41% "), tail)
     return table(spark, sf, "pages").select("page_id", an.decode_percent_runs(raw).alias("text"))
 
 
