@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.plans.blocks import CELLS, Nearest, per_block
+from loomstone.plans.blocks import CELLS, Nearest, best_rows, per_block
 
 # Fixed values of Okapi BM25: saturation, length weight, share of the mean idf given to negative idfs.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -103,16 +104,10 @@ def bm25_search(queries: DataFrame, index: DataFrame, terms: DataFrame, avgdl: f
     goes to the tasks as its term weights; every task meets the terms of its own
     chunks with them and keeps ``k`` chunks per query.
     """
-    spark = queries.sparkSession
+    def search(sent: Broadcast) -> DataFrame:
+        return best_rows(_scored(index, sent, avgdl, k), k, F.round("score", 9).desc(), F.col("item_id"))
 
-    def search(weights: pa.Table) -> DataFrame:
-        if not weights.num_rows:
-            return spark.createDataFrame([], _HIT)
-        return _scored(index, spark.sparkContext.broadcast(_by_term(weights)), avgdl, k)
-
-    hits = per_block(query_weights(queries, terms), "query_id", query_block, search)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item_id")
-    hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    hits = per_block(query_weights(queries, terms), "query_id", query_block, _by_term, search)
     best = F.max("score").over(Window.partitionBy("query_id"))
     hits = hits.withColumn("best", best).filter(F.col("score") > 0)
     return hits.select("query_id", "item_id", F.col("score").alias("raw_score"), (F.col("score") / F.col("best")).alias("score"), "rank")
@@ -120,7 +115,8 @@ def bm25_search(queries: DataFrame, index: DataFrame, terms: DataFrame, avgdl: f
 
 def _by_term(weights: pa.Table) -> dict:
     """The weights of a block, term by term: the queries that hold it and what it weighs there."""
-    term = weights["term"].combine_chunks().dictionary_encode()
+    texts = weights["term"].combine_chunks() if weights.num_rows else pa.array([], pa.string())
+    term = texts.dictionary_encode()
     ids, at = np.unique(weights["query_id"].to_numpy(), return_inverse=True)
     of_term = term.indices.to_numpy(zero_copy_only=False)
     order = np.argsort(of_term, kind="stable")
@@ -131,6 +127,8 @@ def _by_term(weights: pa.Table) -> dict:
 def _scored(index: DataFrame, sent, avgdl: float, k: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
+        if not len(w["ids"]):
+            return
         best = Nearest(len(w["ids"]), k)
         everyone = np.arange(len(w["ids"]))
         for batch in batches:

@@ -1,39 +1,98 @@
 """Exact scoring of a query table against a corpus table, block by block.
 
 The corpus is never joined row by row with the queries, never copied and never
-shuffled. The queries are cut into blocks of about a fixed number of rows; each
-block is one broadcast of that size and one scan of the corpus, in which every
-task passes on only the best ``k`` rows per query. A small query set is one
-block; more queries are more blocks, with the same plan for each.
+shuffled. The queries are cut into blocks of a bounded number of keys and bytes.
+Blocks run in turn: a block is collected, broadcast, met with one scan of the
+corpus in which every task passes on only the best ``k`` rows per query, its
+result is written to the shared folder, and its broadcast is destroyed before
+the next block is read. The driver and every executor thus hold one block,
+however many there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.vectors import block_distance
-from loomstone.session import written
+from loomstone.session import fresh_path, written
 
 QUERY_BLOCK = 4096  # queries of a block
+BLOCK_BYTES = 64 << 20  # bytes of a block
 CELLS = 8_000_000  # numbers of a score matrix held at once
+_SLICES = 16  # slices of keys for each block, of which blocks are put together
 
 
-def query_blocks(queries: DataFrame, key: str, block: int) -> list[DataFrame]:
-    """The queries in blocks of about ``block`` keys, by hash of the key, each read from the shared folder."""
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes a row takes: characters of texts at four, elements of arrays at eight, eight for all else."""
+    size = F.lit(0).cast("long")
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        held = F.length(field.name) * 4 if kind == "string" else F.size(field.name) * 8 if kind == "array" else F.lit(8)
+        size = size + F.greatest(F.coalesce(held.cast("long"), F.lit(0)), F.lit(0)) + 8
+    return size
+
+
+def query_blocks(held: DataFrame, key: str, block: int, most_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+    """Blocks of a stored query table of at most ``block`` keys and ``most_bytes`` bytes each.
+
+    Keys are dealt by hash to slices much smaller than a block, and neighbouring
+    slices are put together as long as both bounds hold. Only a slice that
+    passes a bound by itself, such as one key with more than ``most_bytes``,
+    makes a block beyond it. Rows of a key stay together.
+    """
+    sized = held.groupBy(key).agg(F.sum(row_bytes(held)).alias("bytes"))
+    total = sized.agg(F.count("*").alias("keys"), F.sum("bytes").alias("bytes")).first()
+    blocks = max(1, -(-total["keys"] // block), -(-(total["bytes"] or 0) // most_bytes))
+    if blocks == 1:
+        return [held]
+    slices = blocks * min(_SLICES, block)
+    at = F.pmod(F.xxhash64(key), F.lit(slices))
+    loads = sized.groupBy(at.alias("slice")).agg(F.count("*").alias("keys"), F.sum("bytes").alias("bytes")).collect()
+    ends, keys, used = [], 0, 0
+    for row in sorted(loads, key=lambda r: r["slice"]):
+        if keys and (keys + row["keys"] > block or used + row["bytes"] > most_bytes):
+            ends.append(row["slice"])
+            keys, used = 0, 0
+        keys, used = keys + row["keys"], used + row["bytes"]
+    return [held.where((at >= low) & (at < high)) for low, high in zip([0, *ends], [*ends, slices])]
+
+
+def per_block(
+    queries: DataFrame,
+    key: str,
+    block: int,
+    pack: Callable[[pa.Table], object],
+    search: Callable[[Broadcast], DataFrame],
+    most_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """All blocks' results, read from the shared folder.
+
+    ``pack`` makes of a block's rows what is broadcast; ``search`` gives the
+    finished rows of that block. A key lies in one block, so ranks within a
+    block are final.
+    """
+    spark = queries.sparkSession
     held = written(queries, "queries")
-    blocks = max(1, -(-held.select(key).distinct().count() // block))
-    return [held.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+    path, schema, parts = fresh_path(spark, "found"), None, []
+    for n, rows in enumerate(query_blocks(held, key, block, most_bytes)):
+        sent = spark.sparkContext.broadcast(pack(rows.toArrow().combine_chunks()))
+        found = search(sent)
+        schema = found.schema
+        parts.append(f"{path}/block={n}")
+        found.write.mode("overwrite").parquet(parts[-1])
+        sent.destroy()
+    return spark.read.schema(schema).parquet(*parts)
 
 
-def per_block(queries: DataFrame, key: str, block: int, search: Callable[[pa.Table], DataFrame]) -> DataFrame:
-    """All blocks' results; ``search`` gets the rows of one block."""
-    return reduce(DataFrame.unionByName, [search(b.toArrow().combine_chunks()) for b in query_blocks(queries, key, block)])
+def best_rows(hits: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows of each query with their ``rank``."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def keep_best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +166,7 @@ def nearest(
     skip_same: bool = False,
     group: bool = False,
     query_block: int = QUERY_BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact ``k`` nearest corpus rows per query: (query_id, item_id, distance, rank).
 
@@ -118,11 +178,8 @@ def nearest(
     """
     more = ["group"] if group else []
     items = _vectors(corpus, "item_id", *more)
-    spark = queries.sparkSession
-
-    def search(table: pa.Table) -> DataFrame:
-        sent = spark.sparkContext.broadcast(_unpacked(table, group))
 
+    def search(sent: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = sent.value
             best = Nearest(len(q["ids"]), k)
@@ -144,11 +201,10 @@ def nearest(
                             best.add(rows[own], ids[part], dist)
             yield best.batch(q["ids"])
 
-        return items.mapInArrow(scan, _HIT)
+        return best_rows(items.mapInArrow(scan, _HIT), k, F.round("distance", 9), F.col("item_id"))
 
-    hits = per_block(_vectors(queries, "query_id", *more), "query_id", query_block, search)
-    order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "item_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = _vectors(queries, "query_id", *more)
+    return per_block(asked, "query_id", query_block, lambda rows: _unpacked(rows, group), search, block_bytes)
 
 
 def best_per_class(queries: DataFrame, references: DataFrame, skip_same: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -158,11 +214,8 @@ def best_per_class(queries: DataFrame, references: DataFrame, skip_same: bool =
     unequal length have cosine -1. Tasks pass on one row per query and class.
     """
     items = _vectors(references, "item_id", "class")
-    spark = queries.sparkSession
-
-    def search(table: pa.Table) -> DataFrame:
-        sent = spark.sparkContext.broadcast(_unpacked(table, False))
 
+    def search(sent: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = sent.value
             best: dict[int, np.ndarray] = {}
@@ -182,7 +235,7 @@ def best_per_class(queries: DataFrame, references: DataFrame, skip_same: bool =
                 keep = np.isfinite(high)
                 yield pa.RecordBatch.from_arrays([pa.array(q["ids"][keep]), pa.array(np.full(keep.sum(), c, np.int64)), pa.array(high[keep])], ["query_id", "class", "score"])
 
-        return items.mapInArrow(scan, "query_id long, class long, score double")
+        scored = items.mapInArrow(scan, "query_id long, class long, score double")
+        return scored.groupBy("query_id", "class").agg(F.max("score").alias("score"))
 
-    scored = per_block(_vectors(queries, "query_id"), "query_id", query_block, search)
-    return scored.groupBy("query_id", "class").agg(F.max("score").alias("score"))
+    return per_block(_vectors(queries, "query_id"), "query_id", query_block, lambda rows: _unpacked(rows, False), search)

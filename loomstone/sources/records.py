@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,14 +136,16 @@ def holders(phrases: DataFrame, texts: DataFrame, block: int = 1024) -> DataFram
     """
     kept = texts.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
 
-    def search(table: pa.Table) -> DataFrame:
-        wanted = [(q, t) for q, t in zip(table.column("query_id").to_pylist(), table.column("text").to_pylist()) if t is not None]
+    def pack(table: pa.Table) -> list[tuple[int, str]]:
+        return [(q, t) for q, t in zip(table.column("query_id").to_pylist(), table.column("text").to_pylist()) if t is not None]
 
+    def search(sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = sent.value
             for batch in batches:
-                rows = [(q, i) for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text")) for q, t in wanted if t in text.as_py()]
+                rows = [(q, i) for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()) for q, t in wanted if t in text]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["query_id", "item_id"])
 
         return kept.mapInArrow(run, "query_id long, item_id long")
 
-    return per_block(phrases.select(F.col("query_id").cast("long").alias("query_id"), "text"), "query_id", block, search)
+    return per_block(phrases.select(F.col("query_id").cast("long").alias("query_id"), "text"), "query_id", block, pack, search)

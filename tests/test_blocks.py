@@ -1,10 +1,12 @@
 """Block scoring gives the same as brute force, in one block or many."""
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from loomstone.operators import lexical as lx
-from loomstone.plans.blocks import best_per_class, nearest
+from loomstone.plans.blocks import best_per_class, nearest, per_block, query_blocks
 from loomstone.plans.filtered import filtered_search
 
 
@@ -71,20 +73,53 @@ def test_filtered_search_falls_back(spark):
 
 
 def test_many_queries_in_blocks(spark):
-    """10,000 queries are five blocks: every one finds what a plain search finds, and the corpus is neither copied nor shuffled."""
+    """10,000 queries are at least five blocks: every one finds what a plain search finds, and what is left is a read of stored hits."""
     rng = np.random.default_rng(8)
     asked, items = rng.integers(-9, 10, (10_000, 4)).astype(float), rng.integers(-9, 10, (300, 4)).astype(float)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, vector array<double>")
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id long, vector array<double>")
     found = nearest(q, c, 3, query_block=2048)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "Generate" not in plan and "Cartesian" not in plan and plan.count("MapInArrow") >= 5
+    assert "Generate" not in plan and "Cartesian" not in plan and "MapInArrow" not in plan and "Exchange" not in plan
+    assert len({f.rsplit("/", 2)[1] for f in found.inputFiles()}) >= 5
     got = collected(found)
     dist = ((asked[:, None] - items[None]) ** 2).sum(2)
     want = np.lexsort((np.broadcast_to(np.arange(300), dist.shape), dist), axis=1)[:, :3]
     assert len(got) == 10_000 and all(got[i] == want[i].tolist() for i in range(10_000))
 
 
+def test_blocks_hold_their_bounds(spark):
+    """Texts of very unequal size: no block passes its keys or bytes but for a key that does so alone, and every key lies in one block."""
+    rows = [(i, "x" * (20_000 if i == 7 else 400 if i % 3 else 3)) for i in range(60)] + [(5, "again"), (6, None)]
+    queries = spark.createDataFrame(rows, "query_id long, text string")
+    for keys, most in ((9, 1 << 30), (1000, 12_000), (1000, 1 << 30)):
+        blocks = [[tuple(r) for r in b.collect()] for b in query_blocks(queries, "query_id", keys, most)]
+        assert sorted(map(str, (r for b in blocks for r in b))) == sorted(map(str, rows))
+        assert sum(len({q for q, _ in b}) for b in blocks) == 60
+        for b in blocks:
+            held = {q for q, _ in b}
+            size = sum(24 + 4 * len(t or "") for _, t in b)
+            assert len(held) <= keys and (size <= most or 7 in held)
+    assert len(query_blocks(queries, "query_id", 1000, 12_000)) > 4
+
+
+def test_blocks_run_in_turn(spark):
+    """One broadcast lives at a time, and results stay readable after all are gone."""
+    queries = spark.createDataFrame([(i,) for i in range(50)], "query_id long")
+    alive, seen = [], []
+
+    def search(sent):
+        assert all(b._path is None or not os.path.exists(b._path) for b in alive)
+        alive.append(sent)
+        seen.append(len(sent.value))
+        return spark.createDataFrame([(q,) for q in sent.value], "query_id long")
+
+    out = per_block(queries, "query_id", 10, lambda rows: rows.column("query_id").to_pylist(), search)
+    assert len(seen) >= 5 and max(seen) <= 10
+    assert sorted(r[0] for r in out.collect()) == list(range(50))
+    assert per_block(queries.limit(0), "query_id", 10, lambda rows: rows.column("query_id").to_pylist(), search).count() == 0
+
+
 def test_vectors_of_unequal_length_never_meet(spark):
     q = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0, 4.0, 5.0]), (3, [9.0] * 4)], "query_id long, vector array<double>")
     c = spark.createDataFrame([(10, [1.0, 2.0, 3.0], 0), (11, [1.0, 2.0, 3.0, 4.0, 5.0], 1), (12, [4.0, 5.0], 1)], "item_id long, vector array<double>, class long")
