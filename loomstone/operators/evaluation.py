@@ -25,6 +25,8 @@ GRADE = (
     r"(?:\(([0-9]+)rel/(?:([0-9]+)kept/)?([0-9]+)total,max=([0-9.]+),cov=(full|partial|none)\))?"
 )
 
+SAID_CORRECT = r"""^\{(?:.*,)?\s*(?:'correct'|"correct")\s*:\s*(?:True|true|1)\s*[,}]"""
+
 
 def normalize_answer(text: Column) -> Column:
     """Lower case, white space squeezed to single blanks, punctuation dropped."""
@@ -191,6 +193,24 @@ def parse_grade_log(runs: DataFrame, id_col: str, path_col: str) -> DataFrame:
     return out.select(id_col, F.size("_g").alias("n_grades"), *parts)
 
 
+def said_correct(score: Column) -> Column:
+    """Whether a score kept as text says ``correct``: a JSON object or a printed dictionary; false where it says nothing."""
+    text = tx.strip(F.coalesce(score, F.lit("")))
+    return F.rlike(text, F.lit(SAID_CORRECT))
+
+
+def graded_runs(grades: DataFrame, runs: DataFrame) -> DataFrame:
+    """First grade of every trace beside what its answer scored: (id, score, coverage, correct).
+
+    ``grades`` comes from ``parse_grade_log`` under ``id``, ``runs`` is (id,
+    score) with the score as text. A trace without a score counts as wrong, a
+    run without grades is left out.
+    """
+    judged = runs.select("id", said_correct(F.col("score").cast("string")).alias("correct"))
+    out = grades.select("id", F.col("first_max").alias("score"), F.col("first_cov").alias("coverage")).join(judged, "id", "left")
+    return out.withColumn("correct", F.coalesce("correct", F.lit(False)))
+
+
 def score_histogram(rows: DataFrame, score: str = "score", bins: Sequence[float] = BINS) -> DataFrame:
     """Right and wrong per score bin; empty bins stay. The bin is found by comparison, not by a range join."""
     at = F.when(F.lit(False), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,13 @@ def tokenize(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, F.posexplode_outer(tx.tokens(F.col(text_col))).alias("pos", "term")).filter("term is not null")
 
 
-def forward_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(item_id, dl, counts array<(term, tf)>) for non-empty chunks, made inside each row."""
+def forward_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+    """(item_id, dl, counts array<(term, tf)>) for non-empty chunks, made inside each row; ``keep`` names further columns."""
     words = tx.tokens(F.col(text_col))
     return (
         chunks.filter(F.length(text_col) > 0)
-        .select(F.col(id_col).cast("long").alias("item_id"), words.alias("words"))
-        .select("item_id", F.size("words").alias("dl"), tx.term_counts(F.col("words")).alias("counts"))
+        .select(*keep, F.col(id_col).cast("long").alias("item_id"), words.alias("words"))
+        .select(*keep, "item_id", F.size("words").alias("dl"), tx.term_counts(F.col("words")).alias("counts"))
     )
 
 
@@ -46,10 +46,13 @@ def term_table(index: DataFrame, n_docs: int) -> DataFrame:
         .groupBy(F.col("c.term").alias("term"))
         .agg(F.count("*").alias("df"), F.sum("c.tf").alias("cf"))
     )
+    return with_idf(df, n_docs)
+
+
+def with_idf(terms: DataFrame, n_docs: int) -> DataFrame:
     n = F.lit(float(n_docs))
     d = F.col("df").cast("double")
-    df = df.withColumn("idf", F.log(n - d + F.lit(0.5)) - F.log(d + F.lit(0.5)))
-    return df
+    return terms.withColumn("idf", F.log(n - d + F.lit(0.5)) - F.log(d + F.lit(0.5)))
 
 
 def mean_idf(terms: DataFrame) -> float:

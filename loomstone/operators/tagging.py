@@ -135,15 +135,35 @@ def doc_catalog(chunks: DataFrame) -> DataFrame:
 
 
 def corpus_stats(chunks: DataFrame, by: list[str], short: int = 100) -> DataFrame:
-    """Number and size distribution of chunks."""
+    """Number and size distribution of chunks per group; a null group is a group, a null text a chunk without a length.
+
+    Rows are counted per length first, and all figures come from those counts.
+    Quantiles interpolate between the two lengths around their place, which
+    running counts find, so no task gathers the lengths of a group.
+    """
     n = F.length("text")
-    return chunks.groupBy(*by).agg(
-        F.count("*").alias("chunks"),
-        F.sum(n.cast("long")).alias("chars"),
-        F.count_if(n < short).alias("short_chunks"),
-        F.round(F.avg((n < short).cast("double")), 6).alias("short_share"),
-        F.min(n).alias("smallest"),
-        F.max(n).alias("largest"),
-        F.percentile(n, F.lit(0.5)).alias("median"),
-        F.percentile(n, F.lit(0.95)).alias("p95"),
+    counts = chunks.groupBy(*[F.col(c) for c in by], n.alias("n")).agg(F.count("*").alias("c"))
+    known = F.when(F.col("n").isNotNull(), F.col("c"))
+    is_short = F.when(F.col("n") < short, F.col("c"))
+    totals = counts.groupBy(*by).agg(
+        F.sum("c").alias("chunks"),
+        F.sum(F.col("n").cast("long") * F.col("c")).alias("chars"),
+        F.coalesce(F.sum(is_short), F.lit(0)).alias("short_chunks"),
+        F.round(F.coalesce(F.sum(is_short), F.lit(0)) / F.sum(known), 6).alias("short_share"),
+        F.min("n").alias("smallest"),
+        F.max("n").alias("largest"),
+        F.coalesce(F.sum(known), F.lit(0)).alias("_known"),
     )
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    lengths = counts.where("n IS NOT NULL").select(group.alias("_group"), "n", "c")
+    running = scan(lengths, ["_group"], ["n"], position_bucket("n"), sums={"upto": F.col("c")}, levels=1).select("_group", "n", "upto")
+    size = totals.select(group.alias("_group"), "_known")
+    picked = []
+    for name, q in (("median", 0.5), ("p95", 0.95)):
+        at = F.lit(q) * (F.col("_known") - 1)
+        low, high = (F.min(F.when(F.col("upto") > edge, F.col("n"))) for edge in (F.floor(at), F.ceil(at)))
+        rest = F.max(at - F.floor(at))
+        picked.append((low + (high - low) * rest).alias(name))
+    quantiles = running.join(size, "_group").groupBy("_group").agg(*picked)
+    out = totals.withColumn("_group", group).join(quantiles, "_group", "left")
+    return out.drop("_group", "_known")

@@ -621,12 +621,16 @@ def parse_grade_log(spark, sf):
 
 
 def scores(spark, sf):
-    s = F.col("value") / 500
-    cov = F.when(s < 0.3, "none").when(F.col("event_type") == "click", "full").otherwise("partial")
-    return table(spark, sf, "events").select(F.col("event_id").alias("id"), s.alias("score"), (F.col("event_id") % 3 != 0).alias("correct"), cov.alias("coverage"))
+    """The traces above beside scores as text: printed dictionaries, JSON objects and text that holds no score."""
+    n = F.col("event_id")
+    printed = F.when(n % 3 == 0, "{'correct': False, 'score_value': 0.0}").otherwise("{'score_value': 1.0, 'correct': True}")
+    objects = F.when(n % 3 == 0, '{"correct":false,"missing":["x"]}').otherwise('{"correct":true,"missing":[]}')
+    runs = table(spark, sf, "events").select(n.alias("id"), F.when(n % 5 < 2, printed).when(n % 5 < 4, objects).otherwise("not scored").alias("score"))
+    return ev.graded_runs(ev.parse_grade_log(traces(spark, sf).withColumnRenamed("event_id", "id"), "id", "path"), runs)
 
 
-SCORES = "ss AS (SELECT event_id AS id, value / 500 AS score, event_id % 3 <> 0 AS correct, CASE WHEN value / 500 < 3e-1 THEN 'none' WHEN event_type = 'click' THEN 'full' ELSE 'partial' END AS coverage FROM events)"
+SCORES = """ss AS (SELECT event_id AS id, CASE event_id % 4 WHEN 3 THEN 0e0 ELSE CAST(printf('%.2f', value / 500) AS DOUBLE) END AS score, event_id % 3 <> 0 AND event_id % 5 < 4 AS correct,
+  CASE WHEN event_id % 4 <> 0 OR value / 500 < 3e-1 THEN 'none' WHEN event_id % 3 = 0 THEN 'full' ELSE 'partial' END AS coverage FROM events WHERE event_type <> 'error')"""
 
 
 def _d(x):

@@ -9,7 +9,9 @@ from loomstone.functions.vectors import nearness
 from loomstone.operators import fusion as fu
 from loomstone.operators import hybrid as hy
 from loomstone.operators import lexical as lx
+from loomstone.operators import lexical_store as ls
 from loomstone.plans.blocks import nearest
+from loomstone.session import fresh_path
 from workload.base import (
     FETCH, INDEX_SQL, L2_SQL, QUESTIONS_SQL, VEC_SQL, bm25_sql, facts, fused_sql, lexical_hits, lexical_index, query, question_vectors, questions,
     searched, sides_sql, table, vectors,
@@ -40,6 +42,42 @@ def bm25_search(spark, sf):
     return found.select("query_id", "item_id", "rank", F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score"))
 
 
+# ---------------------------------------------------------------- an index that grew by ingests
+
+
+def grown(spark, sf):
+    """A store after three ingests: all documents, German ones in an older wording, and the questions; then the questions
+    go and German documents come as they are; then French documents come again. What is left is the documents."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang", "source")
+    asked = questions(spark, sf).select(F.concat(F.lit("question-"), F.col("query_id").cast("string")).alias("path"), (-F.col("query_id") - 1).alias("chunk_id"), F.col("text").alias("content"))
+    older = docs.withColumn("content", F.when(F.col("lang") == "de", F.concat("source", F.lit(" "), "content")).otherwise(F.col("content")))
+    first = older.select("path", "chunk_id", "content").unionByName(asked)
+    store = fresh_path(spark, "lexical_store")
+    ls.ingest(spark, store, first, first)
+    german, french = docs.where("lang = 'de'"), docs.where("lang = 'fr'")
+    ls.ingest(spark, store, asked.select("path").unionByName(german.select("path")), german)
+    ls.ingest(spark, store, french, french)
+    return store
+
+
+@query("incremental_index", f"WITH {INDEX_SQL} SELECT term, df, cf, round(idf, 6) AS idf, round(weight_idf, 6) AS weight_idf, n, round(avgdl, 6) AS avgdl FROM terms, corpus")
+def incremental_index(spark, sf):
+    _, terms, n, avgdl = ls.open_index(spark, grown(spark, sf))
+    return terms.select(
+        "term", "df", "cf", F.round("idf", 6).alias("idf"), F.round("weight_idf", 6).alias("weight_idf"),
+        F.lit(n).cast("long").alias("n"), F.round(F.lit(avgdl), 6).alias("avgdl"),
+    )
+
+
+@query("incremental_search", f"WITH {INDEX_SQL}, {bm25_sql(QUESTIONS_SQL, fu.TOP_K)} SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(raw_score, 6) AS raw_score, round(score, 6) AS score FROM lex")
+def incremental_search(spark, sf):
+    """Search in the same store after its generations were folded into one."""
+    store = grown(spark, sf)
+    index, terms, _, avgdl = ls.open_index(spark, store, ls.compact(spark, store))
+    found = lx.bm25_search(questions(spark, sf), index, terms, avgdl, fu.TOP_K)
+    return found.select("query_id", "item_id", "rank", F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score"))
+
+
 # ---------------------------------------------------------------- dense
 
 @query("dense_search", f"""WITH {VEC_SQL},
