@@ -188,7 +188,8 @@ def parse_grade_log(runs: DataFrame, id_col: str, path_col: str) -> DataFrame:
 
     grades = F.transform(F.filter(F.col(path_col), lambda s: F.rlike(s, F.lit(GRADE))), grade)
     out = runs.withColumn("_g", grades).filter(F.size("_g") > 0)
-    first, final = F.col("_g")[0], F.element_at("_g", -1)
+    # Spark may read these before the filter above, so they must bear an empty array.
+    first, final = F.get("_g", F.lit(0)), F.get("_g", F.size("_g") - 1)
     parts = [p[c].alias(f"{n}_{c}") for n, p in (("first", first), ("final", final)) for c in ("status", "rel", "kept", "total", "max", "cov")]
     return out.select(id_col, F.size("_g").alias("n_grades"), *parts)
 

@@ -178,19 +178,26 @@ def _has_text(cells: Column) -> Column:
     return F.exists(cells, lambda c: ~tx.blank(c))
 
 
-def pipe_table(rows: Column) -> Column:
-    """Markdown table of an array of cell arrays; the first row is the header, short rows are padded."""
-
-    def line(cells: Column) -> Column:
-        return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+def pipe_line(cells: Column, width: Column) -> Column:
+    """One line of a Markdown table, padded to ``width`` cells."""
 
     def clean(c: Column) -> Column:
         return tx.strip(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))
 
+    padded = F.concat(F.transform(cells, clean), F.array_repeat(F.lit(""), width - F.size(cells)))
+    return F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"))
+
+
+def pipe_rule(width: Column) -> Column:
+    return F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
+
+
+def pipe_table(rows: Column) -> Column:
+    """Markdown table of an array of cell arrays; the first row is the header, short rows are padded."""
+
     def draw(width: Column) -> Column:
-        padded = F.transform(rows, lambda r: line(F.concat(F.transform(r, clean), F.array_repeat(F.lit(""), width - F.size(r)))))
-        rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
-        return F.array_join(F.concat(F.slice(padded, 1, 1), F.array(rule), F.slice(padded, 2, F.greatest(F.size(rows) - 1, F.lit(0)))), "\n")
+        lines = F.transform(rows, lambda r: pipe_line(r, width))
+        return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(pipe_rule(width)), F.slice(lines, 2, F.greatest(F.size(rows) - 1, F.lit(0)))), "\n")
 
     width = F.array_max(F.transform(rows, F.size))
     return F.when(F.size(rows) > 0, F.when(width > 0, tx.let(width, draw)).otherwise(F.lit(""))).otherwise(F.lit(""))
@@ -292,11 +299,62 @@ def flat_document_text(shapes: DataFrame, chars: int = FILE_CONTEXT_CHARS) -> Da
         F.when(F.col("notes") != "", F.array(F.concat(F.lit("### 발표자 노트\n"), "notes"))).otherwise(F.array().cast("array<string>")),
     )
     slides = slides.select("doc_id", "slide", F.array_join(pieces, "\n\n").alias("block"))
-    # Only slides that start inside the kept length are joined; lengths tell the rest.
-    total = scan(slides, ["doc_id"], ["slide"], position_bucket("slide"), sums={"upto": (F.length("block") + 2).cast("long")})
-    inside = F.when(F.col("upto") - F.length("block") - 2 < chars, F.struct("slide", "block"))
-    out = total.groupBy("doc_id").agg((F.max("upto") - 2).alias("full_chars"), F.array_sort(F.collect_list(inside)).alias("b"))
-    return out.select("doc_id", "full_chars", F.left(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit(chars)).alias("context"))
+    return _flat(slides.select("doc_id", F.col("slide").cast("long").alias("at"), F.lit(0).alias("line"), F.lit("\n\n").alias("gap"), "block"), chars)
+
+
+def flat_sheet_text(rows: DataFrame, chars: int = FILE_CONTEXT_CHARS) -> DataFrame:
+    """Whole text of a workbook of (doc_id, sheet_no, sheet, row_no, cells), sheet by sheet: (doc_id, full_chars, context).
+
+    ``row_no`` is a number. Rows without text are left out, and so are sheets
+    without such rows. Lines are made one by one, so a sheet may have any number
+    of rows; its width and first row come from one aggregation.
+    """
+    kept = rows.filter(_has_text(F.col("cells")))
+    heads = kept.groupBy("doc_id", "sheet_no").agg(
+        F.max(F.size("cells")).alias("width"), F.min("row_no").cast("long").alias("head"), F.min("sheet").alias("name")
+    )
+    lines = kept.select("doc_id", "sheet_no", F.col("row_no").cast("long").alias("n"), "cells").join(heads, ["doc_id", "sheet_no"])
+    is_head = F.col("n") == F.col("head")
+    text = F.when(is_head, F.concat(pipe_line(F.col("cells"), F.col("width")), F.lit("\n"), pipe_rule(F.col("width")))).otherwise(pipe_line(F.col("cells"), F.col("width")))
+    lines = lines.select("doc_id", F.col("sheet_no").cast("long").alias("at"), (F.col("n") - F.col("head") + 1).alias("line"), F.when(is_head, "\n\n").otherwise("\n").alias("gap"), text.alias("block"))
+    titles = heads.select("doc_id", F.col("sheet_no").cast("long").alias("at"), F.lit(0).cast("long").alias("line"), F.lit("\n\n").alias("gap"), F.concat(F.lit("## 시트: "), "name").alias("block"))
+    return _flat(lines.unionByName(titles), chars)
+
+
+def flat_paragraph_text(items: DataFrame, chars: int = FILE_CONTEXT_CHARS) -> DataFrame:
+    """Whole text of a paragraph file of (doc_id, pos, text, rows): its paragraphs, then its tables under their numbers.
+
+    A row with ``rows`` is a table. Numbers run over all tables of a file, those
+    without text too, which are left out themselves.
+    """
+    is_table = F.col("rows").isNotNull()
+    numbered = scan(items.select("doc_id", "pos", "text", "rows"), ["doc_id"], ["pos"], position_bucket("pos"), sums={"no": is_table.cast("long")})
+    text = tx.strip(F.coalesce("text", F.lit("")))
+    kept = F.filter("rows", _has_text)
+    drawn = F.concat(F.lit("## 표 "), F.col("no").cast("string"), F.lit("\n\n"), pipe_table(kept))
+    block = F.when(~is_table & (text != ""), text).when(F.size(kept) > 0, drawn)
+    made = numbered.select("doc_id", is_table.cast("long").alias("at"), F.col("pos").cast("long").alias("line"), F.lit("\n\n").alias("gap"), block.alias("block"))
+    return _flat(made.filter("block IS NOT NULL"), chars)
+
+
+def _flat(blocks: DataFrame, chars: int) -> DataFrame:
+    """First ``chars`` of the blocks (doc_id, at, line, gap, block) of each document in order, and the length of all.
+
+    ``gap`` stands before a block but for the first. Only blocks that start
+    inside the kept length are gathered, and of each no more than that length;
+    lengths tell the rest.
+    """
+    sized = blocks.withColumn("size", (F.length("gap") + F.length("block")).cast("long"))
+    per_at = sized.groupBy("doc_id", "at").agg(F.sum("size").alias("all"))
+    before = scan(per_at, ["doc_id"], ["at"], position_bucket("at"), sums={"upto": F.col("all")}, levels=1).select("doc_id", "at", (F.col("upto") - F.col("all")).alias("before"))
+    inside = scan(sized, ["doc_id", "at"], ["line"], position_bucket("line"), sums={"upto": F.col("size")}, levels=1)
+    placed = inside.join(before, ["doc_id", "at"]).withColumn("end", F.col("before") + F.col("upto"))
+    starts = F.col("end") - F.col("size")
+    piece = F.struct("at", "line", F.left(F.concat(F.when(starts > 0, F.col("gap")).otherwise(""), "block"), F.lit(chars + 2)).alias("text"))
+    out = placed.groupBy("doc_id").agg(
+        (F.max("end") - F.max(F.when(starts == 0, F.length("gap")))).alias("full_chars"), F.array_sort(F.collect_list(F.when(starts < chars + 2, piece))).alias("b")
+    )
+    return out.select("doc_id", "full_chars", F.left(F.array_join(F.transform("b", lambda x: x["text"]), ""), F.lit(chars)).alias("context"))
 
 
 # ---------------------------------------------------------------- paragraphs with heading levels

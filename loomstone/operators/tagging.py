@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from loomstone.functions import text as tx
 from loomstone.plans.ordered import position_bucket, scan
@@ -72,11 +73,16 @@ def repeated_ids(chunks: DataFrame) -> DataFrame:
 
 
 def tag_chunks(chunks: DataFrame, doc_attributes: DataFrame | None = None) -> DataFrame:
-    """Chunks with id, length, entities and, where given, the (doc_id, doc_topic, doc_summary, key_terms) of their document."""
+    """Chunks with id, length, entities and, where given, the (doc_id, doc_topic, doc_summary, key_terms) of their document.
+
+    A ``doc_format`` the chunks bring along stays; it is null where they have none.
+    """
     out = with_chunk_ids(chunks)
     out = out.withColumn("char_count", F.length("text")).withColumn("entities", extract_entities(F.col("text")))
     out = out.withColumn("display_title", F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.col("doc_id").cast("string")))
-    out = out.withColumn("source", F.lit("file"))
+    out = out.withColumn("source", F.lit("file")).withColumn("display_source", F.col("doc_id").cast("string"))
+    if "doc_format" not in out.columns:
+        out = out.withColumn("doc_format", F.lit(None).cast("string"))
     if doc_attributes is not None:
         out = out.join(doc_attributes, "doc_id", "left")
     else:
@@ -84,6 +90,38 @@ def tag_chunks(chunks: DataFrame, doc_attributes: DataFrame | None = None) -> Da
     return out.fillna({"doc_topic": "general", "doc_summary": ""})
 
 
+def chunk_metadata(tagged: DataFrame, key_terms: str = "key_terms") -> DataFrame:
+    """Tagged chunks with ``metadata``, the map that is stored beside a chunk.
+
+    Keys and their order are fixed; values are texts, lists joined by blanks
+    (entities) or ``, `` (terms and merged units). What is null or an empty list
+    has no key; columns the chunks lack count as null.
+    """
+    has = set(tagged.columns)
+
+    def given(name: str) -> Column:
+        return F.col(name).cast("string") if name in has else F.lit(None).cast("string")
+
+    def listed(name: str, by: str) -> Column:
+        if name not in has:
+            return F.lit(None).cast("string")
+        if not isinstance(tagged.schema[name].dataType, ArrayType):
+            return F.col(name).cast("string")
+        texts = F.col(name).cast("array<string>")
+        return F.when(F.size(texts) > 0, F.array_join(texts, by))
+
+    values = {
+        "doc_id": given("doc_id"), "doc_format": given("doc_format"), "page_unit_index": given("unit_index"), "page_unit_type": given("unit_type"),
+        "page_unit_title": given("title"), "section_path": given("section_path"), "is_table": given("is_table"), "char_count": given("char_count"),
+        "table_index": F.when(F.col("is_table"), given("table_index")), "parent_page_index": given("parent_page_index"),
+        "merged_units": listed("merged_units", ", "), "split_part": given("split_part"), "entities": F.coalesce(listed("entities", " "), F.lit("")),
+        "doc_topic": given("doc_topic"), "doc_summary": given("doc_summary"), "key_terms": F.coalesce(listed(key_terms, ", "), F.lit("")),
+        "title": given("display_title"), "display_source": given("display_source"), "source": given("source"),
+    }
+    pairs = F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])
+    return tagged.withColumn("metadata", F.map_filter(pairs, lambda _, v: v.isNotNull()))
+
+
 def drop_empty_metadata(attributes: Column) -> Column:
     """Attribute map without null values and empty lists (given as ``[]``)."""
     return F.map_filter(attributes, lambda _, v: v.isNotNull() & (v != "[]"))

@@ -38,3 +38,6 @@ def test_graded_runs(spark):
     got = {r["id"]: (r["score"], r["coverage"], r["correct"]) for r in ev.graded_runs(grades, runs).collect()}
     want = {i: ((0.28, "none", right) if i % 2 else (0.71, "full", right)) for i, (_, right) in [*texts.items(), (50, (None, False))]}
     assert got == want
+    bins = {r["low"]: (r["correct"], r["wrong"]) for r in ev.score_histogram(ev.graded_runs(grades, runs)).collect()}
+    low, high = [v[2] for v in want.values() if v[0] == 0.28], [v[2] for v in want.values() if v[0] == 0.71]
+    assert bins[0.0] == (sum(low), len(low) - sum(low)) and bins[0.7] == (sum(high), len(high) - sum(high))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
@@ -261,6 +262,14 @@ def heading_sections(spark, sf):
     return se.heading_sections(heading_items(spark, sf)).select(*_UNIT_COLS)
 
 
+@query("flat_paragraph_text", f"""WITH hl AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS n FROM (SELECT doc_id, string_split(text, {NL}) AS a FROM documents)),
+it AS (SELECT doc_id, n, n % 9 = 2 AS tab, {strip_sql('line')} AS text, {_two_rows} AS grid, count(*) FILTER (n % 9 = 2) OVER (PARTITION BY doc_id ORDER BY n) AS no FROM hl),
+b AS (SELECT doc_id, tab, n, CASE WHEN tab THEN '## 표 ' || no || {NL} || {NL} || {pipe_sql('kept')} ELSE text END AS block FROM (SELECT *, {_kept} AS kept FROM it) WHERE CASE WHEN tab THEN len(kept) > 0 ELSE text <> '' END)
+SELECT doc_id, length(string_agg(block, {NL} || {NL} ORDER BY tab, n)) AS full_chars, left(string_agg(block, {NL} || {NL} ORDER BY tab, n), 8000) AS context FROM b GROUP BY doc_id""")
+def flat_paragraph_text(spark, sf):
+    return se.flat_paragraph_text(heading_items(spark, sf))
+
+
 # ---------------------------------------------------------------- tables of orders
 
 
@@ -301,6 +310,16 @@ def sheet_units(spark, sf):
     return se.sheet_units(sheets)
 
 
+@query("flat_sheet_text", f"""WITH {ORDER_ROWS}, b AS (SELECT o_custkey AS doc_id, doc_id AS sheet_at, '## 시트: ' || o_orderstatus || doc_id || {NL} || {NL} || {pipe_sql('rows')} AS block FROM otab JOIN orders ON o_orderkey = doc_id)
+SELECT doc_id, length(string_agg(block, {NL} || {NL} ORDER BY sheet_at)) AS full_chars, left(string_agg(block, {NL} || {NL} ORDER BY sheet_at), 8000) AS context FROM b GROUP BY doc_id""")
+def flat_sheet_text(spark, sf):
+    """A customer's orders as the sheets of a workbook; rows are numbered in their order."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderstatus")
+    rows = order_rows(spark, sf).join(o, "doc_id")
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("row_no"))
+    return se.flat_sheet_text(rows.select(F.col("o_custkey").alias("doc_id"), F.col("doc_id").alias("sheet_no"), F.concat("o_orderstatus", rows["doc_id"].cast("string")).alias("sheet"), at.alias("row_no"), "cells"))
+
+
 # ---------------------------------------------------------------- damage: documents with some letters lost, as a broken font would lose them
 
 
@@ -617,6 +636,24 @@ def tag_chunks(spark, sf):
     return out.select("doc_id", "chunk_id", "unit_index", "char_count", "display_title", F.array_join("entities", " | ").alias("entities"), "doc_topic", "doc_summary")
 
 
+@query("chunk_metadata", f"""WITH {MARKED}, {LINES}, {MARKS}, {DOC_TITLE}, {SECTIONS}, topics AS (SELECT doc_id, lang || '-' || source AS doc_topic, text AS doc_summary FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+v AS (SELECT s.*, lang, {entities_sql('text')} AS ents FROM sections s JOIN (SELECT doc_id, lang FROM documents) d ON d.doc_id = s.doc_id)
+SELECT 'file::' || v.doc_id || '::page_' || unit_index AS chunk_id, concat_ws(chr(31), 'doc_id=' || v.doc_id, CASE WHEN lang = 'en' THEN '.md' ELSE '.txt' END, unit_index, 'section', title, section_path, 'false', CAST(length(text) AS INTEGER),
+  array_to_string(ents, ' '), coalesce(doc_topic, 'general'), coalesce(doc_summary, ''), CASE WHEN doc_topic IS NULL THEN '' ELSE doc_topic || ', ' || lang END,
+  CASE WHEN title <> '' THEN title ELSE CAST(v.doc_id AS VARCHAR) END, v.doc_id, 'file') AS metadata FROM v LEFT JOIN topics t ON t.doc_id = v.doc_id""")
+def chunk_metadata(spark, sf):
+    """All keys of every section; the values in the order of the keys."""
+    secs = se.text_sections(marked(spark, sf), "doc_id", "text")
+    secs = secs.withColumn("is_table", F.lit(False)).withColumn("split_part", F.lit(None).cast("string"))
+    secs = secs.withColumn("table_index", F.lit(None).cast("int")).withColumn("parent_page_index", F.lit(None).cast("int"))
+    docs = table(spark, sf, "documents")
+    secs = secs.join(docs.select("doc_id", F.when(F.col("lang") == "en", ".md").otherwise(".txt").alias("doc_format")), "doc_id")
+    topic = F.concat("lang", F.lit("-"), "source")
+    attrs = docs.join(table(spark, sf, "labels").filter("quality = 1"), "doc_id").select("doc_id", topic.alias("doc_topic"), F.col("text").alias("doc_summary"), F.array(topic, F.col("lang")).alias("key_terms"))
+    out = tg.chunk_metadata(tg.tag_chunks(secs, attrs))
+    return out.select("chunk_id", F.concat(F.lit("doc_id="), F.array_join(F.map_values("metadata"), "\x1f")).alias("metadata"))
+
+
 @query("drop_empty_metadata", """SELECT doc_id, concat_ws(',', 'lang', CASE WHEN quality = 1 THEN 'quality' END, 'source', CASE WHEN toxic IS NOT NULL THEN 'toxic' END) AS kept
 FROM documents LEFT JOIN labels USING (doc_id)""")
 def drop_empty_metadata(spark, sf):

@@ -13,6 +13,7 @@ from loomstone.plans.ordered import position_bucket
 from loomstone.session import fresh_path
 from loomstone.sources import files as fi
 from loomstone.sources import records as re_
+from loomstone.sources import reports as rp
 from loomstone.streaming import jobs
 from workload.base import HITS_SQL, facts, hits, lexical_index, query, questions, quoted, strip_sql, table
 from workload.retrieval import SIDES_SQL, both_sides
@@ -257,6 +258,41 @@ def write_report(spark, sf):
     return ev.markdown_lines(b, ["dimension", "value", "n"], "key")
 
 
+def _told(run):
+    return run.withColumns({"question": F.col("reasoning"), "ground_truth": F.col("category"), "answer": F.col("reasoning")})
+
+
+def _one_sql(x):
+    return f"translate({x}, chr(13) || chr(10), '  ')"
+
+
+_TABLE_SQL = " UNION ALL ".join(
+    f"SELECT unnest(['{heading}', '| {label} | N | Avg Score |', '| --- | --- | --- |', '']) AS line UNION ALL SELECT '| ' || value || ' | ' || n || ' | ' || printf('%.1f', mean_score * 100) || '% |' FROM bd WHERE dimension = '{d}'"
+    for d, heading, label in rp.TABLES)
+
+
+@query("evaluation_report", f"""WITH {RUN}, {BREAK}, o AS (SELECT count(*) AS t, count(*) FILTER (correct) AS c, round(avg(score_value), 6) AS m, count(*) FILTER (coalesce(error, '') <> '') AS e FROM run),
+w AS (SELECT * FROM run WHERE NOT correct ORDER BY score_value, id LIMIT 20)
+SELECT unnest(['# Eval Report — `run`', '', '- 총 문항: **' || t || '**', '- 정답 (binary): **' || c || '/' || t || ' = ' || printf('%.1f', c / CAST(t AS DOUBLE) * 100) || '%**', '- 평균 점수 (partial): **' || printf('%.3f', m) || '**', '- 시스템 오류: ' || e, '']) AS line FROM o
+UNION ALL {_TABLE_SQL} UNION ALL SELECT '## 상위 실패 사례 (' || count(*) || '건)' FROM w
+UNION ALL SELECT unnest(['### Q' || id || ' [' || category || ']', '- **질문**: ' || {_one_sql('reasoning')}, '- **정답**: ' || category, '- **시스템 답변**: ' || left({_one_sql('reasoning')}, 300), '- **task_type**: `' || task_type || '`', '- **judge**: score=' || printf('%.2f', score_value) || ', method=' || method, '  - reasoning: ' || {_one_sql('reasoning')}, '']) FROM w""")
+def evaluation_report(spark, sf):
+    """The report as it is read back from its text file."""
+    path = fresh_path(spark, "report")
+    rp.write_lines(rp.report_lines(_told(_run(spark, sf)), "run"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("comparison_report", f"""WITH {RUN}, b AS (SELECT r.*, o.correct AS now FROM run r JOIN orun o USING (id)), s AS (SELECT count(*) AS t, count(*) FILTER (correct) AS x, count(*) FILTER (now) AS y, count(*) FILTER (now AND NOT correct) AS i, count(*) FILTER (correct AND NOT now) AS d FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY correct ORDER BY id) AS r FROM b WHERE correct <> now)
+SELECT unnest(['# Compare — `run` vs `other`', '', '- 공통 문항: ' || t, '- run: ' || x || '/' || t || ' = ' || printf('%.1f', x / CAST(t AS DOUBLE) * 100) || '%', '- other: ' || y || '/' || t || ' = ' || printf('%.1f', y / CAST(t AS DOUBLE) * 100) || '%', '- **변화: ' || printf('%+d', y - x) || '**', '', '## 신규 정답 (개선 ' || i || '건)', '## 신규 오답 (회귀 ' || d || '건)']) AS line FROM s
+UNION ALL SELECT '- Q' || id || ' [' || category || ']: ' || left({_one_sql('reasoning')}, 80) FROM k WHERE r <= 20""")
+def comparison_report(spark, sf):
+    path = fresh_path(spark, "comparison")
+    rp.write_lines(rp.comparison_lines(_told(_run(spark, sf)), _told(_other_run(spark, sf)), "run", "other"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def entries(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     return d.select(
