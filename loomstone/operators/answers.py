@@ -110,14 +110,16 @@ def text_blocks(content: Column) -> Column:
     return tx.let(F.try_parse_json(content), of)
 
 
+REASON_CHARS = 500  # fixed value: length of a reasoning found by pattern
 _VERDICT = "correct boolean, score_value double, reasoning string, missing array<string>, extra array<string>"
 
 
-def tolerant_json(raw: Column) -> Column:
+def tolerant_json(raw: Column, chars: int | None = REASON_CHARS) -> Column:
     """(correct, score_value, reasoning, stage, missing, extra) of a verdict text.
 
     Tried in turn: the text without its fence; what stands between its outer
-    braces, line ends inside escaped; single fields by pattern; an error.
+    braces, line ends inside escaped; single fields by pattern, of the reasoning
+    its first ``chars``; an error.
     """
 
     def is_object(j: Column) -> Column:
@@ -140,7 +142,8 @@ def tolerant_json(raw: Column) -> Column:
         inner = F.regexp_replace(F.regexp_extract(s, r"(?s)(\{.*\})", 1), r"(?<!\\)\n", r"\\n")
         correct = F.lower(F.regexp_extract(s, r'(?i)"correct"\s*:\s*(true|false)', 1))
         score = F.regexp_extract(s, r'"score_value"\s*:\s*([0-9.]+)', 1)
-        reason = F.regexp_extract(s, r'"reasoning"\s*:\s*"([^"]{0,500})', 1)
+        reason = F.regexp_extract(s, r'"reasoning"\s*:\s*"([^"]*)', 1)
+        reason = reason if chars is None else F.left(reason, F.lit(chars))
         by_field = result(
             correct == "true", score.try_cast("double"),
             F.when(F.rlike(s, F.lit(r'"reasoning"\s*:\s*"')), reason).otherwise(F.lit("regex-extracted (parse fallback)")), "fields",

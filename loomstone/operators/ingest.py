@@ -93,15 +93,30 @@ def valid_entries(entries: DataFrame, snippet_chars: int | None = SNIPPET_CHARS)
     return out.filter((F.col("id") != "") & (F.col("question") != "") & (F.col("answer") != ""))
 
 
+def one_per_id(fresh: DataFrame) -> DataFrame:
+    """The greatest valid entry of each id."""
+    rest = [c for c in fresh.columns if c != "id"]
+    best = F.max(F.struct("question", "answer", *[c for c in rest if c not in ("question", "answer")])).alias("f")
+    return fresh.groupBy("id").agg(best).select("id", *[F.col(f"f.{c}") for c in rest])
+
+
+def upsert_counts(table: DataFrame, entries: DataFrame) -> DataFrame:
+    """What an upsert does, one row: entries given, ids written, of them replaced and added, and entries that are not written."""
+    ids = valid_entries(entries).select("id").distinct()
+    held = table.select("id", F.lit(True).alias("_held")).distinct()
+    written = ids.join(held, "id", "left").agg(F.count("*").alias("written"), F.count("_held").alias("replaced"))
+    given = entries.agg(F.count("*").alias("given"))
+    out = given.withColumn("_k", F.lit(1)).join(written.withColumn("_k", F.lit(1)), "_k")
+    return out.select("given", "written", "replaced", (F.col("written") - F.col("replaced")).alias("added"), (F.col("given") - F.col("written")).alias("left_out"))
+
+
 def upsert_by_id(table: DataFrame, entries: DataFrame) -> DataFrame:
     """Table with the valid entries in place of rows with their ids.
 
     Of entries that share an id the greatest by (question, answer, doc_id,
     snippet, location, answer_type) stays, so that an id is never held twice.
     """
-    fresh = valid_entries(entries)
-    rest = [c for c in fresh.columns if c != "id"]
-    fresh = fresh.groupBy("id").agg(F.max(F.struct("question", "answer", *[c for c in rest if c not in ("question", "answer")])).alias("f")).select("id", *[F.col(f"f.{c}") for c in rest])
+    fresh = one_per_id(valid_entries(entries))
     return table.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
 

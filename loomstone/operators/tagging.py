@@ -141,11 +141,11 @@ def doc_snippet(units: DataFrame, chars: int = SNIPPET_CHARS) -> DataFrame:
     return packed.select("doc_id", F.left(F.array_join(F.transform("t", lambda x: x["text"]), "\n\n"), F.lit(chars)).alias("snippet"))
 
 
-def normalize_topic(raw: Column) -> Column:
+def normalize_topic(raw: Column, chars: int | None = TOPIC_CHARS) -> Column:
     """Topic name from a verdict: first line, lower case, odd characters as ``_``; ``general`` if unusable."""
     first = tx.strip(F.split(tx.strip(raw), "\n")[0])
     name = F.btrim(F.regexp_replace(F.lower(first), r"[^\p{L}\p{N}_-]", "_"), F.lit("_-"))
-    usable = (name != "") & (F.length(name) <= TOPIC_CHARS)
+    usable = (name != "") & (F.lit(True) if chars is None else F.length(name) <= chars)
     return F.when(F.coalesce(usable, F.lit(False)), name).otherwise(F.lit("general"))
 
 

@@ -111,22 +111,23 @@ def explode_source_map(source_map: DataFrame, docs: DataFrame) -> DataFrame:
     return wanted.join(docs.select("doc_id", block.alias("block")), "doc_id")
 
 
-def routing_log_rows(decisions: DataFrame) -> DataFrame:
+def routing_log_rows(decisions: DataFrame, chars: int | None = LOG_CHARS) -> DataFrame:
     """Log rows of (log_id, ts, user_id, input_text, final_task, routing_debug JSON) with the debug figures beside it."""
 
     def named(col: str) -> Column:
         return F.coalesce(F.when(F.col(col) != "", F.col(col)), F.lit("unknown"))
 
+    text = F.coalesce("input_text", F.lit(""))
     d = F.from_json("routing_debug", "mode string, decision string, top1_score string, margin string")
     return decisions.select(
         "log_id", F.unix_timestamp("ts").alias("timestamp"), named("user_id").alias("user_id"),
-        F.left(F.coalesce("input_text", F.lit("")), F.lit(LOG_CHARS)).alias("input_text"), named("final_task").alias("final_task"), "routing_debug",
+        (text if chars is None else F.left(text, F.lit(chars))).alias("input_text"), named("final_task").alias("final_task"), "routing_debug",
         *[F.coalesce(d[c], F.lit("")).alias(n) for c, n in (("mode", "mode"), ("decision", "semantic_decision"), ("top1_score", "top1_score"), ("margin", "margin"))],
     )
 
 
-def append_routing_log(decisions: DataFrame, path: str) -> None:
-    routing_log_rows(decisions).write.mode("append").parquet(path)
+def append_routing_log(decisions: DataFrame, path: str, chars: int | None = LOG_CHARS) -> None:
+    routing_log_rows(decisions, chars).write.mode("append").parquet(path)
 
 
 def holders(phrases: DataFrame, texts: DataFrame, block: int = 1024) -> DataFrame:

@@ -18,6 +18,7 @@ from loomstone.operators import tagging as tg
 from loomstone.plans.spread import spread
 from loomstone.session import fresh_path, source_files, staged
 from loomstone.sources import files as fi
+from loomstone.sources import records as re_
 
 
 def one(spark, column, **values):
@@ -43,6 +44,8 @@ def test_entries_of_one_id_leave_one_row(spark):
     new = spark.createDataFrame([("a", "q1", "a1", None, "s" * 600, None, None), (" a ", "q2", "a2", None, None, None, None)], names)
     got = ing.upsert_by_id(table, new).collect()
     assert sorted((r["id"], r["question"]) for r in got) == [("a", "q2"), ("b", "q")]
+    assert tuple(ing.upsert_counts(table, new.unionByName(new.limit(0))).first()) == (2, 1, 1, 0, 1)
+    assert tuple(ing.upsert_counts(table, new.limit(0)).first()) == (0, 0, 0, 0, 0)
     whole = ing.valid_entries(new, snippet_chars=None).collect()
     assert max(len(r["snippet"]) for r in whole) == 600
 
@@ -55,6 +58,19 @@ def test_seeds_win_and_keep_their_time(spark):
     assert got == sorted([("t", "x", "seed", 9), ("t", "new", "seed", 8), ("t", "y", "admin", 2), ("t", "n", None, 4)], key=str)
 
 
+def test_limits_of_logs_verdicts_and_topics_can_be_lifted(spark):
+    row = spark.createDataFrame([(1, "u", "x" * 3000, "t", "{}")], "log_id long, user_id string, input_text string, final_task string, routing_debug string")
+    row = row.withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    for chars, n in ((2000, 2000), (None, 3000)):
+        assert len(re_.routing_log_rows(row, chars).first()["input_text"]) == n
+    raw = '{"correct": true, "score_value": 0.5, "reasoning": "' + "r" * 900 + '" broken'
+    for chars, n in ((500, 500), (None, 900)):
+        got = one(spark, an.tolerant_json(F.col("t"), chars), t=raw)
+        assert (len(got["reasoning"]), got["correct"]) == (n, True)
+    assert one(spark, tg.normalize_topic(F.col("t")), t="y" * 60) == "general"
+    assert one(spark, tg.normalize_topic(F.col("t"), None), t="y" * 60) == "y" * 60
+
+
 def test_limits_can_be_lifted(spark):
     words = [f"word{i:02d}" for i in range(60)]
     capped, free = (one(spark, tg.extract_entities(F.col("t"), words, *limits), t=" ".join(words)) for limits in ((), (None, None)))

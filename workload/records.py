@@ -312,6 +312,13 @@ def upsert_by_id(spark, sf):
     return ing.upsert_by_id(cached(spark, sf), entries(spark, sf))
 
 
+@query("upsert_counts", f"""WITH n AS (SELECT 'qa_' || doc_id AS id, quality = 1 AND {strip_sql('text')} <> '' AS good FROM documents JOIN labels USING (doc_id)), w AS (SELECT count(DISTINCT id) FILTER (good) AS w, count(*) AS g FROM n), r AS (SELECT count(DISTINCT id) AS r FROM n WHERE good AND id IN (SELECT 'qa_' || doc_id FROM documents WHERE lang <> 'de'))
+SELECT g AS given, w AS written, r AS replaced, w - r AS added, g - w AS left_out FROM w, r""")
+def upsert_counts(spark, sf):
+    """Against a table that lacks the entries of German documents."""
+    return ing.upsert_counts(cached(spark, sf).where("question <> 'de'"), entries(spark, sf))
+
+
 def samples(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     text = F.left(tx.strip(F.col("text")), F.lit(500))
