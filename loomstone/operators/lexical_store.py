@@ -15,41 +15,17 @@ leaves the version before it as it was, and its tables are never read.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.operators import lexical as lx
-from loomstone.session import source_files
+from loomstone.sources.manifests import Version, commit, last_version
 
 ROWS = "path string, item_id long, dl int, counts array<struct<term:string,tf:int>>"
 TABLES = {"rows": ROWS, "touched": "path string", "terms": "term string, df long, cf long", "totals": "n long, chars long"}
-_DONE = "/_SUCCESS"
 
-
-@dataclass(frozen=True)
-class Version:
-    """The generations that make an index, oldest first, as a manifest names them."""
-
-    number: int
-    generations: tuple[str, ...]
-
-
-def current(spark: SparkSession, store: str) -> Version:
-    """The last version whose manifest was finished; version 0 holds nothing."""
-    done = [p for p, _, _ in source_files(spark, f"{store}/manifests") if p.endswith(_DONE)]
-    if not done:
-        return Version(0, ())
-    last = max(done).removesuffix(_DONE)
-    named = spark.read.schema("place int, generation string").json(last).orderBy("place").collect()
-    return Version(int(last.rsplit("v", 1)[1]), tuple(r["generation"] for r in named))
-
-
-def _commit(spark: SparkSession, store: str, number: int, generations: tuple[str, ...]) -> Version:
-    rows = spark.createDataFrame(list(enumerate(generations)), "place int, generation string")
-    rows.coalesce(1).write.mode("errorifexists").json(f"{store}/manifests/v{number:012d}")
-    return Version(number, generations)
+current = last_version
 
 
 def _table(spark: SparkSession, store: str, version: Version, name: str) -> DataFrame:
@@ -107,7 +83,7 @@ def ingest(spark: SparkSession, store: str, touched: DataFrame, chunks: DataFram
     items = lx.forward_index(mine, keep=["path"]).select("path", "item_id", "dl", "counts")
     gone = live_rows(spark, store, version).join(paths, "path", "left_semi") if version.generations else None
     _write(spark, f"{store}/{folder}", items, paths, gone)
-    return _commit(spark, store, version.number + 1, (*version.generations, folder))
+    return commit(spark, store, version.number + 1, (*version.generations, folder))
 
 
 def compact(spark: SparkSession, store: str) -> Version:
@@ -118,7 +94,7 @@ def compact(spark: SparkSession, store: str) -> Version:
     folder = f"generations/{uuid.uuid4().hex}"
     rows = live_rows(spark, store, version)
     _write(spark, f"{store}/{folder}", rows, rows.select("path").distinct(), None)
-    return _commit(spark, store, version.number + 1, (folder,))
+    return commit(spark, store, version.number + 1, (folder,))
 
 
 def open_index(spark: SparkSession, store: str, version: Version | None = None) -> tuple[DataFrame, DataFrame, int, float]:

@@ -1,8 +1,12 @@
 """Streams over files that arrive in several batches."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from loomstone.session import fresh_path
+from loomstone.sources.manifests import last_version
 from loomstone.streaming import jobs
 
 
@@ -69,3 +73,56 @@ def test_late_rows_are_dropped(spark):
     run([("2024-01-01 00:00:30", "a"), ("2024-01-01 03:00:00", "b")])
     got = sorted((str(r["window_start"]), r["route"], r["n"]) for r in spark.read.schema("window_start timestamp, route string, n long").parquet(base + "/out").collect())
     assert got == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 01:00:00", "b", 1)]
+
+
+def test_ingest_reads_touched_buckets_and_folds_states(spark):
+    base = fresh_path(spark, "folded")
+    schema = "path string, content string, modified int"
+    chunker = lambda d: d.select("path", "hash", F.lit(0).alias("chunk_no"), F.col("content").alias("text"))
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base + "/in")
+        files = spark.readStream.schema(schema).parquet(base + "/in")
+        jobs.stream_ingest(files, base + "/log", base + "/cp", chunker, buckets=8, compact_after=2).awaitTermination()
+        return last_version(spark, base + "/log")
+
+    def text(version=None):
+        return {r["path"]: r["text"] for r in jobs.current_chunks(spark, base + "/log", version).collect()}
+
+    first = arrive([(f"p{i}", f"t{i}", 1) for i in range(40)])
+    versions = [arrive([("p1", f"new {k}", 2 + k)]) for k in range(5)]
+    assert text() == {f"p{i}": f"t{i}" for i in range(40)} | {"p1": "new 4"}
+    assert max(len(v.generations) for v in versions) <= 3  # what a batch reads does not go by the batches before it
+    one = jobs._states(spark, base + "/log", versions[-1], [3])
+    every = jobs._states(spark, base + "/log", versions[-1])
+    assert {r["bucket"] for r in one.select("bucket").distinct().collect()} == {3}
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ = 3", one._jdf.queryExecution().toString()) and every.count() > one.count() > 0
+    # a version before stays readable, and a write that died before its manifest is not seen
+    assert text(first) == {f"p{i}": f"t{i}" for i in range(40)}
+    n = versions[-1].number
+    spark.createDataFrame([("p1", "gone", 99, n, 0)], "path string, hash string, modified int, chunks_in long, bucket int").write.partitionBy("bucket").parquet(f"{base}/log/state/generation={n}")
+    spark.createDataFrame([(0, str(n))], "place int, generation string").write.json(f"{base}/log/manifests/_unfinished")
+    assert text()["p1"] == "new 4"
+    assert arrive([("p2", "next", 2)]).number > n and text()["p1"] == "new 4" and text()["p2"] == "next"
+
+
+def test_thread_state_expires_and_takes_nulls(spark):
+    base = fresh_path(spark, "expiry")
+    schema = "thread string, turn long, text string"
+    out = {}
+
+    def run(rows, ttl):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base + "/in")
+
+        def keep(batch, _):
+            for r in batch.collect():
+                out[r["thread"]] = tuple(r)[1:]
+
+        states = jobs.stream_thread_state(spark.readStream.schema(schema).parquet(base + "/in"), 2, ttl)
+        jobs.run_available(states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", base + "/cp"), spark)
+
+    run([("t", 1, "a"), ("t", None, "b"), ("t", 2, None), ("t", 2, None)], 1_500)
+    assert out == {"t": (4, 2, 2, None)}
+    time.sleep(2)
+    run([("t", 0, "after")], 1_500)
+    assert out == {"t": (1, 1, 0, "after")}
