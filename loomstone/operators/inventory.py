@@ -139,19 +139,19 @@ def recency_flag(rollup: DataFrame, as_of: Column, days: int = RECENT_DAYS) -> D
     )
 
 
-def estate_summary(files: DataFrame, duplicates: DataFrame, denied: int = 0) -> DataFrame:
-    """One row: totals, buckets, folder groups and duplicate waste."""
+def estate_summary(files: DataFrame, duplicates: DataFrame, denied: int | DataFrame = 0) -> DataFrame:
+    """One row: totals, buckets, folder groups, duplicate waste and refused paths; ``denied`` is their number or a listing with that column."""
     counted = F.col("bucket") != BUCKETS["ignored"]
     totals = files.agg(
         F.count_if(counted).alias("total_files"),
         F.round(F.coalesce(F.sum(F.when(counted, F.col("size"))), F.lit(0)) / 1024**3, 6).alias("total_gb"),
         *[F.count_if(F.col("bucket") == b).alias(k) for k, b in BUCKETS.items()],
-        F.lit(denied).cast("long").alias("access_denied"),
     )
+    refused = files.sparkSession.range(1).select(F.lit(denied).cast("long").alias("access_denied")) if isinstance(denied, int) else denied.agg(F.count_if("denied").alias("access_denied"))
     groups = files.filter(counted).select("group").distinct().agg(F.count("*").alias("folder_groups"))
     dup = duplicates.agg(
         F.count("*").alias("duplicate_groups"), F.coalesce(F.sum("files"), F.lit(0)).alias("duplicate_files"),
         F.round(F.coalesce(F.sum("wasted_bytes"), F.lit(0)) / 1024**3, 9).alias("duplicate_waste_gb"),
     )
     key = F.lit(1).alias("_k")
-    return totals.select("*", key).join(groups.select("*", key), "_k").join(dup.select("*", key), "_k").drop("_k")
+    return totals.select("*", key).join(refused.select("*", key), "_k").join(groups.select("*", key), "_k").join(dup.select("*", key), "_k").drop("_k")

@@ -12,10 +12,11 @@ from loomstone.operators import turns as tu
 from loomstone.plans.ordered import position_bucket
 from loomstone.session import fresh_path
 from loomstone.sources import files as fi
+from loomstone.sources import folders as fo
 from loomstone.sources import records as re_
 from loomstone.sources import reports as rp
 from loomstone.streaming import jobs
-from workload.base import HITS_SQL, facts, hits, lexical_index, query, questions, quoted, strip_sql, table
+from workload.base import HITS_SQL, facts, hits, query, questions, quoted, strip_sql, table
 from workload.retrieval import SIDES_SQL, both_sides
 
 NL = "chr(10)"
@@ -55,6 +56,21 @@ fc AS (SELECT *, '/share' || CASE WHEN len(folders) > 0 THEN '/' || array_to_str
 # ---------------------------------------------------------------- sources
 
 
+@query("scan_folders", """SELECT nullif(lang, '') AS lang, nullif(source, '') AS source, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1, 2""")
+def scan_folders(spark, sf):
+    """The texts as files in folders by language and source, then listed: bytes per folder, one line end a text."""
+    path = fresh_path(spark, "folders")
+    table(spark, sf, "documents").select("lang", "source", "text").write.partitionBy("lang", "source").text(path)
+    found = fo.scan_folders(spark, path, [".txt"])
+
+    def of(name):
+        value = F.url_decode(F.regexp_replace(F.regexp_extract("path", f"(?:^|/){name}=([^/]*)/", 1), r"\+", "%2B"))
+        return F.nullif(value, F.lit("__HIVE_DEFAULT_PARTITION__"))
+
+    return found.groupBy(of("lang").alias("lang"), of("source").alias("source")).agg(F.sum("size").alias("bytes"))
+
+
+
 # The rules of the scan over the addresses as a listing, every seventh file hidden; tests scan a real folder.
 @query("scan_corpus", f"""WITH {LISTING}, h AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN regexp_replace(path, '([^/]+)$', '.\\1') ELSE path END AS path, size FROM lst)
 SELECT page_id, path, lower(regexp_extract(path, '(\\.[a-z]+)$', 1)) AS suffix, size FROM h
@@ -710,19 +726,11 @@ def ablation_matrix(spark, sf):
     return ev.ablation_matrix(runs, [n for n, _, _ in ev.SETTINGS], "outcome")
 
 
-# Gold: the documents that hold the question word for word. The longest token inside a question (neither its first nor
-# its last, which a document may continue) picks the documents to compare by the index of their words; questions without
-# such a token go to the documents in blocks.
+# Gold: the documents that hold the question word for word. Texts are read in their row, only ids go on.
 def gold(spark, sf):
-    words = tx.tokens(F.col("text"))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    key = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    q = questions(spark, sf).withColumn("key", key)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("doc"))
-    near = lexical_index(spark, sf)[0].select("item_id", F.explode("counts").alias("c")).select("item_id", F.col("c.term").alias("key")).join(q.where("key IS NOT NULL"), "key")
-    found = docs.join(near, "item_id").filter(F.contains("doc", F.col("text"))).select("query_id", "item_id")
-    short = re_.holders(q.where("key IS NULL").select("query_id", "text"), docs.withColumnRenamed("doc", "text"))
-    return found.unionByName(short).join(facts(spark, sf).select("item_id", "text_key"), "item_id").select("query_id", "item_id", "text_key")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    found = re_.holders(questions(spark, sf), docs)
+    return found.join(facts(spark, sf).select("item_id", "text_key"), "item_id").select("query_id", "item_id", "text_key")
 
 
 GOLD = "gd AS (SELECT b.item_id AS query_id, d.doc_id AS item_id, sha256(d.text) AS text_key FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

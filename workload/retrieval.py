@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
@@ -10,6 +13,7 @@ from loomstone.operators import fusion as fu
 from loomstone.operators import hybrid as hy
 from loomstone.operators import lexical as lx
 from loomstone.operators import lexical_store as ls
+from loomstone.operators import retrievers as rt
 from loomstone.plans.blocks import nearest
 from loomstone.session import fresh_path
 from workload.base import (
@@ -126,3 +130,16 @@ def hybrid_search(spark, sf):
     """Both searches fetch four times the cut, are fused and cut; the order of what is left is by score."""
     placed = hy.hybrid_search(question_vectors(spark, sf), *searched(spark, sf))
     return placed.join(facts(spark, sf), "item_id").select("query_id", "item_id", "place", F.round("score", 6).alias("score"), "lang", "source", "chars")
+
+
+# ---------------------------------------------------------------- retrievers by name
+
+
+@query("retrieve", f"""WITH {SIDES_SQL}, {fused_sql(fu.RRF_K, True)}
+SELECT CASE side WHEN 0 THEN 'dense' ELSE 'lexical' END AS retriever, query_id, item_id, CAST(rank AS INTEGER) AS rank FROM sides WHERE rank <= {fu.TOP_K}
+UNION ALL SELECT 'hybrid', query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rank) AS INTEGER) FROM fused""")
+def retrieve(spark, sf):
+    """Every registered retriever over the same questions and corpus."""
+    corpus, asked = rt.Corpus(*searched(spark, sf)), question_vectors(spark, sf)
+    out = [rt.retrieve(n, asked, corpus, fu.TOP_K).select(F.lit(n).alias("retriever"), "query_id", "item_id", "rank") for n in rt.retriever_names()]
+    return reduce(DataFrame.unionByName, out)
