@@ -77,7 +77,7 @@ def test_a_write_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatc
         raise OSError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(ls, "_commit", dies)
+        m.setattr(ls, "commit", dies)
         with pytest.raises(OSError):
             ls.ingest(spark, store, paths(spark, ["a"]), frames(spark, {"a": [(1, "blue")]}))
     assert ls.current(spark, store) == good and opened(spark, store) == rebuilt(spark, now)
