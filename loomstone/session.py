@@ -61,6 +61,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the file system of a path holds a folder there."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(top) and fs.getFileStatus(top).isDirectory()
+
+
 def source_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """(path, bytes, time of change) of the files of a table, as its file system lists them."""
     jvm = spark._jvm

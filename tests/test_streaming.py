@@ -126,3 +126,36 @@ def test_thread_state_expires_and_takes_nulls(spark):
     time.sleep(2)
     run([("t", 0, "after")], 1_500)
     assert out == {"t": (1, 1, 0, "after")}
+
+
+def test_tables_arrive_as_a_file_or_as_a_folder(spark, tmp_path):
+    """A table that is a folder of files arrives whole, as one that is a single file does."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from workload import all_queries
+
+    docs = pa.table({"doc_id": [0, 1, 2], "text": ["a\nb", "c", "a\nb"]}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    said = pa.table(
+        {"conv_id": [0, 0, 1], "turn": [0, 1, 0], "role": ["user", "assistant", "user"], "text": ["x", "y", "z"]},
+        pa.schema([("conv_id", pa.int64()), ("turn", pa.int32()), ("role", pa.string()), ("text", pa.string())]),
+    )
+    found = []
+    for kind in ("file", "folder"):
+        for name, rows in (("documents", docs), ("conversations", said)):
+            at = tmp_path / kind / f"{name}.parquet"
+            if kind == "file":
+                at.parent.mkdir(exist_ok=True)
+                pq.write_table(rows, at)
+            else:
+                at.mkdir(parents=True)
+                pq.write_table(rows.slice(0, 2), at / "part-0.parquet")
+                pq.write_table(rows.slice(2), at / "part-1.parquet")
+        lines = all_queries()["stream_ingest"](spark, str(tmp_path / kind)).select("path", "chunk_no", "text").collect()
+        threads = all_queries()["stream_thread_state"](spark, str(tmp_path / kind)).select("thread", "messages", "last_text").collect()
+        found.append((sorted(map(tuple, lines)), sorted(map(tuple, threads))))
+    assert found[0] == found[1]
+    assert found[1] == (
+        [("0", 0, "a"), ("0", 1, "b"), ("1", 0, "c"), ("2", 0, "a"), ("2", 1, "b")],
+        [("0", 2, "y"), ("1", 1, "z")],
+    )

@@ -10,13 +10,13 @@ from loomstone.operators import ingest as ing
 from loomstone.operators import inventory as inv
 from loomstone.operators import turns as tu
 from loomstone.plans.ordered import position_bucket
-from loomstone.session import fresh_path
+from loomstone.session import fresh_path, is_folder
 from loomstone.sources import files as fi
 from loomstone.sources import folders as fo
 from loomstone.sources import records as re_
 from loomstone.sources import reports as rp
 from loomstone.streaming import jobs
-from workload.base import HITS_SQL, facts, hits, query, questions, quoted, strip_sql, table
+from workload.base import HITS_SQL, facts, hits, query, questions, quoted, source, strip_sql, table
 from workload.retrieval import SIDES_SQL, both_sides
 
 NL = "chr(10)"
@@ -488,8 +488,10 @@ def recent_by_user(spark, sf):
 
 
 def stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as it arrives, be it one file or a folder of files; a stream reads folders only."""
+    path, schema = source(sf, name), table(spark, sf, name).schema
+    reader = spark.readStream.schema(schema)
+    rows = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
     local = [f.name for f in schema if f.dataType.simpleString() == "timestamp_ntz"]
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in local})
 
