@@ -86,7 +86,7 @@ def term_counts(words: Column) -> Column:
         )
 
     empty = F.expr("cast(array() as array<struct<term:string,tf:int>>)")
-    return F.when(F.size(words) == 0, empty).otherwise(let(F.array_sort(words), runs))
+    return F.when(F.size(words) == 0, empty).otherwise(let(F.sort_array(words), runs))
 
 
 def contains_any(col: Column, phrases: Sequence[str]) -> Column:

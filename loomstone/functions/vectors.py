@@ -34,14 +34,19 @@ def nearness(distance: Column) -> Column:
 
 def block_distance(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
     """Distances of every query row to every item row of one block, smaller is nearer."""
+    both = queries @ items.T
     if metric == "cosine":
-        qn = np.linalg.norm(queries, axis=1)
-        cn = np.linalg.norm(items, axis=1)
+        qn, cn = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (queries, items))
         scale = np.outer(qn, cn)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sim = np.where(scale > 0, (queries @ items.T) / scale, -1.0)
-        return -sim
+        if np.min(qn, initial=1.0) * np.min(cn, initial=1.0) > 0:
+            np.divide(both, scale, out=both)
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                both = np.where(scale > 0, both / scale, -1.0)
+        return np.negative(both, out=both)
     if metric == "l2sq":
-        d = (queries**2).sum(1)[:, None] + (items**2).sum(1)[None, :] - 2.0 * (queries @ items.T)
-        return np.maximum(d, 0.0)
+        d = np.add.outer(np.einsum("ij,ij->i", queries, queries), np.einsum("ij,ij->i", items, items))
+        both *= 2.0
+        d -= both
+        return np.maximum(d, 0.0, out=d)
     raise ValueError(f"unknown metric {metric}")

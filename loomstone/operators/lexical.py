@@ -135,23 +135,31 @@ def _scored(index: DataFrame, sent, avgdl: float, k: int) -> DataFrame:
         best = Nearest(len(w["ids"]), k)
         everyone = np.arange(len(w["ids"]))
         for batch in batches:
-            for ids, got in _batch_scores(batch, w, avgdl):
-                best.add(everyone, ids, np.where(got.T == 0.0, np.inf, -got.T))
-        best.dist = -best.dist
-        yield best.batch(w["ids"], "score")
+            for ids, got in _batch_scores(batch, w, avgdl, best):
+                best.add(everyone, ids, np.where(got == 0.0, np.inf, -got))
+        yield best.batch(w["ids"], "score", -1.0)
 
     return index.mapInArrow(score, _HIT)
 
 
-def _batch_scores(batch: pa.RecordBatch, w: dict, avgdl: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Yield (chunk ids, chunks x queries scores) for slices of one Arrow batch.
+def _batch_scores(batch: pa.RecordBatch, w: dict, avgdl: float, best: Nearest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield (chunk ids, queries x chunks scores) for slices of one Arrow batch.
 
     Only terms that both sides hold are touched: each meets the queries that
     hold it, and the products are summed into the slice's matrix.
     """
-    counts = batch.column("counts")
-    sizes = pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = counts.flatten()
+    sizes = pc.fill_null(pc.list_value_length(batch.column("counts")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    lo = 0
+    while lo < batch.num_rows:
+        # So many chunks that their terms do not pass the bound; one chunk at least.
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + CELLS, side="right")) - 1)
+        yield from _slice_scores(batch.slice(lo, hi - lo), sizes[lo:hi], w, avgdl, best)
+        lo = hi
+
+
+def _slice_scores(batch: pa.RecordBatch, sizes: np.ndarray, w: dict, avgdl: float, best: Nearest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    flat = batch.column("counts").flatten()
     row = np.repeat(np.arange(batch.num_rows), sizes)
     term = pc.fill_null(pc.index_in(flat.field("term"), value_set=w["terms"]), -1).to_numpy(zero_copy_only=False)
     tf = flat.field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
@@ -166,12 +174,14 @@ def _batch_scores(batch: pa.RecordBatch, w: dict, avgdl: float) -> Iterator[tupl
     lo = 0
     while lo < batch.num_rows:
         # So many chunks that neither their matrix nor their products pass the bound; one chunk at least.
-        hi = min(batch.num_rows, lo + max(1, CELLS // n_q), max(lo + 1, int(np.searchsorted(before, before[lo] + CELLS, side="right")) - 1))
+        few = best.step(batch.num_rows - lo, max(1, CELLS // n_q))
+        hi = min(lo + few, max(lo + 1, int(np.searchsorted(before, before[lo] + CELLS, side="right")) - 1))
         a, b = np.searchsorted(row, [lo, hi])
         held = w["held"][term[a:b]]
         inside = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
         at = np.repeat(w["starts"][term[a:b]], held) + inside
-        cell = (np.repeat(row[a:b], held) - lo) * n_q + w["query"][at]
+        cell = w["query"][at] * (hi - lo) + np.repeat(row[a:b], held) - lo
         got = np.bincount(cell, weights=np.repeat(part[a:b], held) * w["weight"][at], minlength=(hi - lo) * n_q)
-        yield ids[lo:hi], got.reshape(hi - lo, n_q)
+        yield ids[lo:hi], got.reshape(n_q, hi - lo)
+        best.seen += hi - lo
         lo = hi

@@ -12,19 +12,23 @@ however many there are.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.vectors import block_distance
 from loomstone.session import fresh_path, written
 
-QUERY_BLOCK = 4096  # queries of a block
+QUERY_BLOCK = 16384  # queries of a block
 BLOCK_BYTES = 64 << 20  # bytes of a block
-CELLS = 8_000_000  # numbers of a score matrix held at once
+TILE = 1024  # queries of a block whose scores are held at once
+CELLS = 250_000  # numbers of a score matrix held at once
+BATCH_ROWS = 2000  # corpus rows that reach a task together
 _SLICES = 16  # slices of keys for each block, of which blocks are put together
 
 
@@ -63,6 +67,19 @@ def query_blocks(held: DataFrame, key: str, block: int, most_bytes: int = BLOCK_
     return [held.where((at >= low) & (at < high)) for low, high in zip([0, *ends], [*ends, slices])]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Tasks get at most ``rows`` rows at once, so that what a task holds does not grow with its share of the corpus."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def per_block(
     queries: DataFrame,
     key: str,
@@ -85,7 +102,8 @@ def per_block(
         found = search(sent)
         schema = found.schema
         parts.append(f"{path}/block={n}")
-        found.write.mode("overwrite").parquet(parts[-1])
+        with small_batches(spark):
+            found.write.mode("overwrite").parquet(parts[-1])
         sent.destroy()
     return spark.read.schema(schema).parquet(*parts)
 
@@ -95,36 +113,62 @@ def best_rows(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def keep_best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the ``k`` smallest distances; rows are queries. Ties go to the smaller id."""
-    key = np.round(dist, 9)
-    if key.shape[1] > 4 * k:
-        cut = np.partition(key, k - 1, axis=1)[:, k - 1]
-        width = int((key <= cut[:, None]).sum(1).max())
-        near = np.argpartition(key, min(width, key.shape[1]) - 1, axis=1)[:, :width]
-    else:
-        near = np.broadcast_to(np.arange(key.shape[1]), key.shape)
-    near_ids = np.take_along_axis(ids, near, 1)
-    near_key = np.take_along_axis(key, near, 1)
-    order = np.lexsort((near_ids, near_key), axis=1)[:, :k]
-    pick = np.take_along_axis(near, order, 1)
-    return np.take_along_axis(ids, pick, 1), np.take_along_axis(dist, pick, 1)
-
-
 class Nearest:
-    """The ``k`` nearest items so far of every query of a block."""
+    """The ``k`` nearest items so far of every query of a block, by distance rounded to nine digits and then by id.
+
+    Only distances that the k-th one held lets in are taken up. They wait until
+    they are as many as the places, and are then put in order with those held.
+    Infinite distances and those that are no number take no part.
+    """
 
     def __init__(self, n: int, k: int):
         self.ids, self.dist, self.k = np.zeros((n, k), np.int64), np.full((n, k), np.inf), k
-
-    def add(self, rows: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
-        """dist: these queries x these items."""
-        both = np.hstack([self.ids[rows], np.broadcast_to(ids[None, :], dist.shape)])
-        self.ids[rows], self.dist[rows] = keep_best(both, np.hstack([self.dist[rows], dist]), self.k)
-
-    def batch(self, query_ids: np.ndarray, score: str = "distance") -> pa.RecordBatch:
+        self.most = np.full(n, np.finfo(np.float64).max)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.seen = 0
+
+    def step(self, items: int, most: int, seen: int | None = None) -> int:
+        """Items to score next, ``most`` at most: few at first, when any distance is taken up, then as many as were seen."""
+        return max(1, min(items, most, max(self.k, self.seen if seen is None else seen)))
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, own: np.ndarray | None = None) -> None:
+        """dist: these queries x these items. ``own`` has the id of every query of the block, whose own item is passed over."""
+        at = np.flatnonzero(dist <= self.most[rows][:, None])
+        row, col = np.divmod(at, len(ids))
+        found = rows[row], ids[col], dist[row, col]
+        if own is not None:
+            other = own[found[0]] != found[1]
+            found = tuple(x[other] for x in found)
+        self.waiting.append(found)
+        if sum(len(x[0]) for x in self.waiting) > self.ids.size:
+            self.settle()
+
+    def settle(self) -> None:
+        held = np.isfinite(self.dist)
+        self.waiting.append((np.nonzero(held)[0], self.ids[held], self.dist[held]))
+        row, ids, dist = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting = []
+        key = np.round(dist, 9)
+        order = np.argsort(key)
+        order = order[np.argsort(row[order].astype(np.min_scalar_type(len(self.ids))), kind="stable")]
+        tied = (np.diff(key[order]) == 0) & (np.diff(row[order]) == 0)
+        if tied.any():  # only then do ids decide
+            order = np.lexsort((ids, key, row))
+        row = row[order]
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(starts, append=len(row)))
+        first = place < self.k
+        row, place, order = row[first], place[first], order[first]
+        self.dist[:] = np.inf
+        self.ids[row, place], self.dist[row, place] = ids[order], dist[order]
+        last = self.dist[:, -1]
+        full = np.isfinite(last)
+        self.most[full] = last[full] + 2e-9 + 1e-12 * np.abs(last[full])  # what rounds to the same may have the smaller id
+
+    def batch(self, query_ids: np.ndarray, score: str = "distance", sign: float = 1.0) -> pa.RecordBatch:
+        self.settle()
         keep = np.isfinite(self.dist)
-        columns = [np.broadcast_to(query_ids[:, None], keep.shape)[keep], self.ids[keep], self.dist[keep]]
+        columns = [np.broadcast_to(query_ids[:, None], keep.shape)[keep], self.ids[keep], sign * self.dist[keep]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "item_id", score])
 
 
@@ -182,7 +226,7 @@ def nearest(
     def search(sent: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = sent.value
-            best = Nearest(len(q["ids"]), k)
+            best, seen = Nearest(len(q["ids"]), k), {}
             for batch in batches:
                 groups = _column(batch, "group") if group else None
                 for _, ids, matrix, of in _by_length(_column(batch, "item_id"), batch.column("vector"), groups):
@@ -190,15 +234,17 @@ def nearest(
                         continue
                     rows, wanted, wanted_of = q["by_length"][matrix.shape[1]]
                     for g in np.intersect1d(wanted_of, of) if group else [None]:
-                        own = np.arange(len(rows)) if g is None else np.nonzero(wanted_of == g)[0]
-                        here = np.arange(len(ids)) if g is None else np.nonzero(of == g)[0]
-                        step = max(1, CELLS // max(1, len(own)))
-                        for at in range(0, len(here), step):
-                            part = here[at : at + step]
-                            dist = block_distance(wanted[own], matrix[part], metric)
-                            if skip_same:
-                                dist[q["ids"][rows[own]][:, None] == ids[part][None, :]] = np.inf
-                            best.add(rows[own], ids[part], dist)
+                        asked = np.arange(len(rows)) if g is None else np.nonzero(wanted_of == g)[0]
+                        here = slice(None) if g is None else np.nonzero(of == g)[0]
+                        some_ids, some = ids[here], matrix[here]
+                        at, met = 0, (matrix.shape[1], g)
+                        while at < len(some_ids):
+                            step = best.step(len(some_ids) - at, CELLS // min(TILE, len(asked)), seen.get(met, 0))
+                            for low in range(0, len(asked), TILE):
+                                tile = slice(low, low + TILE) if g is None else asked[low : low + TILE]
+                                dist = block_distance(wanted[tile], some[at : at + step], metric)
+                                best.add(rows[tile], some_ids[at : at + step], dist, q["ids"] if skip_same else None)
+                            at, seen[met] = at + step, seen.get(met, 0) + step
             yield best.batch(q["ids"])
 
         return best_rows(items.mapInArrow(scan, _HIT), k, F.round("distance", 9), F.col("item_id"))
@@ -221,16 +267,22 @@ def best_per_class(queries: DataFrame, references: DataFrame, skip_same: bool =
             best: dict[int, np.ndarray] = {}
             for batch in batches:
                 for _, ids, matrix, of in _by_length(_column(batch, "item_id"), batch.column("vector"), _column(batch, "class")):
+                    order = np.argsort(of, kind="stable")
+                    ids, matrix, of = ids[order], matrix[order], of[order]
+                    own = np.isin(ids, q["ids"]) if skip_same else np.zeros(len(ids), bool)
                     for width, (rows, wanted, _) in q["by_length"].items():
-                        step = max(1, CELLS // max(1, len(rows)))
-                        for at in range(0, len(ids), step):
-                            part = slice(at, at + step)
-                            score = -block_distance(wanted, matrix[part], "cosine") if width == matrix.shape[1] else np.full((len(rows), len(ids[part])), -1.0)
-                            if skip_same:
-                                score[q["ids"][rows][:, None] == ids[part][None, :]] = -np.inf
-                            for c in np.unique(of[part]):
+                        step = max(1, CELLS // min(TILE, len(rows)))
+                        for at, low in product(range(0, len(ids), step), range(0, len(rows), TILE)):
+                            part, tile = slice(at, at + step), slice(low, low + TILE)
+                            asked = rows[tile]
+                            score = -block_distance(wanted[tile], matrix[part], "cosine") if width == matrix.shape[1] else np.full((len(asked), len(ids[part])), -1.0)
+                            mine = np.nonzero(own[part])[0]
+                            if len(mine):
+                                score[:, mine] = np.where(q["ids"][asked][:, None] == ids[part][mine], -np.inf, score[:, mine])
+                            kinds, starts = np.unique(of[part], return_index=True)
+                            for c, a, b in zip(kinds, starts, [*starts[1:], score.shape[1]]):
                                 high = best.setdefault(c, np.full(len(q["ids"]), -np.inf))
-                                high[rows] = np.maximum(high[rows], score[:, of[part] == c].max(1))
+                                high[asked] = np.maximum(high[asked], score[:, a:b].max(1))
             for c, high in best.items():
                 keep = np.isfinite(high)
                 yield pa.RecordBatch.from_arrays([pa.array(q["ids"][keep]), pa.array(np.full(keep.sum(), c, np.int64)), pa.array(high[keep])], ["query_id", "class", "score"])

@@ -161,3 +161,58 @@ def test_bm25_in_one_block_and_many(spark):
             assert all(abs(mine[i] - want[i]) < 1e-9 for i in want)
             if want:
                 assert max(r["score"] for r in got if r["query_id"] == q) == 1.0
+
+
+def test_scoring_holds_little_whatever_the_batch(spark):
+    """A batch of 20,000 chunks against 400 queries: what a task holds at once is bounded by tiles, not by the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, n_q, words = 20_000, 400, [f"w{i}" for i in range(50)]
+    rng = np.random.default_rng(5)
+    counts = [[{"term": words[t], "tf": 1 + int(t) % 3} for t in sorted(rng.choice(50, 3, replace=False))] for _ in range(n)]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([6] * n, pa.int32()), pa.array(counts, kind)], ["item_id", "dl", "counts"])
+    asked = [(q, words[t], 1.0 + t / 7) for q in range(n_q) for t in (q % 50, (q * 7 + 1) % 50)]
+    weights = pa.table({"query_id": pa.array([a[0] for a in asked], pa.int64()), "term": [a[1] for a in asked], "weight": [a[2] for a in asked]})
+
+    class Table:
+        def mapInArrow(self, scan, schema):
+            return scan
+
+    class Sent:
+        value = lx._by_term(weights)
+
+    scan = lx._scored(Table(), Sent, 6.0, 5)
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(scan(iter([batch])))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    score = np.zeros((n_q, n))
+    weight = {(q, t): sum(w for a, b, w in asked if (a, b) == (q, t)) for q, t, _ in asked}
+    holders = {t: [(i, c["tf"]) for i, row in enumerate(counts) for c in row if c["term"] == t] for t in words}
+    for (q, t), w in weight.items():
+        for i, tf in holders[t]:
+            score[q, i] += w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * 6 / 6.0))
+    for q in (0, 1, 7, 399):
+        want = sorted(range(n), key=lambda i: (-round(score[q, i], 9), i))[:5]
+        assert [r["item_id"] for r in found if r["query_id"] == q] == want
+
+
+def test_equal_distances_go_to_the_smaller_id_in_any_order():
+    """Items that arrive by falling id, most of them at equal distances, a query's own item left out."""
+    from loomstone.plans.blocks import Nearest
+
+    rng = np.random.default_rng(6)
+    dist = rng.integers(0, 4, (7, 900)).astype(float)
+    dist[:, ::11], dist[3, :] = np.inf, np.nan
+    ids, own = np.arange(900)[::-1].copy(), np.array([899, 5, 898, 1, 2, 3, 4])
+    best = Nearest(7, 6)
+    for at in range(0, 900, 50):
+        best.add(np.arange(7), ids[at : at + 50], dist[:, at : at + 50], own)
+    got = best.batch(np.arange(7)).to_pylist()
+    for q in range(7):
+        order = sorted((d, i) for d, i in zip(dist[q], ids) if np.isfinite(d) and i != own[q])[:6]
+        assert [(r["distance"], r["item_id"]) for r in got if r["query_id"] == q] == order
