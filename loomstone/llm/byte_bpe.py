@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from loomstone.llm.common import give_back, small_batches
 
 ROUNDS = 64  # merges of a word in one recursive query; what is still open then starts the next query
-KNOWN = 400_000  # distinct words a task remembers before it starts afresh
-CHUNK = 2_000_000  # code points of texts taken together
-ROWS = 200_000  # token rows of one ordered aggregation; a longer text is one alone
-BATCH = 1_000_000  # bytes of new words in one recursive query
+KNOWN = 100_000  # distinct words a task remembers before it starts afresh
+CHUNK = 500_000  # code points of texts taken together
+ROWS = 100_000  # token rows of one ordered aggregation; a longer text is one alone
+BATCH = 250_000  # bytes of new words in one recursive query
 
 # A round unnests the tokens of every open word into rows of neighbours, joins them with the merge table, and contracts
 # the leftmost pair of the smallest rank. A word without such a pair is closed and leaves the recursion.

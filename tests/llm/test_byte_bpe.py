@@ -71,3 +71,20 @@ def test_decoded_comes_from_the_emitted_ids(reference, monkeypatch):
     ids, decoded = out.column("ids").to_pylist(), out.column("decoded").to_pylist()
     assert ids == [reference.encode_ordinary(text)[::-1], []]
     assert decoded == [reference.decode_bytes(ids[0]), b""] and decoded[0] != text.encode()
+
+
+def test_a_task_holds_a_bounded_part(monkeypatch):
+    path, pattern = vocabulary()
+
+    class Ranks:
+        value = byte_bpe.read_ranks(path)
+
+    held, rows = [], []
+    merge, spell = byte_bpe.Merger.merge, byte_bpe.Merger.spell
+    monkeypatch.setattr(byte_bpe.Merger, "merge", lambda self, words: held.append(sum(map(len, words))) or merge(self, words))
+    monkeypatch.setattr(byte_bpe.Merger, "spell", lambda self, tokens, sizes: rows.append(len(tokens)) or spell(self, tokens, sizes))
+    texts = [" ".join(f"w{i * 7919 + j}" for j in range(3000)) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = list(byte_bpe._encoded(Ranks, pattern, ["doc_id"])(iter([batch])))
+    assert [d.decode() for o in out for d in o.column("decoded").to_pylist()] == texts
+    assert max(held) <= 260_000 and max(rows) <= 500_000 and sum(held) > 300_000
