@@ -360,52 +360,56 @@ def _flat(blocks: DataFrame, chars: int) -> DataFrame:
 # ---------------------------------------------------------------- paragraphs with heading levels
 
 
+_SECTION_UNITS = "array<struct<unit_index:bigint,unit_type:string,title:string,text:string,is_table:boolean,table_index:bigint,parent_page_index:bigint>>"
+
+
 def heading_sections(items: DataFrame) -> DataFrame:
     """Units of (doc_id, pos, level, text, rows): paragraphs under headings, tables beside them.
 
     ``level`` is 0 for a plain paragraph; a row with ``rows`` is a table.
     """
-    text = tx.strip(F.coalesce("text", F.lit("")))
-    is_table = F.col("rows").isNotNull()
     kept_rows = F.filter("rows", _has_text)
-    items = items.select("doc_id", "pos", "level", text.alias("text"), kept_rows.alias("rows"))
-    items = items.filter((is_table & (F.size("rows") > 0)) | (~is_table & (F.col("text") != "")))
+    # A table travels drawn, in the place of the text. Headings travel once, in the first row of their section.
+    items = items.select("doc_id", "pos", "level", F.col("rows").isNotNull().alias("is_table"), F.size(kept_rows).alias("_n"),
+                         F.when(F.col("rows").isNotNull(), pipe_table(kept_rows)).otherwise(tx.strip(F.coalesce("text", F.lit("")))).alias("text"))
+    is_table = F.col("is_table")
+    items = items.filter((is_table & (F.col("_n") > 0)) | (~is_table & (F.col("text") != ""))).drop("_n")
     head = ~is_table & F.col("level").isin(1, 2)
-    carried = scan(
-        items, ["doc_id"], ["pos"], position_bucket("pos"),
-        sums={"brk": head.cast("long"), "table_no": is_table.cast("long")},
-        lasts={
-            "h1": F.when(head & (F.col("level") == 1), F.col("text")),
-            "h2": F.when(head, F.when(F.col("level") == 2, F.col("text")).otherwise(F.lit(""))),
-        },
-    ).fillna({"h1": "", "h2": ""})
+    numbered = scan(items, ["doc_id"], ["pos"], position_bucket("pos"), sums={"brk": head.cast("long"), "table_no": is_table.cast("long")})
     body = F.when(F.col("level") >= 3, F.concat(F.lit("### "), "text")).otherwise(F.col("text"))
     is_body = ~is_table & ~F.col("level").isin(1, 2)
-    sections = carried.groupBy("doc_id", "brk").agg(
-        F.max("h1").alias("h1"), F.max("h2").alias("h2"),
+    sections = numbered.groupBy("doc_id", "brk").agg(
+        F.max(F.when(head & (F.col("level") == 1), F.col("text"))).alias("own1"), F.max(F.when(head & (F.col("level") == 2), F.col("text"))).alias("own2"),
         F.array_sort(F.collect_list(F.when(is_body, F.struct(F.col("pos"), body.alias("t"))))).alias("b"),
-        F.array_sort(F.collect_list(F.when(is_table, F.struct("pos", "table_no", "rows")))).alias("tables"),
+        F.array_sort(F.collect_list(F.when(is_table, F.struct("pos", "table_no", F.col("text").alias("t"))))).alias("tables"),
     )
     filled = (F.size("b") > 0).cast("long")
-    sections = scan(sections, ["doc_id"], ["brk"], position_bucket("brk"), sums={"index": filled})
+    under1 = F.when(F.col("own1").isNotNull(), F.lit(""))
+    sections = scan(
+        sections, ["doc_id"], ["brk"], position_bucket("brk"), sums={"index": filled}, lasts={"h1": F.col("own1"), "h2": F.coalesce(F.col("own2"), under1)}
+    ).fillna({"h1": "", "h2": ""})
     path = F.concat_ws(" / ", _nonempty(F.col("h1")), _nonempty(F.col("h2")))
     title = F.coalesce(_nonempty(F.col("h2")), _nonempty(F.col("h1")))
     own_title = F.coalesce(title, F.concat(F.lit("섹션 "), F.col("index").cast("string")))
     none = F.lit(None).cast("long")
-    own = sections.filter(filled == 1).select(
-        "doc_id", F.col("index").alias("unit_index"), F.lit("section").alias("unit_type"), own_title.alias("title"), path.alias("section_path"),
+    own = F.struct(
+        F.col("index").alias("unit_index"), F.lit("section").alias("unit_type"), own_title.alias("title"),
         F.concat(F.lit("# "), own_title, F.lit("\n\n"), F.array_join(F.transform("b", lambda x: x["t"]), "\n\n")).alias("text"),
         F.lit(False).alias("is_table"), none.alias("table_index"), none.alias("parent_page_index"),
     )
-    tables = sections.select("*", F.explode("tables").alias("t"))
-    n = F.col("t.table_no")
-    tables = tables.select(
-        "doc_id", (n + 10000).alias("unit_index"), F.lit("table").alias("unit_type"),
-        F.concat(F.coalesce(title, F.lit("본문")), F.lit(" — 표 "), n.cast("string")).alias("title"), path.alias("section_path"),
-        pipe_table(F.col("t.rows")).alias("text"), F.lit(True).alias("is_table"), n.alias("table_index"),
-        (F.col("index") - filled + 1).alias("parent_page_index"),
-    )
-    return own.unionByName(tables)
+
+    def beside(t: Column) -> Column:
+        n = t["table_no"]
+        return F.struct(
+            (n + 10000).alias("unit_index"), F.lit("table").alias("unit_type"), F.concat(F.coalesce(title, F.lit("본문")), F.lit(" — 표 "), n.cast("string")).alias("title"),
+            t["t"].alias("text"), F.lit(True).alias("is_table"), n.alias("table_index"), (F.col("index") - filled + 1).alias("parent_page_index"),
+        )
+
+    # Both kinds of units come out of one pass over the sections.
+    tables = F.transform("tables", beside)
+    units = F.concat(F.when(filled == 1, F.array(own)).otherwise(F.array().cast(_SECTION_UNITS)), tables.cast(_SECTION_UNITS))
+    out = sections.select("doc_id", path.alias("section_path"), F.explode(units).alias("u"))
+    return out.select("doc_id", "u.unit_index", "u.unit_type", "u.title", "section_path", "u.text", "u.is_table", "u.table_index", "u.parent_page_index")
 
 
 # ---------------------------------------------------------------- damage and recovery

@@ -79,3 +79,20 @@ def test_chunk_metadata(spark):
     assert (got[2]["table_index"], got[2]["parent_page_index"], got[2]["title"]) == ("1", "2", "T")
     assert not {"doc_format", "section_path", "merged_units", "split_part"} & got[2].keys()
     assert tagged.select(F.size("metadata")).count() == 2
+
+
+def test_heading_sections_move_texts_once(spark):
+    grid = [["a", None], [" ", ""], ["b", "c"]]
+    items = [
+        (1, 0, 0, "start", None), (1, 1, 0, None, [[" "]]), (1, 2, 1, " One ", None), (1, 3, 2, "Sub", None), (1, 4, 0, None, grid), (1, 5, 3, "deep", None), (1, 5000, 0, "far", None),
+        (1, 5001, 1, "Two", None), (1, 5002, 0, "text beside", grid), (1, 5003, None, "no level", None), (1, 5004, 2, "", None), (1, 5005, 0, "end", None), (2, 0, 2, "Only", None),
+    ]
+    out = se.heading_sections(spark.createDataFrame(items, "doc_id long, pos long, level int, text string, rows array<array<string>>").repartition(4))
+    drawn = "| a |  |\n|---|---|\n| b | c |"
+    got = sorted(tuple(r) for r in out.select("unit_index", "title", "section_path", "text", "is_table", "table_index", "parent_page_index").collect())
+    assert got == [
+        (1, "섹션 1", "", "# 섹션 1\n\nstart", False, None, None), (2, "Sub", "One / Sub", "# Sub\n\n### deep\n\nfar", False, None, None), (3, "Two", "Two", "# Two\n\nend", False, None, None),
+        (10001, "Sub — 표 1", "One / Sub", drawn, True, 1, 2), (10002, "Two — 표 2", "Two", drawn, True, 2, 3),
+    ]
+    plan = out._jdf.queryExecution().executedPlan().toString()  # sections are not made anew for each kind of unit
+    assert "Union" not in plan and plan.count("Exchange hashpartitioning") <= 14
