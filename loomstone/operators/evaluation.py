@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
+from loomstone.plans.ordered import top_rows
 
 # Punctuation dropped from answers, kinds scored by match, bins, sweeps, the trace pattern.
 PUNCTUATION = "[\\[\\]\\(\\)\\{\\}『』「」'\"·,.;:!?]"
@@ -173,24 +174,25 @@ def accuracy_excluding(before: DataFrame, after: DataFrame) -> DataFrame:
 def parse_grade_log(runs: DataFrame, id_col: str, path_col: str) -> DataFrame:
     """First and last grade step of each trace: (id, n_grades, first_*, final_*)."""
 
-    def grade(step: Column) -> Column:
+    def grade(step: Column) -> dict[str, Column]:
         def group(n: int) -> Column:
             return F.regexp_extract(step, GRADE, n)
 
         def number(n: int) -> Column:
             return F.coalesce(group(n).try_cast("int"), F.lit(0))
 
-        return F.struct(
-            group(1).alias("status"), number(2).alias("rel"), number(3).alias("kept"), number(4).alias("total"),
-            F.coalesce(group(5).try_cast("double"), F.lit(0.0)).alias("max"),
-            F.when(group(6) != "", group(6)).otherwise("none").alias("cov"),
-        )
+        return {
+            "status": group(1), "rel": number(2), "kept": number(3), "total": number(4),
+            "max": F.coalesce(group(5).try_cast("double"), F.lit(0.0)),
+            "cov": F.when(group(6) != "", group(6)).otherwise("none"),
+        }
 
-    grades = F.transform(F.filter(F.col(path_col), lambda s: F.rlike(s, F.lit(GRADE))), grade)
-    out = runs.withColumn("_g", grades).filter(F.size("_g") > 0)
+    # Steps are told apart first and only the two that count are read, each value by itself: what nobody asks for is not matched.
+    steps = F.filter(F.col(path_col), lambda s: F.rlike(s, F.lit(GRADE)))
+    out = runs.withColumn("_g", steps).filter(F.size("_g") > 0)
     # Spark may read these before the filter above, so they must bear an empty array.
     first, final = F.get("_g", F.lit(0)), F.get("_g", F.size("_g") - 1)
-    parts = [p[c].alias(f"{n}_{c}") for n, p in (("first", first), ("final", final)) for c in ("status", "rel", "kept", "total", "max", "cov")]
+    parts = [v.alias(f"{n}_{c}") for n, p in (("first", first), ("final", final)) for c, v in grade(p).items()]
     return out.select(id_col, F.size("_g").alias("n_grades"), *parts)
 
 
@@ -260,12 +262,9 @@ def threshold_sweep(rows: DataFrame, score: str = "score", pairs: Sequence[tuple
 
 def weak_passes(rows: DataFrame, score: str = "score", below: float = WEAK_BELOW, n: int = LIST_ROWS) -> DataFrame:
     """Lowest scored wrong rows and lowest scored right rows under the limit, ``n`` of each."""
-    weak = rows.filter(F.col(score) < below)
-    parts = []
-    for right in (False, True):
-        side = weak.filter(F.col("correct") == right).orderBy(score, "id").limit(n)
-        parts.append(side.withColumn("kind", F.lit("at_risk" if right else "suspect")))
-    return parts[0].unionByName(parts[1])
+    weak = rows.filter((F.col(score) < below) & F.col("correct").isNotNull())
+    lowest = top_rows(weak, ["correct"], [F.col(score), F.col("id")], n, "_place")  # one pass over the rows for both sides
+    return lowest.withColumn("kind", F.when(F.col("correct"), "at_risk").otherwise("suspect")).drop("_place")
 
 
 def ablation_matrix(runs: DataFrame, settings: Sequence[str], value: str) -> DataFrame:

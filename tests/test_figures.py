@@ -41,3 +41,24 @@ def test_graded_runs(spark):
     bins = {r["low"]: (r["correct"], r["wrong"]) for r in ev.score_histogram(ev.graded_runs(grades, runs)).collect()}
     low, high = [v[2] for v in want.values() if v[0] == 0.28], [v[2] for v in want.values() if v[0] == 0.71]
     assert bins[0.0] == (sum(low), len(low) - sum(low)) and bins[0.7] == (sum(high), len(high) - sum(high))
+
+
+def test_weak_passes_read_the_rows_once(spark):
+    rows = [(i, round((i * 7 % 100) / 100, 2) if i % 11 else None, None if i % 13 == 0 else i % 3 != 0) for i in range(1, 400)]
+    out = ev.weak_passes(spark.createDataFrame(rows, "id long, score double, correct boolean").repartition(5), n=6)
+    want = []
+    for right, kind in ((False, "suspect"), (True, "at_risk")):
+        side = sorted((s, i) for i, s, c in rows if s is not None and s < 0.6 and c is right)[:6]
+        want += [(i, s, right, kind) for s, i in side]
+    assert sorted(tuple(r) for r in out.select("id", "score", "correct", "kind").collect()) == sorted(want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+
+
+def test_grades_are_matched_only_where_asked_for(spark):
+    steps = ["x", "grade:pass(2rel/2kept/5total,max=0.71,cov=full)", None, "grade:no_docs"]
+    paths = spark.createDataFrame([(1, steps), (2, ["x"]), (3, None), (4, [])], "id long, path array<string>")
+    grades = ev.parse_grade_log(paths, "id", "path")
+    row = grades.collect()
+    assert len(row) == 1 and (row[0]["n_grades"], row[0]["first_max"], row[0]["first_kept"], row[0]["final_status"], row[0]["final_cov"]) == (2, 0.71, 2, "no_docs", "none")
+    plan = grades.select("id", "first_max")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
