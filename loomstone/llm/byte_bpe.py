@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from loomstone.llm.common import give_back, small_batches
 
 ROUNDS = 64  # merges of a word in one recursive query; what is still open then starts the next query
-KNOWN = 100_000  # distinct words a task remembers before it starts afresh
+KNOWN = 200_000  # distinct words a task remembers before it forgets all but the half it met most often
 CHUNK = 500_000  # code points of texts taken together
 ROWS = 100_000  # token rows of one ordered aggregation; a longer text is one alone
 BATCH = 250_000  # bytes of new words in one recursive query
@@ -133,7 +133,14 @@ def _encoded(ranks_of, pattern: str, keep: list[str]):
         cut, merger = regex.compile(pattern), Merger(ranks_of.value)
         nothing = Pieces(np.empty(0, np.int32), [])
         known: dict[str, int] = {}
-        ids = nothing
+        ids, met = nothing, np.empty(0, np.int64)  # the ids of known words, and how often each was met
+
+        def forget() -> None:
+            nonlocal known, ids, met
+            kept = np.sort(np.argsort(-met, kind="stable")[: KNOWN // 2])
+            words = list(known)
+            known = {words[i]: n for n, i in enumerate(kept)}
+            ids, met = Pieces(ids.take(kept), ids.sizes[kept]), met[kept] // 2
 
         def learn(words: list[str]) -> None:
             nonlocal ids
@@ -157,11 +164,13 @@ def _encoded(ranks_of, pattern: str, keep: list[str]):
                 every = set().union(*words)
                 new = every.difference(known)
                 if known and len(known) + len(new) > KNOWN:
-                    known, new, ids = {}, every, nothing
+                    forget()
+                    new = every.difference(known)
                 if new:
                     learn(sorted(new))
                 counts = np.array([len(w) for w in words])
                 flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+                met = np.bincount(flat, minlength=len(known)) + np.pad(met, (0, len(known) - len(met)))
                 row = np.repeat(np.arange(len(words)), counts)
                 columns = [batch.slice(at, end - at).column(c) for c in keep]
                 sizes = np.bincount(row, weights=ids.sizes[flat], minlength=len(words)).astype(np.int32)
@@ -173,7 +182,7 @@ def _encoded(ranks_of, pattern: str, keep: list[str]):
                 at = end
         merger.db.close()
         known.clear()
-        ids = nothing
+        ids, met = nothing, met[:0]
         give_back()
 
     return run
@@ -188,8 +197,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     ``decoded`` comes from each row's own list: rows (row, position, id) join the
     vocabulary and are aggregated in order, a bounded number at a time.
 
-    A task meets a word again and again, so it encodes each distinct word once;
-    what it remembers is bounded, and so are the words of one query. A word
+    A task meets a word again and again, so it encodes a distinct word once and
+    keeps its ids; what it remembers is bounded, words met often stay longest,
+    and the words of one query are bounded too. A word
     merges once a round: a word of n bytes costs up to n rounds over its tokens.
     Null and empty texts have no ids and decode to nothing. Rows are independent:
     repeated rows and null ids are encoded like any other, other columns are not

@@ -88,3 +88,19 @@ def test_a_task_holds_a_bounded_part(monkeypatch):
     out = list(byte_bpe._encoded(Ranks, pattern, ["doc_id"])(iter([batch])))
     assert [d.decode() for o in out for d in o.column("decoded").to_pylist()] == texts
     assert max(held) <= 260_000 and max(rows) <= 500_000 and sum(held) > 300_000
+
+
+def test_words_met_often_are_not_forgotten(reference, monkeypatch):
+    """New words push out those met once, not those of every text."""
+    path, pattern = vocabulary()
+    learned = []
+    merge = byte_bpe.Merger.merge
+    monkeypatch.setattr(byte_bpe, "KNOWN", 20)
+    monkeypatch.setattr(byte_bpe, "CHUNK", 1)
+    monkeypatch.setattr(byte_bpe.Merger, "merge", lambda self, words: learned.extend(words) or merge(self, words))
+    texts = ["zqzq" + "".join(f" zqzq qxqx w{i * 7919 + j}v" for j in range(4)) for i in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = list(byte_bpe._encoded(SimpleNamespace(value=byte_bpe.read_ranks(path)), pattern, ["doc_id"])(iter([batch])))
+    assert [i for o in out for i in o.column("ids").to_pylist()] == [reference.encode_ordinary(t) for t in texts]
+    assert [d.decode() for o in out for d in o.column("decoded").to_pylist()] == texts
+    assert learned.count(b" zqzq") == 1 and learned.count(b" qxqx") == 1
