@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.functions.vectors import block_distance
+from loomstone.functions.vectors import block_distance, kth_bound, lifted, near_pairs
 from loomstone.session import fresh_path, written
 
 QUERY_BLOCK = 16384  # queries of a block
@@ -113,6 +114,11 @@ def best_rows(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def _within(distance: np.ndarray) -> np.ndarray:
+    """A little more, as what rounds to the same may have the smaller id."""
+    return distance + 2e-9 + 1e-12 * np.abs(distance)
+
+
 class Nearest:
     """The ``k`` nearest items so far of every query of a block, by distance rounded to nine digits and then by id.
 
@@ -135,14 +141,22 @@ class Nearest:
         """dist: these queries x these items. ``own`` has the id of every query of the block, whose own item is passed over."""
         at = np.flatnonzero(dist <= self.most[rows][:, None])
         row, col = np.divmod(at, len(ids))
-        found = rows[row], ids[col], dist[row, col]
+        self.take(rows[row], ids[col], dist[row, col], own)
+
+    def take(self, rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, own: np.ndarray | None = None) -> None:
+        """Pairs of a query and an item whose distance the k-th one held lets in."""
+        found = rows, ids, dist
         if own is not None:
-            other = own[found[0]] != found[1]
+            other = own[rows] != ids
             found = tuple(x[other] for x in found)
         self.waiting.append(found)
         if sum(len(x[0]) for x in self.waiting) > self.ids.size:
             self.settle()
 
+    def expect(self, rows: np.ndarray, bound: np.ndarray) -> None:
+        """The k-th distances of these queries do not pass ``bound``, so what lies beyond it need not be taken up."""
+        self.most[rows] = np.minimum(self.most[rows], _within(bound))
+
     def settle(self) -> None:
         held = np.isfinite(self.dist)
         self.waiting.append((np.nonzero(held)[0], self.ids[held], self.dist[held]))
@@ -163,7 +177,7 @@ class Nearest:
         self.ids[row, place], self.dist[row, place] = ids[order], dist[order]
         last = self.dist[:, -1]
         full = np.isfinite(last)
-        self.most[full] = last[full] + 2e-9 + 1e-12 * np.abs(last[full])  # what rounds to the same may have the smaller id
+        self.most[full] = np.minimum(self.most[full], _within(last[full]))
 
     def batch(self, query_ids: np.ndarray, score: str = "distance", sign: float = 1.0) -> pa.RecordBatch:
         self.settle()
@@ -202,6 +216,42 @@ def _vectors(df: DataFrame, id_col: str, *more: str) -> DataFrame:
     return rows.filter(F.size("vector") > 0)
 
 
+def _meet(best: Nearest, rows: np.ndarray, wanted: np.ndarray, ids: np.ndarray, matrix: np.ndarray, own: np.ndarray | None, seen: int, metric: str) -> None:
+    """Every query row with every item row, tile by tile; ``seen`` items met these queries before."""
+    at = 0
+    while at < len(ids):
+        step = best.step(len(ids) - at, CELLS // min(TILE, len(rows)), seen + at)
+        for low in range(0, len(rows), TILE):
+            tile = slice(low, low + TILE)
+            best.add(rows[tile], ids[at : at + step], block_distance(wanted[tile], matrix[at : at + step], metric), own)
+        at += step
+
+
+def _meet_l2sq(best: Nearest, rows: np.ndarray, wanted: np.ndarray, ids: np.ndarray, matrix: np.ndarray, own: np.ndarray | None, seen: int) -> None:
+    """The same for squared distances, most of which a product in 32 bits settles.
+
+    Where more items come than were seen, the k-th distance among them bounds what is taken up.
+    """
+    fine = np.isfinite(np.einsum("ij,ij->i", matrix, matrix))  # all else is at no finite distance
+    if not fine.all():
+        ids, matrix = ids[fine], matrix[fine]
+    given = lifted(matrix, False)
+    if seen < len(ids) and best.k <= len(ids):
+        few = max(1, 2 * CELLS // len(ids))
+        for low in range(0, len(rows), few):
+            tile = slice(low, low + few)
+            passed = None if own is None else own[rows[tile]][:, None] == ids
+            best.expect(rows[tile], kth_bound(lifted(wanted[tile], True), given, best.k, passed))
+    for low in range(0, len(rows), TILE):
+        tile = slice(low, low + TILE)
+        asked = lifted(wanted[tile], True)
+        step = max(1, 2 * CELLS // len(asked))
+        for at in range(0, len(ids), step):
+            part = slice(at, at + step)
+            row, col, dist = near_pairs(wanted[tile], matrix[part], asked, given[part], best.most[rows[tile]])
+            best.take(rows[tile][row], ids[part][col], dist, own)
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
@@ -227,6 +277,7 @@ def nearest(
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = sent.value
             best, seen = Nearest(len(q["ids"]), k), {}
+            meet = _meet_l2sq if metric == "l2sq" else partial(_meet, metric=metric)
             for batch in batches:
                 groups = _column(batch, "group") if group else None
                 for _, ids, matrix, of in _by_length(_column(batch, "item_id"), batch.column("vector"), groups):
@@ -236,15 +287,9 @@ def nearest(
                     for g in np.intersect1d(wanted_of, of) if group else [None]:
                         asked = np.arange(len(rows)) if g is None else np.nonzero(wanted_of == g)[0]
                         here = slice(None) if g is None else np.nonzero(of == g)[0]
-                        some_ids, some = ids[here], matrix[here]
-                        at, met = 0, (matrix.shape[1], g)
-                        while at < len(some_ids):
-                            step = best.step(len(some_ids) - at, CELLS // min(TILE, len(asked)), seen.get(met, 0))
-                            for low in range(0, len(asked), TILE):
-                                tile = slice(low, low + TILE) if g is None else asked[low : low + TILE]
-                                dist = block_distance(wanted[tile], some[at : at + step], metric)
-                                best.add(rows[tile], some_ids[at : at + step], dist, q["ids"] if skip_same else None)
-                            at, seen[met] = at + step, seen.get(met, 0) + step
+                        own, met = q["ids"] if skip_same else None, (matrix.shape[1], g)
+                        meet(best, rows[asked], wanted[asked] if group else wanted, ids[here], matrix[here], own, seen.get(met, 0))
+                        seen[met] = seen.get(met, 0) + len(ids[here])
             yield best.batch(q["ids"])
 
         return best_rows(items.mapInArrow(scan, _HIT), k, F.round("distance", 9), F.col("item_id"))

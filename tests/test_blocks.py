@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomstone.operators import lexical as lx
+from loomstone.plans import blocks
 from loomstone.plans.blocks import best_per_class, nearest, per_block, query_blocks
 from loomstone.plans.filtered import filtered_search
 
@@ -216,3 +217,27 @@ def test_equal_distances_go_to_the_smaller_id_in_any_order():
     for q in range(7):
         order = sorted((d, i) for d, i in zip(dist[q], ids) if np.isfinite(d) and i != own[q])[:6]
         assert [(r["distance"], r["item_id"]) for r in got if r["query_id"] == q] == order
+
+
+def test_products_in_32_bits_only_rule_out(monkeypatch):
+    """Squared distances are those of 64 bits, also between numbers that 32 bits cannot tell apart or hold, and few pairs are measured."""
+    rng = np.random.default_rng(5)
+    measured = []
+    pairs = blocks.near_pairs
+    monkeypatch.setattr(blocks, "near_pairs", lambda *a: (lambda out: measured.append(len(out[0])) or out)(pairs(*a)))
+    near = rng.normal(size=(3000, 8)) * 1e-6 + 1000.0  # about 3e-7 apart, each of a square near 1e7
+    for v, few in ((rng.normal(size=(3000, 8)), True), (near, False), (rng.normal(size=(300, 8)) * 1e25, False), (np.r_[rng.normal(size=(300, 8)), [[np.nan] * 8, [np.inf] * 8]], False)):
+        measured.clear()
+        ids, own = np.arange(len(v)), np.arange(len(v))
+        best = blocks.Nearest(len(v), 5)
+        for low in range(0, len(v), 1000):
+            blocks._meet_l2sq(best, ids, v, ids[low : low + 1000], v[low : low + 1000], own, low)
+        best.settle()
+        for i in rng.integers(0, 300, 20):
+            d = ((v[i] - v) ** 2).sum(1)
+            d[i] = np.inf
+            order = np.lexsort((ids, np.round(d, 9)))[:5]
+            assert best.ids[i].tolist() == order.tolist()
+            assert np.allclose(best.dist[i], d[order], rtol=1e-12)
+        if few:
+            assert sum(measured) < 30 * len(v)
