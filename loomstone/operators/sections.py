@@ -307,18 +307,35 @@ def flat_sheet_text(rows: DataFrame, chars: int = FILE_CONTEXT_CHARS) -> DataFra
 
     ``row_no`` is a number. Rows without text are left out, and so are sheets
     without such rows. Lines are made one by one, so a sheet may have any number
-    of rows; its width and first row come from one aggregation.
+    of rows. A line travels drawn with its own cells, cut to ``chars``, and is
+    padded where its place is known; only numbers and a title come from its sheet.
     """
-    kept = rows.filter(_has_text(F.col("cells")))
-    heads = kept.groupBy("doc_id", "sheet_no").agg(
-        F.max(F.size("cells")).alias("width"), F.min("row_no").cast("long").alias("head"), F.min("sheet").alias("name")
+    kept = rows.filter(_has_text(F.col("cells")) & F.col("doc_id").isNotNull() & F.col("sheet_no").isNotNull())
+    lines = kept.select(
+        "doc_id", F.col("sheet_no").cast("long").alias("at"), F.col("row_no").cast("long").alias("n"), "sheet", F.size("cells").alias("cells"),
+        pipe_line(F.col("cells"), F.size("cells")).alias("text"),
+    )
+    # A line end and a line but for what its number of cells adds: three characters for each cell of the widest row.
+    bare = (F.length("text") - 3 * F.col("cells") + 1).cast("long")
+    # Numbers meet by hash; names, which need a sort, only once a sheet.
+    named = lines.groupBy("doc_id", "at", "sheet").agg(F.max("cells").alias("width"), F.count("*").alias("count"), F.sum(bare).alias("bare"))
+    sheets = named.groupBy("doc_id", "at").agg(
+        F.max("width").cast("long").alias("width"), F.concat(F.lit("## 시트: "), F.min("sheet")).alias("title"), F.sum("count").alias("count"), F.sum("bare").alias("bare")
     )
-    lines = kept.select("doc_id", "sheet_no", F.col("row_no").cast("long").alias("n"), "cells").join(heads, ["doc_id", "sheet_no"])
-    is_head = F.col("n") == F.col("head")
-    text = F.when(is_head, F.concat(pipe_line(F.col("cells"), F.col("width")), F.lit("\n"), pipe_rule(F.col("width")))).otherwise(pipe_line(F.col("cells"), F.col("width")))
-    lines = lines.select("doc_id", F.col("sheet_no").cast("long").alias("at"), (F.col("n") - F.col("head") + 1).alias("line"), F.when(is_head, "\n\n").otherwise("\n").alias("gap"), text.alias("block"))
-    titles = heads.select("doc_id", F.col("sheet_no").cast("long").alias("at"), F.lit(0).cast("long").alias("line"), F.lit("\n\n").alias("gap"), F.concat(F.lit("## 시트: "), "name").alias("block"))
-    return _flat(lines.unionByName(titles), chars)
+    # What stands in a sheet beside its lines and line ends: gap, title and a second gap, and the rule.
+    top = F.coalesce(F.length("title") + 3, F.lit(1)) + 4 * F.col("width") + 2
+    sheets = sheets.select("doc_id", "at", "width", "title", top.alias("top"), (top + F.col("bare") + 3 * F.col("width") * F.col("count")).alias("all"))
+    sheets = scan(sheets, ["doc_id"], ["at"], position_bucket("at"), sums={"end": F.col("all")}, levels=1)
+    sized = lines.select("doc_id", "at", "n", "cells", bare.alias("bare"), F.left("text", F.lit(chars + 2)).alias("text"))
+    placed = scan(sized, ["doc_id", "at"], ["n"], position_bucket("n"), sums={"upto": F.col("bare"), "nth": F.lit(1)}, levels=1).join(sheets, ["doc_id", "at"])
+    is_head = F.col("nth") == 1
+    before = F.col("end") - F.col("all")
+    start = before + F.when(is_head, F.lit(0)).otherwise(F.col("top") + F.col("upto") - F.col("bare") + 3 * F.col("width") * (F.col("nth") - 1))
+    padded = F.concat("text", F.repeat(F.lit("  |"), (F.col("width") - F.col("cells")).cast("int")))
+    head = F.concat(F.when(before > 0, F.lit("\n\n")).otherwise(""), F.coalesce(F.concat("title", F.lit("\n\n")), F.lit("")), padded, F.lit("\n"), pipe_rule(F.col("width").cast("int")))
+    piece = F.struct("at", "nth", F.left(F.when(is_head, head).otherwise(F.concat(F.lit("\n"), padded)), F.lit(chars + 2)).alias("text"))
+    out = placed.groupBy("doc_id").agg((F.max("end") - 2).alias("full_chars"), F.array_sort(F.collect_list(F.when(start < chars + 2, piece))).alias("b"))
+    return out.select("doc_id", "full_chars", F.left(F.array_join(F.transform("b", lambda x: x["text"]), ""), F.lit(chars)).alias("context"))
 
 
 def flat_paragraph_text(items: DataFrame, chars: int = FILE_CONTEXT_CHARS) -> DataFrame:

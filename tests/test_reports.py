@@ -66,6 +66,18 @@ def test_flat_texts_cut_by_length(spark):
     assert (row["full_chars"], row["context"]) == (len(text), text)
 
 
+def test_flat_sheet_lines_travel_drawn(spark):
+    rows = [(1, 7, None, i, ["x" * (i % 3), str(i)] + ["w"] * (i == 9000)) for i in range(1, 9001)] + [(1, 3, "b", 1, ["y" * 50]), (1, 3, "a", 2, ["z", "z"]), (None, 1, "no", 1, ["q"]), (2, None, "no", 1, ["q"])]
+    df = spark.createDataFrame(rows, "doc_id long, sheet_no int, sheet string, row_no int, cells array<string>").repartition(5)
+    first = "## 시트: a\n\n| " + "y" * 50 + " |  |\n|---|---|\n| z | z |"
+    lines = [f"| {'x' * (i % 3)} | {i} | {'w' if i == 9000 else ''} |" for i in range(1, 9001)]
+    text = first + "\n\n" + "\n".join([lines[0], "|---|---|---|", *lines[1:]])  # a sheet without a name has no title
+    for chars in (10, 8000, len(text) - 5):
+        out = se.flat_sheet_text(df, chars)
+        assert [tuple(r) for r in out.collect()] == [(1, len(text), text[:chars])]
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()  # titles are no rows of their own
+
+
 def test_chunk_metadata(spark):
     made = "doc_id long, unit_index int, unit_type string, title string, section_path string, text string, is_table boolean, table_index int, parent_page_index int, split_part string, merged_units array<int>, doc_format string"
     rows = [(1, 3, "page", "", "p", "see 12:30", False, 7, None, "1/2", [3, 4], ".pdf"), (2, 9, "table", "T", None, "x", True, 1, 2, None, [], None)]
