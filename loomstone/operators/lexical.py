@@ -19,6 +19,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 QUERY_BLOCK = 1024  # queries whose term weights are sent to the tasks together
 _HIT = "query_id long, item_id long, score double"
+_COUNTED = "struct<dl:int,counts:array<struct<term:string,tf:int>>>"
+_COUNTED_ROWS = 256  # texts whose tokens a task holds at once
+_NO_TOKEN = tx.TOKEN.replace("[", "[^")
 
 
 def tokenize(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -29,13 +32,41 @@ def tokenize(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, F.posexplode_outer(tx.tokens(F.col(text_col))).alias("pos", "term")).filter("term is not null")
 
 
+def _counted(texts: pa.Array) -> pa.Array:
+    """(dl, counts) of lower-cased texts: their number of tokens, and their terms in order with how often each occurs."""
+    parts = pc.split_pattern_regex(texts, _NO_TOKEN)
+    words = parts.flatten()
+    filled = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # a text may begin and end with no token
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy())[filled]
+    coded = words.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    several = max(len(order), 1)
+    met, tf = np.unique(row * several + place[coded.indices.to_numpy()][filled], return_counts=True)
+    terms = coded.dictionary.take(pa.array(order[met % several]))
+    ends = pa.array(np.searchsorted(met // several, np.arange(len(texts) + 1)), pa.int32())
+    lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([terms, pa.array(tf, pa.int32())], ["term", "tf"]))
+    return pa.StructArray.from_arrays([pa.array(np.bincount(row, minlength=len(texts)), pa.int32()), lists], ["dl", "counts"])
+
+
+def _counted_udf():
+    @F.arrow_udf(_COUNTED)
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_counted(texts.slice(at, _COUNTED_ROWS)) for at in range(0, max(len(texts), 1), _COUNTED_ROWS)])
+
+    return of
+
+
 def forward_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", keep: Sequence[str] = ()) -> DataFrame:
-    """(item_id, dl, counts array<(term, tf)>) for non-empty chunks, made inside each row; ``keep`` names further columns."""
-    words = tx.tokens(F.col(text_col))
+    """(item_id, dl, counts array<(term, tf)>) for non-empty chunks, made inside each row; ``keep`` names further columns.
+
+    Spark lower-cases the texts; a small Arrow function counts the tokens of each.
+    """
     return (
         chunks.filter(F.length(text_col) > 0)
-        .select(*keep, F.col(id_col).cast("long").alias("item_id"), words.alias("words"))
-        .select(*keep, "item_id", F.size("words").alias("dl"), tx.term_counts(F.col("words")).alias("counts"))
+        .select(*keep, F.col(id_col).cast("long").alias("item_id"), _counted_udf()(F.lower(text_col)).alias("_w"))
+        .select(*keep, "item_id", "_w.dl", "_w.counts")
     )
 
 
@@ -93,10 +124,13 @@ def query_weights(queries: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def index_numbers(index: DataFrame) -> DataFrame:
-    """One row (n, avgdl, mean_idf), to be kept beside an index so that no search counts it again."""
+def index_numbers(index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """One row (n, avgdl, mean_idf), to be kept beside an index so that no search counts it again.
+
+    ``terms`` is the index's term table; without it the terms are counted here.
+    """
     n_docs, avgdl = corpus_numbers(index)
-    mean = mean_idf(term_table(index, n_docs))
+    mean = mean_idf(term_table(index, n_docs) if terms is None else terms)
     return index.sparkSession.createDataFrame([(n_docs, avgdl, mean)], "n long, avgdl double, mean_idf double")
 
 

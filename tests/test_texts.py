@@ -12,6 +12,7 @@ from loomstone.operators import classify as cl
 from loomstone.operators import evaluation as ev
 from loomstone.operators import fusion as fu
 from loomstone.operators import inventory as inv
+from loomstone.operators import lexical as lx
 from loomstone.operators import sections as se
 from loomstone.operators import tagging as tg
 
@@ -30,6 +31,21 @@ def test_term_counts(spark):
         assert {r["term"]: r["tf"] for r in counts} == Counter(re.findall("[가-힣a-zA-Z0-9]+", text.lower()))
 
 
+def test_forward_index_counts_terms_once(spark):
+    import re
+
+    texts = ["b a b c a b", "", "!!", "한글 Abc abc 한글-한글", " " + " ".join(str(i * i % 371) for i in range(900)) + "!", None, *[f"Doc {i} {i % 3}" for i in range(700)]]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string").coalesce(1)
+    index = lx.forward_index(chunks)
+    got = {r["item_id"]: (r["dl"], [tuple(c) for c in r["counts"]]) for r in index.collect()}
+    words = {i: re.findall("[가-힣a-zA-Z0-9]+", t.lower()) for i, t in enumerate(texts) if t}
+    assert got == {i: (len(w), sorted(Counter(w).items())) for i, w in words.items()}
+    assert [f.dataType.simpleString() for f in index.schema] == ["bigint", "int", "array<struct<term:string,tf:int>>"]
+    terms = lx.term_table(index, len(words)).cache()
+    row, again = lx.index_numbers(index, terms).first(), lx.index_numbers(index).first()
+    assert (row["n"], row["avgdl"], round(row["mean_idf"], 9)) == (again["n"], again["avgdl"], round(again["mean_idf"], 9))
+
+
 def test_strip_is_not_only_blanks(spark):
     assert column(spark, ["\n a 　\n", " \t ", None], tx.strip) == ["a", "", None]
 

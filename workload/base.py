@@ -81,12 +81,12 @@ def questions(spark, sf_dir) -> DataFrame:
 
 
 def lexical_index(spark, sf_dir):
-    """Forward index, term table and mean length of the documents, written once per application."""
+    """Forward index, term table and mean length of the documents, written once per application; terms are counted once."""
     of = [source(sf_dir, "documents")]
     index = staged(spark, "forward_index", of, lambda: lx.forward_index(chunks(spark, sf_dir)))
-    numbers = staged(spark, "index_numbers", of, lambda: lx.index_numbers(index)).first()
-    terms = staged(spark, "term_table", of, lambda: lx.with_floor(lx.term_table(index, numbers["n"]), numbers["mean_idf"]))
-    return index, terms, numbers["n"], numbers["avgdl"]
+    terms = staged(spark, "term_table", of, lambda: lx.term_table(index, lx.corpus_numbers(index)[0]))
+    numbers = staged(spark, "index_numbers", of, lambda: lx.index_numbers(index, terms)).first()
+    return index, lx.with_floor(terms, numbers["mean_idf"]), numbers["n"], numbers["avgdl"]
 
 
 def lexical_hits(spark, sf_dir, queries: DataFrame, k: int) -> DataFrame:
