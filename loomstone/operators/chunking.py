@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as tx
 from loomstone.plans.folds import size_groups
 from loomstone.plans.ordered import Edge, position_bucket, scan
+from loomstone.session import written
 
 # Merge and split limits per format, the older packer, table shape.
 SIZE_THRESHOLDS = [
@@ -274,7 +275,8 @@ def adaptive_chunk(units: DataFrame) -> DataFrame:
     section until they are long enough, and what is left of a row of short
     units is taken in by the next unit if both fit. Which units make a chunk is
     found from their sizes alone (``_chunk_of``); texts then meet by chunk, so a
-    document may have any number of units. The units are read twice: keep them
+    document may have any number of units. The sizes are written to the shared
+    folder, as several steps meet them, so texts are read twice: keep the units
     in a table if they are costly to make.
     """
     merge_below, split_above = size_thresholds(F.col("doc_format"))
@@ -288,7 +290,8 @@ def adaptive_chunk(units: DataFrame) -> DataFrame:
         .otherwise("fit")
     )
     units = units.withColumn("role", role)
-    chunks = _chunk_of(units.select("doc_id", "pos", "role", "section_path", size.cast("long").alias("n"), "merge_below", "split_above"))
+    sizes = units.select("doc_id", "pos", "role", "section_path", size.cast("long").alias("n"), "merge_below", "split_above")
+    chunks = _chunk_of(written(sizes, "unit-sizes"))
     kept = ["pos", "unit_index", "unit_type", "title", "section_path", "text", "is_table", "table_index", "parent_page_index", "role"]
     met = units.join(chunks, ["doc_id", "pos"]).groupBy("doc_id", "chunk").agg(
         F.first("doc_format").alias("doc_format"), F.first("split_above").alias("split_above"), F.array_sort(F.collect_list(F.struct(*kept))).alias("u")

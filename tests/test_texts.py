@@ -148,6 +148,15 @@ def test_adaptive_chunk_over_segments(spark):
     assert mine == sorted(fold(units, 200, 1200))
 
 
+def test_adaptive_chunk_reads_texts_twice(spark, tmp_path):
+    cols = "doc_id int, pos long, doc_format string, unit_index int, unit_type string, title string, section_path string, text string, is_table boolean, table_index int, parent_page_index int"
+    spark.createDataFrame([(1, p, "txt", p, "section", "", "s", "x" * 90, False, None, None) for p in range(7)], cols).write.parquet(str(tmp_path / "units"))
+    out = ck.adaptive_chunk(spark.read.parquet(str(tmp_path / "units")))
+    read = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation [" in line]
+    assert sum("text#" in line for line in read) == 1  # and once for the sizes, which all other steps read
+    assert sorted(list(r["merged_units"]) for r in out.collect()) == [[], [0, 1, 2], [3, 4, 5]]
+
+
 def test_chunks_of_one_long_run(spark):
     """A million short units of one section: no row of the plan holds more than a chunk or a segment of sizes."""
     n = 1_000_000
